@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from lapsewise.llm import minhash, packing, suffix_dedup
+from lapsewise.llm import brown, chat, langid, minhash, packing, pii, quality, suffix_dedup, vector_graph
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op2_language_id": langid.query,
+    "op3_pii": pii.query,
+    "op4_brown_lm": brown.query,
+    "op5_chat_format": chat.query,
     "op7_packing": packing.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_vector_graph": vector_graph.query,
     "op10_minhash": minhash.query,
 }
 
 ORACLE_SQL = {
+    "op5_chat_format": chat.SQL,
+    "op9_vector_graph": vector_graph.SQL,
     "op10_minhash": minhash.SQL,
 }
