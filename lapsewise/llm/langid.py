@@ -222,16 +222,16 @@ class Labeller:
 def labeller(net: Network):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         label = Labeller(net)
-        for frame in blocks(frames):
-            lang, score = label([None if t is None else t for t in frame["text"]])
-            yield frame.drop(columns="text").assign(lang_pred=lang, score=score)
+        for frame in blocks(frames, "whole"):
+            lang, score = label([None if t is None else t for t in frame["whole"]])
+            yield frame.drop(columns="whole").assign(lang_pred=lang, score=score)
 
     return run
 
 
 def identify(docs: DataFrame, net: Network | None, carry: list[str]) -> DataFrame:
     """The carried columns with lang_pred and score of each row's text."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("whole"))
     if net is None:
         return rows.select(*carry, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)

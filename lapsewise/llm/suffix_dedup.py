@@ -31,8 +31,10 @@ from lapsewise.llm.shared import Scratch, SpanHash, blocks, encoded, read_table
 MINIMUM, K, STRIDE = 200, 32, 16
 #: Different contexts of one key beyond which it is divided.
 LARGE_KEY = 64
+#: Levels at which all rows are looked at.
+DENSE = 12
 #: Bytes of contexts that one transform covers, on average.
-BLOCK_BYTES = 300_000
+BLOCK_BYTES = 120_000
 
 
 def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -101,36 +103,40 @@ def cut_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "ctx", "doc_id", "lo", "bytes"])
 
 
-def transform(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenation (a terminator, its own smallest symbol each, ends every context), suffix order, symbols."""
-    n = sum(map(len, contexts)) + len(contexts)
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    ends = np.cumsum([len(c) + 1 for c in contexts]) - 1
-    symbol = raw.astype(np.int64) + len(ends)
-    symbol[ends] = np.arange(len(ends))
-    # first order by 6 bytes; what reaches a terminator is told apart by the terminator
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    head = np.zeros(n, np.int64)
-    padded = np.concatenate([raw.astype(np.int64) + 1, np.zeros(6, np.int64)])
-    for k in range(6):
-        head = head * 257 + np.where(left > k, padded[k : k + n], 0)
-    _, rank = np.unique(head, return_inverse=True)
-    rank = rank.astype(np.int64)
-    which = np.where(left < 6, np.searchsorted(ends, np.arange(n)) + 1, 0)
-    _, rank = np.unique(rank * (len(ends) + 1) + which, return_inverse=True)
-    h = 6
+def transform(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the concatenated contexts, each followed by a terminator (0), and the order of its suffixes.
+
+    The order is by the first MINIMUM symbols or more; neighbours that agree in those may stand either way, which
+    changes no interval of a string up to that length.
+    """
+    joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    n = len(joined)
+    present = np.zeros(257, bool)
+    present[joined.astype(np.int64) + 1] = True
+    present[0] = True
+    code = np.cumsum(present) - 1
+    symbol = code[joined.astype(np.int64) + 1]
+    symbol[np.cumsum([len(c) + 1 for c in contexts]) - 1] = 0
+    bits = int(code[-1]).bit_length()
+    reach = 62 // bits  # as many symbols as one number holds
+    padded = np.concatenate([symbol, np.zeros(reach, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(reach):
+        key = (key << bits) | padded[k : k + n]
+    wide = n.bit_length() + 1
+    times = 3 if 3 * wide <= 62 else 2
     while True:
-        far = np.zeros(n, np.int64)
-        far[: n - h] = rank[h:] + 1
-        both = rank * (n + 1) + far
-        order = np.argsort(both)
-        both = both[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate([[0], both[1:] != both[:-1]]))
-        rank = fresh
-        if rank[order[-1]] == n - 1 or h > n:
-            return symbol, order, rank
-        h *= 2
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
+        if reach >= MINIMUM or rank[order[-1]] == n:
+            return symbol, order
+        key = rank.copy()  # then by the ranks of the next stretches
+        for k in range(1, times):
+            key <<= wide
+            key[: max(0, n - k * reach)] |= rank[k * reach :]
+        reach *= times
 
 
 def repeated_suffixes(symbol: np.ndarray, order: np.ndarray, minimum: int) -> np.ndarray:
@@ -146,37 +152,53 @@ def repeated_suffixes(symbol: np.ndarray, order: np.ndarray, minimum: int) -> np
     first = before[source]
     split = np.ones(n, bool)
     split[1:] = first[1:] != first[:-1]
-    upper, lower = source[1:], source[:-1]
-    open_ = np.flatnonzero(~split[1:])
-    upper, lower = upper[open_].astype(np.int32), lower[open_].astype(np.int32)
-    for _ in range(minimum - 1):
-        if not len(open_):
-            break
+    open_ = np.flatnonzero(~split[1:]) + 1
+    upper, lower = source[open_].astype(np.int32), source[open_ - 1].astype(np.int32)
+    new = np.flatnonzero(split)
+    depth = 1
+    while depth < min(minimum, DENSE) and len(new):  # most rows part within a few levels: look at all of them
         level = np.cumsum(split, dtype=np.int32)
         apart = level[upper] != level[lower]
-        if not apart.any():
-            break  # nothing separates any further
-        split[open_[apart] + 1] = True
-        keep = ~apart
-        if keep.sum() < 0.8 * len(open_):
-            open_, upper, lower = open_[keep], upper[keep], lower[keep]
+        new = open_[apart]
+        split[new] = True
+        open_, upper, lower = open_[~apart], upper[~apart], lower[~apart]
+        depth += 1
+    # then follow what has just parted: rows that come from neighbours are reached straight from there
+    target = np.empty(n, np.int64)
+    target[source] = np.arange(n)
+    near = np.zeros(n, bool)
+    close = upper == lower + 1
+    near[open_[close]] = True
+    open_, upper, lower = open_[~close], upper[~close], lower[~close]
+    while depth < minimum and len(new):
+        new = np.sort(new)
+        reached = target[new]
+        reached = reached[near[reached]]
+        apart = np.searchsorted(new, upper, "right") > np.searchsorted(new, lower, "right")
+        new = np.concatenate([reached, open_[apart]])
+        split[new] = True
+        near[reached] = False
+        open_, upper, lower = open_[~apart], upper[~apart], lower[~apart]
+        depth += 1
     return ~split
 
 
 def repeats_in_block(frame: pd.DataFrame) -> pd.DataFrame:
     """Spans of bytes covered by strings that two places of this block share."""
     contexts = [bytes(b) for b in frame["bytes"]]
-    symbol, order, _ = transform(contexts)
+    symbol, order = transform(contexts)
+    size = np.array([len(c) + 1 for c in contexts])
+    begin = np.cumsum(size) - size
     same = np.flatnonzero(repeated_suffixes(symbol, order, MINIMUM))
     hit = np.zeros(len(order), bool)
     hit[order[same]] = True
     hit[order[same - 1]] = True
     at = np.flatnonzero(hit)
+    c = np.searchsorted(begin, at, "right") - 1
+    inside = at + MINIMUM < begin[c] + size[c]  # a string over a terminator is none
+    at, c = at[inside], c[inside]
     if not len(at):
         return pd.DataFrame({"doc_id": np.empty(0, np.int64), "start": np.empty(0, np.int64), "stop": np.empty(0, np.int64)})
-    size = np.array([len(c) + 1 for c in contexts])
-    begin = np.cumsum(size) - size
-    c = np.searchsorted(begin, at, "right") - 1
     place = at - begin[c] + frame["lo"].to_numpy()[c]
     new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (place[1:] > place[:-1] + MINIMUM)]))
     return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[c[new]], "start": place[new], "stop": place[np.concatenate([new[1:], [len(at)]]) - 1] + MINIMUM})
@@ -242,25 +264,28 @@ def removed_runs(spans: list | None) -> list[tuple[int, int]]:
 
 
 def strip_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in blocks(frames):
+    for frame in blocks(frames, "whole"):
         kept, runs, size = [], [], []
-        for text, spans in zip(encoded(frame["text"]), frame["spans"], strict=True):
+        for text, spans in zip(encoded(frame["whole"]), frame["spans"], strict=True):
             own = removed_runs(spans)
             bounds = [0, *(x for run in own for x in run), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
             runs.append([{"start": a, "stop": b} for a, b in own])
             size.append(len(text))
-        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_bytes": size, "removed": runs, "kept": kept})
+        yield frame.drop(columns=["whole", "spans"]).assign(n_bytes=size, removed=runs, kept=kept)
 
 
-def strip_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_bytes, removed (maximal runs), kept (the remaining bytes) of every row that has a doc_id."""
+def strip_repeats(docs: DataFrame, scratch: Scratch | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns, n_bytes, removed (maximal runs) and kept (the remaining bytes) of every row that has a doc_id."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    spans = repeated_spans(docs, scratch).distinct()
+    carry = [c for c in carry or ["doc_id"] if c not in ("text", "whole", "spans")]
+    text = F.col("text").cast("string")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    spans = repeated_spans(docs.select("doc_id", text.alias("text")), scratch).distinct()
     spans = scratch.table(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    rows = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return rows.mapInPandas(strip_runs, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], text.alias("whole")).join(spans, "doc_id", "left").select(*carry, "whole", "spans")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInPandas(strip_runs, f"{schema}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
