@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapsewise.llm import brown, chat, langid, minhash, packing, pii, quality, suffix_dedup, vector_graph
+from lapsewise.llm import brown, chat, langid, minhash, packing, pieces, pii, quality, suffix_dedup, vector_graph
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.query,
     "op4_brown_lm": brown.query,
     "op5_chat_format": chat.query,
+    "op6_pieces": pieces.query,
     "op7_packing": packing.query,
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_vector_graph": vector_graph.query,
