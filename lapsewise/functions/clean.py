@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that results depend on.
 HOURS_PER_YEAR, MONTHS_PER_YEAR = 2080, 12
@@ -20,7 +21,7 @@ PERIODS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 

@@ -134,7 +134,7 @@ def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") ->
     clusters = rows.select(*keys, F.concat_ws("|", "source", "source_id").alias("cluster")).distinct()
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     clusters = clusters.withColumn("i", F.row_number().over(w.orderBy("cluster")).cast("long") - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    draws = clusters.select(*keys, F.col("i").alias("draw"), "m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).cast("long").alias("b"))
+    draws = clusters.select(*keys, F.col("i").alias("draw"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col("b").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     drawn = draws.withColumn("i", F.pmod(number, F.col("m"))).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
     return drawn.join(clusters.select(*keys, "i", "cluster"), [*keys, "i"]).drop("i")

@@ -11,14 +11,17 @@ class SchemaError(ValueError):
     """A table lacks a required column or breaks a structural rule."""
 
 
+_KINDS = {"long": T.LongType(), "string": T.StringType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """From "name type, ..." without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in spec.split(", "))])
 
 
 RUNS = _schema("id long, source string, started_at timestamp, finished_at timestamp, status string, rows_parsed long, page_cap long, pages_fetched long, parser_version long, rules_version long")
 JOBS = _schema(
-    "id long, source string, source_id string, title string, company string, location string, remote boolean, salary_min long, salary_max long, currency string, salary_raw string, "
-    "posted_at timestamp, url string, description string, first_seen timestamp, last_seen timestamp, content_hash string, seniority string"
+    "id long, source string, source_id string, title string, company string, location string, remote boolean, salary_min long, salary_max long, currency string, salary_raw string, posted_at timestamp, url string, description string, first_seen timestamp, last_seen timestamp, content_hash string, seniority string"
 )
 OBSERVATIONS = _schema("job_id long, run_id long")
 SNAPSHOT_ROWS = _schema(
