@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.llm.shared import read_table
 
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.05
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
 #: Trusted documents at most (a bounded sample: the smallest hashes of doc_id).
 TRUSTED = 20_000
 BLANK = r"[\x20\x09-\x0D]+"

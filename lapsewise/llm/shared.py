@@ -34,8 +34,11 @@ class Scratch:
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+        """df written and read again; slim: its rows are few against the corpus, so an eighth of the tasks will do."""
         self.made += 1
+        if slim:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         path = f"{self.base}/{self.made:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -58,19 +61,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
 
     def minima(edges: DataFrame, name: str) -> DataFrame:
-        return scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+        return scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), name, slim=True)
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = scratch.table(edges, "edges")
+    edges = scratch.table(edges, "edges", slim=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both, "large-min").withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(large.where("u <> v").distinct(), "large")
+        large = scratch.table(large.where("u <> v").distinct(), "large", slim=True)
         joined = large.join(minima(large, "small-min"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = small.unionByName(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        new = scratch.table(new, "edges")
+        new = scratch.table(new, "edges", slim=True)
         scratch.drop(edges)
         edges = new
         if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
