@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions import clean, derive
-from lapsewise.operators import audit, metrics, models, panel, scoring, waves
+from lapsewise.operators import audit, experiments, metrics, models, panel, scoring, waves
 from lapsewise.plans import crawl_view as V
 from lapsewise.sources import crawls
 from lapsewise.streaming import streams
@@ -504,6 +504,30 @@ def _(s, d):
     return metrics.paired_difference(per_fold(s, d, F.col("score")), per_fold(s, d, F.col("age_days"))).select("folds", r("mean_diff"), r("sd_diff"), "wins")
 
 
+AGED = ", aged AS (SELECT source, y, coalesce(age_days, 'inf'::DOUBLE) AS score FROM known), young AS (SELECT source, y, -coalesce(age_days, 'inf'::DOUBLE) AS score FROM known)"
+
+
+@query("w13_age_rank", V.sql(AGED + rank_sql("aged", "source") + rank_sql("young", "source").replace(" ds ", " ds2 ").replace("FROM ds ", "FROM ds2 ").replace(" cu ", " cu2 ").replace("cu AS", "cu2 AS").replace("FROM cu ", "FROM cu2 ").replace("rk AS", "rk2 AS") + "SELECT a.source, a.n, a.positives, round(a.positives::DOUBLE / a.n, 6) AS base_rate, round(a.ap, 6) AS oldest_first, round(b.ap, 6) AS youngest_first FROM rk a JOIN rk2 b ON a.source = b.source"))
+def _(s, d):
+    return experiments.age_rank(known(s, d), "source").select("source", "n", "positives", r("base_rate"), r("oldest_first"), r("youngest_first"))
+
+
+@query("l14_rolling_age_rank")
+def _(s, d):
+    return experiments.rolling_age_rank(V.labelled_panel(s, d), EMBARGO).select(day("val_end"), "n", "positives", "oldest_first", "youngest_first")
+
+
+@query("l15_cohort_verdict", V.sql(", g AS (SELECT cohort, sum(y)::DOUBLE AS p, avg(y) AS r FROM kc GROUP BY cohort), z AS (SELECT max(r) FILTER (cohort = 'entrant') AS e, max(r) FILTER (cohort = 'incumbent') AS i, max(p) FILTER (cohort = 'entrant') / sum(p) AS sh FROM g) SELECT round(e, 6) AS entrant_rate, round(i, 6) AS incumbent_rate, round(sh, 6) AS entrant_share, round(e / i, 6) AS ratio, CASE WHEN coalesce(e / i >= 10 OR (sh >= 0.9 AND i <= 0.1), false) THEN 'cohorts differ' ELSE 'cohorts alike' END AS status FROM z"))
+def _(s, d):
+    return experiments.cohort_verdict(audit.group_rates(annotated(s, d).where("label_observable"), "cohort")).select(r("entrant_rate"), r("incumbent_rate"), r("entrant_share"), r("ratio"), "status")
+
+
+@query("x30_unseen_fold_rows", V.sql(FOLDS + "SELECT fold, count(*) AS n, sum(y)::BIGINT AS positives FROM fo JOIN known k ON k.t > te + 7 AND k.t <= vs WHERE NOT EXISTS (SELECT 1 FROM known x WHERE x.source = k.source AND x.source_id = k.source_id AND x.t <= te) GROUP BY fold"))
+def _(s, d):
+    rows = known(s, d)
+    return experiments.unseen_fold_rows(rows, waves.fold_table(rows, EMBARGO), EMBARGO).groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positives"))
+
+
 @query("t3_rank_boards", V.sql("SELECT source, source_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, source_id) AS place, row_number() OVER (PARTITION BY source ORDER BY score DESC, source_id) <= 10 AS watch FROM feat WHERE t = (SELECT max(t) FROM feat)"))
 def _(s, d):
     rows = V.labelled_panel(s, d)
