@@ -27,6 +27,8 @@ from lapsewise.llm.shared import Scratch, blocks, read_table
 CAPACITY, END = 1024, 2
 #: Distinct chunks that a Python worker remembers.
 REMEMBERED = 400_000
+#: Parts up to which the table of counts before each part (CAPACITY rows a part) is broadcast.
+BROADCAST_PARTS = 256
 SPECIAL = "<|endoftext|>"
 
 
@@ -142,7 +144,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     if left[capacity]:
         take((capacity,))
-    residual: list[int] = []
     while (have := np.flatnonzero(left > 0)).size:
         first = int(have[-1])
         if pattern := exact(first):
@@ -157,7 +158,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
                 pattern += (fit[0],)
                 room -= fit[0]
             take(pattern)
-    assert not residual
     return out
 
 
@@ -185,7 +185,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
         sequence += n
     slots = spark.createDataFrame(slots, "slot_length long, first long, past long, k long, sequence long, base long")
     inside = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece")) - 1
-    numbered = items.withColumn("inside", inside).join(F.broadcast(before), ["length", "part"]) if parts <= 4096 else items.withColumn("inside", inside).join(before, ["length", "part"])
+    numbered = items.withColumn("inside", inside).join(F.broadcast(before), ["length", "part"]) if parts <= BROADCAST_PARTS else items.withColumn("inside", inside).join(before, ["length", "part"])
     numbered = numbered.withColumn("number", F.col("inside") + F.col("before")).drop("inside", "before", "part")
     # the slot table has a few rows for each length: no more than the plan has patterns
     where = (F.col("length") == F.col("slot_length")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("past"))
