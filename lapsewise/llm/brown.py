@@ -1,13 +1,17 @@
 """Language-model scores by Brown classes.
 
-The TOP most frequent words are put into CLASSES classes by exchange clustering on their bigram counts: each word moves
-to the class in which the class bigram likelihood is highest, in a few rounds. All other words, seen or not, belong to
-a class by their length. A token's probability is that of its class after the class before it, smoothed towards the
-class's own probability, times that of the word in its class.
-
-Words are counted by 64-bit hash. Counts of words at or above a cut, chosen so that at most KNOWN words reach it, travel
-as a table of bounded size; rarer words are summed by document and joined with the full counts. Class bigrams are a
-table of bounded size. What is shuffled grows with the corpus, what a task or the driver holds does not.
+Every word seen at least LEAST times is put into one of CLASSES classes by exchange clustering: each word moves to the
+class in which the class bigram likelihood is highest. The TOP most frequent words start the classes on the driver, one
+word after the other; then Spark counts, for every word, the classes before and after it, and all words move at once by
+these counts and the small table of class bigrams, in SPREAD rounds, of which the one with the highest likelihood
+stands. Words seen less often stand for the unseen: they share classes by length with them. A token's probability is
+that of its class after the class before it, smoothed towards the class's own probability, times that of the word in
+its class.
+
+Words are counted by 64-bit hash. Counts and classes of words at or above a cut, chosen so that at most KNOWN words
+reach it, travel as a table of bounded size; rarer words are joined with the full counts and classes, bigrams with a
+rarer word by both sides. Class bigrams are a table of bounded size. The words in classes, and what is shuffled, grow
+with the corpus, what a task or the driver holds does not.
 
 Nulls: a null text is empty (its end token alone is scored); a null doc_id stays a row and trains (its remainder is
 undefined, held_out is false). Repeated rows train repeatedly; doc_id is taken as unique in the result. Extra columns
@@ -27,6 +31,8 @@ from lapsewise.llm.langid import remainder
 from lapsewise.llm.shared import _SPACE, Scratch, SpanHash, _LOWER, blocks, encoded, read_table
 
 TOP, CLASSES, ROUNDS, KNOWN, LENGTHS = 1000, 40, 4, 1 << 18, 6
+#: Occurrences that put a word into a class, and rounds over all such words; evidence rows that a task gathers at once.
+LEAST, SPREAD, GATHERED = 5, 2, 4_000_000
 KAPPA, HOLDOUT, MODULUS = 5.0, 2, 7
 
 
@@ -130,89 +136,288 @@ def exchange(pairs: np.ndarray, top: int, classes: int = CLASSES, rounds: int =
     return label
 
 
+def gains(joint: np.ndarray, k: int, at: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Gain in class bigram likelihood of each word (row) in each of the k word classes, against being in no class.
+
+    joint: class bigrams with all words where they are (at); out, into: of each word, counts with the classes after and
+    before it, without its pairs with itself (own).
+    """
+    phi = lambda x: x * np.log(np.maximum(x, 1e-300))
+    n, each, d = len(at), np.arange(len(at)), np.arange(k)
+    gain = np.zeros((n, k))
+    held = at[:, None] == d
+    for side, other, table in ((out, into, joint), (into, out, joint.T)):
+        part = np.zeros((n, k))
+        w, c = np.nonzero(side)
+        away = c != at[w]
+        w, c = w[away], c[away]
+        for i in range(0, len(w), 50_000):  # cells that the word's own leaving does not touch
+            rows, cols = w[i : i + 50_000], c[i : i + 50_000]
+            cell = table[:k, cols].T
+            step = phi(cell + side[rows, cols][:, None]) - phi(cell)
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            part[rows[first]] += np.add.reduceat(step, first)
+        cell = table[:k, at].T - other[:, :k]
+        part += phi(cell + side[each, at][:, None]) - phi(cell)
+        left = table[at] - side
+        left[each, at] -= other[each, at] + own
+        back = (phi(left + side) - phi(left)).sum(axis=1)
+        gain += np.where(held, back[:, None], part)
+        whole = table.sum(axis=1)[None, :k] - held * (side.sum(axis=1) + own)[:, None]
+        gain -= phi(whole + (side.sum(axis=1) + own)[:, None]) - phi(whole)
+    o, i, s = out[:, :k], into[:, :k], own[:, None]
+    diag = joint[d, d][None] - held * (o + i + s)
+    return gain + phi(diag + o + i + s) - phi(diag + o) - phi(diag + i) + phi(diag)
+
+
+def likelihood(joint: np.ndarray) -> float:
+    phi = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return phi(joint) - phi(joint.sum(axis=0)) - phi(joint.sum(axis=1))
+
+
+class Known:
+    """Words that travel: sorted hashes, counts, classes; size counts the word classes k, the lengths and the edge."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, label: np.ndarray, k: int, some_rarer: bool):
+        self.word, self.n, self.label, self.k, self.some_rarer = word, n, label, k, some_rarer
+        self.size = k + LENGTHS + 1
+
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Of all texts with an edge before, between and after: word, place in the table (-1: none), length, class (-1: to be joined)."""
+        word, kind, per = tokens_of(texts)
+        at = lookup(self.word, word)
+        label = np.where(at >= 0, self.label[np.maximum(at, 0)] if len(self.label) else 0, -1 if self.some_rarer else self.k + kind)
+        edges = np.concatenate([[0], np.cumsum(per)])
+        return np.insert(word, edges, 0), np.insert(at, edges, -1), np.insert(kind, edges, 0), np.insert(label, edges, self.size - 1)
+
+
+EVIDENCE = "word long, label int, code int, n long"
+
+
+def gather(shared, with_words: bool):
+    """Bigrams whose classes are all known here. word null: of two classes (label, code). Else of a word in class label:
+    code is the class after it, size + the class before it, or 2 size for the word itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, found, waiting = shared.value, [], 0
+        size = known.size
+        joint = np.zeros(size * size, np.int64)
+
+        def flush() -> pd.DataFrame:
+            key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([f[1] for f in found])).astype(np.int64)
+            at = key // (2 * size + 1)
+            return pd.DataFrame({"word": known.word[at].astype(object), "label": known.label[at], "code": key % (2 * size + 1), "n": n})
+
+        for frame in blocks(frames):
+            _, at, _, label = known.symbols(encoded(frame["text"]))
+            a, b, x, y = label[:-1], label[1:], at[:-1], at[1:]
+            sure = (a >= 0) & (b >= 0)
+            joint += np.bincount((a * size + b)[sure], minlength=size * size)
+            if with_words and len(known.word):
+                moves = (known.n >= LEAST)[np.maximum(at, 0)] & (at >= 0)
+                first, second = sure & moves[:-1], sure & moves[1:] & (x != y)
+                after = x * (2 * size + 1) + np.where(x == y, 2 * size, b)
+                before = y * (2 * size + 1) + size + a
+                found.append(np.unique(np.concatenate([after[first], before[second]]), return_counts=True))
+                waiting += len(found[-1][0])
+                if waiting > GATHERED:
+                    yield flush()
+                    found, waiting = [], 0
+        if waiting:
+            yield flush()
+        some = np.flatnonzero(joint)
+        yield pd.DataFrame({"word": np.full(len(some), None), "label": some // size, "code": some % size, "n": joint[some]})
+
+    return run
+
+
+def rare_pairs(shared):
+    """Bigrams with a word that does not travel; kind is that word's length, -1 for one that travels, -2 for the edge."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for frame in blocks(frames):
+            word, at, kind, label = known.symbols(encoded(frame["text"]))
+            kind = np.where(label < 0, kind, np.where(at >= 0, -1, -2))
+            i = np.flatnonzero((label[:-1] < 0) | (label[1:] < 0))
+            yield pd.DataFrame({"w1": word[i], "k1": kind[i], "w2": word[i + 1], "k2": kind[i + 1]})
+
+    return run
+
+
+def either(pairs: DataFrame, table: DataFrame, kind: str) -> DataFrame:
+    """pairs with l1 and l2: the label in table (word, label) of the sides whose kind meets the condition, null for others.
+
+    Sides that need no join get a key by the other side, so that no key is frequent.
+    """
+    for own, other in ("12", "21"):
+        key = F.when(F.expr(f"k{own} {kind}"), F.col(f"w{own}")).otherwise(F.xxhash64(f"w{other}", f"w{own}"))
+        pairs = pairs.withColumn("key", key).join(table.select(F.col("word").alias("key"), F.col("label").alias(f"l{own}")), "key", "left").drop("key")
+        pairs = pairs.withColumn(f"l{own}", F.when(F.expr(f"k{own} {kind}"), F.col(f"l{own}")))
+    return pairs
+
+
+def resolve(shared, with_words: bool):
+    """Evidence as in gather, of pairs (w1, k1, l1, w2, k2, l2, n); kind -3: a word in a class that does not travel, its class joined."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        size = known.size
+        for frame in frames:
+            label, moves = [], []
+            for s in "12":
+                kind, at = frame["k" + s].to_numpy(), lookup(known.word, frame["w" + s].to_numpy())
+                place = known.label[np.maximum(at, 0)] if len(known.label) else np.zeros(len(kind), np.int64)
+                label.append(np.select([kind >= 0, kind == -1, kind == -2], [known.k + kind, place, size - 1], frame["l" + s].fillna(0).to_numpy().astype(np.int64)))
+                moves.append((kind == -3) | ((kind == -1) & ((known.n >= LEAST)[np.maximum(at, 0)] if len(known.n) else False)))
+            (a, b), n = label, frame["n"].to_numpy()
+            joint = pd.DataFrame({"at": a * size + b, "n": n}).groupby("at", as_index=False).sum()
+            yield pd.DataFrame({"word": np.full(len(joint), None), "label": joint["at"] // size, "code": joint["at"] % size, "n": joint["n"]})
+            if with_words:
+                same = (frame["w1"] == frame["w2"]).to_numpy() & moves[0] & moves[1]
+                first, second = moves[0], moves[1] & ~same
+                yield pd.DataFrame({"word": frame["w1"][first].astype(object), "label": a[first], "code": np.where(same, 2 * size, b)[first], "n": n[first]})
+                yield pd.DataFrame({"word": frame["w2"][second].astype(object), "label": b[second], "code": (size + a)[second], "n": n[second]})
+
+    return run
+
+
+def move(joint: np.ndarray, k: int):
+    """Best class of every word by its evidence (codes: code << 40 | n)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(joint)
+        for frame in frames:
+            for i in range(0, len(frame), 5000):
+                part = frame.iloc[i : i + 5000]
+                at = part["label"].to_numpy().astype(np.int64)
+                packed = np.concatenate(part["codes"].to_list())
+                who = np.repeat(np.arange(len(part)), part["codes"].map(len))
+                dense = np.zeros((len(part), 2 * size + 1))
+                np.add.at(dense, (who, packed >> 40), packed & ((1 << 40) - 1))
+                gain = gains(joint, k, at, dense[:, :size], dense[:, size:-1], dense[:, -1])
+                best = gain.argmax(axis=1)
+                each, stay = np.arange(len(part)), np.minimum(at, k - 1)
+                best = np.where((at < k) & (gain[each, best] <= gain[each, stay] + 1e-9), at, best)
+                yield pd.DataFrame({"word": part["word"], "label": best})
+
+    return run
+
+
 class Model:
     """What a task needs to score: bounded tables."""
 
-    def __init__(self, known: pd.DataFrame, cut: int, pairs: pd.DataFrame, kinds: pd.DataFrame, ends: int):
-        self.cut, self.ends = cut, ends
-        known = known.sort_values(["n", "word"], ascending=[False, True])
-        ranked = known["word"].to_numpy()[:TOP]
-        self.top = np.sort(ranked)
-        edge = TOP + LENGTHS
-        dense = np.zeros((edge + 1, edge + 1))
-        p = pairs["pair"].to_numpy()
-        dense[p // (edge + 1), p % (edge + 1)] = pairs["n"].to_numpy()
-        t = len(self.top)
-        by_rank = lookup(self.top, ranked)  # symbols in order of falling frequency
-        order = np.concatenate([by_rank, np.arange(TOP, edge + 1)]).astype(int)
-        label = exchange(dense[np.ix_(order, order)], t)
-        self.label = np.zeros(edge + 1, np.int64)
-        self.label[order] = label
-        size = int(label.max()) + 1
-        grown = np.zeros((edge + 1, size))
-        grown[order, label] = 1
-        joint = grown.T @ dense @ grown
+    def __init__(self, known: Known, cut: int, joint: np.ndarray, inside: np.ndarray, kinds: pd.DataFrame, classed: pd.DataFrame, ends: int):
+        """inside: occurrences of each word class; kinds, classed: occurrences n and words v by length, of all words and of those in classes."""
+        self.known, self.cut, self.ends = known, cut, ends
         each = joint.sum(axis=0)
-        prior = (each + 1) / (each.sum() + size)
+        prior = (each + 1) / (each.sum() + len(joint))
         self.transition = np.log10((joint + KAPPA * prior) / (joint.sum(axis=1, keepdims=True) + KAPPA))
-        n = np.zeros(LENGTHS)
-        v = np.zeros(LENGTHS)
+        n, v, less_n, less_v = np.zeros((4, LENGTHS))
         n[kinds["kind"]], v[kinds["kind"]] = kinds["n"], kinds["v"]
+        less_n[classed["kind"]], less_v[classed["kind"]] = classed["n"], classed["v"]
         self.total, self.words = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
-        sizes = known.set_index("word")["n"]
-        top_n = sizes.loc[self.top].to_numpy() if t else np.empty(0)
-        in_class = np.bincount(self.label[:t], weights=top_n, minlength=size) if t else np.zeros(size)
-        self.emission = np.log10(top_n / in_class[self.label[:t]]) if t else np.empty(0)
-        # rest classes: without the top words, one more place for what was never seen
-        kind = known["kind"].to_numpy()[: len(ranked)]
-        n -= np.bincount(kind, weights=known["n"].to_numpy()[: len(ranked)], minlength=LENGTHS)
-        v -= np.bincount(kind, minlength=LENGTHS)
-        self.rest = np.log10(n + v + 1)
-        order = np.argsort(known["word"].to_numpy())
-        self.known, self.known_n = known["word"].to_numpy()[order], known["n"].to_numpy()[order]
+        self.inside = np.log10(np.maximum(inside, 1))
+        # length classes: without the words in classes, one more place for what was never seen
+        self.rest = np.log10(n - less_n + v - less_v + 1)
         self.base = float(np.log10(self.total + self.words + 1))
 
+    def emission(self, label: np.ndarray, kind: np.ndarray, n: np.ndarray) -> np.ndarray:
+        in_class = label < self.known.k
+        return np.where(in_class, np.log10(np.maximum(n, 1)) - self.inside[np.where(in_class, label, 0)], np.log10(n + 1) - self.rest[kind])
+
+
+ROWS = "doc_id long, held_out boolean, word long, kind int, before int, after int, next long, next_kind int, tf long, known long, base double, score double"
+
 
 def score_docs(model: Model):
-    """Per document what the bounded tables tell (word null), and its rarer words with their number."""
+    """Per document what the bounded tables tell (word null), and its rarer words with their number.
+
+    before, after: the classes next to a rarer word, -1 where the transition is told elsewhere. next: the rarer word
+    after a rarer word; such rows hold only the transition between the two.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edge = TOP + LENGTHS
+        known = model.known
         for frame in blocks(frames):
             texts = encoded(frame["text"])
-            word, kind, per = tokens_of(texts)
-            doc = np.repeat(np.arange(len(texts)), per)
-            top = lookup(model.top, word)
-            symbol = np.where(top < 0, TOP + kind, top)
-            stops = np.cumsum(per)
-            all_ = model.label[np.insert(symbol, np.concatenate([[0], stops]), edge)]
-            step = model.transition[all_[:-1], all_[1:]]
-            owner = np.concatenate([np.insert(doc, stops, np.arange(len(texts)))])
-            score = np.bincount(owner, weights=step, minlength=len(texts))
-            at = lookup(model.known, word)
-            n = np.where(at >= 0, model.known_n[np.maximum(at, 0)], 0) if len(model.known) else np.zeros(len(word))
-            sure = at >= 0
-            base = np.bincount(doc[sure], weights=np.log10(n[sure] + 1) - model.base, minlength=len(texts)) + np.log10(model.ends + 1) - model.base
-            known = np.bincount(doc[sure], minlength=len(texts)) + (model.ends > 0)
-            emit = np.where(top >= 0, model.emission[np.maximum(top, 0)] if len(model.emission) else 0, np.log10(n + 1) - model.rest[kind])
-            score += np.bincount(doc[sure], weights=emit[sure], minlength=len(texts))
-            none = np.full(len(texts), None)
+            word, at, kind, label = known.symbols(texts)
             ids, held = frame["doc_id"].to_numpy(), frame["held_out"].to_numpy()
-            yield pd.DataFrame({"doc_id": ids, "held_out": held, "word": none, "tf": per + 1, "known": known, "base": base, "score": score})
-            rare = np.flatnonzero(~sure)
-            if len(rare):
-                order = rare[np.lexsort((word[rare], doc[rare]))]
-                d, w = doc[order], word[order]
-                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
-                tf = np.diff(np.concatenate([first, [len(order)]]))
-                k = kind[order[first]]
-                yield pd.DataFrame({"doc_id": ids[d[first]], "held_out": held[d[first]], "word": w[first].astype(object), "tf": tf, "known": 0, "base": -model.base * tf, "score": -model.rest[k] * tf})
+            ends = np.flatnonzero(label == known.size - 1)  # a text runs from one edge to the next
+            owner = np.repeat(np.arange(len(texts)), np.diff(ends))  # of the transition into place i + 1
+            doc = np.concatenate([[0], owner])
+            a, b = label[:-1], label[1:]
+            sure = (a >= 0) & (b >= 0)
+            score = np.bincount(owner[sure], weights=model.transition[a[sure], b[sure]], minlength=len(texts))
+            here = at >= 0
+            n = known.n[at[here]]
+            base = np.bincount(doc[here], weights=np.log10(n + 1) - model.base, minlength=len(texts)) + np.log10(model.ends + 1) - model.base
+            score += np.bincount(doc[here], weights=model.emission(label[here], kind[here], n), minlength=len(texts))
+            count = np.bincount(doc[here], minlength=len(texts)) + (model.ends > 0)
+            none = np.full(len(texts), None)
+            yield pd.DataFrame({"doc_id": ids, "held_out": held, "word": none, "kind": 0, "before": -1, "after": -1, "next": none, "next_kind": 0, "tf": np.diff(ends), "known": count, "base": base, "score": score})
+            rare = ~here
+            rare[ends] = False
+            rare = np.flatnonzero(rare)
+            if not len(rare):
+                continue
+            before, after = (label[rare - 1], label[rare + 1]) if known.some_rarer else (np.full(len(rare), -1), np.full(len(rare), -1))
+            order = np.lexsort((after, before, word[rare], doc[rare]))
+            keys = np.stack([doc[rare], word[rare], before, after])[:, order]
+            first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            tf = np.diff(np.concatenate([first, [len(order)]]))
+            d, w, before, after = keys[:, first]
+            yield pd.DataFrame({"doc_id": ids[d], "held_out": held[d], "word": w.astype(object), "kind": kind[rare[order[first]]], "before": before, "after": after, "next": np.full(len(d), None), "next_kind": 0, "tf": tf, "known": 0, "base": 0.0, "score": 0.0})
+            two = np.flatnonzero((a < 0) & (b < 0))
+            if len(two):
+                yield pd.DataFrame({"doc_id": ids[owner[two]], "held_out": held[owner[two]], "word": word[two].astype(object), "kind": kind[two], "before": -1, "after": -1, "next": word[two + 1].astype(object), "next_kind": kind[two + 1], "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
 
     return run
 
 
+def score_rare(model: Model):
+    """Scores of rarer words (n: their count, null if unseen; label: their class, null for the length's) and of the transitions around them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = model.known.k
+        for frame in frames:
+            tf, kind, n = frame["tf"].to_numpy(), frame["kind"].to_numpy(), frame["n"].fillna(0).to_numpy()
+            label = frame["label"].fillna(k + frame["kind"]).to_numpy().astype(np.int64)
+            before, after = frame["before"].to_numpy(), frame["after"].to_numpy()
+            each = model.emission(label, kind, n) + np.where(before >= 0, model.transition[before, label], 0) + np.where(after >= 0, model.transition[label, after], 0)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "tokens": 0, "known": np.where(n > 0, tf, 0), "base": (np.log10(n + 1) - model.base) * tf, "score": each * tf})
+
+    return run
+
+
+def score_two(model: Model):
+    """Transitions between two rarer words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = model.known.k
+        for frame in frames:
+            a, b = (frame[f"l{s}"].fillna(k + frame[f"k{s}"]).to_numpy().astype(np.int64) for s in "12")
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "tokens": 0, "known": 0, "base": 0.0, "score": model.transition[a, b]})
+
+    return run
+
+
+def seeds(known: pd.DataFrame, top: np.ndarray, pairs: pd.DataFrame) -> tuple[np.ndarray, int]:
+    """Classes of the top words by exchange, and the number of classes."""
+    ranked = known.sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy()[:TOP]
+    edge, t = TOP + LENGTHS, len(top)
+    dense = np.zeros((edge + 1, edge + 1))
+    p = pairs["pair"].to_numpy()
+    dense[p // (edge + 1), p % (edge + 1)] = pairs["n"].to_numpy()
+    order = np.concatenate([lookup(top, ranked), np.arange(TOP, edge + 1)]).astype(int)  # symbols in order of falling frequency
+    label = np.zeros(edge + 1, np.int64)
+    label[order] = exchange(dense[np.ix_(order, order)], t, CLASSES)
+    return label[:t], min(CLASSES, max(1, t))
+
+
 def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """Model and full word counts of the training documents (doc_id, text, held_out)."""
+    """Model, and word counts of the training documents (doc_id, text, held_out): word, kind, n, label (null below LEAST) of the words below the model's cut."""
     spark = docs.sparkSession
     training = docs.where("not held_out").select("text")
     counts = training.mapInPandas(count_words, "word long, kind int, n long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
@@ -225,11 +430,67 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
         if reached > KNOWN:
             break
         cut = r["n"]
-    known = counts.where(F.col("n") >= cut).toPandas()
-    kinds = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    some_rarer = any(LEAST <= r["n"] < cut for r in sizes)
+    known = counts.where(F.col("n") >= cut).toPandas().sort_values("word")
+    by_kind = lambda rows: rows.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    kinds, classed = by_kind(counts), by_kind(counts.where(F.col("n") >= LEAST))
     top = np.sort(known.sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy()[:TOP])
     pairs = training.mapInPandas(count_pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    return Model(known, cut, pairs, kinds, training.count()), counts
+    first, k = seeds(known, top, pairs)
+    words, n, kind = known["word"].to_numpy(), known["n"].to_numpy(), known["kind"].to_numpy()
+    place = lookup(words, top)
+    first_n = n[place] >= LEAST
+    label = k + kind.astype(np.int64)
+    label[place[first_n]] = first[first_n]
+    state = Known(words, n, label, k, some_rarer)
+    size = state.size
+    rarer = counts.where((F.col("n") < cut) & (F.col("n") >= LEAST))
+    labels = rarer.select("word", (F.col("kind") + k).alias("label"))
+    if some_rarer:
+        shared = spark.sparkContext.broadcast(state)
+        two = training.mapInPandas(lambda f: rare_pairs(shared)(f), "w1 long, k1 int, w2 long, k2 int").groupBy("w1", "k1", "w2", "k2").agg(F.count("*").alias("n"))
+        two = either(two, scratch.table(labels, "rarer"), ">= 0")
+        for s in "12":  # a word of no class counts by its length alone
+            two = two.withColumn(f"w{s}", F.when((F.col(f"k{s}") >= 0) & F.col(f"l{s}").isNull(), 0).otherwise(F.col(f"w{s}")))
+            two = two.withColumn(f"k{s}", F.when(F.col(f"l{s}").isNotNull(), -3).otherwise(F.col(f"k{s}")))
+        two = scratch.table(two.groupBy("w1", "k1", "w2", "k2").agg(F.sum("n").alias("n")), "rare-pairs")
+
+    best = None
+    for turn in range(SPREAD + 1):
+        shared, last = spark.sparkContext.broadcast(state), turn == SPREAD
+        rows = training.mapInPandas(lambda f, s=shared, w=not last: gather(s, w)(f), EVIDENCE)
+        if some_rarer:
+            rows = rows.unionByName(either(two, labels, "= -3").mapInPandas(lambda f, s=shared, w=not last: resolve(s, w)(f), EVIDENCE))
+        if last:
+            rows = rows.groupBy("label", "code").agg(F.sum("n").alias("n"))
+            cells = rows.toPandas()
+        else:
+            rows = rows.groupBy("word", "label", "code").agg(F.sum("n").alias("n"))
+            rows = rows.groupBy("word", "label").agg(F.collect_list(F.col("code").cast("long") * (1 << 40) + F.col("n")).alias("codes"))
+            rows = scratch.table(rows, "evidence")
+            cells = rows.where("word is null").select("label", F.explode("codes").alias("c")).select("label", F.expr("shiftright(c, 40)").alias("code"), (F.col("c") % (1 << 40)).alias("n")).toPandas()
+        joint = np.zeros((size, size))
+        joint[cells["label"].to_numpy().astype(int), cells["code"].to_numpy().astype(int)] = cells["n"].to_numpy()
+        if turn and (best is None or likelihood(joint) > best[0]):
+            best = likelihood(joint), state, labels, joint
+        if last:
+            break
+        moved = rows.where("word is not null").mapInPandas(lambda f, j=joint, k=k: move(j, k)(f), "word long, label int")
+        moved = scratch.table(moved, "labels", slim=True)
+        new = moved.join(counts.where(F.col("n") >= cut).select("word"), "word", "left_semi").toPandas()
+        label = state.label.copy()
+        label[lookup(words, new["word"].to_numpy())] = new["label"].to_numpy()
+        state, labels = Known(words, n, label, k, some_rarer), moved
+    _, state, labels, joint = best
+    inside = np.bincount(state.label, weights=n, minlength=size)[:k]
+    rare = counts.where(F.col("n") < cut)
+    if some_rarer:
+        rare = scratch.table(rare.join(labels, "word", "left"), "rare-counts")
+        for r in rare.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect():
+            inside[r["label"]] += r["n"]
+    else:
+        rare = rare.withColumn("label", F.lit(None).cast("int"))
+    return Model(state, cut, joint, inside, kinds, classed, training.count()), rare
 
 
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -238,13 +499,15 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(remainder(MODULUS) == HOLDOUT, F.lit(False)))
     model, counts = fit(docs, scratch)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.mapInPandas(lambda frames: score_docs(shared.value)(frames), "doc_id long, held_out boolean, word long, tf long, known long, base double, score double")
-    rows = scratch.table(rows, "scored")
-    rare = rows.where("word is not null").join(counts.where(F.col("n") < model.cut).select("word", "n"), "word", "left")
-    more = F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1)
-    rare = rare.select("doc_id", "held_out", F.lit(0).cast("long").alias("tokens"), F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0).alias("known"), (F.col("base") + more).alias("base"), (F.col("score") + more).alias("score"))
-    sure = rows.where("word is null").select("doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score")
-    out = sure.unionByName(rare).groupBy("doc_id", "held_out").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    rows = scratch.table(docs.mapInPandas(lambda frames: score_docs(shared.value)(frames), ROWS), "scored")
+    result = "doc_id long, held_out boolean, tokens long, known long, base double, score double"
+    rare = rows.where("word is not null and next is null").join(counts.select("word", "n", "label"), "word", "left")
+    out = rows.where("word is null").select("doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score").unionByName(rare.mapInPandas(lambda frames: score_rare(shared.value)(frames), result))
+    if model.known.some_rarer:
+        two = rows.where("next is not null").select("doc_id", "held_out", F.col("word").alias("w1"), F.col("kind").alias("k1"), F.col("next").alias("w2"), F.col("next_kind").alias("k2"))
+        two = either(two, counts.where("label is not null").select("word", "label"), ">= 0")
+        out = out.unionByName(two.mapInPandas(lambda frames: score_two(shared.value)(frames), result))
+    out = out.groupBy("doc_id", "held_out").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -189,6 +189,58 @@ def test_exchange_never_lowers_the_likelihood():
     assert likelihood(brown.exchange(pairs, 40, 4, 6)) >= likelihood(np.arange(40) % 4)
 
 
+def test_gains_are_those_of_the_whole_likelihood():
+    rng, k = np.random.default_rng(4), 4
+    pairs = rng.poisson(0.6, (30, 30)).astype(float)
+    label = np.concatenate([rng.integers(0, k, 27), [4, 5, 6]])
+
+    def joint(lab):
+        g = np.eye(7)[lab]
+        return g.T @ pairs @ g
+
+    g, own = np.eye(7)[label], np.diag(pairs)[:27].copy()
+    out, into = (pairs @ g)[:27], (pairs.T @ g)[:27]
+    for x in (out, into):
+        x[np.arange(27), label[:27]] -= own
+    gain = brown.gains(joint(label), k, label[:27], out, into, own)
+    for w in range(27):
+        for b in range(k):
+            there = label.copy()
+            there[w] = b
+            assert gain[w, b] - gain[w, label[w]] == pytest.approx(brown.likelihood(joint(there)) - brown.likelihood(joint(label)), abs=1e-8)
+
+
+@pytest.mark.parametrize("known", [1 << 18, 60])
+def test_all_frequent_words_are_clustered(spark, monkeypatch, known):
+    """Words beyond the most frequent ones get their class from their neighbours, whether or not they travel; pairs are all counted."""
+    monkeypatch.setattr(brown, "TOP", 40)
+    monkeypatch.setattr(brown, "CLASSES", 8)
+    monkeypatch.setattr(brown, "KNOWN", known)
+    rng = random.Random(7)
+    nouns, verbs = ([f"{c}{'x' * (i % 15)}{i}" for i in range(100)] for c in "nv")
+    texts = [" ".join(rng.choice((nouns, verbs)[j % 2]) for j in range(60)) + f" once{i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", brown.remainder(7) == 2)
+    held = {r["doc_id"] for r in docs.where("held_out").collect()}
+    model, rare = brown.fit(docs, brown.Scratch(spark, "test"))
+    state = model.known
+    of = dict(zip(state.word.tolist(), state.label.tolist(), strict=True)) | {r["word"]: r["label"] for r in rare.where("label is not null").collect()}
+    classes = [{of[int(brown.tokens_of([w.encode()])[0][0])] for w in ws} for ws in (nouns, verbs)]
+    assert not classes[0] & classes[1] and max(classes[0] | classes[1]) < state.k
+    label = lambda w, i: of.get(int(w), -1) if of.get(int(w), -1) >= 0 else state.k + int(i)
+    lp = {}
+    n = Counter(w for i, t in enumerate(texts) if i not in held for w in brown.tokens_of([t.encode()])[0].tolist())
+    inside = Counter()
+    for w, c in n.items():
+        if of.get(w, state.k) < state.k:
+            inside[of[w]] += c
+    for i, t in enumerate(texts):
+        w, kind, _ = brown.tokens_of([t.encode()])
+        path = [state.size - 1, *(label(x, y) for x, y in zip(w, kind, strict=True)), state.size - 1]
+        lp[i] = sum(model.transition[a, b] for a, b in zip(path, path[1:], strict=False))
+        lp[i] += sum(math.log10(n[x] / inside[c]) if c < state.k else math.log10(n[x] + 1) - model.rest[y] for x, y, c in zip(w.tolist(), kind, path[1:], strict=False))
+    assert {r["doc_id"]: r["score"] for r in brown.score(docs.select("doc_id", "text")).collect()} == pytest.approx(lp)
+
+
 def test_quality_figures_and_ratios(spark, small):
     rows = {r["doc_id"]: r for r in quality.query(spark, small).collect()}
     for r in table(spark, small).collect():
