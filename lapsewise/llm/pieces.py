@@ -6,8 +6,9 @@ up to there. Used as the heuristic of a backward A* search over the piece lattic
 complete segmentations in order of falling score, without detours.
 
 No piece holds a blank mark after another character, or letters next to other characters, so the lattice falls apart
-there. The search runs once for each distinct word of a worker; the N best of a text are merged from those of its words by the same best-first
-search over the words' next alternatives. Ties go to the longer last piece.
+there, and nowhere else. The search runs once for each distinct word of a worker; the N best of a text are merged from those of its words by the same best-first
+search over the words' next alternatives. Ties go to the longer last piece. Words of more than LONGEST characters take a
+form of the search that keeps a score for each place and no lattice, so that time and memory follow their length.
 
 Nulls: a null text is an empty one, without pieces; a null doc_id stays a row. Repeated rows give repeated rows. Extra
 columns are ignored; empty tables give empty results.
@@ -31,7 +32,7 @@ from lapsewise.llm.shared import blocks, read_table
 
 N_BEST = 3
 MARK = "▁"
-#: Distinct words that a worker remembers; characters that one lattice covers.
+#: Distinct words that a worker remembers; characters of the longest word whose lattice is held (and that is remembered).
 REMEMBERED, LONGEST = 500_000, 200
 _WORDS = re.compile(rf"{MARK}*(?:[^\W\d_²]+|(?:(?!{MARK})[\W\d_²])+)|{MARK}+")
 _MIXED = re.compile(rf"[^\W\d_²](?:[\W\d_²])|(?!{MARK})[\W\d_²][^\W\d_²]")
@@ -58,6 +59,7 @@ class Vocabulary:
         self.bytes_of = {i: self.text[i].replace(MARK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
         if any(MARK in t.lstrip(MARK) or _MIXED.search(t) for t in self.of):
             raise ValueError("pieces run across words, or across letters and other characters")
+        self.widest = max(map(len, self.of))
         self.known: dict[str, tuple] = {}
 
     def best_of_word(self, word: str) -> list[Path]:
@@ -105,15 +107,65 @@ class Vocabulary:
                 break
         return out
 
+    def spelt(self, character: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of a character in bytes."""
+        raw = character.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        return len(raw) * self.byte_score, tuple(self.byte[b] for b in raw)
+
+    def best_of_long_word(self, word: str) -> list[Path]:
+        """As best_of_word, over the same whole lattice: the edges into a place are looked up again when a path gets there."""
+        n, look = len(word), self.starts.get
+        best = [0.0] + [-math.inf] * n
+        for start in range(n):
+            here, end = best[start], start + 1
+            while end <= n:
+                found = look(word[start:end])
+                if found or end == start + 1:
+                    whole = here + (found[0] if found else self.spelt(word[start])[0])
+                    if whole > best[end]:
+                        best[end] = whole
+                if found is None:
+                    break
+                end += 1
+        out: list[Path] = []
+        # what is done is a chain (ids, what follows), shared between paths; the count settles ties by age
+        queue: list[tuple[float, int, tuple | None, int, float]] = [(-best[n], 0, None, n, 0.0)]
+        made = 0
+        while queue:
+            _, _, chain, at, done = queue.pop(0)
+            room = N_BEST - len(out) - 1
+            while at:
+                top, chosen = best[at], None
+                for start in range(max(0, at - self.widest), at):
+                    edge = look(word[start:at]) or (self.spelt(word[start]) if start == at - 1 else None)
+                    if not edge:
+                        continue
+                    whole = best[start] + edge[0]
+                    if chosen is None and whole == top:
+                        chosen = start, *edge
+                    elif room and (len(queue) < room or -whole - done < queue[-1][0]):
+                        made += 1
+                        insort(queue, (-whole - done, made, (edge[1], chain), start, edge[0] + done))
+                        del queue[room:]
+                at, score, own = chosen
+                chain, done = (own, chain), done + score
+            ids: list[int] = []
+            while chain:
+                ids.extend(chain[0])
+                chain = chain[1]
+            out.append((done, tuple(ids)))
+            if not room:
+                break
+        return out
+
     def word(self, w: str) -> tuple[float, float, bytes, bytes, list[Path]]:
         """Best score, loss of the second best, ids of the best as 32-bit words, what they spell, all alternatives."""
         found = self.known.get(w)
         if found is None:
-            # a very long word is cut, so that its lattice stays small
-            best = self.best_of_word(w) if len(w) <= LONGEST else self.merge([self.best_of_word(w[i : i + LONGEST]) for i in range(0, len(w), LONGEST)])
+            best = self.best_of_word(w) if len(w) <= LONGEST else self.best_of_long_word(w)
             ids = best[0][1]
             found = (best[0][0], best[0][0] - best[1][0] if len(best) > 1 else math.inf, np.array(ids, "<i4").tobytes(), self.spell(ids), best)
-            if len(self.known) < REMEMBERED:
+            if len(w) <= LONGEST and len(self.known) < REMEMBERED:
                 self.known[w] = found
         return found
 
@@ -158,14 +210,6 @@ class Vocabulary:
                         heapq.heappush(queue, (math.fsum(scores[j][0] - scores[j][m] for j, m in new), new))
         return out
 
-    def merge(self, lists: list[list[Path]]) -> list[Path]:
-        """The N_BEST best choices of one alternative from each list."""
-        best, out = math.fsum(x[0][0] for x in lists), []
-        for loss, pick in self.choices([[p[0] for p in x] for x in lists]):
-            now = dict(pick)
-            out.append((best - loss, tuple(i for j, x in enumerate(lists) for i in x[now.get(j, 0)][1])))
-        return out
-
     def spell(self, ids: tuple[int, ...]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 

@@ -278,6 +278,30 @@ def test_pieces_against_enumeration():
         assert spelt.decode() == text and all(v.decode(np.frombuffer(i, "<i4")) == text for i in ids)
 
 
+@pytest.mark.parametrize("letters", ["thein", "=-", "é中文字", "01 ", "☃a"])
+def test_long_words_are_segmented_whole(letters):
+    """A 1000-character word against the uncut lattice: the N best of every place, kept from front to end."""
+    v, rng = pieces.vocabulary("piece_bpe_32k.model"), random.Random(9)
+    text = "".join(rng.choice(letters) for _ in range(1000)) if letters != "01 " else " " * 300 + "01" * 350
+    word = "▁" + text.replace(" ", "▁")
+    best, widest = [[(0.0, None)]] + [[] for _ in word], max(map(len, v.of))
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - widest), end):
+            piece = v.of.get(word[start:end])
+            score = piece[1] if piece else len(word[start].replace("▁", " ").encode()) * v.byte_score if start == end - 1 else None
+            if score is not None:
+                best[end] += [(x + score, start) for x, _ in best[start]]
+        best[end] = sorted(best[end], key=lambda x: -x[0])[:3]
+    scores, ids, spelt = v.segment(text)
+    assert scores == pytest.approx([x for x, _ in best[-1]], abs=1e-6)
+    assert len(set(ids)) == len(best[-1]) and spelt.decode() == text
+    for x, score in zip(ids, scores, strict=True):
+        own = np.frombuffer(x, "<i4").tolist()
+        assert v.decode(own) == text and sum(v.score.get(i, v.byte_score) for i in own) == pytest.approx(score)
+    short = word[:150]
+    assert [x for x, _ in v.best_of_long_word(short)] == pytest.approx([x for x, _ in v.best_of_word(short)])
+
+
 def test_personal_data_hard_cases(spark):
     texts = {1: "a@b.com@d.org x.y@z..co a@b.c_d@e.fg", 2: "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.255", 3: "4111 1111 1111 1111, 4111-1111--1111-1111", 4: "+1 (555) 123-4567. +49..123", 5: "𝒳 DE89 3704 0044 0532 0130 00 bank", 6: "1 2 " * 20000, 7: "a" * 100000 + "@", 8: "x@" + "a." * 20000}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
