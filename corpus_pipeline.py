@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns
-of documents. run writes every stage's result as Parquet in the shared folder and rereads it, so that a lost executor
+of documents. A document is a row, not a doc_id: rows may repeat a doc_id or have none, so the stages that compare rows
+number them first, in a written table. run writes every stage's result as Parquet in the shared folder and rereads it, so that a lost executor
 costs a part of one stage.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from lapsewise.llm import langid, minhash, packing, pii, suffix_dedup
 from lapsewise.llm.shared import Scratch, read_table
 
+#: Column for the doc_id of a row whose number stands in for it.
+OWN = "_own_doc_id"
 #: A text whose best language has a lower mean probability is in none of the learned languages.
 LEAST_SCORE = 0.4
 
@@ -22,6 +25,12 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with a number in place of doc_id, which goes to OWN; written, so that the numbers stay."""
+    rows = docs.withColumnRenamed("doc_id", OWN).withColumn("doc_id", F.monotonically_increasing_id())
+    return Scratch(spark, "rows").table(rows, "numbered")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
     found = langid.identify(docs, langid.train(docs), docs.columns)
@@ -29,14 +38,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without doc_id go."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of near-duplicates: that with the smallest doc_id, one without doc_id only where no row has any."""
+    rows = numbered(spark, docs)
+    groups = minhash.near_duplicates(rows.select("doc_id", "text")).select("doc_id", "component_id").join(rows.select("doc_id", OWN), "doc_id")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col(OWN).isNull(), OWN, "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    kept = rows.join(kept, "doc_id", "left_semi")
+    return kept.drop("doc_id").withColumnRenamed(OWN, "doc_id").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that occur more than once. A character that loses some of its bytes becomes U+FFFD."""
-    out = suffix_dedup.strip_repeats(docs, carry=docs.columns)
+    rows = numbered(spark, docs)
+    out = suffix_dedup.strip_repeats(rows, carry=rows.columns).drop("doc_id").withColumnRenamed(OWN, "doc_id")
     out = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).select(*docs.columns)
     return with_length(out)
 
@@ -48,7 +61,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with sequence and offset."""
-    return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    rows = numbered(spark, docs.select("doc_id", "text"))
+    out = packing.pack(packing.pieces(rows)).join(rows.select("doc_id", OWN), "doc_id").drop("doc_id").withColumnRenamed(OWN, "doc_id")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
