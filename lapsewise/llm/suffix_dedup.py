@@ -237,14 +237,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     cut = docs.join(spots, "doc_id").select("doc_id", "text", "spots").mapInPandas(cut_contexts, "key long, ctx long, doc_id long, lo long, bytes binary")
     cut = scratch.table(cut, "cut")
     whole, strides = cut.where("ctx = 0"), cut.where("ctx <> 0")
-    per = scratch.table(strides.groupBy("key").agg(F.count_distinct("ctx").alias("k"), F.count("*").alias("n")).where("n > 1"), "strides")
-    strides = scratch.table(strides.join(per, "key"), "stride-rows")
-    mixed = whole.unionByName(strides.where(F.col("k") <= LARGE_KEY * STRIDE).where("k > 1").drop("k", "n"))
+    # strides of one context are the same bytes: where there are two, all are repeats, and one stands for them against others
+    each = strides.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "bytes")).alias("at"))
+    each = scratch.table(each, "strides")
+    single = strides.join(each.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.length("bytes")).alias("stop"))
+    per = each.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    strides = scratch.table(each.join(per, "key").select("key", "ctx", "at.doc_id", "at.lo", "at.bytes", "k"), "stride-rows")
+    mixed = whole.unionByName(strides.where(F.col("k") <= LARGE_KEY * STRIDE).drop("k"))
     total = mixed.agg(F.sum(F.length("bytes"))).first()[0] or 0
     by_block = mixed.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(1 + total // BLOCK_BYTES)))
     span = "doc_id long, start long, stop long"
     expanded = by_block.groupBy("block").applyInPandas(repeats_in_block, span)
-    single = strides.where("k = 1").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.length("bytes")).alias("stop"))
     wide = strides.where(F.col("k") > LARGE_KEY * STRIDE).mapInPandas(window_rows, "window long, doc_id long, start long")
     wide = scratch.table(wide, "windows")
     again = scratch.table(wide.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "window-keys")

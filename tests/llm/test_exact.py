@@ -23,6 +23,27 @@ def test_repeated_strings_by_brute_force(spark, small):
     assert got == suffix_dedup.brute_force(texts)
 
 
+def test_no_block_gets_many_rows_of_a_key(spark, monkeypatch):
+    """A passage of most documents, with a field of few values near its edge and other text around."""
+    monkeypatch.setattr(suffix_dedup, "LARGE_KEY", 4)
+    most, expand = 4 * suffix_dedup.STRIDE, suffix_dedup.repeats_in_block
+
+    def checked(frame):
+        if frame.groupby("key").size().max() > most:
+            raise ValueError("too many rows of one key")
+        return expand(frame)
+
+    monkeypatch.setattr(suffix_dedup, "repeats_in_block", checked)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passages = [(noise(215), noise(tail)) for tail in (4, 7, 10, 13) for _ in range(3)]
+    texts = {i: "".join(noise(60) + a + f"{2000 + i % 3}" + b for a, b in passages).encode() for i in range(150)}
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: sorted((x["start"], x["stop"]) for x in r["removed"]) for r in suffix_dedup.strip_repeats(docs).collect()}
+    want = suffix_dedup.brute_force(texts)
+    assert {d: (sum(b - a for a, b in x), len(x)) for d, x in got.items()} == {d: x[1:3] for d, x in want.items()}
+
+
 def test_interval_expansion_on_random_strings():
     rng = random.Random(2)
     for minimum in (3, 6, 15):
