@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,76 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == comp
 
 
+def components_by_brute_force(texts):
+    """Smallest id reachable, by comparing all pairs; ids are those of the dict."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    comp = {i: i for i in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if comp[a] != comp[b]:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+                changed = True
+    return comp
+
+
+@pytest.mark.parametrize("asking", [1024, 7])
+def test_groups_about_the_threshold(spark, monkeypatch, asking):
+    """A large group whose pairs lie about the threshold, in one cell and in many: no link is lost."""
+    monkeypatch.setattr(minhash, "ASKING", asking)
+    monkeypatch.setattr(minhash, "ASKED", 2 * asking)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(120):
+        t = list(base)
+        for k in rng.sample(range(200), rng.choice([0, 2, 4, 5, 6])):
+            t[k] = f"x{rng.randint(0, 10**6)}"
+        texts[i] = " ".join(t)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    assert got == components_by_brute_force(texts)
+
+
+def test_shared_ids_and_rows_without_id(spark):
+    """Equal ids with other texts are documents of their own; rows without id link with their likes."""
+    w = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, w("a")), (1, w("b")), (5, w("a")), (3, w("b")), (None, w("b")), (None, w("c")), (None, w("c")), (7, w("d")), (7, w("d")), (8, None), (None, "")]
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [("1", "1", True), ("1", "1", True), ("5", "1", False), ("3", "1", False), ("None", "1", False), ("None", "None", True), ("None", "None", True), ("7", "7", True), ("7", "7", True), ("8", "8", True), ("None", "None", True)]
+    assert got == sorted(want)
+
+
+def test_search_ends_where_a_beam_would_cycle():
+    """200 vectors about 100 centres: a beam that forgets what it has visited goes round for ever here."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 128))
+    x = np.repeat(centres, 2, axis=0) + rng.normal(scale=0.1, size=(200, 128))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = pd.DataFrame({"node": np.arange(200), "unit": [v.tobytes() for v in x], "label": 0, "bytes": 1024, "shard": 0})
+    lists = vector_graph.builder(0.93)(frame)
+    frame = frame.merge(lists, on="node").assign(copies=1, bridges=[[] for _ in range(200)])
+    side = vector_graph.Side(frame)
+    hits, _ = vector_graph.looked_for(side, side, vector_graph.BREADTHS[0])
+    assert ((x @ x.T >= 0.98) == hits).all()
+
+
+def test_vectors_of_a_dense_group_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "LARGE", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=32) + rng.normal(scale=0.11, size=(900, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in vector_graph.near_vectors(df).collect()}
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (m @ m.T >= 0.98).sum(axis=1) - 1
+    assert all(got[i] <= true[i] for i in got) and sum(got.values()) >= 0.9 * true.sum() and true.sum() > 10_000
+
+
 def test_vectors_against_all_pairs_and_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 16))
