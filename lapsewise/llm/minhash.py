@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").drop("n"), "bands")
     members = scratch.table(keys.join(shared, "key"), "members")
     wanted = scratch.table(members.select("node").distinct().join(classes.select("node", "rid"), "node"), "candidates", slim=True)
-    texts = docs.select("rid", "text").join(wanted, "rid").dropDuplicates(["rid"]).select("node", "text")
+    # by shuffle at every size: the wanted rows grow with the corpus
+    texts = docs.select("rid", "text").hint("merge").join(wanted, "rid").dropDuplicates(["rid"]).select("node", "text")
     texts = scratch.table(texts, "texts")
     parts = scratch.table(texts.mapInPandas(describe_candidates, "node long, parts binary"), "parts")
 
@@ -277,6 +278,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     more = scratch.table(links_across(members, parts, texts, found, scratch), "more-links")
     if not more.isEmpty():
         found = scratch.table(components(links.unionByName(more), scratch), "components", slim=True)
+    scratch.drop(members, texts, parts)
 
     of_node = scratch.table(classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "of-node", slim=True)
     least = scratch.table(of_node.groupBy("component").agg(F.min("least").alias("component_id")), "least", slim=True)
