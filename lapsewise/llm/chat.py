@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm.shared import read_table
+from lapsewise.llm.shared import read_table, running_sums
 
 #: role: opening and closing mark
 RUNS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -36,10 +36,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def total(lengths: Column) -> Column:
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, x: acc + x)
-
-
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans of each conversation in turns (conv_id, turn, role, text)."""
     clean = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -60,21 +56,18 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     chats = chats.select("conv_id", F.transform("fresh", run).alias("runs"))
     block = lambda r: F.concat(r["opening"], F.array_join(r["texts"], TURN), r["closing"])
-    spans = "array<struct<start:long,stop:long>>"
-    zero = F.lit(0).cast("long")
-
-    def place(acc: Column, r: Column) -> Column:
-        """Adds the spans of an assistant run's turns and moves past the run."""
-        inner = F.aggregate(
-            r["texts"],
-            F.struct((acc["at"] + F.length(r["opening"])).alias("at"), F.array().cast(spans).alias("out")),
-            lambda a, t: F.struct((a["at"] + F.length(t) + len(TURN)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(t)).alias("stop")))).alias("out")),
-            lambda a: a["out"],
-        )
-        return F.struct((acc["at"] + F.length(block(r))).alias("at"), F.when(r["role"] == "assistant", F.concat(acc["out"], inner)).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate("runs", F.struct(zero.alias("at"), F.array().cast(spans).alias("out")), place, lambda acc: acc["out"])
-    return chats.select("conv_id", F.array_join(F.transform("runs", block), "").alias("formatted"), masked.alias("loss_spans"))
+    # where runs end, and inside an assistant run where its turns end
+    ends = running_sums(F.transform("runs", lambda r: F.length(block(r)).cast("long")))
+
+    def masked(end: Column, i: Column) -> Column:
+        own = F.get("runs", i)
+        begin = end - F.length(block(own)) + F.length(own["opening"])
+        past = running_sums(F.transform(own["texts"], lambda t: (F.length(t) + len(TURN)).cast("long")))
+        turns = F.transform(past, lambda x, k: F.struct((begin + x - len(TURN) - F.length(F.get(own["texts"], k))).alias("start"), (begin + x - len(TURN)).alias("stop")))
+        return F.when(own["role"] == "assistant", turns).otherwise(F.array().cast("array<struct<start:long,stop:long>>"))
+
+    spans = F.flatten(F.transform(ends, masked))
+    return chats.select("conv_id", F.array_join(F.transform("runs", block), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

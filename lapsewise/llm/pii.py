@@ -7,8 +7,10 @@ bank account numbers are added when their score reaches ACCEPT.
 The patterns loop over single characters only, so that very long texts neither exhaust the stack nor backtrack over the
 same characters again. A pattern's places are the running sum of the lengths of what lies between and of what matched.
 
-Nulls: a null text is an empty one; a null doc_id stays a row of its own. Repeated rows give repeated rows. Extra
-columns are ignored by the digest and kept by redact. Empty tables give empty results.
+Nulls: a null text is an empty one (redact leaves it null); a null doc_id stays a row of its own. Repeated rows give
+repeated rows. Of spans of different kinds with one start, the kind listed first comes first. Extra columns are ignored
+by the digest and kept by redact, whatever their names. Empty tables give empty results. Places are found by sums over
+chunks, so that the work on a text with very many matches grows with their number times its root.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm.shared import read_table
+from lapsewise.llm.shared import let, read_table, running_sums, scan
 
 #: kind: (pattern, a text without this never matches, score, context words). Order is the order of kinds.
 KINDS = {
@@ -65,18 +67,19 @@ def confirmed(kind: str, value: Column) -> Column:
 
 def proposals(text: Column, hits: Column, pattern: str) -> Column:
     """start, stop, value and surroundings of every match, from what lies between the matches."""
-    between = F.split(text, pattern, -1)
-    item = "array<struct<start:long,stop:long,value:string,before:string,after:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), between.alias("between"), F.array().cast(item).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        value, gap = F.get(hits, i), F.get(acc["between"], i)
-        first = acc["at"] + F.length(gap)
-        stop = first + F.length(value)
-        new = F.struct(first.alias("start"), stop.alias("stop"), value.alias("value"), F.right(gap, F.lit(BEFORE)).alias("before"), F.left(F.get(acc["between"], i + 1), F.lit(AFTER)).alias("after"))
-        return F.struct(stop.alias("at"), acc["between"].alias("between"), F.concat(acc["out"], F.array(new)).alias("out"))
+    def placed(between: Column) -> Column:
+        stops = running_sums(F.transform(hits, lambda h, i: (F.length(F.get(between, i)) + F.length(h)).cast("long")))
+
+        def one(stop: Column, i: Column) -> Column:
+            value = F.get(hits, i)
+            before, after = F.right(F.get(between, i), F.lit(BEFORE)), F.left(F.get(between, i + 1), F.lit(AFTER))
+            return F.struct((stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value"), before.alias("before"), after.alias("after"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(item))
+        return F.transform(stops, one)
+
+    item = "array<struct<start:long,stop:long,value:string,before:string,after:string>>"
+    return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), placed)).otherwise(F.array().cast(item))
 
 
 def spans_of(text: Column, kind: str, rank: int, hits: Column) -> Column:
@@ -92,48 +95,70 @@ def spans_of(text: Column, kind: str, rank: int, hits: Column) -> Column:
     return found if kind in BASE else F.filter(found, lambda s: s["score"] >= ACCEPT)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus pii: array of (start, rank, stop, kind, value, score), by start, then kind."""
+def rows_with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row (all columns of docs, as a struct), whole (its text), pii: array of (start, rank, stop, kind, value, score), by start, then kind."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "pii"]
     hits = {}
     for kind, (pattern, needs, _, _) in KINDS.items():
         all_ = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
         hits[kind] = F.when(F.contains(whole, F.lit(needs)), all_).otherwise(F.array().cast("array<string>")) if needs else all_
-    rows = docs.select(F.struct(*columns).alias("row"), whole.alias("whole"), F.struct(*[h.alias(k) for k, h in hits.items()]).alias("hits"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole.alias("whole"), F.struct(*[h.alias(k) for k, h in hits.items()]).alias("hits"))
     found = F.array_sort(F.concat(*[spans_of(F.col("whole"), kind, rank, F.col(f"hits.{kind}")) for rank, kind in enumerate(KINDS)]))
-    return rows.select("row", found.alias("pii")).select("row.*", "pii")
+    return rows.select("row", "whole", found.alias("pii"))
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus pii, in place of a column pii that docs may have."""
+    return rows_with_spans(docs, text).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "pii"], "pii")
 
 
 def redacted(text: Column, pii: Column) -> Column:
-    """text with every span replaced by its kind in brackets; of overlapping spans the first names the run."""
-    item = "array<struct<start:long,stop:long,kind:string>>"
+    """text with every span replaced by its kind in brackets; of overlapping spans the first names the run.
+
+    The text is cut at every root-of-the-number-of-runs-th run, and inside these cuts at the others, so that the work
+    grows with the text, times that root.
+    """
+
+    def with_reach(reach: Column) -> Column:
+        # reach: the farthest stop so far. A span that starts at or beyond the reach before it begins a run.
+        firsts = F.filter(F.transform(pii, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        to_runs = lambda f: F.transform(f, lambda i, k: F.struct(F.get(pii, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(f, k + 1), F.size(pii)) - 1).alias("stop"), F.get(pii, i)["kind"].alias("kind")))
+        return let(firsts, lambda f: let(to_runs(f), cut))
+
+    def cut(runs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(runs))).cast("int")
+        end = F.length(text).cast("long")
+
+        def chunk(c: Column) -> Column:
+            own = F.slice(runs, c * size + 1, size)
+            left = F.coalesce(F.get(runs, c * size - 1)["stop"], F.lit(0).cast("long"))
+            right = F.when((c + 1) * size < F.size(runs), F.get(own, F.size(own) - 1)["stop"]).otherwise(end)
+            part = F.substring(text, (left + 1).cast("int"), (right - left).cast("int"))
+
+            def piece(x: Column) -> Column:
+                def one(r: Column, i: Column) -> Column:
+                    from_ = F.coalesce(F.get(own, i - 1)["stop"], left) - left
+                    return F.concat(F.substring(x, (from_ + 1).cast("int"), (r["start"] - left - from_).cast("int")), F.lit("["), F.upper(r["kind"]), F.lit("]"))
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["kind"].alias("kind"))))
-        added = F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), joined).otherwise(added)
+                rest = F.get(own, F.size(own) - 1)["stop"] - left
+                return F.concat(F.array_join(F.transform(own, one), ""), F.substring(x, (rest + 1).cast("int"), F.lit(2**31 - 1)))
 
-    runs = F.aggregate(pii, F.array().cast(item), merge)
+            return let(part, piece)
 
-    def piece(i: Column) -> Column:
-        # the gap after run i-1 (or the text's start), then run i's mark; past the last run only the rest
-        from_ = F.coalesce(F.get(runs, i - 1)["stop"], F.lit(0)).cast("int")
-        to = F.coalesce(F.get(runs, i)["start"], F.length(text).cast("long")).cast("int")
-        return F.concat(F.substring(text, from_ + 1, to - from_), F.coalesce(F.concat(F.lit("["), F.upper(F.get(runs, i)["kind"]), F.lit("]")), F.lit("")))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(runs) - 1) / size).cast("int")), chunk), "")
 
-    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), piece), "")
-    return F.when(F.size(pii) > 0, whole).otherwise(text)
+    stops = F.transform(pii, lambda s: s["stop"])
+    reach = let(stops, lambda x: scan(x, F.lit(0).cast("long"), lambda p, q: F.greatest(p, q)))
+    return F.when(F.size(pii) > 0, let(reach, with_reach)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the spans of text replaced; n_chars, if there, follows."""
-    names = docs.columns
-    out = find(docs).withColumn("text", redacted(F.col("text"), F.col("pii")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in names])
+    """docs with the spans of text replaced; n_chars, if there, follows. All other columns stay as they are."""
+    rows = rows_with_spans(docs)
+    text = F.when(F.col("row.text").isNotNull(), redacted(F.col("whole"), F.col("pii")))
+    rows = rows.select("row", text.alias("new"))
+    given = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[given.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
