@@ -8,8 +8,8 @@ The counts shuffle one row for each bucket and task. The table of ratios has BUC
 and reaches the rows as one constant. All else happens within the row.
 
 Nulls: a null text has no words and fails; a null doc_id stays a row. Repeated rows give repeated rows and count twice.
-Extra columns are ignored. Without labels or documents the ratios are 0 and only the rules decide. The places of words
-have 25 bits: texts of up to 33 million words.
+Extra columns are ignored. Without labels or documents the ratios are 0 and only the rules decide. Scores are rounded to
+6 places, and one equal to THRESHOLD is kept.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm.shared import read_table
+from lapsewise.llm.shared import let, read_table
 
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.08
 #: Trusted documents at most (a bounded sample: the smallest hashes of doc_id).
 TRUSTED = 20_000
 BLANK = r"[\x20\x09-\x0D]+"
-PLACE = 25
 
 
 def words_of(text: Column) -> Column:
@@ -55,22 +54,35 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     return out
 
 
-def repeated_words(words: Column, sorted_windows: Column) -> Column:
-    """Places covered by windows of three words that stand at two or more places.
+def repeated_words(words: Column) -> Column:
+    """Places, in order, of the windows of three words that stand at two or more places.
 
-    sorted_windows: 39 bits of each window's hash above its place, sorted. Neighbours with equal hashes are compared
-    word by word.
+    A window is one number: its hash above its place, which takes as many bits as the text's number of words needs.
+    Sorted, equal windows are neighbours, unless another window with the same hash bits stands between them: a text in
+    which neighbours agree in the hash but not in the words is sorted by the words themselves.
     """
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
-    def equal(a: Column, b: Column) -> Column:
-        same = F.shiftright(a, PLACE) == F.shiftright(b, PLACE)
-        for k in range(3):
-            same = same & (F.get(words, place(a) + k) == F.get(words, place(b) + k))
-        return F.coalesce(same, F.lit(False))
+    def by_hash(bits: Column) -> Column:
+        window = lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long"))
+        head = lambda x: F.call_function("shiftright", x, bits)
+        place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
 
-    found = F.filter(sorted_windows, lambda x, i: equal(F.get(sorted_windows, i - 1), x) | equal(x, F.get(sorted_windows, i + 1)))
-    return F.sort_array(F.transform(found, place))
+        def same_words(a: Column, b: Column) -> Column:
+            return (F.get(words, a) == F.get(words, b)) & (F.get(words, a + 1) == F.get(words, b + 1)) & (F.get(words, a + 2) == F.get(words, b + 2))
+
+        def settled(doubled: Column) -> Column:
+            # doubled: windows that share their hash with a neighbour, still sorted
+            clash = F.exists(F.transform(doubled, lambda x, i: (i > 0) & (head(x) == head(F.get(doubled, i - 1))) & ~same_words(place(x), place(F.get(doubled, i - 1)))), lambda x: x)
+            return F.when(F.coalesce(clash, F.lit(False)), by_words).otherwise(F.sort_array(F.transform(doubled, place)))
+
+        ordered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
+        doubled = lambda s: F.filter(s, lambda x, i: F.coalesce(head(x) == head(F.get(s, i - 1)), F.lit(False)) | F.coalesce(head(x) == head(F.get(s, i + 1)), F.lit(False)))
+        return let(ordered, lambda s: let(doubled(s), settled))
+
+    spelt = lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("at"))
+    equal = lambda s: F.filter(s, lambda x, i: F.coalesce(x["w"] == F.get(s, i - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(s, i + 1)["w"], F.lit(False)))
+    by_words = let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), spelt)), lambda s: F.sort_array(F.transform(equal(s), lambda x: x["at"])))
+    return F.when(F.size(words) >= 3, let(F.length(F.bin(F.size(words).cast("long"))), by_hash)).otherwise(F.array().cast("array<int>"))
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -78,11 +90,9 @@ def rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    window = lambda i: F.shiftleft(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)), PLACE).bitwiseOR(i.cast("long"))
-    windows = F.when(F.size("words") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("words") - 3), window))).otherwise(F.array().cast("array<bigint>"))
     chars = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w))
-    rows = rows.select("doc_id", "words", chars.alias("word_chars"), F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"), windows.alias("windows"))
-    rows = rows.select("doc_id", "words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words"), F.col("windows")).alias("places"))
+    rows = rows.select("doc_id", "words", chars.alias("word_chars"), F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
+    rows = rows.select("doc_id", "words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).alias("places"))
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
