@@ -14,8 +14,9 @@ rarer word by both sides. Class bigrams are a table of bounded size. The words i
 with the corpus, what a task or the driver holds does not.
 
 Nulls: a null text is empty (its end token alone is scored); a null doc_id stays a row and trains (its remainder is
-undefined, held_out is false). Repeated rows train repeatedly; doc_id is taken as unique in the result. Extra columns
-are ignored; empty tables give empty results.
+undefined, held_out is false). Repeated rows train repeatedly, and every row of the input is one of the result, whether or
+not others share its doc_id. Ties between classes go to the first. Extra columns are ignored; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,22 +330,25 @@ class Model:
         return np.where(in_class, np.log10(np.maximum(n, 1)) - self.inside[np.where(in_class, label, 0)], np.log10(n + 1) - self.rest[kind])
 
 
-ROWS = "doc_id long, held_out boolean, word long, kind int, before int, after int, next long, next_kind int, tf long, known long, base double, score double"
+ROWS = "row long, doc_id long, held_out boolean, word long, kind int, before int, after int, next long, next_kind int, tf long, known long, base double, score double"
 
 
 def score_docs(model: Model):
-    """Per document what the bounded tables tell (word null), and its rarer words with their number.
+    """Per row what the bounded tables tell (word null), and its rarer words with their number.
+
+    row: number of the task and of the row in it. What is returned is written before it is read, so the numbers stay.
 
     before, after: the classes next to a rarer word, -1 where the transition is told elsewhere. next: the rarer word
     after a rarer word; such rows hold only the transition between the two.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = model.known
+        known, made = model.known, TaskContext.get().partitionId() << 40
         for frame in blocks(frames):
             texts = encoded(frame["text"])
             word, at, kind, label = known.symbols(texts)
-            ids, held = frame["doc_id"].to_numpy(), frame["held_out"].to_numpy()
+            ids = made + np.arange(len(texts))
+            made += len(texts)
             ends = np.flatnonzero(label == known.size - 1)  # a text runs from one edge to the next
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))  # of the transition into place i + 1
             doc = np.concatenate([[0], owner])
@@ -356,7 +361,7 @@ def score_docs(model: Model):
             score += np.bincount(doc[here], weights=model.emission(label[here], kind[here], n), minlength=len(texts))
             count = np.bincount(doc[here], minlength=len(texts)) + (model.ends > 0)
             none = np.full(len(texts), None)
-            yield pd.DataFrame({"doc_id": ids, "held_out": held, "word": none, "kind": 0, "before": -1, "after": -1, "next": none, "next_kind": 0, "tf": np.diff(ends), "known": count, "base": base, "score": score})
+            yield pd.DataFrame({"row": ids, "doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy(), "word": none, "kind": 0, "before": -1, "after": -1, "next": none, "next_kind": 0, "tf": np.diff(ends), "known": count, "base": base, "score": score})
             rare = ~here
             rare[ends] = False
             rare = np.flatnonzero(rare)
@@ -368,10 +373,10 @@ def score_docs(model: Model):
             first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
             tf = np.diff(np.concatenate([first, [len(order)]]))
             d, w, before, after = keys[:, first]
-            yield pd.DataFrame({"doc_id": ids[d], "held_out": held[d], "word": w.astype(object), "kind": kind[rare[order[first]]], "before": before, "after": after, "next": np.full(len(d), None), "next_kind": 0, "tf": tf, "known": 0, "base": 0.0, "score": 0.0})
+            yield pd.DataFrame({"row": ids[d], "doc_id": None, "held_out": None, "word": w.astype(object), "kind": kind[rare[order[first]]], "before": before, "after": after, "next": np.full(len(d), None), "next_kind": 0, "tf": tf, "known": 0, "base": 0.0, "score": 0.0})
             two = np.flatnonzero((a < 0) & (b < 0))
             if len(two):
-                yield pd.DataFrame({"doc_id": ids[owner[two]], "held_out": held[owner[two]], "word": word[two].astype(object), "kind": kind[two], "before": -1, "after": -1, "next": word[two + 1].astype(object), "next_kind": kind[two + 1], "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
+                yield pd.DataFrame({"row": ids[owner[two]], "doc_id": None, "held_out": None, "word": word[two].astype(object), "kind": kind[two], "before": -1, "after": -1, "next": word[two + 1].astype(object), "next_kind": kind[two + 1], "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
 
     return run
 
@@ -386,7 +391,7 @@ def score_rare(model: Model):
             label = frame["label"].fillna(k + frame["kind"]).to_numpy().astype(np.int64)
             before, after = frame["before"].to_numpy(), frame["after"].to_numpy()
             each = model.emission(label, kind, n) + np.where(before >= 0, model.transition[before, label], 0) + np.where(after >= 0, model.transition[label, after], 0)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "tokens": 0, "known": np.where(n > 0, tf, 0), "base": (np.log10(n + 1) - model.base) * tf, "score": each * tf})
+            yield pd.DataFrame({"row": frame["row"], "doc_id": None, "held_out": None, "tokens": 0, "known": np.where(n > 0, tf, 0), "base": (np.log10(n + 1) - model.base) * tf, "score": each * tf})
 
     return run
 
@@ -398,7 +403,7 @@ def score_two(model: Model):
         k = model.known.k
         for frame in frames:
             a, b = (frame[f"l{s}"].fillna(k + frame[f"k{s}"]).to_numpy().astype(np.int64) for s in "12")
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "tokens": 0, "known": 0, "base": 0.0, "score": model.transition[a, b]})
+            yield pd.DataFrame({"row": frame["row"], "doc_id": None, "held_out": None, "tokens": 0, "known": 0, "base": 0.0, "score": model.transition[a, b]})
 
     return run
 
@@ -423,7 +428,10 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     counts = training.mapInPandas(count_words, "word long, kind int, n long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = scratch.table(counts, "counts")
     # the smallest cut that at most KNOWN words reach
-    sizes = counts.groupBy(F.when(F.col("n") < 100_000, F.col("n")).otherwise(100_000).alias("n")).agg(F.count("*").alias("v")).orderBy(F.desc("n")).collect()
+    # (counts to ten bits, rounded down: a few thousand rows whatever the corpus)
+    low = F.greatest(F.lit(0), F.length(F.bin("n")) - 10)
+    rounded = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), low), low)
+    sizes = counts.groupBy(rounded.alias("n")).agg(F.count("*").alias("v")).orderBy(F.desc("n")).collect()
     cut, reached = 1 << 62, 0
     for r in sizes:
         reached += r["v"]
@@ -500,14 +508,14 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     model, counts = fit(docs, scratch)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = scratch.table(docs.mapInPandas(lambda frames: score_docs(shared.value)(frames), ROWS), "scored")
-    result = "doc_id long, held_out boolean, tokens long, known long, base double, score double"
+    result = "row long, doc_id long, held_out boolean, tokens long, known long, base double, score double"
     rare = rows.where("word is not null and next is null").join(counts.select("word", "n", "label"), "word", "left")
-    out = rows.where("word is null").select("doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score").unionByName(rare.mapInPandas(lambda frames: score_rare(shared.value)(frames), result))
+    out = rows.where("word is null").select("row", "doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score").unionByName(rare.mapInPandas(lambda frames: score_rare(shared.value)(frames), result))
     if model.known.some_rarer:
-        two = rows.where("next is not null").select("doc_id", "held_out", F.col("word").alias("w1"), F.col("kind").alias("k1"), F.col("next").alias("w2"), F.col("next_kind").alias("k2"))
+        two = rows.where("next is not null").select("row", F.col("word").alias("w1"), F.col("kind").alias("k1"), F.col("next").alias("w2"), F.col("next_kind").alias("k2"))
         two = either(two, counts.where("label is not null").select("word", "label"), ">= 0")
         out = out.unionByName(two.mapInPandas(lambda frames: score_two(shared.value)(frames), result))
-    out = out.groupBy("doc_id", "held_out").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
