@@ -27,8 +27,8 @@ from lapsewise.llm.shared import Scratch, blocks, read_table
 CAPACITY, END = 1024, 2
 #: Distinct chunks that a Python worker remembers.
 REMEMBERED = 400_000
-#: Parts up to which the table of counts before each part (CAPACITY rows a part) is broadcast.
-BROADCAST_PARTS = 256
+#: Pieces of a part on average: what one task numbers.
+PART = 50_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -166,8 +166,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     spark = items.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     # numbers within a length: a deal of hashed parts, numbered inside, after the parts before it
-    parts = max(16, spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    items = scratch.table(items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))), "pieces")
+    items = scratch.table(items, "pieces")
+    parts = max(16, 1 + items.count() // PART)
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
     per = items.groupBy("length", "part").agg(F.count("*").alias("n"))
     per = scratch.table(per, "per-part")
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
@@ -184,8 +185,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
             offset += k * length
         sequence += n
     slots = spark.createDataFrame(slots, "slot_length long, first long, past long, k long, sequence long, base long")
-    inside = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece")) - 1
-    numbered = items.withColumn("inside", inside).join(F.broadcast(before), ["length", "part"]) if parts <= BROADCAST_PARTS else items.withColumn("inside", inside).join(before, ["length", "part"])
+    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
+    numbered = items.withColumn("inside", inside).join(before, ["length", "part"])
     numbered = numbered.withColumn("number", F.col("inside") + F.col("before")).drop("inside", "before", "part")
     # the slot table has a few rows for each length: no more than the plan has patterns
     where = (F.col("length") == F.col("slot_length")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("past"))
