@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns
 of documents. A document is a row, not a doc_id: rows may repeat a doc_id or have none, so the stages that compare rows
-number them first, in a written table. run writes every stage's result as Parquet in the shared folder and rereads it, so that a lost executor
-costs a part of one stage.
+number them first, in a written table. run writes every stage's result as Parquet in the shared folder and rereads it, so
+that a lost executor costs a part of one stage, and then deletes what the stage has written for itself.
+
+Nulls: a null or letterless text is in no language and goes in the first stage; a null doc_id or other column stays as
+it is. Of repeated rows one stays. Ties between rows of a group go to the smallest doc_id, then the first row. Extra
+columns are carried unchanged, whatever their names, up to the last stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -14,44 +18,36 @@ from pyspark.sql import functions as F
 from lapsewise.llm import langid, minhash, packing, pii, suffix_dedup
 from lapsewise.llm.shared import Scratch, read_table
 
-#: Column for the doc_id of a row whose number stands in for it.
-OWN = "_own_doc_id"
 #: A text whose best language has a lower mean probability is in none of the learned languages.
 LEAST_SCORE = 0.4
 
 
-def with_length(docs: DataFrame) -> DataFrame:
-    """n_chars, if there, follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
-
-
 def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows with a number in place of doc_id, which goes to OWN; written, so that the numbers stay."""
-    rows = docs.withColumnRenamed("doc_id", OWN).withColumn("doc_id", F.monotonically_increasing_id())
+    """doc_id: a number; row: all columns of docs. Written, so that the numbers stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return Scratch(spark, "rows").table(rows, "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
-    found = langid.identify(docs, langid.train(docs), docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    found = langid.identify(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id, one without doc_id only where no row has any."""
     rows = numbered(spark, docs)
-    groups = minhash.near_duplicates(rows.select("doc_id", "text")).select("doc_id", "component_id").join(rows.select("doc_id", OWN), "doc_id")
-    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col(OWN).isNull(), OWN, "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
-    kept = rows.join(kept, "doc_id", "left_semi")
-    return kept.drop("doc_id").withColumnRenamed(OWN, "doc_id").select(*docs.columns)
+    groups = minhash.near_duplicates(rows.select("doc_id", F.col("row.text").alias("text"))).select("doc_id", "component_id")
+    groups = groups.join(rows.select("doc_id", F.col("row.doc_id").alias("own")), "doc_id")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    return rows.join(kept, "doc_id", "left_semi").select("row.*")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings that occur more than once. A character that loses some of its bytes becomes U+FFFD."""
-    rows = numbered(spark, docs)
-    out = suffix_dedup.strip_repeats(rows, carry=rows.columns).drop("doc_id").withColumnRenamed(OWN, "doc_id")
-    out = out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).select(*docs.columns)
-    return with_length(out)
+    out = suffix_dedup.strip_repeats(docs).select("row", F.make_valid_utf8(F.col("kept").cast("string")).alias("left"))
+    given = {"text": F.col("left")} | ({"n_chars": F.length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[given.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +58,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with sequence and offset."""
     rows = numbered(spark, docs.select("doc_id", "text"))
-    out = packing.pack(packing.pieces(rows)).join(rows.select("doc_id", OWN), "doc_id").drop("doc_id").withColumnRenamed(OWN, "doc_id")
+    out = packing.pack(packing.pieces(rows.select("doc_id", F.col("row.text").alias("text"))))
+    out = out.join(rows.select("doc_id", F.col("row.doc_id").alias("own")), "doc_id").withColumn("doc_id", F.col("own"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -83,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        Scratch.clear(but=scratch)
     return docs

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
@@ -22,17 +22,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
 
-    A written table cuts the lineage and survives the loss of an executor. Only where the setting is missing, as in
-    tests on one machine, a temporary folder stands in.
+    A written table cuts the lineage and survives the loss of an executor. Only on one machine, as in tests, a temporary
+    folder stands in where the setting is missing.
     """
 
+    #: Those whose tables are still there.
+    kept: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lapsewise-")
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        Scratch.kept.append(self)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    @classmethod
+    def clear(cls, but: Scratch) -> None:
+        """Delete the tables of all others: for a caller that has written what was derived from them."""
+        for scratch in cls.kept:
+            if scratch is not but:
+                scratch.delete(scratch.base)
+        cls.kept = [but]
 
     def table(self, df: DataFrame, name: str, slim: bool = False) -> DataFrame:
         """df written and read again; slim: its rows are few against the corpus, so an eighth of the tasks will do."""
@@ -45,11 +63,34 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for df in tables:
+            self.delete(df._scratch_path)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scan(x: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals (inclusive) of an array of long, in chunks of about the root of its size, so that no long array is copied per element."""
+    none = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), zero)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int")
+    chunks = F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda c: F.slice(x, c * size + 1, size))).otherwise(F.array().cast("array<array<bigint>>"))
+    inside = F.transform(chunks, lambda c: F.aggregate(c, none, lambda acc, v: F.concat(acc, F.array(combine(last(acc), v)))))
+
+    def joined(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(zero), lambda acc, c: F.concat(acc, F.array(combine(last(acc), last(c)))))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda c, i: F.transform(c, lambda v: combine(F.get(b, i), v)))))
+
+    return let(inside, joined)
+
+
+def running_sums(x: Column) -> Column:
+    return let(x, lambda a: scan(a, F.lit(0).cast("long"), lambda p, q: p + q))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -12,8 +12,10 @@ that occur once end there. Of the rest, the context (all windows that share the
 - A key with very many different contexts (the edge of a passage that very many documents share) is divided by the
   bytes that STRIDE neighbouring windows have in common, and, where that still leaves very many, by single windows.
 
-Nulls: a null text counts as empty, a null doc_id is left out. Rows with equal doc_id are different places only if
-their texts differ in the input; doc_id is taken as unique. Extra columns are ignored. Empty tables give empty results.
+Nulls: a null text counts as empty; a null doc_id stays a row. Rows with equal doc_id are documents of their own;
+repeated rows repeat each other's strings. Inside, a row goes by a hash of doc_id and text, so that repeated rows share
+their spans, which are equal anyway. Ties between equal strings need no rule, as all go. Extra columns are carried
+unchanged in row, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -266,35 +268,34 @@ def removed_runs(spans: list | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def strip_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in blocks(frames, "whole"):
+def strip_runs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, all_spans in batches:
         kept, runs, size = [], [], []
-        for text, spans in zip(encoded(frame["whole"]), frame["spans"], strict=True):
-            own = removed_runs(spans)
+        for whole, spans in zip(texts, all_spans, strict=True):
+            text, own = b"" if whole is None else whole.encode("utf-8", "surrogatepass"), removed_runs(spans)
             bounds = [0, *(x for run in own for x in run), len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)))
             runs.append([{"start": a, "stop": b} for a, b in own])
             size.append(len(text))
-        yield frame.drop(columns=["whole", "spans"]).assign(n_bytes=size, removed=runs, kept=kept)
+        yield pd.DataFrame({"n_bytes": size, "removed": runs, "kept": kept})
 
 
-def strip_repeats(docs: DataFrame, scratch: Scratch | None = None, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns, n_bytes, removed (maximal runs) and kept (the remaining bytes) of every row that has a doc_id."""
+def strip_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """row (all columns of docs, as a struct), n_bytes, removed (maximal runs) and kept (the remaining bytes) of every row."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    carry = [c for c in carry or ["doc_id"] if c not in ("text", "whole", "spans")]
-    text = F.col("text").cast("string")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    spans = repeated_spans(docs.select("doc_id", text.alias("text")), scratch).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("doc_id", F.xxhash64("row.doc_id", "text"))
+    spans = repeated_spans(rows.select("doc_id", "text"), scratch).distinct()
     spans = scratch.table(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], text.alias("whole")).join(spans, "doc_id", "left").select(*carry, "whole", "spans")
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInPandas(strip_runs, f"{schema}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    stripped = F.pandas_udf(strip_runs, "n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    rows = rows.join(spans, "doc_id", "left").select("row", stripped("text", "spans").alias("found"))
+    return rows.select("row", "found.n_bytes", "found.removed", "found.kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = strip_repeats(read_table(spark, sf_dir, "documents"))
+    out = strip_repeats(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def brute_force(texts: dict[int, bytes], minimum: int = MINIMUM) -> dict[int, tuple[int, int, int, str]]:

@@ -32,9 +32,10 @@ def test_quality(spark, docs, none):
 
 def test_language(docs, none):
     net = langid.train(docs)
-    r = by_id(langid.identify(docs, net, ["doc_id"]))
+    r = by_id(langid.identify(docs, net).select("row.doc_id", "lang_pred", "score"))
     assert r[2]["lang_pred"] == r[3]["lang_pred"] == "und" and r[5]["lang_pred"] == r[6]["lang_pred"] and 0 <= r[4]["score"] <= 1
-    assert langid.train(none) is None and langid.identify(none, None, ["doc_id"]).count() == 0
+    assert langid.train(none) is None and langid.identify(none, None).count() == 0
+    assert langid.label(net, ["²½ 3", "é"])[0][0] == "und"
 
 
 def test_pii(docs, none):
@@ -72,7 +73,7 @@ def test_packing(docs, none):
 
 
 def test_suffix(docs, none):
-    r = by_id(suffix_dedup.strip_repeats(docs))
+    r = by_id(suffix_dedup.strip_repeats(docs).select("row.*", "kept", "removed"))
     assert r[2]["kept"] == b"" and r[5]["kept"] != r[5]["removed"] and len(r[4]["kept"]) < 210
     assert suffix_dedup.strip_repeats(none).count() == 0
 
