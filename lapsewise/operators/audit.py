@@ -100,7 +100,8 @@ def removal_dispersion(rows: DataFrame) -> DataFrame:
 
 
 def removal_pivot(rows: DataFrame, days: list[str]) -> DataFrame:
-    return rows.where("y = 1").groupBy("source").pivot("_day", days).count().na.fill(0)
+    """One row per source, one column per day: its removals. days: as removal_dispersion names them."""
+    return rows.where("y = 1").withColumn("_day", F.to_date("t").cast("string")).groupBy("source").pivot("_day", days).count().na.fill(0)
 
 
 def lifespan_bin(runs_seen: Column) -> Column:
@@ -189,6 +190,12 @@ def stratified_sample(rows: DataFrame, cap: int, seed: str = "s") -> DataFrame:
     return ranked.where("_rank <= _quota").orderBy("_draw").limit(cap).drop("_rank", "_quota", "_draw")
 
 
+def sample_arms(rows: DataFrame, cap: int, seed: str = "s") -> DataFrame:
+    """Both arms of the label check in one frame: removed postings and those still there, sampled alike; arm names them."""
+    arm = lambda y, name: stratified_sample(rows.where(F.col("y") == y), cap, seed).withColumn("arm", F.lit(name))
+    return arm(1, "removed").unionByName(arm(0, "present"))
+
+
 def validation_report(tables: dict[str, DataFrame]) -> DataFrame:
     """check, n: row counts and structural defects of the three crawl tables."""
     jobs, runs, obs = tables["jobs"], tables["runs"], tables["job_observations"]

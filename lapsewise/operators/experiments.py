@@ -63,9 +63,9 @@ def lifespan_caveat(verdict: DataFrame) -> DataFrame:
 
 def unseen_fold_rows(rows: DataFrame, folds: DataFrame, embargo: float) -> DataFrame:
     """Validation rows of each fold whose posting has no training row in that fold."""
-    met = waves.fold_rows(rows, folds, embargo)
-    seen = met.where("part = 'train'").select("fold", "source", "source_id").distinct()
-    return met.where("part = 'val'").join(seen, ["fold", "source", "source_id"], "left_anti")
+    val = rows.join(waves.fold_instants(rows, folds, embargo).where("part = 'val'"), "t")
+    first = rows.groupBy("source", "source_id").agg(F.min("t").alias("_first"))
+    return val.join(first, ["source", "source_id"]).where("_first > train_end").drop("_first")
 
 
 def score_of(model: PipelineModel, rows: DataFrame) -> float | None:
@@ -115,8 +115,11 @@ def execute(rows: DataFrame, specs: list[RunSpec]) -> DataFrame:
 
 
 def leak_delta(runs: DataFrame) -> DataFrame:
-    """inflation of the leaky runs over the sound ones."""
-    return runs.agg((F.avg(F.when(F.col("leaky"), F.col("pr_auc"))) - F.avg(F.when(~F.col("leaky"), F.col("pr_auc")))).alias("inflation"))
+    """honest, leaked and inflation; with a column removed (the leak taken out again), also that figure and what it restored."""
+    removed = F.col("removed") if "removed" in runs.columns else F.lit(False)
+    mean = lambda on: F.avg(F.when(on, F.col("pr_auc")))
+    out = runs.agg(mean(~F.col("leaky") & ~removed).alias("honest"), mean(F.col("leaky")).alias("leaked"), mean(~F.col("leaky") & removed).alias("after_removal"))
+    return out.withColumn("inflation", F.col("leaked") - F.col("honest")).withColumn("restored", F.col("leaked") - F.col("after_removal"))
 
 
 def margin_over_heuristics(results: DataFrame, heuristics: list[str]) -> DataFrame:
@@ -128,6 +131,24 @@ def margin_over_heuristics(results: DataFrame, heuristics: list[str]) -> DataFra
     return out.withColumn("margin", F.col("fitted_pr_auc") - F.col("heuristic_pr_auc"))
 
 
+def complexity_reading(results: DataFrame, heuristics: list[str], complexity: dict[str, int], spread: float) -> DataFrame:
+    """margin_over_heuristics plus the simplest fitted rung within spread of the best, and what that says."""
+    level = F.create_map(*[F.lit(x) for name, n in complexity.items() for x in (name, n)])
+    best = margin_over_heuristics(results, heuristics)
+    near = results.where(~F.col("rung").isin(*heuristics)).join(best, F.col("pr_auc") >= F.col("fitted_pr_auc") - spread)
+    simplest = near.agg(F.min_by("rung", F.struct(level[F.col("rung")], F.col("rung"))).alias("simplest"))
+    status = F.when(F.col("margin") <= spread, "heuristics suffice").when(F.col("simplest") == F.col("best_fitted"), "complexity pays").otherwise("simpler model suffices")
+    return best.join(simplest, F.lit(True)).withColumn("status", status)
+
+
+def board_context_folds(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], Pipeline]) -> DataFrame:
+    """fold, with_context, context_nulled, difference: PR-AUC of one fit a fold, scored on rows as they are and without board context."""
+    whole = models.cross_validate(rows, folds, embargo, build)
+    nulled = models.cross_validate(rows, folds, embargo, build, prepare_val=features.without_board_context)
+    out = whole.withColumnRenamed("pr_auc", "with_context").join(nulled.withColumnRenamed("pr_auc", "context_nulled"), "fold")
+    return out.withColumn("difference", F.col("with_context") - F.col("context_nulled"))
+
+
 # ---- frozen evaluation --------------------------------------------------------------------------------------------
 
 
@@ -141,11 +162,11 @@ class Frozen:
     intervals: DataFrame
 
 
-def freeze(rows: DataFrame, build: Callable[[], Pipeline], budget: int = 20, days: int = 1, resamples: int = 500) -> Frozen:
-    """Fits on train, recalibrates and sets the threshold on val, then scores the test block once. Refuses leaky columns."""
+def freeze(rows: DataFrame, build: Callable[[], Pipeline], budget: int = 20, days: int = 1, resamples: int = 500, blocks: tuple[str, ...] = ("train",)) -> Frozen:
+    """Fits on the blocks (train, or train and val), recalibrates and sets the threshold on val, then scores the test block once. Refuses leaky columns."""
     if leaky := sorted(set(LEAK_FEATURES) & set(rows.columns)):
         raise ValueError(f"leaky columns in a frozen evaluation: {leaky}")
-    model = models.fit_on_training(rows, build())
+    model = models.fit_on_training(rows, build(), blocks)
     val, test = (models.predict(model, rows.where(f"split = '{s}'")) for s in ("val", "test"))
     figures = metrics.ranking(metrics.distinct_scores(val)).first()
     recalibrate = models.needs_recalibration(figures["positives"], metrics.calibration_error(val).first()["ece"], figures["base_rate"])
@@ -154,5 +175,5 @@ def freeze(rows: DataFrame, build: Callable[[], Pipeline], budget: int = 20, day
         val, test = (models.recalibrate(fit_on, x).drop("score").withColumnRenamed("calibrated", "score") for x in (fit_on, test))
     threshold = metrics.budget_thresholds(metrics.distinct_scores(val), budgets=(budget,), days=days).first()["threshold"]
     boot = metrics.bootstrap(test, resamples, threshold=threshold)
-    ci = metrics.intervals(boot, ["pr_auc", "brier", "precision", "recall"])
+    ci = metrics.intervals(boot, list(metrics.STATISTICS))
     return Frozen(model, threshold, recalibrate, metrics.confusion_at(test, threshold), metrics.evaluate_with_evidence(test, "source", resamples), ci)

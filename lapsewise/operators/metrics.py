@@ -7,6 +7,8 @@ bootstrap replicates without copying rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,27 @@ def distinct_scores(rows: DataFrame, *keys: str, weight: str | None = None) -> D
     return rows.groupBy(*keys, "score").agg(F.sum(w).cast("long").alias("n"), F.sum(F.col("y") * w).cast("long").alias("pos"))
 
 
+def score_part(score: Column) -> Column:
+    """A number that never falls as the score grows, with 256 values for each doubling: a bounded number of parts."""
+    size = F.floor(F.log2(F.abs(score)) * 256).cast("long")
+    return F.coalesce(F.when(score > 0, size + 1_000_000).when(score < 0, -size - 1_000_000).when(score == 0, 0).when(F.isnan(score), 1 << 62), F.lit(-(1 << 62)))
+
+
 def cumulated(table: DataFrame, *keys: str) -> DataFrame:
-    """table plus running n and pos from the highest score down, and totals."""
+    """table plus running n and pos from the highest score down, and totals.
+
+    Running sums are taken within parts of the score range and over the sums of the parts, which are few, so that no
+    task sorts all scores of a group, or of an ungrouped table.
+    """
+    table = table.withColumn("_part", score_part(F.col("score")))
+    per = table.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    down = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return table.withColumns({"cum_n": F.sum("n").over(down), "cum_pos": F.sum("pos").over(down), "all_n": F.sum("n").over(w), "all_pos": F.sum("pos").over(w)})
+    above = w.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_above_{c}": F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)) for c in ("n", "pos")} | {f"all_{c}": F.sum(f"_{c}").over(w) for c in ("n", "pos")}
+    per = per.withColumns(sums).drop("_n", "_pos")
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = table.withColumns({"cum_n": F.sum("n").over(inside), "cum_pos": F.sum("pos").over(inside)}).join(per, [*keys, "_part"])
+    return out.withColumns({"cum_n": F.col("cum_n") + F.col("_above_n"), "cum_pos": F.col("cum_pos") + F.col("_above_pos")}).drop("_part", "_above_n", "_above_pos")
 
 
 def ranking(table: DataFrame, *keys: str) -> DataFrame:
@@ -129,30 +147,63 @@ def score_resolution(rows: DataFrame, *keys: str) -> DataFrame:
 def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
     """b, cluster, w: how often each posting is drawn in each resample of its group; draws come from md5.
 
-    Clusters are numbered by distinct posting within the group; no row is copied.
+    Clusters are numbered by distinct posting within the group, in the order of the first four hex digits of their md5
+    and then their name: within these parts, and over the counts of the parts. No row is copied.
     """
-    clusters = rows.select(*keys, F.concat_ws("|", "source", "source_id").alias("cluster")).distinct()
+    clusters = rows.select(*keys, F.concat_ws("|", "source", "source_id").alias("cluster")).distinct().withColumn("_part", F.substring(F.md5("cluster"), 1, 4))
+    per = clusters.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    clusters = clusters.withColumn("i", F.row_number().over(w.orderBy("cluster")).cast("long") - 1).withColumn("m", F.count(F.lit(1)).over(w))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).withColumn("m", F.sum("_n").over(w)).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("cluster")).cast("long") - 1
+    clusters = clusters.withColumn("_in", inside).join(per, [*keys, "_part"]).withColumn("i", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
     draws = clusters.select(*keys, F.col("i").alias("draw"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col("b").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     drawn = draws.withColumn("i", F.pmod(number, F.col("m"))).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
     return drawn.join(clusters.select(*keys, "i", "cluster"), [*keys, "i"]).drop("i")
 
 
-def bootstrap(rows: DataFrame, resamples: int, *keys: str, threshold: float | None = None, seed: str = "b") -> DataFrame:
-    """Per resample: pr_auc, brier and, with a fixed threshold, precision and recall; resamples without positives go."""
+#: What bootstrap returns with a fixed threshold.
+STATISTICS = ("pr_auc", "roc_auc", "brier", "ece", "precision", "recall", "f1", "lift")
+Statistic = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def weighted_calibration_error(table: DataFrame, by: list[str]) -> DataFrame:
+    """ece of a table of distinct scores with weights."""
+    per = table.groupBy(*by, score_bin(F.col("score")).alias("bin")).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("score")).alias("p"), F.sum("pos").alias("o"))
+    return per.groupBy(*by).agg((F.sum(F.abs(F.col("p") - F.col("o"))) / F.sum("w")).alias("ece"))
+
+
+def bootstrap(rows: DataFrame, resamples: int, *keys: str, threshold: float | None = None, seed: str = "b", statistic: Statistic | None = None) -> DataFrame:
+    """Per resample: pr_auc, roc_auc, brier, ece and, with a fixed threshold, precision, recall, f1 and lift; resamples without positives go.
+
+    statistic: a function of the table of distinct scores (n and pos are weights) and its grouping columns, whose
+    columns are added.
+    """
     tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
     met = replicates(rows, resamples, *keys, seed=seed).join(tagged, [*keys, "cluster"])
     table = met.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"), F.sum(F.col("w") * F.col("p")).cast("long").alias("pos"))
-    out = ranking(table, *keys, "b").where("positives > 0").select(*keys, "b", "n", "positives", "pr_auc")
+    out = ranking(table, *keys, "b").where("positives > 0").select(*keys, "b", "n", "positives", "base_rate", "pr_auc", "roc_auc")
     miss = F.sum((F.col("n") - F.col("pos")) * F.pow("score", F.lit(2.0)) + F.col("pos") * F.pow(1 - F.col("score"), F.lit(2.0))) / F.sum("n")
     extra = [miss.alias("brier")]
     if threshold is not None:
         on = F.col("score") >= threshold
         hit, flagged = F.sum(F.when(on, F.col("pos")).otherwise(0)), F.sum(F.when(on, F.col("n")).otherwise(0))
         extra += [F.try_divide(hit.cast("double"), flagged).alias("precision"), F.try_divide(hit.cast("double"), F.sum("pos")).alias("recall")]
-    return out.join(table.groupBy(*keys, "b").agg(*extra), [*keys, "b"])
+    by = [*keys, "b"]
+    out = out.join(table.groupBy(*by).agg(*extra), by).join(weighted_calibration_error(table, by), by)
+    if threshold is not None:
+        p, q = F.col("precision"), F.col("recall")
+        out = out.withColumn("f1", F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))).withColumn("lift", F.try_divide(p, "base_rate"))
+    if statistic:
+        out = out.join(statistic(table, by), by)
+    return out.drop("base_rate")
+
+
+def fragility_note(rows: DataFrame) -> DataFrame:
+    """rows (with positives) plus note: a warning where a figure rests on fewer than FRAGILE positives."""
+    text = F.concat(F.lit("rests on "), F.col("positives").cast("string"), F.lit(" positives"))
+    return rows.withColumn("note", F.when(F.col("positives") < FRAGILE, text))
 
 
 def intervals(boot: DataFrame, metrics: list[str], *keys: str, level: float = 0.95) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +12,11 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.operators import metrics, waves
+from lapsewise.operators.features import without_board_context
 
 MIN_FREQUENCY = 5
 MISSING = "__missing__"
@@ -157,9 +160,52 @@ def boosted(rounds: int = 400) -> Estimator:
     return GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=0)
 
 
-def fit_on_training(rows: DataFrame, built: Pipeline) -> PipelineModel:
-    """Fits on the training block, which it picks itself."""
-    return built.fit(rows.where("split = 'train'").drop("score").withColumn("y", F.col("y").cast("double")))
+def target(rows: DataFrame) -> DataFrame:
+    """rows with y as double; refuses rows without a label."""
+    if not rows.where("y is null").isEmpty():
+        raise ValueError("rows without a label cannot be a target")
+    return rows.withColumn("y", F.col("y").cast("double"))
+
+
+def fit_on_training(rows: DataFrame, built: Pipeline, blocks: tuple[str, ...] = ("train",)) -> PipelineModel:
+    """Fits on the training block, which it picks itself, or on the union of several blocks."""
+    return built.fit(target(rows.where(F.col("split").isin(*blocks)).drop("score")))
+
+
+def fit_and_score(rows: DataFrame, built: Pipeline, budget: int = 20, days: int = 1) -> DataFrame:
+    """split, the whole record of the fit on train and on val, and gap: train's PR-AUC over val's."""
+    model = fit_on_training(rows, built)
+    out = metrics.evaluate(predict(model, rows.where("split in ('train', 'val')")), "split", budget=budget, days=days)
+    gap = out.agg((F.max(F.when(F.col("split") == "train", F.col("pr_auc"))) - F.max(F.when(F.col("split") == "val", F.col("pr_auc")))).alias("gap"))
+    return out.join(gap, F.lit(True))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Stages in order, each in a folder of its own; Prepare's as JSON lines, others by their own writers. A Derive holds code and is not saved."""
+    spark = SparkSession.active()
+    kept = [s for s in model.stages if not isinstance(s, Derive)]
+    kinds = [(i, "prepare" if isinstance(s, PrepareModel) else f"{type(s).__module__}.{type(s).__name__}") for i, s in enumerate(kept)]
+    spark.createDataFrame(kinds, "place int, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/stages")
+    for i, s in enumerate(kept):
+        if isinstance(s, PrepareModel):
+            text = json.dumps({"numeric": s.numeric, "levels": s.levels, "rare": s.rare})
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stage-{i}")
+        else:
+            s.write().overwrite().save(f"{path}/stage-{i}")
+
+
+def load(spark: SparkSession, path: str, derive: Callable[[DataFrame], DataFrame] | None = None) -> PipelineModel:
+    """What save wrote, behind derive if one is given: ready for predict in any session."""
+    stages: list = [Derive(derive)] if derive else []
+    for r in spark.read.schema("place int, kind string").json(f"{path}/stages").orderBy("place").collect():
+        at = f"{path}/stage-{r['place']}"
+        if r["kind"] == "prepare":
+            found = json.loads(spark.read.text(at).first()[0])
+            stages.append(PrepareModel({c: tuple(v) for c, v in found["numeric"].items()}, found["levels"], found["rare"]))
+        else:
+            module, _, name = r["kind"].rpartition(".")
+            stages.append(getattr(importlib.import_module(module), name).load(at))
+    return PipelineModel(stages)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -184,7 +230,7 @@ def ladder(rows: DataFrame, numeric: list[str], categorical: list[str], builders
 # ---- cross-validation and selection -------------------------------------------------------------------------------
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], Pipeline]) -> DataFrame:
+def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], Pipeline], prepare_val: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """fold, pr_auc (null if the training fold has one class) over the fold table: one distributed fit a fold."""
     met = waves.fold_rows(rows, folds, embargo)
     out = []
@@ -194,11 +240,22 @@ def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, build: Cal
         if train.select("y").distinct().count() < 2:
             out.append((f, None))
             continue
-        scored = predict(fit_on_training(train, build()), own.where("part = 'val'"))
+        scored = predict(fit_on_training(train, build()), prepare_val(own.where("part = 'val'")))
         out.append((f, metrics.ranking(metrics.distinct_scores(scored)).first()["pr_auc"]))
     return rows.sparkSession.createDataFrame(out, "fold long, pr_auc double")
 
 
+def compare(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], Pipeline]]) -> DataFrame:
+    """candidate, folds, scored, mean, sd over the folds, and pr_auc and roc_auc of one fit on train, scored on val."""
+    out = None
+    for name, build in candidates.items():
+        over = metrics.fold_summary(cross_validate(rows, folds, embargo, build))
+        once = metrics.ranking(metrics.distinct_scores(predict(fit_on_training(rows, build()), rows.where("split = 'val'")))).select("pr_auc", "roc_auc")
+        one = over.join(once, F.lit(True)).select(F.lit(name).alias("candidate"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @dataclass(frozen=True)
 class Candidate:
     name: str
@@ -258,20 +315,27 @@ def sweep(rows: DataFrame, settings: dict[str, Callable[[], Pipeline]]) -> DataF
     return rows.sparkSession.createDataFrame(out, "setting string, train_pr_auc double, val_pr_auc double, gap double")
 
 
-def leave_one_group_out(rows: DataFrame, key: str, numeric: list[str], categorical: list[str], build: Callable[[], Estimator] = logistic, least_positives: int = 10, least_share: float = 0.6) -> DataFrame:
-    """Per board with enough positives: PR-AUC of a model that never saw it (transfer) and of one that did (ceiling)."""
+def leave_one_group_out(rows: DataFrame, key: str, numeric: list[str], categorical: list[str], build: Callable[[], Estimator] = logistic, least_positives: int = 10, least_share: float = 0.6, serve_time: bool = False) -> DataFrame:
+    """Per board with enough positives: PR-AUC of a model that never saw it (transfer) and of one that did (ceiling).
+
+    Only boards that are in both blocks can be scored by both; serve_time has the transfer model score without board
+    context, as a new board would be served.
+    """
     sizes = rows.groupBy(key).agg(F.count_if((F.col("split") == "val") & (F.col("y") == 1)).alias("val_pos"), F.count_if((F.col("split") == "train") & (F.col("y") == 1)).alias("train_pos"), F.count_if(F.col("split") == "val").alias("val_rows")).collect()
     total = sum(r["train_pos"] for r in sizes)
+    boards = lambda split: rows.where(F.col("split") == split).select(key)
+    both = {r[0] for r in boards("val").intersect(boards("train")).collect()}
     full = fit_on_training(rows, pipeline(numeric, categorical, build()))
     out = []
     for r in sorted(sizes, key=lambda r: r[key]):
         share = (total - r["train_pos"]) / total if total else 0.0
-        if r["val_pos"] < least_positives or share < least_share:
+        if r["val_pos"] < least_positives or share < least_share or r[key] not in both:
             out.append((r[key], r["val_rows"], r["val_pos"], share, None, None))
             continue
         own = rows.where((F.col(key) == r[key]) & (F.col("split") == "val"))
-        ap = lambda m: metrics.ranking(metrics.distinct_scores(predict(m, own))).first()["pr_auc"]  # noqa: B023, E731
-        out.append((r[key], r["val_rows"], r["val_pos"], share, ap(fit_on_training(rows.where(F.col(key) != r[key]), pipeline(numeric, categorical, build()))), ap(full)))
+        served = without_board_context(own) if serve_time else own
+        ap = lambda m, on: metrics.ranking(metrics.distinct_scores(predict(m, on))).first()["pr_auc"]
+        out.append((r[key], r["val_rows"], r["val_pos"], share, ap(fit_on_training(rows.where(F.col(key) != r[key]), pipeline(numeric, categorical, build())), served), ap(full, own)))
     schema = "board string, eval_rows long, eval_positives long, train_share double, transfer_pr_auc double, ceiling_pr_auc double"
     return rows.sparkSession.createDataFrame(out, schema)
 

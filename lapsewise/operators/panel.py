@@ -90,15 +90,16 @@ def attach_nearest(panel: DataFrame, archive: DataFrame, tolerance_seconds: int
 def with_board_context(panel: DataFrame) -> DataFrame:
     """Counts of the posting's board at its own run, growth since the run before, and sightings so far."""
     run = ["source", "run_index"]
-    size = F.count(F.lit(1)).over(Window.partitionBy(*run))
-    title = F.count(F.lit(1)).over(Window.partitionBy(*run, "title"))
-    requisition = F.when(F.col("requisition_id").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*run, "requisition_id")))
-    sizes = panel.groupBy(*run).agg(F.count("*").alias("_size"))
-    before = F.lag("_size").over(Window.partitionBy("source").orderBy("run_index"))
-    growth = sizes.select(*run, (F.col("_size") - before).alias("board_growth"))
+    # counted first and joined, so that no task holds a whole board; null titles are one title
+    titles = panel.groupBy(*run, F.coalesce("title", F.lit("")).alias("_title"), F.col("title").isNull().alias("_none")).agg(F.count("*").alias("n_same_title_on_board"))
+    requisitions = panel.where("requisition_id is not null").groupBy(*run, "requisition_id").agg(F.count("*").alias("n_same_req_on_board"))
+    sizes = panel.groupBy(*run).agg(F.count("*").alias("board_size_at_t"))
+    before = F.lag("board_size_at_t").over(Window.partitionBy("source").orderBy("run_index"))
+    sizes = sizes.withColumn("board_growth", F.col("board_size_at_t") - before)
     so_far = F.row_number().over(Window.partitionBy("source", "source_id").orderBy("run_index"))
-    out = panel.withColumns({"board_size_at_t": size, "n_same_title_on_board": title, "n_same_req_on_board": requisition, "n_complete_runs_observed": so_far.cast("long")})
-    return out.join(growth, run, "left")
+    out = panel.withColumn("n_complete_runs_observed", so_far.cast("long")).withColumn("_title", F.coalesce("title", F.lit(""))).withColumn("_none", F.col("title").isNull())
+    out = out.join(titles, [*run, "_title", "_none"]).drop("_title", "_none").join(requisitions, [*run, "requisition_id"], "left")
+    return out.join(sizes, run)
 
 
 class SnapshotLogBehind(RuntimeError):

@@ -60,17 +60,25 @@ def context_supplied(rows: DataFrame) -> DataFrame:
     return rows.withColumn("board_context_supplied", F.coalesce(*[F.col(c).cast("double") for c in BOARD_CONTEXT]).isNotNull())
 
 
-def board_context(board: DataFrame, previous_size: int | None = None, key: str = "source") -> DataFrame:
-    """Counts of a declared snapshot: what the panel's windows give at the same run. Refuses several boards or supplied context."""
+def board_context(board: DataFrame, previous_size: int | DataFrame | None = None, key: str = "source") -> DataFrame:
+    """Counts of declared snapshots, of one board or of many in one pass: what the panel gives at the same run. Refuses supplied context.
+
+    previous_size: of the only board, or a table (key, previous_size).
+    """
     if supplied := sorted(set(BOARD_CONTEXT) & set(board.columns)):
         raise ValueError(f"context is derived, not supplied: {supplied}")
-    if key in board.columns and len(board.select(key).distinct().limit(2).collect()) > 1:
-        raise ValueError("one board at a time")
-    size = board.agg(F.count("*").alias("board_size_at_t"))
-    title = F.count(F.lit(1)).over(Window.partitionBy("title"))
-    requisition = F.when(F.col("requisition_id").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("requisition_id")))
-    out = board.withColumn("n_same_title_on_board", title).withColumn("n_same_req_on_board", requisition).join(F.broadcast(size), F.lit(True))
-    return out.withColumn("board_growth", F.col("board_size_at_t") - F.lit(previous_size).cast("long"))
+    added = key not in board.columns
+    board = board.withColumn(key, F.lit("")) if added else board
+    if not isinstance(previous_size, DataFrame):
+        if previous_size is not None and len(board.select(key).distinct().limit(2).collect()) > 1:
+            raise ValueError("one size before is for one board")
+        previous_size = board.select(key).distinct().withColumn("previous_size", F.lit(previous_size).cast("long"))
+    size = board.groupBy(key).agg(F.count("*").alias("board_size_at_t")).join(previous_size, key, "left")
+    title = F.count(F.lit(1)).over(Window.partitionBy(key, "title"))
+    requisition = F.when(F.col("requisition_id").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(key, "requisition_id")))
+    out = board.withColumn("n_same_title_on_board", title).withColumn("n_same_req_on_board", requisition).join(size, key)
+    out = out.withColumn("board_growth", F.col("board_size_at_t") - F.col("previous_size")).drop("previous_size")
+    return out.drop(key) if added else out
 
 
 def rank_upload(rows: DataFrame, model, at: str, board: str = "source", budget: int | None = 20, threshold: float | None = None) -> DataFrame:

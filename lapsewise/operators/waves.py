@@ -25,12 +25,21 @@ def seconds(c: Column | str) -> Column:
 
 
 def crawl_waves(rows: DataFrame) -> DataFrame:
-    """t, wave, wave_t: instants more than an hour after the one before begin a new wave, named by its last instant."""
-    times = rows.select("t").distinct()
-    order = Window.orderBy("t")  # over distinct instants: as many as there were crawls
-    fresh = F.coalesce((seconds("t") - seconds(F.lag("t").over(order)) > HOUR).cast("long"), F.lit(0).cast("long"))
-    marked = times.withColumn("_fresh", fresh).withColumn("wave", F.sum("_fresh").over(order))
-    return marked.withColumn("wave_t", F.max("t").over(Window.partitionBy("wave"))).drop("_fresh")
+    """t, wave, wave_t: instants more than an hour after the one before begin a new wave, named by its last instant.
+
+    Breaks are found within days; only the ends of days, one row each, are put in one order.
+    """
+    none = F.lit(0).cast("long")
+    later = lambda a, b: F.coalesce((seconds(a) - seconds(b) > HOUR).cast("long"), none)
+    times = rows.select("t").distinct().withColumn("_day", F.floor(seconds("t") / 86_400))
+    inside = Window.partitionBy("_day").orderBy("t")
+    times = times.withColumn("_fresh", later("t", F.lag("t").over(inside))).withColumn("_in", F.sum("_fresh").over(inside))
+    days = times.groupBy("_day").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.sum("_fresh").alias("_k"))
+    order = Window.orderBy("_day")
+    days = days.withColumn("_first", later("_lo", F.lag("_hi").over(order)))
+    before = F.coalesce(F.sum(F.col("_first") + F.col("_k")).over(order.rowsBetween(Window.unboundedPreceding, -1)), none) + F.col("_first")
+    marked = times.join(days.select("_day", before.alias("_before")), "_day").select("t", (F.col("_in") + F.col("_before")).alias("wave"))
+    return marked.join(marked.groupBy("wave").agg(F.max("t").alias("wave_t")), "wave").select("t", "wave", "wave_t")
 
 
 def max_run_gap(rows: DataFrame) -> DataFrame:
@@ -106,13 +115,23 @@ def instants(rows: DataFrame) -> DataFrame:
 
 
 def feasible_cuts(rows: DataFrame, embargo: float) -> DataFrame:
-    """Every pair of waves as cuts: rows and positives of each block, embargoed rows, valid, reason."""
+    """Every pair of waves as cuts: rows and positives of each block, embargoed rows, valid, reason.
+
+    Sums up to each wave, up to the end of its embargo and over all are taken once; a cut is then arithmetic on two waves.
+    """
     at = instants(rows)
     waves = crawl_waves(rows.where("label_observable")).select("wave_t").distinct()
-    cuts = waves.select(F.col("wave_t").alias("train_end")).join(F.broadcast(waves.select(F.col("wave_t").alias("val_end"))), F.col("train_end") < F.col("val_end"))
-    met = cuts.join(F.broadcast(at), F.lit(True)).withColumn("split", split_column(F.col("train_end"), F.col("val_end"), embargo))
-    block = lambda name, what: F.coalesce(F.sum(F.when(F.col("split") == name, F.col(what))), F.lit(0)).cast("long")
-    out = met.groupBy("train_end", "val_end").agg(*[block(b, w).alias(f"{b}_{x}") for b in ("train", "val", "test") for w, x in (("n", "rows"), ("pos", "positives"))], block("embargo", "n").alias("embargoed"))
+    met = waves.join(at, F.lit(True))  # waves times instants: both count crawls
+    up_to = lambda what, width: F.sum(F.when(seconds("t") <= seconds("wave_t") + width, F.col(what)).otherwise(0))
+    sums = [up_to(c, w).alias(f"{x}_{c}") for c in ("n", "pos") for x, w in (("at", 0.0), ("past", embargo))] + [F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos")]
+    sums = met.groupBy("wave_t").agg(*sums)
+    a, b = (sums.select(*[F.col(c).alias(f"{s}_{c}") for c in sums.columns]) for s in "ab")
+    cuts = a.join(b, F.col("a_wave_t") < F.col("b_wave_t"))
+    figures = {}
+    for c, name in (("n", "rows"), ("pos", "positives")):
+        figures |= {f"train_{name}": F.col(f"a_at_{c}"), f"val_{name}": F.greatest(F.lit(0), F.col(f"b_at_{c}") - F.col(f"a_past_{c}")), f"test_{name}": F.col(f"b_all_{c}") - F.col(f"b_past_{c}")}
+    out = cuts.select(F.col("a_wave_t").alias("train_end"), F.col("b_wave_t").alias("val_end"), *[figures[f"{b}_{x}"].cast("long").alias(f"{b}_{x}") for b in ("train", "val", "test") for x in ("rows", "positives")], F.col("a_all_n").alias("_all"))
+    out = out.withColumn("embargoed", F.col("_all") - F.col("train_rows") - F.col("val_rows") - F.col("test_rows")).drop("_all")
     reason = F.when(F.col("train_rows") == 0, "train is empty").when(F.col("val_rows") == 0, "val is empty").when(F.col("test_rows") == 0, "test is empty")
     for b in ("val", "test"):
         reason = reason.when((F.col(f"{b}_positives") == 0) | (F.col(f"{b}_positives") == F.col(f"{b}_rows")), f"{b} has one class")
@@ -131,11 +150,18 @@ def fold_table(rows: DataFrame, embargo: float, until: Column | None = None) ->
 
 
 def fold_rows(rows: DataFrame, folds: DataFrame, embargo: float) -> DataFrame:
-    """rows of each fold with part: train, or val for those after the embargo and up to val_start."""
+    """rows of each fold with part: train, or val for those after the embargo and up to val_start.
+
+    Instants are matched with folds (both few); the rows then join by their instant.
+    """
+    return rows.join(fold_instants(rows, folds, embargo), "t")
+
+
+def fold_instants(rows: DataFrame, folds: DataFrame, embargo: float) -> DataFrame:
+    """t with the columns of each fold it belongs to, and part."""
     at = seconds("t")
     train, val = at <= seconds("train_end"), (at > seconds("train_end") + embargo) & (at <= seconds("val_start"))
-    met = rows.join(F.broadcast(folds), train | val)
-    return met.withColumn("part", F.when(train, "train").otherwise("val"))
+    return rows.select("t").distinct().join(folds, train | val).withColumn("part", F.when(train, "train").otherwise("val"))
 
 
 def fold_sizes(rows: DataFrame, embargo: float) -> DataFrame:

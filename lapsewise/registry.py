@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,7 +95,7 @@ def _(s, d):
 
 @query("s14_newest_run", V.sql("SELECT max(day)::VARCHAR AS newest FROM log"))
 def _(s, d):
-    return V.run_log(V.seen(s, d)).agg(F.max(F.to_date("started_at")).cast("string").alias("newest"))
+    return crawls.newest_run(V.run_log(V.seen(s, d)))
 
 
 @query("s16_ledger_upsert", """
@@ -105,12 +106,6 @@ def _(s, d):
     return crawls.upsert_ledger(rows.where("recorded_at % 2 = 0"), rows.where("recorded_at % 2 = 1"))
 
 
-@query("s7_payload_counts", "SELECT event_type, count(*) AS jobs, sum((props->>'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
-def _(s, d):
-    rows = s.read.parquet(f"{d}/events.parquet")
-    return rows.withColumn("p", F.from_json("props", "k long")).groupBy("event_type").agg(F.count("*").alias("jobs"), F.sum("p.k").alias("k"))
-
-
 # ---- panel --------------------------------------------------------------------------------------------------------
 
 
@@ -119,10 +114,11 @@ def _(s, d):
     return panel.complete_runs(V.run_log(V.seen(s, d))).select("run_id", "source", day("t"), "run_index")
 
 
-@query("j2_unrecorded_runs", V.sql("SELECT r.source, r.run_index FROM runs r WHERE NOT EXISTS (SELECT 1 FROM obs0 o WHERE o.source = r.source AND o.day = r.t AND o.user_id % 10 < 2)"))
+@query("j2_unrecorded_runs", V.sql("SELECT r.source, r.run_index FROM runs r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE 'board:' || (e.user_id % 5) = r.source AND e.ts::DATE = r.t AND e.event_type = 'error' AND e.value >= 20)"))
 def _(s, d):
     rows = V.seen(s, d)
-    return panel.unrecorded_runs(panel.complete_runs(V.run_log(rows)), rows.where("user_id % 10 < 2")).select("source", "run_index")
+    sightings = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error' and value >= 20").select(F.concat(F.lit("board:"), (F.col("user_id") % 5).cast("string")).alias("source"), F.to_date("ts").cast("timestamp").alias("observed_at"))
+    return panel.unrecorded_runs(panel.complete_runs(V.run_log(rows)), sightings).select("source", "run_index")
 
 
 for _h in (1, 3, 7):
@@ -308,10 +304,10 @@ def _(s, d):
 EMBARGO = 7 * 86_400.0
 
 
-@query("w7_crawl_waves", "WITH t AS (SELECT DISTINCT ts AS t FROM events WHERE user_id % 10 = 3), f AS (SELECT t, CASE WHEN epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t)) > 3600000000 THEN 1 ELSE 0 END AS n FROM t), w AS (SELECT t, sum(n) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT wave, count(*) AS instants, epoch_us(max(t)) AS wave_end FROM w GROUP BY wave")
+@query("w7_crawl_waves", "WITH t AS (SELECT DISTINCT ts AS t FROM events WHERE event_type = 'error'), f AS (SELECT t, CASE WHEN epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t)) > 3600000000 THEN 1 ELSE 0 END AS n FROM t), w AS (SELECT t, sum(n) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT wave, count(*) AS instants, epoch_us(max(t)) AS wave_end FROM w GROUP BY wave")
 def _(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = s.read.parquet(f"{d}/events.parquet").where("user_id % 10 = 3").select(F.col("ts").cast("timestamp").alias("t"))
+    rows = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("t"))
     return waves.crawl_waves(rows).groupBy("wave").agg(F.count("*").alias("instants"), F.unix_micros(F.max("t")).alias("wave_end"))
 
 
@@ -428,12 +424,12 @@ def _(s, d):
     return metrics.at_budget(known(s, d), "source").select("source", "threshold", "tp", "fp", r("lift"), r("ndcg"))
 
 
-@query("m8_full_record")
+@query("m8_full_record", V.sql(SWEEP + ", b AS (SELECT source, avg(pow(score - y, 2)) AS brier FROM known GROUP BY source) SELECT rk.source, rk.n, positives, round(rk.ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, round(brier, 6) AS brier, threshold, th.cp AS tp, th.cn - th.cp AS fp, th.ap - th.cp AS fn, round((th.cp::DOUBLE / th.cn) / (th.ap::DOUBLE / th.an), 6) AS lift FROM rk JOIN b ON b.source = rk.source JOIN th ON th.source = rk.source WHERE budget = 20"))
 def _(s, d):
-    return metrics.evaluate(known(s, d), "source")
+    return metrics.evaluate(known(s, d), "source").select("source", "n", "positives", r("pr_auc"), r("roc_auc"), r("brier"), "threshold", "tp", "fp", "fn", r("lift"))
 
 
-BOOT = """, cl AS (SELECT source, source_id, row_number() OVER (ORDER BY source || '|' || source_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT source, source_id FROM known)),
+BOOT = """, cl AS (SELECT source, source_id, row_number() OVER (ORDER BY substr(md5(source || '|' || source_id), 1, 4), source || '|' || source_id) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT source, source_id FROM known)),
 dr AS (SELECT b.range AS b, ('0x' || substr(md5('b|' || b.range || '|' || i), 1, 8))::BIGINT % m AS i FROM cl CROSS JOIN range(50) b), wt AS (SELECT b, i, count(*) AS w FROM dr GROUP BY b, i),
 bt AS (SELECT wt.b, k.score, sum(w)::BIGINT AS n, sum(w * y)::BIGINT AS p FROM wt JOIN cl ON cl.i = wt.i JOIN known k ON k.source = cl.source AND k.source_id = cl.source_id GROUP BY wt.b, k.score),
 bc AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY b) AS ap FROM bt WINDOW w AS (PARTITION BY b ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
@@ -450,9 +446,17 @@ def _(s, d):
     return metrics.intervals(metrics.bootstrap(known(s, d), 50), ["pr_auc"]).select("metric", r("low"), r("high"), "resamples")
 
 
-@query("m14_evidence_by_source")
+BOOT_BY = """, cl AS (SELECT source, source_id, row_number() OVER (PARTITION BY source ORDER BY substr(md5(source || '|' || source_id), 1, 4), source || '|' || source_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM (SELECT DISTINCT source, source_id FROM known)),
+dr AS (SELECT source, b.range AS b, ('0x' || substr(md5('b|' || source || '|' || b.range || '|' || i), 1, 8))::BIGINT % m AS i FROM cl CROSS JOIN range(500) b), wt AS (SELECT source, b, i, count(*) AS w FROM dr GROUP BY ALL),
+bt AS (SELECT wt.source, wt.b, k.score, sum(w)::BIGINT AS n, sum(w * y)::BIGINT AS p FROM wt JOIN cl ON cl.i = wt.i AND cl.source = wt.source JOIN known k ON k.source = cl.source AND k.source_id = cl.source_id GROUP BY ALL),
+bc AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY source, b) AS ap FROM bt WINDOW w AS (PARTITION BY source, b ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+bo AS (SELECT source, b, sum(p)::BIGINT AS positives, sum(p::DOUBLE / ap * cp / cn) AS pr_auc FROM bc GROUP BY ALL),
+ci AS (SELECT source, quantile_cont(pr_auc, 0.025) AS low, quantile_cont(pr_auc, 0.975) AS high, count(*) AS resamples FROM bo WHERE positives > 0 GROUP BY source) """
+
+
+@query("m14_evidence_by_source", V.sql(rank_sql("known", "source") + BOOT_BY + ", ps AS (SELECT source, count(DISTINCT source_id) AS postings FROM known GROUP BY source) SELECT rk.source, n, positives, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, postings, round(low, 6) AS low, round(high, 6) AS high, resamples, positives < 30 AS fragile FROM rk JOIN ps ON ps.source = rk.source LEFT JOIN ci ON ci.source = rk.source"))
 def _(s, d):
-    return metrics.evaluate_with_evidence(known(s, d), "source", 50)
+    return metrics.evaluate_with_evidence(known(s, d), "source", 500).select("source", "n", "positives", r("pr_auc"), r("roc_auc"), "postings", r("low"), r("high"), "resamples", "fragile")
 
 
 @query("a15_constant_reference", V.sql("SELECT count(*) AS n, sum(y)::BIGINT AS positives, round(avg(y), 6) AS base_rate, round(avg(y), 6) AS pr_auc, 0.5::DOUBLE AS roc_auc, round(avg(y) * (1 - avg(y)), 6) AS brier FROM known"))
@@ -512,9 +516,19 @@ def _(s, d):
     return experiments.age_rank(known(s, d), "source").select("source", "n", "positives", r("base_rate"), r("oldest_first"), r("youngest_first"))
 
 
-@query("l14_rolling_age_rank")
+ROLLED = CUTS + ", lt AS (SELECT ve, max(te) AS te FROM vcut WHERE reason = 'ok' GROUP BY ve), old AS (SELECT ve, y, coalesce(age_days, 'inf'::DOUBLE) AS score FROM lt JOIN known k ON k.t > te + 7 AND k.t <= ve), young AS (SELECT ve, y, -score AS score FROM old)"
+
+
+def second(ranked: str) -> str:
+    """The CTEs of rank_sql under other names."""
+    for name in ("ds", "cu", "rk"):
+        ranked = re.sub(rf"\b{name} AS|(?<=FROM ){name}\b", lambda m: m[0].replace(name, f"{name}2"), ranked)
+    return ranked
+
+
+@query("l14_rolling_age_rank", V.sql(ROLLED + rank_sql("old", "ve") + second(rank_sql("young", "ve")) + "SELECT a.ve::VARCHAR AS val_end, a.n, a.positives, round(a.ap, 6) AS oldest_first, round(b.ap, 6) AS youngest_first FROM rk a JOIN rk2 b ON a.ve = b.ve"))
 def _(s, d):
-    return experiments.rolling_age_rank(V.labelled_panel(s, d), EMBARGO).select(day("val_end"), "n", "positives", "oldest_first", "youngest_first")
+    return experiments.rolling_age_rank(V.labelled_panel(s, d), EMBARGO).select(day("val_end"), "n", "positives", r("oldest_first"), r("youngest_first"))
 
 
 @query("l15_cohort_verdict", V.sql(", g AS (SELECT cohort, sum(y)::DOUBLE AS p, avg(y) AS r FROM kc GROUP BY cohort), z AS (SELECT max(r) FILTER (cohort = 'entrant') AS e, max(r) FILTER (cohort = 'incumbent') AS i, max(p) FILTER (cohort = 'entrant') / sum(p) AS sh FROM g) SELECT round(e, 6) AS entrant_rate, round(i, 6) AS incumbent_rate, round(sh, 6) AS entrant_share, round(e / i, 6) AS ratio, CASE WHEN coalesce(e / i >= 10 OR (sh >= 0.9 AND i <= 0.1), false) THEN 'cohorts differ' ELSE 'cohorts alike' END AS status FROM z"))
@@ -572,10 +586,10 @@ def _(s, d):
     return models.numeric_statistics(split_rows(s, d).where("split = 'train'"), ["age_days"]).select("feature", r("fill"), r("mean"), r("sd"))
 
 
-@query("x7_single_feature_ceiling")
+@query("x7_single_feature_ceiling", V.sql(SPLIT + ", e AS (SELECT list_distinct(quantile_cont(age_days, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM ss WHERE split = 'train'), bn AS (SELECT ss.*, CASE WHEN age_days IS NULL THEN -1 ELSE len(list_filter(e, lambda x: age_days > x)) END AS k FROM ss CROSS JOIN e), h AS (SELECT k, avg(y) AS hz FROM bn WHERE split = 'train' GROUP BY k) SELECT v.source, v.source_id, v.run_index, round(coalesce(hz, (SELECT avg(y) FROM bn WHERE split = 'train')), 6) AS score FROM bn v LEFT JOIN h ON h.k = v.k WHERE split = 'val'"))
 def _(s, d):
     rows = split_rows(s, d)
-    return models.QuantileRates("age_days").fit(rows.where("split = 'train'")).predict(rows.where("split = 'val'")).select("source", "source_id", "run_index", "score")
+    return models.QuantileRates("age_days").fit(rows.where("split = 'train'")).predict(rows.where("split = 'val'")).select("source", "source_id", "run_index", r("score"))
 
 
 @query("x8_logistic_ladder")
@@ -599,11 +613,12 @@ def _(s, d):
     return scoring.validate(V.labelled_panel(s, d).select("source_id", "run_index", "title", "location"), extra=("source_id", "run_index")).select("source_id", "run_index", "error_code")
 
 
-@query("t4_board_snapshot", V.sql("SELECT source_id, count(*) OVER () AS board_size_at_t, count(*) OVER (PARTITION BY title) AS n_same_title_on_board, CASE WHEN requisition_id IS NOT NULL THEN count(*) OVER (PARTITION BY requisition_id) END AS n_same_req_on_board, count(*) OVER () - 3 AS board_growth FROM feat WHERE source = 'board:1' AND t = (SELECT max(t) FROM feat WHERE source = 'board:1')"))
+@query("t4_board_snapshot", V.sql(", l AS (SELECT source, max(t) AS t FROM feat GROUP BY source) SELECT f.source, source_id, count(*) OVER (PARTITION BY f.source) AS board_size_at_t, count(*) OVER (PARTITION BY f.source, title) AS n_same_title_on_board, CASE WHEN requisition_id IS NOT NULL THEN count(*) OVER (PARTITION BY f.source, requisition_id) END AS n_same_req_on_board, count(*) OVER (PARTITION BY f.source) - length(f.source) AS board_growth FROM feat f JOIN l ON l.source = f.source AND l.t = f.t"))
 def _(s, d):
-    rows = V.labelled_panel(s, d).where("source = 'board:1'")
-    board = rows.join(F.broadcast(rows.agg(F.max("t").alias("_t"))), F.col("t") == F.col("_t"), "left_semi")
-    return scoring.board_context(board, previous_size=3).select("source_id", "board_size_at_t", "n_same_title_on_board", "n_same_req_on_board", "board_growth")
+    rows = V.labelled_panel(s, d)
+    last = rows.groupBy("source").agg(F.max("t").alias("t"))
+    before = last.select("source", F.length("source").cast("long").alias("previous_size"))
+    return scoring.board_context(rows.join(last, ["source", "t"]), before).select("source", "source_id", "board_size_at_t", "n_same_title_on_board", "n_same_req_on_board", "board_growth")
 
 
 @query("r1_stream_ingest", V.sql("SELECT source, day::VARCHAR AS day, count(*) AS postings FROM obs0 GROUP BY ALL"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,19 @@ def write_archive(archive: DataFrame, path: str) -> dict[str, int]:
     return {name: spark.read.parquet(f"{path}/{name}").count() for name in ("fields", "bodies")}
 
 
+def newest_run(runs: DataFrame) -> DataFrame:
+    """newest: the date of the last run inside the data."""
+    return runs.agg(F.max(F.to_date("started_at")).cast("string").alias("newest"))
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> str | None:
+    """The folder under path with the latest date (yyyy-mm-dd) as its name; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()]
+    dated = [n for n in names if re.fullmatch(r"\d{4}-\d{2}-\d{2}", n)]
+    return f"{path.rstrip('/')}/{max(dated)}" if dated else None
+
+
 def attach_source(archive: DataFrame, jobs: DataFrame) -> DataFrame:
     """archive with the smallest source that knows each source_id."""
     return archive.join(jobs.groupBy("source_id").agg(F.min("source").alias("source")), "source_id", "left")

@@ -44,7 +44,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lapsewise-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lapsewise-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -59,3 +63,40 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ingest(rows, "40 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint(spark)).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).groupBy("source", F.to_date("observed_at").cast("string").alias("day")).agg(F.count("*").alias("postings"))
+
+
+def written(stream: DataFrame, lateness_mark: str, mode: str = "append") -> DataFrame:
+    """The finished rows of a stream, written to the shared folder and read again. Rows of windows that the watermark has not passed yet stay out."""
+    spark = stream.sparkSession
+    out = f"{checkpoint(spark)}-{lateness_mark}"
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint(spark)).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def marked(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
+    """The events as a stream, followed by one row far ahead, source null, whose time closes every window before it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    at = f"{checkpoint(spark)}-events"
+    events.write.parquet(f"{at}/a")
+    ahead = events.agg((F.max("ts") + F.expr(f"interval {late}")).alias("ts"))
+    ahead.select(F.lit(None).cast("long").alias("user_id"), "ts", F.lit(None).cast("string").alias("event_type")).coalesce(1).write.parquet(f"{at}/b")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+    return raw
+
+
+def board_size_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings by source and day, each posting once a day, from windows that the watermark has closed."""
+    raw = marked(spark, sf_dir, "100 days").withColumn("observed_at", F.date_trunc("day", "ts"))
+    source = F.concat(F.lit("board:"), (F.col("user_id") % 5).cast("string"))
+    rows = raw.select(source.alias("source"), F.col("user_id").cast("string").alias("source_id"), "observed_at").withWatermark("observed_at", "40 days").dropDuplicates(["source", "observed_at", "source_id"])
+    sized = rows.groupBy(F.window("observed_at", "1 day").alias("w"), "source").agg(F.approx_count_distinct("source_id").alias("postings"), F.count("*").alias("sightings"))
+    return written(sized, "sizes").where("source is not null").select("source", F.to_date("w.start").cast("string").alias("day"), "sightings")
+
+
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of the error events as closed sessions: their last instant and number of instants."""
+    raw = marked(spark, sf_dir, "100 days").where("event_type = 'error' or event_type is null").select(F.col("ts").alias("t"), "event_type")
+    out = written(crawl_sessions(raw, "40 days"), "sessions")
+    return out.select(F.unix_micros("wave_t").alias("wave_end"), "crawls")
