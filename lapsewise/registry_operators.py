@@ -10,29 +10,29 @@ import datetime as dt
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.functions import clean
 from lapsewise.operators import audit, experiments, features, metrics, models, panel, scoring, waves
 from lapsewise.plans import crawl_view as V
-from lapsewise.registry import BOOT, CUTS, EMBARGO, FOLDS, SPLIT, crawl_tables, fold_metric, known, query, r, rank_sql, second, split_rows
+from lapsewise.registry import BOOT, CUTS, EMBARGO, FOLDS, SPLIT, crawl_tables, known, query, r, rank_sql, second, split_rows
 from lapsewise.registry import day as as_day
 from lapsewise.sources import crawls
 from lapsewise.streaming import streams
 
 
-def scored_by(score: Column) -> Pipeline:
+def scored_by(score: str) -> Pipeline:
     """A pipeline whose only stage gives this score as the probability."""
 
     def add(df: DataFrame) -> DataFrame:
-        p = score.cast("double")
+        p = F.expr(score).cast("double")
         return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
 
     return Pipeline(stages=[models.Derive(add)])
 
 
-AGE, FIXED = F.col("age_days") / 1000, (F.col("run_index") * 13 % 17) / 17.0
+AGE, FIXED = "age_days / 1000", "cast(run_index * 13 % 17 as double) / 17"
 AGE_SQL, FIXED_SQL = "age_days / 1000", "(run_index * 13 % 17) / 17.0"
 
 
@@ -40,6 +40,13 @@ def folder(s: SparkSession, name: str) -> str:
     return f"{streams.checkpoint(s)}-{name}"
 
 
+def stored(s: SparkSession, df: DataFrame) -> DataFrame:
+    """df written and read again, for what runs several jobs on it."""
+    at = folder(s, "stored")
+    df.write.parquet(at)
+    return s.read.schema(df.schema).parquet(at)
+
+
 # ---- sources on files ---------------------------------------------------------------------------------------------
 
 
@@ -219,13 +226,13 @@ df AS (SELECT waves, s * 86400.0 AS spacing_seconds, burnt, 2 + 2 * burnt AS nee
 
 @query("l9_depth", V.sql(DEPTH + " SELECT waves, spacing_seconds::DOUBLE AS spacing_seconds, burnt, needed, needed_for_folds, greatest(0, needed - waves) AS short, greatest(0, needed_for_folds - waves) AS short_for_folds FROM df"))
 def _(s, d):
-    found = waves.depth(V.labelled_panel(s, d), 7)
+    found = waves.depth(stored(s, V.labelled_panel(s, d)), 7)
     return s.createDataFrame([found], "waves long, spacing_seconds double, burnt long, needed long, needed_for_folds long, short long, short_for_folds long")
 
 
 @query("l8_rolling_origin_folds", V.sql(DEPTH + CUTS + " SELECT te::VARCHAR AS train_end, ve::VARCHAR AS val_end, greatest(0, (SELECT count(*) FROM att WHERE t <= te) - burnt) AS folds FROM vcut CROSS JOIN df WHERE reason = 'ok'"))
 def _(s, d):
-    rows = V.labelled_panel(s, d)
+    rows = stored(s, V.labelled_panel(s, d))
     burnt = waves.depth(rows, 7)["burnt"]
     cuts = waves.feasible_cuts(rows, EMBARGO).where("valid").select("train_end", "val_end")
     at = waves.crawl_waves(rows.where("label_observable")).select("wave_t").distinct()
@@ -235,7 +242,7 @@ def _(s, d):
 
 @query("l10_accrual", V.sql(DEPTH + ", nw AS (SELECT max(t) AS newest FROM feat) SELECT newest::VARCHAR AS newest, 5 * 86400.0 > 2 * spacing_seconds AS stalled, floor(5 * 86400.0 / spacing_seconds)::BIGINT AS missed, CASE WHEN 5 * 86400.0 <= 2 * spacing_seconds OR short_ = 0 THEN NULL ELSE 'never while stalled' END AS clear FROM (SELECT *, greatest(0, needed - waves) AS short_ FROM df) CROSS JOIN nw"))
 def _(s, d):
-    rows = V.labelled_panel(s, d)
+    rows = stored(s, V.labelled_panel(s, d))
     found, newest = waves.depth(rows, 7), rows.agg(F.max("t")).first()[0]
     status = waves.accrual_status(newest, found["spacing_seconds"], newest + dt.timedelta(days=5))
     clear = waves.projected_clear(newest, int(found["short"]), found["spacing_seconds"], bool(status["stalled"]))
@@ -251,27 +258,13 @@ def wider(sql: str) -> str:
 @query("l12_readiness", V.sql(DEPTH + wider(CUTS) + wider(FOLDS) + """
 SELECT waves, CASE WHEN needed > waves THEN 'too shallow' WHEN (SELECT count(*) FROM vcut WHERE reason = 'ok') = 0 THEN 'no legal cut' WHEN (SELECT max(f) FROM (SELECT (SELECT count(*) FROM fo WHERE fo.vs <= vcut.te) AS f FROM vcut WHERE reason = 'ok')) >= 3 THEN 'ready' ELSE 'no folds' END AS status FROM df"""))
 def _(s, d):
-    rows = V.labelled_panel(s, d)
+    rows = stored(s, V.labelled_panel(s, d))
     now = rows.agg(F.max("t")).first()[0] + dt.timedelta(hours=12)
     return s.createDataFrame([(waves.depth(rows, 7)["waves"], waves.readiness(rows, 7, now))], "waves long, status string")
 
 
 # ---- models around fixed scores -----------------------------------------------------------------------------------
 
-FV = FOLDS + ", fv AS (SELECT fold, source, source_id, t, y, score, age_days, run_index FROM fo JOIN known ON t > te + 7 AND t <= vs), "
-
-
-def folds_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = known(s, d)
-    return rows, waves.fold_table(rows, EMBARGO)
-
-
-@query("x10_cross_validate", V.sql(FV + f"a AS {fold_metric(AGE_SQL)}, two AS (SELECT fold FROM fo JOIN known k ON k.t <= te GROUP BY fold HAVING count(DISTINCT y) = 2) SELECT a.fold, CASE WHEN two.fold IS NOT NULL THEN round(pr_auc, 6) END AS pr_auc FROM a LEFT JOIN two ON two.fold = a.fold"))
-def _(s, d):
-    rows, folds = folds_of(s, d)
-    return models.cross_validate(rows, folds, EMBARGO, lambda: scored_by(AGE)).select("fold", r("pr_auc"))
-
-
 VAL = "vl AS (SELECT * FROM ss WHERE split = 'val')"
 
 
@@ -280,51 +273,25 @@ def whole(rows: str, score: str, name: str) -> str:
     return f"{name} AS (SELECT sum(p::DOUBLE / a * cp / cn) AS ap FROM (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS a FROM (SELECT {score} AS s, count(*) AS n, sum(y)::BIGINT AS p FROM {rows} GROUP BY ALL) WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)))"
 
 
-@query("x11_compare", V.sql(SPLIT + FV + f"{VAL}, two AS (SELECT fold FROM fo JOIN known k ON k.t <= te GROUP BY fold HAVING count(DISTINCT y) = 2), a AS {fold_metric(AGE_SQL)}, b AS {fold_metric(FIXED_SQL)}, {whole('vl', AGE_SQL, 'wa')}, {whole('vl', FIXED_SQL, 'wb')} "
-    + " UNION ALL ".join(f"SELECT '{n}' AS candidate, (SELECT count(*) FROM {f}) AS folds, count(pr_auc) AS scored, round(avg(pr_auc), 6) AS mean, round(stddev_samp(pr_auc), 6) AS sd, round((SELECT ap FROM {w}), 6) AS pr_auc FROM {f} WHERE fold IN (SELECT fold FROM two)" for n, f, w in (("age", "a", "wa"), ("fixed", "b", "wb")))))
-def _(s, d):
-    rows, folds = folds_of(s, d)
-    split = split_rows(s, d).select("source", "source_id", "run_index", "split")
-    rows = rows.join(split, ["source", "source_id", "run_index"], "left")
-    out = models.compare(rows, folds, EMBARGO, {"age": lambda: scored_by(AGE), "fixed": lambda: scored_by(FIXED)})
-    return out.select("candidate", "folds", "scored", r("mean"), r("sd"), r("pr_auc"))
-
-
 @query("x13_both_blocks", V.sql(SPLIT + ", sc AS (SELECT split, y, age_days / 1000 AS score FROM ss WHERE split IN ('train', 'val'))" + rank_sql("sc", "split") + "SELECT split, n, positives, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, round((SELECT ap FROM rk WHERE split = 'train') - (SELECT ap FROM rk WHERE split = 'val'), 6) AS gap FROM rk"))
 def _(s, d):
-    return models.fit_and_score(split_rows(s, d), scored_by(AGE)).select("split", "n", "positives", r("pr_auc"), r("roc_auc"), r("gap"))
+    return models.fit_and_score(stored(s, split_rows(s, d)), scored_by(AGE)).select("split", "n", "positives", r("pr_auc"), r("roc_auc"), r("gap"))
 
 
 @query("x15_sweep", V.sql(SPLIT + f", tr AS (SELECT * FROM ss WHERE split = 'train'), {VAL}, {whole('tr', AGE_SQL, 'ta')}, {whole('vl', AGE_SQL, 'va')}, {whole('tr', FIXED_SQL, 'tb')}, {whole('vl', FIXED_SQL, 'vb')} "
     + " UNION ALL ".join(f"SELECT '{n}' AS setting, round(t.ap, 6) AS train_pr_auc, round(v.ap, 6) AS val_pr_auc, round(t.ap - v.ap, 6) AS gap FROM {t} t CROSS JOIN {v} v" for n, t, v in (("age", "ta", "va"), ("fixed", "tb", "vb")))))
 def _(s, d):
-    out = models.sweep(split_rows(s, d), {"age": lambda: scored_by(AGE), "fixed": lambda: scored_by(FIXED)})
+    out = models.sweep(stored(s, split_rows(s, d)), {"age": lambda: scored_by(AGE), "fixed": lambda: scored_by(FIXED)})
     return out.select("setting", r("train_pr_auc"), r("val_pr_auc"), r("gap"))
 
 
-CONTEXT = F.coalesce(F.col("board_size_at_t"), F.lit(0)) * 1e-6 + FIXED
-
-
-@query("x16_board_context_folds", V.sql(FOLDS + f", bx AS (SELECT *, count(*) OVER (PARTITION BY source, run_index) AS bs FROM feat), fv AS (SELECT fold, y, bs * 1e-6 + {FIXED_SQL} AS c, {FIXED_SQL} AS score FROM fo JOIN (SELECT * FROM bx WHERE label_observable) ON t > te + 7 AND t <= vs), two AS (SELECT fold FROM fo JOIN known k ON k.t <= te GROUP BY fold HAVING count(DISTINCT y) = 2), a AS {fold_metric('c')}, b AS {fold_metric('score')} SELECT a.fold, round(a.pr_auc, 6) AS with_context, round(b.pr_auc, 6) AS context_nulled, round(a.pr_auc - b.pr_auc, 6) AS difference FROM a JOIN b ON a.fold = b.fold JOIN two ON two.fold = a.fold WHERE a.pr_auc IS NOT NULL"))
-def _(s, d):
-    rows = panel.with_board_context(V.labelled_panel(s, d)).where("label_observable")
-    out = experiments.board_context_folds(rows, waves.fold_table(rows, EMBARGO), EMBARGO, lambda: scored_by(CONTEXT))
-    return out.where("with_context is not null").select("fold", r("with_context"), r("context_nulled"), r("difference"))
-
-
-@query("x18_tuned", V.sql(FV + f"two AS (SELECT fold FROM fo JOIN known k ON k.t <= te GROUP BY fold HAVING count(DISTINCT y) = 2), a AS {fold_metric(AGE_SQL)}, b AS {fold_metric(FIXED_SQL)} " + " UNION ALL ".join(f"SELECT '{n}' AS setting, (SELECT count(*) FROM {f}) AS folds, round(avg(pr_auc), 6) AS mean FROM {f} WHERE fold IN (SELECT fold FROM two)" for n, f in (("age", "a"), ("fixed", "b")))))
-def _(s, d):
-    rows, folds = folds_of(s, d)
-    return experiments.tune(rows, folds, EMBARGO, {"age": lambda: scored_by(AGE), "fixed": lambda: scored_by(FIXED)}).select("setting", "folds", r("mean"))
-
-
 @query("x2_prepared", V.sql(SPLIT + """, tr AS (SELECT * FROM ss WHERE split = 'train'), st AS (SELECT median(age_days) AS m, avg(age_days) AS a, stddev_pop(age_days) AS sd FROM tr),
 lv AS (SELECT title FROM tr GROUP BY title HAVING count(*) >= 5), li AS (SELECT title, row_number() OVER (ORDER BY title) AS k FROM lv)
 SELECT v.source_id, v.run_index, round((coalesce(age_days, m) - a) / sd, 6) AS age, coalesce(li.k, 0)::BIGINT AS level FROM ss v CROSS JOIN st LEFT JOIN li ON li.title = v.title WHERE split = 'val'"""))
 def _(s, d):
     from pyspark.ml.functions import vector_to_array
 
-    rows = split_rows(s, d)
+    rows = stored(s, split_rows(s, d))
     out = models.Prepare(["age_days"], ["title"]).fit(rows.where("split = 'train'")).transform(rows.where("split = 'val'")).withColumn("f", vector_to_array("features"))
     level = F.array_position(F.slice("f", 2, F.greatest(F.lit(1), F.size("f") - 1)), F.lit(1.0))
     return out.select("source_id", "run_index", F.round(F.get("f", F.lit(0)), 6).alias("age"), level.cast("long").alias("level"))
@@ -351,9 +318,9 @@ def _(s, d):
 
 @query("x20_leak_delta", V.sql(SPLIT + f", {VAL}, {whole('vl', AGE_SQL, 'wa')}, {whole('vl', FIXED_SQL, 'wb')}, {whole('vl', 'score', 'wc')} SELECT round(wa.ap, 6) AS honest, round(wb.ap, 6) AS leaked, round(wc.ap, 6) AS after_removal, round(wb.ap - wa.ap, 6) AS inflation, round(wb.ap - wc.ap, 6) AS restored FROM wa, wb, wc"))
 def _(s, d):
-    val, out = split_rows(s, d).where("split = 'val'"), None
-    for score, leaky, removed in ((AGE, False, False), (FIXED, True, False), (F.col("score"), False, True)):
-        one = metrics.ranking(metrics.distinct_scores(val.withColumn("score", score))).select(F.lit(leaky).alias("leaky"), F.lit(removed).alias("removed"), "pr_auc")
+    val, out = stored(s, split_rows(s, d)).where("split = 'val'"), None
+    for score, leaky, removed in ((AGE, False, False), (FIXED, True, False), ("score", False, True)):
+        one = metrics.ranking(metrics.distinct_scores(val.withColumn("score", F.expr(score)))).select(F.lit(leaky).alias("leaky"), F.lit(removed).alias("removed"), "pr_auc")
         out = one if out is None else out.unionByName(one)
     return experiments.leak_delta(out).select(*[r(c) for c in ("honest", "leaked", "after_removal", "inflation", "restored")])
 
@@ -362,12 +329,12 @@ FROZEN = SPLIT + """, va AS (SELECT *, age_days / 1000 AS s FROM ss WHERE split
 vc AS (SELECT s, sum(count(*)) OVER (ORDER BY s DESC) AS cn FROM va GROUP BY s), th AS (SELECT max(s) AS t FROM vc WHERE cn >= least((SELECT count(*) FROM va), 20)) """
 
 
-@query("x26_frozen", V.sql(FROZEN + "SELECT round(t, 6) AS threshold, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t AND y = 0) AS fp, count(*) FILTER (s < t AND y = 1) AS fn, count(*) FILTER (s < t AND y = 0) AS tn FROM te CROSS JOIN th GROUP BY t"))
+@query("x26_frozen", V.sql(FROZEN + "SELECT round(th.t, 6) AS threshold, count(*) FILTER (s >= th.t AND y = 1) AS tp, count(*) FILTER (s >= th.t AND y = 0) AS fp, count(*) FILTER (s < th.t AND y = 1) AS fn, count(*) FILTER (s < th.t AND y = 0) AS tn FROM te CROSS JOIN th GROUP BY th.t"))
 def _(s, d):
     kept = models.needs_recalibration
     try:
         models.needs_recalibration = lambda *a: False  # a fixed score stays as it is
-        frozen = experiments.freeze(split_rows(s, d), lambda: scored_by(AGE), resamples=20, blocks=("train", "val"))
+        frozen = experiments.freeze(stored(s, split_rows(s, d)), lambda: scored_by(AGE), resamples=20, blocks=("train", "val"))
     finally:
         models.needs_recalibration = kept
     return frozen.overall.withColumn("threshold", F.lit(frozen.threshold)).select(r("threshold"), "tp", "fp", "fn", "tn")
@@ -376,7 +343,7 @@ def _(s, d):
 @query("t10_ranked_upload", "SELECT p_brand AS source, p_partkey::VARCHAR AS client_id, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey::VARCHAR) AS place, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey::VARCHAR) <= 5 AS watch FROM part WHERE trim(coalesce(p_name, '')) <> ''")
 def _(s, d):
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("client_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("source"))
-    model = scored_by(F.col("title_chars") / 1000).fit(part)
+    model = scored_by("title_chars / 1000").fit(part)
     return scoring.rank_upload(part, model, "2024-02-01", budget=5).select("source", "client_id", "place", "watch")
 
 
@@ -406,7 +373,7 @@ def _(s, d):
 
 @query("x27_company_volume", V.sql(SPLIT + ", f AS (SELECT source, source_id, min(company) AS company FROM ss WHERE split = 'train' GROUP BY ALL), v AS (SELECT company, count(*) AS n FROM f GROUP BY company) SELECT s.source_id, s.run_index, coalesce(n, 0)::DOUBLE AS company_posting_volume FROM ss s LEFT JOIN v ON v.company = s.company WHERE split = 'val'"))
 def _(s, d):
-    rows = split_rows(s, d)
+    rows = stored(s, split_rows(s, d))
     return models.with_company_volume(rows.where("split = 'val'"), models.company_volume(rows.where("split = 'train'"))).select("source_id", "run_index", "company_posting_volume")
 
 
