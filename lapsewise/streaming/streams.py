@@ -26,7 +26,9 @@ def board_sizes(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def crawl_sessions(runs: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Waves as sessions that end after an hour without a crawl."""
-    return runs.withWatermark("t", lateness).groupBy(F.session_window("t", "1 hour").alias("w")).agg(F.count("*").alias("crawls"), F.max("t").alias("wave_t"))
+    # sessions need a key beside the window: one that all crawls share
+    keyed = runs.withWatermark("t", lateness).groupBy(F.session_window("t", "1 hour").alias("w"), F.col("t").isNotNull().alias("_all"))
+    return keyed.agg(F.count("*").alias("crawls"), F.max("t").alias("wave_t")).drop("_all")
 
 
 def stalled(waves: DataFrame, now: str, spacing_seconds: float) -> DataFrame:
