@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from lapsewise.llm.shared import _SPACE, Scratch, SpanHash, _LOWER, blocks, enco
 
 TOP, CLASSES, ROUNDS, KNOWN, LENGTHS = 1000, 40, 4, 1 << 18, 6
 #: Occurrences that put a word into a class, and rounds over all such words; evidence rows that a task gathers at once.
-LEAST, SPREAD, GATHERED = 5, 2, 4_000_000
+LEAST, SPREAD, GATHERED = 5, 2, 1_000_000
 KAPPA, HOLDOUT, MODULUS = 5.0, 2, 7
 
 
@@ -193,25 +194,45 @@ class Known:
         return np.insert(word, edges, 0), np.insert(at, edges, -1), np.insert(kind, edges, 0), np.insert(label, edges, self.size - 1)
 
 
-EVIDENCE = "word long, label int, code int, n long"
+EVIDENCE = "word long, label int, codes array<long>"
+#: Codes and counts share a long: code << COUNT | n.
+COUNT = 40
+
+
+def packed(word: np.ndarray | None, label: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Evidence sorted by word, label and code, in one row for each word, or label where there is no word."""
+    own = label if word is None else word
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
+    codes = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array((code << COUNT) + n, pa.int64()))
+    words = pa.nulls(len(first), pa.int64()) if word is None else pa.array(word[first], pa.int64())
+    return pa.RecordBatch.from_arrays([words, pa.array(label[first], pa.int32()), codes], ["word", "label", "codes"])
+
+
+def cells_of(joint: np.ndarray, size: int) -> pa.RecordBatch:
+    """Evidence of class bigrams."""
+    some = np.flatnonzero(joint)
+    return packed(None, some // size, some % size, joint[some])
 
 
 def gather(shared, with_words: bool):
     """Bigrams whose classes are all known here. word null: of two classes (label, code). Else of a word in class label:
     code is the class after it, size + the class before it, or 2 size for the word itself."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found, waiting = shared.value, [], 0
         size = known.size
         joint = np.zeros(size * size, np.int64)
 
-        def flush() -> pd.DataFrame:
-            key, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([f[1] for f in found])).astype(np.int64)
+        def flush() -> pa.RecordBatch:
+            keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(keys, kind="stable")  # sorted stretches, merged
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            key, n = keys[first], np.add.reduceat(counts[order], first)
             at = key // (2 * size + 1)
-            return pd.DataFrame({"word": known.word[at].astype(object), "label": known.label[at], "code": key % (2 * size + 1), "n": n})
+            return packed(known.word[at], known.label[at], key % (2 * size + 1), n)
 
-        for frame in blocks(frames):
+        for frame in blocks(batch.to_pandas() for batch in batches):
             _, at, _, label = known.symbols(encoded(frame["text"]))
             a, b, x, y = label[:-1], label[1:], at[:-1], at[1:]
             sure = (a >= 0) & (b >= 0)
@@ -228,8 +249,7 @@ def gather(shared, with_words: bool):
                     found, waiting = [], 0
         if waiting:
             yield flush()
-        some = np.flatnonzero(joint)
-        yield pd.DataFrame({"word": np.full(len(some), None), "label": some // size, "code": some % size, "n": joint[some]})
+        yield cells_of(joint, size)
 
     return run
 
@@ -248,25 +268,44 @@ def rare_pairs(shared):
     return run
 
 
-def either(pairs: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    """pairs with l1 and l2: the label in table (word, label) of the sides whose kind meets the condition, null for others.
+def both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs with l1 and l2: the label in table (word, label) of either side."""
+    columns = pairs.columns
+    for s in "12":
+        pairs = pairs.join(table.select(F.col("word").alias(f"w{s}"), F.col("label").alias(f"l{s}")), f"w{s}", "left")
+    return pairs.select(*columns, "l1", "l2")
 
-    Sides that need no join get a key by the other side, so that no key is frequent.
-    """
-    for own, other in ("12", "21"):
-        key = F.when(F.expr(f"k{own} {kind}"), F.col(f"w{own}")).otherwise(F.xxhash64(f"w{other}", f"w{own}"))
-        pairs = pairs.withColumn("key", key).join(table.select(F.col("word").alias("key"), F.col("label").alias(f"l{own}")), "key", "left").drop("key")
-        pairs = pairs.withColumn(f"l{own}", F.when(F.expr(f"k{own} {kind}"), F.col(f"l{own}")))
-    return pairs
+
+def either(pairs: DataFrame, table: DataFrame, kind: str) -> DataFrame:
+    """pairs (a written table) with l1 and l2: the label in table (word, label) of the sides whose kind meets the condition,
+    null for others. Only what needs a label is joined, and only with that side."""
+    first, second = F.expr(f"k1 {kind}"), F.expr(f"k2 {kind}")
+    table = table.select("word", "label")
+    none = pairs.where(~first & ~second).select("*", F.lit(None).cast("int").alias("l1"), F.lit(None).cast("int").alias("l2"))
+    one = pairs.where(first != second).withColumn("word", F.when(first, F.col("w1")).otherwise(F.col("w2"))).join(table, "word", "left")
+    one = one.select("w1", "k1", "w2", "k2", "n", F.when(first, F.col("label")).alias("l1"), F.when(second, F.col("label")).alias("l2"))
+    return none.unionByName(one).unionByName(both(pairs.where(first & second), table))
 
 
 def resolve(shared, with_words: bool):
     """Evidence as in gather, of pairs (w1, k1, l1, w2, k2, l2, n); kind -3: a word in a class that does not travel, its class joined."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, waiting = shared.value, [], 0
         size = known.size
-        for frame in frames:
+        joint = np.zeros(size * size, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            word, label, code, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((code, word))
+            word, label, code = word[order], label[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])]))
+            return packed(word[first], label[first], code[first], np.add.reduceat(n[order], first))
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            if not len(frame):
+                continue
             label, moves = [], []
             for s in "12":
                 kind, at = frame["k" + s].to_numpy(), lookup(known.word, frame["w" + s].to_numpy())
@@ -274,35 +313,60 @@ def resolve(shared, with_words: bool):
                 label.append(np.select([kind >= 0, kind == -1, kind == -2], [known.k + kind, place, size - 1], frame["l" + s].fillna(0).to_numpy().astype(np.int64)))
                 moves.append((kind == -3) | ((kind == -1) & ((known.n >= LEAST)[np.maximum(at, 0)] if len(known.n) else False)))
             (a, b), n = label, frame["n"].to_numpy()
-            joint = pd.DataFrame({"at": a * size + b, "n": n}).groupby("at", as_index=False).sum()
-            yield pd.DataFrame({"word": np.full(len(joint), None), "label": joint["at"] // size, "code": joint["at"] % size, "n": joint["n"]})
+            np.add.at(joint, a * size + b, n)
             if with_words:
-                same = (frame["w1"] == frame["w2"]).to_numpy() & moves[0] & moves[1]
+                w1, w2 = frame["w1"].to_numpy(), frame["w2"].to_numpy()
+                same = (w1 == w2) & moves[0] & moves[1]
                 first, second = moves[0], moves[1] & ~same
-                yield pd.DataFrame({"word": frame["w1"][first].astype(object), "label": a[first], "code": np.where(same, 2 * size, b)[first], "n": n[first]})
-                yield pd.DataFrame({"word": frame["w2"][second].astype(object), "label": b[second], "code": (size + a)[second], "n": n[second]})
+                found.append((w1[first], a[first], np.where(same, 2 * size, b)[first], n[first]))
+                found.append((w2[second], b[second], (size + a)[second], n[second]))
+                waiting += int(first.sum() + second.sum())
+                if waiting > GATHERED:
+                    yield flush()
+                    found, waiting = [], 0
+        if waiting:
+            yield flush()
+        yield cells_of(joint, size)
 
     return run
 
 
 def move(joint: np.ndarray, k: int):
-    """Best class of every word by its evidence (codes: code << 40 | n)."""
+    """Best class of every word by its evidence, whose rows come sorted by word; a word's sums go on from batch to batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(joint)
-        for frame in frames:
-            for i in range(0, len(frame), 5000):
-                part = frame.iloc[i : i + 5000]
-                at = part["label"].to_numpy().astype(np.int64)
-                packed = np.concatenate(part["codes"].to_list())
-                who = np.repeat(np.arange(len(part)), part["codes"].map(len))
-                dense = np.zeros((len(part), 2 * size + 1))
-                np.add.at(dense, (who, packed >> 40), packed & ((1 << 40) - 1))
-                gain = gains(joint, k, at, dense[:, :size], dense[:, size:-1], dense[:, -1])
-                best = gain.argmax(axis=1)
-                each, stay = np.arange(len(part)), np.minimum(at, k - 1)
-                best = np.where((at < k) & (gain[each, best] <= gain[each, stay] + 1e-9), at, best)
-                yield pd.DataFrame({"word": part["word"], "label": best})
+        width = 2 * size + 1
+        word, at, dense = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width))
+
+        def best() -> pa.RecordBatch:
+            gain = gains(joint, k, at, dense[:, :size], dense[:, size:-1], dense[:, -1])
+            top = gain.argmax(axis=1)
+            each, stay = np.arange(len(at)), np.minimum(at, k - 1)
+            top = np.where((at < k) & (gain[each, top] <= gain[each, stay] + 1e-9), at, top)
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(top, pa.int32())], ["word", "label"])
+
+        for batch in batches:
+            for i in range(0, len(batch), 5000):
+                part = batch.slice(i, 5000)
+                codes = part.column(2)
+                offsets = codes.offsets.to_numpy()
+                code = codes.values.to_numpy()[offsets[0] : offsets[-1]]
+                # the last word so far, then those of this part
+                words, labels, sums = np.append(word, part.column(0).to_numpy()), np.append(at, part.column(1).to_numpy()), dense
+                first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+                group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[len(word) :]
+                cell = np.repeat(group, np.diff(offsets)) * width + (code >> COUNT)
+                dense = np.bincount(cell, weights=code & ((1 << COUNT) - 1), minlength=len(first) * width).reshape(-1, width)
+                dense[: len(sums)] += sums
+                word, at = words[first], labels[first]
+                rest = word[-1:], at[-1:], dense[-1:]
+                if len(word) > 1:
+                    word, at, dense = word[:-1], at[:-1], dense[:-1]
+                    yield best()
+                word, at, dense = rest
+        if len(word):
+            yield best()
 
     return run
 
@@ -457,34 +521,35 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     if some_rarer:
         shared = spark.sparkContext.broadcast(state)
         two = training.mapInPandas(lambda f: rare_pairs(shared)(f), "w1 long, k1 int, w2 long, k2 int").groupBy("w1", "k1", "w2", "k2").agg(F.count("*").alias("n"))
-        two = either(two, scratch.table(labels, "rarer"), ">= 0")
+        raw = scratch.table(two, "rare-words")
+        two = either(raw, scratch.table(labels, "rarer"), ">= 0")
         for s in "12":  # a word of no class counts by its length alone
             two = two.withColumn(f"w{s}", F.when((F.col(f"k{s}") >= 0) & F.col(f"l{s}").isNull(), 0).otherwise(F.col(f"w{s}")))
             two = two.withColumn(f"k{s}", F.when(F.col(f"l{s}").isNotNull(), -3).otherwise(F.col(f"k{s}")))
         two = scratch.table(two.groupBy("w1", "k1", "w2", "k2").agg(F.sum("n").alias("n")), "rare-pairs")
+        scratch.drop(raw)
 
     best = None
     for turn in range(SPREAD + 1):
         shared, last = spark.sparkContext.broadcast(state), turn == SPREAD
-        rows = training.mapInPandas(lambda f, s=shared, w=not last: gather(s, w)(f), EVIDENCE)
+        rows = training.mapInArrow(lambda f, s=shared, w=not last: gather(s, w)(f), EVIDENCE)
         if some_rarer:
-            rows = rows.unionByName(either(two, labels, "= -3").mapInPandas(lambda f, s=shared, w=not last: resolve(s, w)(f), EVIDENCE))
-        if last:
-            rows = rows.groupBy("label", "code").agg(F.sum("n").alias("n"))
-            cells = rows.toPandas()
-        else:
-            rows = rows.groupBy("word", "label", "code").agg(F.sum("n").alias("n"))
-            rows = rows.groupBy("word", "label").agg(F.collect_list(F.col("code").cast("long") * (1 << 40) + F.col("n")).alias("codes"))
+            rows = rows.unionByName(either(two, labels, "= -3").mapInArrow(lambda f, s=shared, w=not last: resolve(s, w)(f), EVIDENCE))
+        if not last:
             rows = scratch.table(rows, "evidence")
-            cells = rows.where("word is null").select("label", F.explode("codes").alias("c")).select("label", F.expr("shiftright(c, 40)").alias("code"), (F.col("c") % (1 << 40)).alias("n")).toPandas()
+        cells = rows.where("word is null").select("label", F.explode("codes").alias("c"))
+        cells = cells.groupBy("label", F.expr(f"shiftright(c, {COUNT})").alias("code")).agg(F.sum(F.expr(f"c & {(1 << COUNT) - 1}L")).alias("n")).toPandas()
         joint = np.zeros((size, size))
         joint[cells["label"].to_numpy().astype(int), cells["code"].to_numpy().astype(int)] = cells["n"].to_numpy()
         if turn and (best is None or likelihood(joint) > best[0]):
             best = likelihood(joint), state, labels, joint
         if last:
             break
-        moved = rows.where("word is not null").mapInPandas(lambda f, j=joint, k=k: move(j, k)(f), "word long, label int")
-        moved = scratch.table(moved, "labels", slim=True)
+        # a word's rows, one or more from every task, meet in order: none is held with all of its rows
+        sorted_ = rows.where("word is not null").repartition("word").sortWithinPartitions("word")
+        moved = sorted_.mapInArrow(lambda f, j=joint, k=k: move(j, k)(f), "word long, label int")
+        moved = scratch.table(moved, "labels")
+        scratch.drop(rows)
         new = moved.join(counts.where(F.col("n") >= cut).select("word"), "word", "left_semi").toPandas()
         label = state.label.copy()
         label[lookup(words, new["word"].to_numpy())] = new["label"].to_numpy()
@@ -513,7 +578,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     out = rows.where("word is null").select("row", "doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score").unionByName(rare.mapInPandas(lambda frames: score_rare(shared.value)(frames), result))
     if model.known.some_rarer:
         two = rows.where("next is not null").select("row", F.col("word").alias("w1"), F.col("kind").alias("k1"), F.col("next").alias("w2"), F.col("next_kind").alias("k2"))
-        two = either(two, counts.where("label is not null").select("word", "label"), ">= 0")
+        two = both(two, counts.where("label is not null").select("word", "label"))
         out = out.unionByName(two.mapInPandas(lambda frames: score_two(shared.value)(frames), result))
     out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
