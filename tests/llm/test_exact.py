@@ -302,6 +302,26 @@ def test_gains_are_those_of_the_whole_likelihood():
             assert gain[w, b] - gain[w, label[w]] == pytest.approx(brown.likelihood(joint(there)) - brown.likelihood(joint(label)), abs=1e-8)
 
 
+def test_words_move_alike_however_their_rows_are_cut():
+    """A word's evidence comes in several rows, which may lie in different batches."""
+    rng, k, size = np.random.default_rng(5), 4, 7
+    joint = rng.poisson(40, (size, size)).astype(float)
+    rows = [(w, w % size, int(c), int(n)) for w in range(30) for c, n in zip(rng.integers(0, 2 * size + 1, 12), rng.integers(1, 9, 12), strict=True)]
+    of = lambda part: brown.packed(*(np.array(x, np.int64) for x in zip(*part, strict=True)))
+    got = []
+    for step in (1, 5, 7, 12, len(rows)):
+        parts = [of(rows[i : i + step]) for i in range(0, len(rows), step)]
+        got.append([r for b in brown.move(joint, k)(iter(parts)) for r in zip(b["word"].to_pylist(), b["label"].to_pylist(), strict=True)])
+    assert [w for w, _ in got[0]] == list(range(30)) and all(x == got[0] for x in got)
+    whole = np.zeros((30, 2 * size + 1))
+    for w, _, c, n in rows:
+        whole[w, c] += n
+    at = np.arange(30) % size
+    gain = brown.gains(joint, k, at, whole[:, :size], whole[:, size:-1], whole[:, -1])
+    for w, b in got[0]:
+        assert b == at[w] or gain[w, b] == gain[w].max()
+
+
 @pytest.mark.parametrize("known", [1 << 18, 60])
 def test_all_frequent_words_are_clustered(spark, monkeypatch, known):
     """Words beyond the most frequent ones get their class from their neighbours, whether or not they travel; pairs are all counted."""
