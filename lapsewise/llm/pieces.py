@@ -51,9 +51,6 @@ class Vocabulary:
         plain = [i for i in range(len(self.text)) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))]
         self.score = {i: -math.log(rank + 2) for rank, i in enumerate(plain)}
         self.of = {self.text[i]: (i, self.score[i], (i,)) for i in plain}
-        #: score and ids of a piece, () for what only starts one
-        self.starts: dict[str, tuple] = {t[:k]: () for t in self.of for k in range(1, len(t))}
-        self.starts.update({t: (score, ids) for t, (_, score, ids) in self.of.items()})
         # a byte costs more than any piece
         self.byte_score = -math.log(len(plain) + 2) - 1
         self.bytes_of = {i: self.text[i].replace(MARK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
@@ -61,27 +58,40 @@ class Vocabulary:
             raise ValueError("pieces run across words, or across letters and other characters")
         self.widest = max(map(len, self.of))
         self.known: dict[str, tuple] = {}
-
-    def best_of_word(self, word: str) -> list[Path]:
+        #: the pieces by character: what may follow, and score and ids if a piece ends here
+        self.tree: dict[str, tuple[dict, tuple | None]] = {}
+        for text in sorted(self.of):  # a beginning comes before what it begins
+            node = self.tree
+            for k, character in enumerate(text, 1):
+                if character not in node:
+                    node[character] = {}, self.of.get(text[:k], ())[1:] or (self.spelt(character) if k == 1 else None)
+                node = node[character][0]
+
+    def first(self, character: str) -> tuple[dict, tuple]:
+        """The node of a character that no piece begins with: it is spelt in bytes."""
+        self.tree[character] = {}, self.spelt(character)
+        return self.tree[character]
+
+    def best_of_word(self, word: str) -> tuple[Path, ...]:
         """The N_BEST best segmentations of one word, best first."""
-        n, look = len(word), self.starts.get
+        n, begin = len(word), self.tree.get
         into: list[list] = [[] for _ in range(n + 1)]
         best = [0.0] + [-math.inf] * n
-        for start in range(n):  # forward: pieces by start, so that best[start] is final
+        for start, character in enumerate(word):  # forward: pieces by start, so that best[start] is final
             here, end = best[start], start + 1
-            while end <= n:
-                found = look(word[start:end])
-                if not found and end == start + 1:  # a character that is no piece is spelt in bytes
-                    raw = word[start].replace(MARK, " ").encode("utf-8", "surrogatepass")
-                    into[end].append((start, len(raw) * self.byte_score, tuple(self.byte[b] for b in raw)))
-                    best[end] = max(best[end], here + len(raw) * self.byte_score)
-                if found:
-                    score, ids = found
+            node, edge = begin(character) or self.first(character)
+            while True:
+                if edge:
+                    score, ids = edge
                     into[end].append((start, score, ids))
                     if here + score > best[end]:
                         best[end] = here + score
-                elif found is None:  # no piece starts like this
+                if end == n:
+                    break
+                found = node.get(word[end])
+                if found is None:  # no piece starts like this
                     break
+                node, edge = found
                 end += 1
         out: list[Path] = []
         # backward: what is done plus the exact best of what is left in front. An open entry's best continuation has
@@ -105,28 +115,26 @@ class Vocabulary:
             out.append((done, ids))
             if not room:
                 break
-        return out
+        return tuple(out)  # tuples throughout, which the garbage collector need not follow
 
     def spelt(self, character: str) -> tuple[float, tuple[int, ...]]:
         """Score and ids of a character in bytes."""
         raw = character.replace(MARK, " ").encode("utf-8", "surrogatepass")
         return len(raw) * self.byte_score, tuple(self.byte[b] for b in raw)
 
-    def best_of_long_word(self, word: str) -> list[Path]:
+    def best_of_long_word(self, word: str) -> tuple[Path, ...]:
         """As best_of_word, over the same whole lattice: the edges into a place are looked up again when a path gets there."""
-        n, look = len(word), self.starts.get
+        n, look = len(word), self.of.get
         best = [0.0] + [-math.inf] * n
-        for start in range(n):
-            here, end = best[start], start + 1
-            while end <= n:
-                found = look(word[start:end])
-                if found or end == start + 1:
-                    whole = here + (found[0] if found else self.spelt(word[start])[0])
-                    if whole > best[end]:
-                        best[end] = whole
+        for start, character in enumerate(word):
+            node, edge = self.tree.get(character) or self.first(character)
+            for end in range(start + 1, n + 1):
+                if edge and best[start] + edge[0] > best[end]:
+                    best[end] = best[start] + edge[0]
+                found = node.get(word[end]) if end < n else None
                 if found is None:
                     break
-                end += 1
+                node, edge = found
         out: list[Path] = []
         # what is done is a chain (ids, what follows), shared between paths; the count settles ties by age
         queue: list[tuple[float, int, tuple | None, int, float]] = [(-best[n], 0, None, n, 0.0)]
@@ -137,7 +145,7 @@ class Vocabulary:
             while at:
                 top, chosen = best[at], None
                 for start in range(max(0, at - self.widest), at):
-                    edge = look(word[start:at]) or (self.spelt(word[start]) if start == at - 1 else None)
+                    edge = look(word[start:at], ())[1:] or (self.spelt(word[start]) if start == at - 1 else None)
                     if not edge:
                         continue
                     whole = best[start] + edge[0]
@@ -156,9 +164,9 @@ class Vocabulary:
             out.append((done, tuple(ids)))
             if not room:
                 break
-        return out
+        return tuple(out)
 
-    def word(self, w: str) -> tuple[float, float, bytes, bytes, list[Path]]:
+    def word(self, w: str) -> tuple[float, float, bytes, bytes, tuple[Path, ...]]:
         """Best score, loss of the second best, ids of the best as 32-bit words, what they spell, all alternatives."""
         found = self.known.get(w)
         if found is None:
