@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lapsewise.llm import brown, chat, langid, minhash, packing, pieces, pii, quality, suffix_dedup, vector_graph
+from lapsewise.llm import brown, chat, fim, langid, line_dedup, merkle, minhash, packing, pieces, pii, quality, suffix_dedup, vector_graph
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_vector_graph": vector_graph.query,
     "op10_minhash": minhash.query,
+    "op11_line_dedup": line_dedup.query,
+    "op12_merkle_manifest": merkle.query,
+    "op13_fill_in_middle": fim.query,
 }
 
 ORACLE_SQL = {
     "op5_chat_format": chat.SQL,
     "op9_vector_graph": vector_graph.SQL,
     "op10_minhash": minhash.SQL,
+    "op11_line_dedup": line_dedup.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_fill_in_middle": fim.SQL,
 }
