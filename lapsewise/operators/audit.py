@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsewise.operators import quantiles
+
 RELIST_DAYS = 1.6
 LIFESPANS = ("1", "2", "3", "4-5", "6+")
 
@@ -47,9 +49,10 @@ def source_by_cohort(rows: DataFrame) -> DataFrame:
 
 
 def age_quantiles(rows: DataFrame, key: str = "cohort") -> DataFrame:
+    """key, n and the quartiles of age; a group without any age has n = 0 and nulls."""
     cuts = (0.0, 0.25, 0.5, 0.75, 1.0)
-    q = F.percentile("age_days", F.array(*[F.lit(c) for c in cuts]))
-    out = rows.groupBy(key).agg(F.count("age_days").alias("n"), q.alias("q"))
+    found = quantiles.exact_quantiles(rows, ["age_days"], cuts, key).drop("feature", "n")
+    out = rows.groupBy(key).agg(F.count("age_days").alias("n")).join(found.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
     return out.select(key, "n", *[F.get("q", F.lit(i)).alias(f"p{int(100 * c)}") for i, c in enumerate(cuts)])
 
 

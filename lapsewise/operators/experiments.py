@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.operators import features, metrics, models, waves
+from lapsewise.operators import features, isotonic, metrics, models, waves
+from lapsewise.operators.folds import AT_ONCE, side_by_side
+from lapsewise.sources.crawls import content_hash
 
 LEAK_FEATURES = ("n_observations_total", "days_on_board_total")
 
@@ -69,7 +72,7 @@ def unseen_fold_rows(rows: DataFrame, folds: DataFrame, embargo: float) -> DataF
 
 
 def score_of(model: PipelineModel, rows: DataFrame) -> float | None:
-    return metrics.ranking(metrics.distinct_scores(models.predict(model, rows))).first()["pr_auc"]
+    return metrics.ranking(metrics.distinct_scores(models.scored(model, rows))).first()["pr_auc"]
 
 
 def serve_time_regime(rows: DataFrame, build: Callable[[], Pipeline]) -> dict[str, float | None]:
@@ -83,35 +86,92 @@ def ship_without_context(imputed: float, fold_sd: float, without: float) -> bool
     return imputed + fold_sd < without
 
 
-def tune(rows: DataFrame, folds: DataFrame, embargo: float, grid: dict[str, Callable[[], Pipeline]]) -> DataFrame:
-    """setting, folds, scored, mean, sd over the folds; the first row is the best."""
-    out = None
-    for name, build in grid.items():
-        one = metrics.fold_summary(models.cross_validate(rows, folds, embargo, build)).select(F.lit(name).alias("setting"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc_nulls_last("mean"), "setting")
+def tune(rows: DataFrame, folds: DataFrame, embargo: float, grid: dict[str, Callable[[], object]], at_once: int = AT_ONCE) -> DataFrame:
+    """setting, folds, scored, mean, sd over the folds; the first row is the best. All settings and folds are fitted side by side."""
+    out = metrics.fold_summary(models.cross_validate(rows, folds, embargo, grid, at_once=at_once), "candidate")
+    return out.withColumnRenamed("candidate", "setting").orderBy(F.desc_nulls_last("mean"), "setting")
 
 
 @dataclass(frozen=True)
 class RunSpec:
+    """All that a fit follows from, in plain values: it can be written down and fitted again."""
+
     name: str
-    numeric: tuple[str, ...]
+    learner: str
+    numeric: tuple[str, ...] = ()
     categorical: tuple[str, ...] = ()
+    #: What the learner is set to, by name.
+    parameters: tuple[tuple[str, float], ...] = ()
+    #: Whether the rows get the lifetime columns, which look ahead.
     leaky: bool = False
-    build: Callable = field(default=models.logistic)
+    #: Whether this is the run after such a column was taken out again.
+    removed: bool = False
+
+    def canonical(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def read(text: str) -> RunSpec:
+        found = json.loads(text)
+        return RunSpec(**found | {"numeric": tuple(found["numeric"]), "categorical": tuple(found["categorical"]), "parameters": tuple((k, v) for k, v in found["parameters"])})
+
+    def build(self) -> object:
+        return LEARNERS[self.learner](self, dict(self.parameters))
+
+    def rows(self, rows: DataFrame) -> DataFrame:
+        return models.with_lifetime_probe(rows) if self.leaky else rows
+
+
+#: What a specification can name; each takes the specification and its parameters.
+LEARNERS: dict[str, Callable[[RunSpec, dict[str, float]], object]] = {
+    "rates": lambda s, p: models.GroupRates(F.col(s.categorical[0])),
+    "bins": lambda s, p: models.QuantileRates(s.numeric[0], int(p.get("bins", 10))),
+    "logistic": lambda s, p: models.pipeline(list(s.numeric), list(s.categorical), models.ExactLogistic(p.get("ridge", 0.01), bool(p.get("balanced", 0)))),
+    "tree": lambda s, p: models.pipeline(list(s.numeric), list(s.categorical), models.tree()),
+    "forest": lambda s, p: models.pipeline(list(s.numeric), list(s.categorical), models.forest(int(p.get("trees", 300)))),
+    "boosted": lambda s, p: models.boosted_pipeline(list(s.numeric), list(s.categorical), rounds=int(p.get("rounds", 400))),
+}
+
+
+def execute(rows: DataFrame, specs: list[RunSpec], at_once: int = AT_ONCE) -> DataFrame:
+    """run, spec, data_hash, leaky, removed, n, positives, pr_auc, roc_auc of each specification, fitted on train and scored on val, side by side.
+
+    spec is the specification as canonical text, data_hash a hash of the contents of the rows that it was fitted and
+    scored on: together they say all that replay needs. Give a stored table.
+    """
+
+    def job(spec: RunSpec) -> Callable[[], tuple]:
+        def run() -> tuple:
+            own = spec.rows(rows.drop("score"))
+            used = [c for c in (*spec.numeric, *spec.categorical) if c in own.columns]
+            found = content_hash(own.where("split in ('train', 'val')").select("split", "source", "source_id", "t", "y", *used)).first()["content_hash"]
+            model = spec.build().fit(models.target(own.where("split = 'train'")))
+            ap = metrics.ranking(metrics.distinct_scores(models.scored(model, own.where("split = 'val'")))).first()
+            return spec.name, spec.canonical(), str(found), spec.leaky, spec.removed, ap["n"], ap["positives"], ap["pr_auc"], ap["roc_auc"]
 
+        return run
 
-def execute(rows: DataFrame, specs: list[RunSpec]) -> DataFrame:
-    """run, leaky, n, positives, pr_auc, roc_auc of each recorded specification; running it again replays it."""
-    out = None
-    for spec in specs:
-        own = models.with_lifetime_probe(rows) if spec.leaky else rows
-        numeric = [*spec.numeric, *(LEAK_FEATURES if spec.leaky else ())]
-        model = models.fit_on_training(own, models.pipeline(numeric, list(spec.categorical), spec.build()))
-        one = metrics.ranking(metrics.distinct_scores(models.predict(model, own.where("split = 'val'"))))
-        one = one.select(F.lit(spec.name).alias("run"), F.lit(spec.leaky).alias("leaky"), "n", "positives", "pr_auc", "roc_auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+    done = side_by_side(rows.sparkSession, {s.name: job(s) for s in specs}, at_once)
+    return rows.sparkSession.createDataFrame(list(done.values()), "run string, spec string, data_hash string, leaky boolean, removed boolean, n long, positives long, pr_auc double, roc_auc double")
+
+
+def replay(rows: DataFrame, recorded: DataFrame, within: float = 1e-9, at_once: int = AT_ONCE) -> DataFrame:
+    """run, same_data, pr_auc as recorded and as replayed, and replayed: each recorded run fitted again from its written specification alone.
+
+    replayed is false where the rows are not those of the record, or the figure is off by more than within.
+    """
+    specs = [RunSpec.read(r["spec"]) for r in recorded.select("spec").collect()]  # a row for each run of an experiment
+    again = execute(rows, specs, at_once).select("run", F.col("data_hash").alias("_hash"), F.col("pr_auc").alias("replayed_pr_auc"))
+    met = recorded.join(again, "run", "left")
+    same = F.col("data_hash") == F.col("_hash")
+    close = (F.abs(F.col("pr_auc") - F.col("replayed_pr_auc")) <= within) | (F.col("pr_auc").isNull() & F.col("replayed_pr_auc").isNull())
+    return met.select("run", same.alias("same_data"), "pr_auc", "replayed_pr_auc", (same & F.coalesce(close, F.lit(False))).alias("replayed"))
+
+
+def leak_specs(honest: RunSpec, probe: str = LEAK_FEATURES[0]) -> list[RunSpec]:
+    """The leak off, on and off again: honest, the same learner on a lifetime column, and honest once more after its removal."""
+    leaked = replace(honest, name=f"{honest.name} leaked", numeric=(probe, *honest.numeric[1:]), leaky=True)
+    return [honest, leaked, replace(honest, name=f"{honest.name} removed", removed=True)]
 
 
 def leak_delta(runs: DataFrame) -> DataFrame:
@@ -141,11 +201,11 @@ def complexity_reading(results: DataFrame, heuristics: list[str], complexity: di
     return best.join(simplest, F.lit(True)).withColumn("status", status)
 
 
-def board_context_folds(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], Pipeline]) -> DataFrame:
+def board_context_folds(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], object], at_once: int = AT_ONCE) -> DataFrame:
     """fold, with_context, context_nulled, difference: PR-AUC of one fit a fold, scored on rows as they are and without board context."""
-    whole = models.cross_validate(rows, folds, embargo, build)
-    nulled = models.cross_validate(rows, folds, embargo, build, prepare_val=features.without_board_context)
-    out = whole.withColumnRenamed("pr_auc", "with_context").join(nulled.withColumnRenamed("pr_auc", "context_nulled"), "fold")
+    views = {"with_context": lambda df: df, "context_nulled": features.without_board_context}
+    long = models.cross_validate(rows, folds, embargo, {"": build}, views, at_once)
+    out = long.groupBy("fold").agg(*[F.max(F.when(F.col("view") == v, F.col("pr_auc"))).alias(v) for v in views])
     return out.withColumn("difference", F.col("with_context") - F.col("context_nulled"))
 
 
@@ -154,26 +214,46 @@ def board_context_folds(rows: DataFrame, folds: DataFrame, embargo: float, build
 
 @dataclass(frozen=True)
 class Frozen:
-    model: PipelineModel
+    model: object
     threshold: float
     recalibrated: bool
     overall: DataFrame
     by_source: DataFrame
     intervals: DataFrame
+    slices: DataFrame
+
+
+#: Slices of the test block by columns that the rows may carry.
+SLICES = {"carry_over": "seen_in_train", "cohort": "cohort", "first_observation": "first_observation"}
+
+
+def sliced(rows: DataFrame, threshold: float) -> DataFrame:
+    """slice, value, n, positives, base_rate, pr_auc, roc_auc, tp, fp of the scored rows by each slice there is: one pass over the rows for all."""
+    each = [F.struct(F.lit(name).alias("slice"), F.col(c).cast("string").alias("value")) for name, c in SLICES.items() if c in rows.columns]
+    if not each:
+        return rows.sparkSession.createDataFrame([], "slice string, value string, n long, positives long, base_rate double, pr_auc double, roc_auc double, tp long, fp long")
+    table = metrics.distinct_scores(rows.select("y", "score", F.explode(F.array(*each)).alias("x")).select("y", "score", "x.*"), "slice", "value")
+    on = F.col("score") >= threshold
+    hit = table.groupBy("slice", "value").agg(F.sum(F.when(on, F.col("pos")).otherwise(0)).cast("long").alias("tp"), F.sum(F.when(on, F.col("n") - F.col("pos")).otherwise(0)).cast("long").alias("fp"))
+    return metrics.ranking(table, "slice", "value").join(hit, ["slice", "value"]).select("slice", "value", "n", "positives", "base_rate", "pr_auc", "roc_auc", "tp", "fp")
+
 
+def freeze(rows: DataFrame, build: Callable[[], object], budget: int = 20, days: int = 1, resamples: int = 500, blocks: tuple[str, ...] = ("train",), recalibrate: bool | None = None) -> Frozen:
+    """Fits on the blocks (train, or train and val), recalibrates and sets the threshold on val, then scores the test block once. Refuses leaky columns.
 
-def freeze(rows: DataFrame, build: Callable[[], Pipeline], budget: int = 20, days: int = 1, resamples: int = 500, blocks: tuple[str, ...] = ("train",)) -> Frozen:
-    """Fits on the blocks (train, or train and val), recalibrates and sets the threshold on val, then scores the test block once. Refuses leaky columns."""
+    recalibrate: whether to; by default as the validation block asks for.
+    """
     if leaky := sorted(set(LEAK_FEATURES) & set(rows.columns)):
         raise ValueError(f"leaky columns in a frozen evaluation: {leaky}")
-    model = models.fit_on_training(rows, build(), blocks)
-    val, test = (models.predict(model, rows.where(f"split = '{s}'")) for s in ("val", "test"))
-    figures = metrics.ranking(metrics.distinct_scores(val)).first()
-    recalibrate = models.needs_recalibration(figures["positives"], metrics.calibration_error(val).first()["ece"], figures["base_rate"])
+    model = build().fit(models.target(rows.where(F.col("split").isin(*blocks)).drop("score")))
+    val, test = (models.scored(model, rows.where(f"split = '{s}'")) for s in ("val", "test"))
+    if recalibrate is None:
+        figures = metrics.ranking(metrics.distinct_scores(val)).first()
+        recalibrate = models.needs_recalibration(figures["positives"], metrics.calibration_error(val).first()["ece"], figures["base_rate"])
     if recalibrate:
-        fit_on = val
-        val, test = (models.recalibrate(fit_on, x).drop("score").withColumnRenamed("calibrated", "score") for x in (fit_on, test))
+        blocks_of = isotonic.fit(val)
+        val, test = (isotonic.calibrated(blocks_of, x).drop("score").withColumnRenamed("calibrated", "score") for x in (val, test))
     threshold = metrics.budget_thresholds(metrics.distinct_scores(val), budgets=(budget,), days=days).first()["threshold"]
     boot = metrics.bootstrap(test, resamples, threshold=threshold)
     ci = metrics.intervals(boot, list(metrics.STATISTICS))
-    return Frozen(model, threshold, recalibrate, metrics.confusion_at(test, threshold), metrics.evaluate_with_evidence(test, "source", resamples), ci)
+    return Frozen(model, threshold, recalibrate, metrics.confusion_at(test, threshold), metrics.evaluate_with_evidence(test, "source", resamples), ci, sliced(test, threshold))

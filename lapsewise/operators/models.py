@@ -8,15 +8,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.operators import metrics, waves
+from lapsewise.functions.derive import older_than_thirty_days, posted_this_week
+from lapsewise.operators import folds as folding
+from lapsewise.operators import isotonic, metrics, quantiles
+from lapsewise.operators.boosting import BoostedModel, BoostedTrees
 from lapsewise.operators.features import without_board_context
+from lapsewise.operators.logistic import ExactLogistic, LogisticModel
 
 MIN_FREQUENCY = 5
 MISSING = "__missing__"
@@ -50,9 +52,8 @@ class QuantileRates:
         self.column, self.bins = column, bins
 
     def fit(self, rows: DataFrame) -> QuantileRates:
-        cuts = [i / self.bins for i in range(1, self.bins)]
-        found = rows.agg(F.percentile(self.column, F.array(*[F.lit(c) for c in cuts]))).first()[0] or []
-        self.edges = sorted(set(found))
+        found = quantiles.exact_quantiles(rows, [self.column], [i / self.bins for i in range(1, self.bins)]).first()
+        self.edges = sorted(set(found["q"])) if found else []
         c = F.col(self.column)
         self.inner = GroupRates(F.when(c.isNull(), -1).otherwise(sum((F.when(c > e, 1).otherwise(0) for e in self.edges), F.lit(0)))).fit(rows)
         return self
@@ -82,38 +83,70 @@ def with_lifetime_probe(panel: DataFrame) -> DataFrame:
 
 
 def numeric_statistics(train: DataFrame, columns: list[str], fills: dict[str, float] | None = None) -> DataFrame:
-    """feature, fill, mean, sd: exact median (0 if all null), mean and population deviation after filling (1 if zero)."""
-    fills = fills or {}
-    wide = train.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns])
-    med = wide.select(*[F.lit(float(fills[c])).alias(f"_m_{c}") if c in fills else F.col(c).alias(f"_m_{c}") for c in columns])
-    filled = train.join(F.broadcast(med), F.lit(True)).select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in columns], *[f"_m_{c}" for c in columns])
-    stats = filled.agg(*[F.struct(F.lit(c).alias("feature"), F.max(f"_m_{c}").alias("fill"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(f"s{i}") for i, c in enumerate(columns)])
-    out = stats.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
-    return out.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    """feature, fill, mean, sd: exact median (0 if all null), mean and population deviation after filling (1 if zero).
+
+    The median comes by rank search; what filling does to mean and deviation follows from the counts, without another
+    pass over filled rows.
+    """
+    given = F.create_map(*[F.lit(x) for c, v in (fills or {}).items() for x in (c, float(v))]) if fills else None
+    each = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("m"), F.var_pop(F.col(c).cast("double")).alias("v")) for c in columns]
+    wide = train.agg(F.count("*").alias("rows"), F.array(*each).alias("s"))
+    stats = wide.select("rows", F.explode("s").alias("s")).select("rows", "s.*")
+    median = quantiles.exact_quantiles(train, columns, [0.5]).select("feature", F.get("q", F.lit(0)).alias("median"))
+    out = stats.join(median, "feature", "left")
+    fill = F.coalesce(*([given[F.col("feature")]] if fills else []), F.col("median"), F.lit(0.0))
+    none = F.col("rows") - F.col("n")
+    out = out.select("feature", fill.alias("fill"), "rows", "n", none.alias("none"), F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("v", F.lit(0.0)).alias("v"))
+    out = out.withColumn("mean", (F.col("n") * F.col("m") + F.col("none") * F.col("fill")) / F.col("rows"))
+    off = lambda c: (F.col(c) - F.col("mean")) * (F.col(c) - F.col("mean"))
+    sd = F.sqrt((F.col("n") * (F.col("v") + off("m")) + F.col("none") * off("fill")) / F.col("rows"))
+    return out.select("feature", "fill", "mean", F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+
+
+def one_hot(place: Column, slots: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.when(i == place, 1.0).otherwise(0.0))
 
 
 class PrepareModel(Model):
-    """Fills, standardises and one-hot encodes with what the training rows taught."""
+    """Fills, standardises and one-hot encodes with what the training rows taught.
+
+    Levels are joined as a dictionary, one join a column however many there are; the place found is spread into the
+    slots of the column by one expression.
+    """
 
     def __init__(self, numeric: dict[str, tuple[float, float, float]], levels: dict[str, list[str]], rare: dict[str, bool]):
         super().__init__()
         self.numeric, self.levels, self.rare = numeric, levels, rare
 
+    @property
+    def width(self) -> int:
+        return len(self.numeric) + sum(len(x) + self.rare[c] for c, x in self.levels.items())
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        parts: list[Column] = [(F.coalesce(F.col(c).cast("double"), F.lit(fill)) - mean) / sd for c, (fill, mean, sd) in self.numeric.items()]
-        for c, levels in self.levels.items():
-            value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-            parts += [F.when(value == x, 1.0).otherwise(0.0) for x in levels]
-            if self.rare[c]:
-                parts.append(F.when(value.isin(*levels), 0.0).otherwise(1.0) if levels else F.lit(1.0))
-        return df.withColumn("features", array_to_vector(F.array(*[p.cast("double") for p in parts])))
+        parts = [F.array(*[((F.coalesce(F.col(c).cast("double"), F.lit(fill)) - mean) / sd).cast("double") for c, (fill, mean, sd) in self.numeric.items()]).cast("array<double>")]
+        out, added = df, []
+        for k, (c, levels) in enumerate(self.levels.items()):
+            slots = len(levels) + self.rare[c]
+            if not slots:
+                continue
+            place = F.lit(len(levels))  # the shared bucket, if there is one
+            if levels:
+                words = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(levels)], f"_level{k} string, _place{k} int")
+                out = out.withColumn(f"_level{k}", F.coalesce(F.col(c).cast("string"), F.lit(MISSING))).join(words, f"_level{k}", "left")
+                added += [f"_level{k}", f"_place{k}"]
+                place = F.coalesce(f"_place{k}", place)
+            parts.append(one_hot(place, slots))
+        return out.withColumn("features", array_to_vector(F.concat(*parts))).drop(*added)
 
     def learned(self) -> dict[str, float]:
         return {c: v[0] for c, v in self.numeric.items()}
 
 
 class Prepare(Estimator):
-    """Learns fills, means, deviations and levels (those seen MIN_FREQUENCY times; the rest share a bucket if there is any)."""
+    """Learns fills, means, deviations and levels (those seen MIN_FREQUENCY times; the rest share a bucket if there is any).
+
+    The levels of a column come to the driver: as many as the vector that is asked for has slots.
+    """
 
     def __init__(self, numeric: list[str], categorical: list[str], fills: dict[str, float] | None = None):
         super().__init__()
@@ -121,11 +154,13 @@ class Prepare(Estimator):
 
     def _fit(self, df: DataFrame) -> PrepareModel:
         stats = {r["feature"]: (r["fill"], r["mean"], r["sd"]) for r in numeric_statistics(df, self.numeric, self.fills).collect()} if self.numeric else {}
-        levels, rare = {}, {}
-        for c in self.categorical:
-            counts = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).agg(F.count("*").alias("n"))
-            levels[c] = sorted(r["v"] for r in counts.where(F.col("n") >= MIN_FREQUENCY).collect())
-            rare[c] = not counts.where(F.col("n") < MIN_FREQUENCY).isEmpty()
+        levels, rare = {c: [] for c in self.categorical}, dict.fromkeys(self.categorical, False)
+        if self.categorical:  # all columns in one pass
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")) for c in self.categorical]))
+            counts = df.select(each.alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("n"))
+            kept = F.when(F.col("n") >= MIN_FREQUENCY, F.col("v"))
+            for r in counts.groupBy("c").agg(F.sort_array(F.collect_set(kept)).alias("levels"), F.count_if(F.col("n") < MIN_FREQUENCY).alias("rare")).collect():
+                levels[r["c"]], rare[r["c"]] = list(r["levels"]), r["rare"] > 0
         return PrepareModel({c: stats[c] for c in self.numeric}, levels, rare)
 
 
@@ -140,12 +175,34 @@ class Derive(Transformer):
         return self.f(df)
 
 
+class RoundedModel(Model):
+    def __init__(self, inner: Model, digits: int):
+        super().__init__()
+        self.inner, self.digits = inner, digits
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        p = F.round(F.get(vector_to_array("probability"), F.lit(1)), self.digits)
+        return self.inner.transform(df).withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+class Rounded(Estimator):
+    """Another estimator, its probabilities rounded: rows that differ by the order of a sum stay tied."""
+
+    def __init__(self, inner: Estimator, digits: int = 12):
+        super().__init__()
+        self.inner, self.digits = inner, digits
+
+    def _fit(self, df: DataFrame) -> RoundedModel:
+        return RoundedModel(self.inner.fit(df), self.digits)
+
+
 def pipeline(numeric: list[str], categorical: list[str], model: Estimator, derive: Callable[[DataFrame], DataFrame] | None = None) -> Pipeline:
     return Pipeline(stages=[*([Derive(derive)] if derive else []), Prepare(numeric, categorical), model])
 
 
 def logistic() -> Estimator:
-    return LogisticRegression(labelCol="y", regParam=0.01, maxIter=25)
+    """Ridge logistic regression to exact convergence."""
+    return ExactLogistic()
 
 
 def tree() -> Estimator:
@@ -156,10 +213,6 @@ def forest(trees: int = 300) -> Estimator:
     return RandomForestClassifier(labelCol="y", numTrees=trees, minInstancesPerNode=5, seed=0)
 
 
-def boosted(rounds: int = 400) -> Estimator:
-    return GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=0)
-
-
 def target(rows: DataFrame) -> DataFrame:
     """rows with y as double; refuses rows without a label."""
     if not rows.where("y is null").isEmpty():
@@ -180,18 +233,23 @@ def fit_and_score(rows: DataFrame, built: Pipeline, budget: int = 20, days: int
     return out.join(gap, F.lit(True))
 
 
+#: Fitted stages that are written as JSON.
+OWN = {"logistic": LogisticModel, "boosted": BoostedModel}
+
+
 def save(model: PipelineModel, path: str) -> None:
-    """Stages in order, each in a folder of its own; Prepare's as JSON lines, others by their own writers. A Derive holds code and is not saved."""
+    """Stages in order, each in a folder of its own; those of this library as JSON lines, others by their own writers. A Derive holds code and is not saved."""
     spark = SparkSession.active()
     kept = [s for s in model.stages if not isinstance(s, Derive)]
-    kinds = [(i, "prepare" if isinstance(s, PrepareModel) else f"{type(s).__module__}.{type(s).__name__}") for i, s in enumerate(kept)]
+    names = {kind: name for name, kind in OWN.items()}
+    kinds = [(i, "prepare" if isinstance(s, PrepareModel) else names.get(type(s)) or f"{type(s).__module__}.{type(s).__name__}") for i, s in enumerate(kept)]
     spark.createDataFrame(kinds, "place int, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/stages")
     for i, s in enumerate(kept):
-        if isinstance(s, PrepareModel):
-            text = json.dumps({"numeric": s.numeric, "levels": s.levels, "rare": s.rare})
-            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stage-{i}")
-        else:
+        text = json.dumps({"numeric": s.numeric, "levels": s.levels, "rare": s.rare}) if isinstance(s, PrepareModel) else s.to_json() if type(s) in names else None
+        if text is None:
             s.write().overwrite().save(f"{path}/stage-{i}")
+        else:
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stage-{i}")
 
 
 def load(spark: SparkSession, path: str, derive: Callable[[DataFrame], DataFrame] | None = None) -> PipelineModel:
@@ -202,6 +260,8 @@ def load(spark: SparkSession, path: str, derive: Callable[[DataFrame], DataFrame
         if r["kind"] == "prepare":
             found = json.loads(spark.read.text(at).first()[0])
             stages.append(PrepareModel({c: tuple(v) for c, v in found["numeric"].items()}, found["levels"], found["rare"]))
+        elif r["kind"] in OWN:
+            stages.append(OWN[r["kind"]].from_json(spark.read.text(at).first()[0]))
         else:
             module, _, name = r["kind"].rpartition(".")
             stages.append(getattr(importlib.import_module(module), name).load(at))
@@ -213,47 +273,70 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def ladder(rows: DataFrame, numeric: list[str], categorical: list[str], builders: dict[str, Callable[[], Estimator]] | None = None) -> DataFrame:
-    """rung, n, positives, pr_auc, roc_auc on the validation block."""
-    val = rows.where("split = 'val'")
-    train = rows.where("split = 'train'")
-    scored = {"prior": GroupRates(F.lit(1)).fit(train).predict(val), "board_hazard": GroupRates(F.col("source")).fit(train).predict(val)}
-    for name, build in (builders or {"logistic": logistic, "tree": tree}).items():
-        scored[name] = predict(fit_on_training(rows, pipeline(numeric, categorical, build())), val)
-    out = None
-    for name, df in scored.items():
-        one = metrics.ranking(metrics.distinct_scores(df)).select(F.lit(name).alias("rung"), "n", "positives", "pr_auc", "roc_auc")
-        out = one if out is None else out.unionByName(one)
-    return out
+def scored(model: object, rows: DataFrame) -> DataFrame:
+    """rows with the score of a fitted pipeline, or of a baseline, which brings its own predict."""
+    return predict(model, rows) if isinstance(model, PipelineModel) else model.predict(rows)
+
+
+@dataclass(frozen=True)
+class Rung:
+    """One step of the ladder: what it fits, and how complex it is; heuristics are rates of the training rows."""
+
+    complexity: int
+    heuristic: bool
+    build: Callable[[], object]
+
+
+def boosted_pipeline(numeric: list[str], categorical: list[str], **settings: object) -> Pipeline:
+    """Boosted trees bin the columns themselves: no fills, no one-hot slots."""
+    return Pipeline(stages=[BoostedTrees(numeric, categorical, **settings)])
+
+
+def rungs(numeric: list[str], categorical: list[str], age: str = "age_days", board: str = "source", trees: int = 300, rounds: int = 400) -> dict[str, Rung]:
+    """The ten rungs, from the base rate up."""
+    fitted = lambda model, n=numeric, c=categorical: lambda: pipeline(n, c, model())
+    return {
+        "prior": Rung(0, True, lambda: GroupRates(F.lit(1))),
+        "rule_old": Rung(1, True, lambda: GroupRates(older_than_thirty_days(F.col(age)))),
+        "rule_fresh": Rung(1, True, lambda: GroupRates(posted_this_week(F.col(age)))),
+        "age_ceiling": Rung(2, True, lambda: QuantileRates(age)),
+        "board_hazard": Rung(2, True, lambda: GroupRates(F.col(board))),
+        "age_logistic": Rung(3, False, fitted(logistic, [age], [])),
+        "logistic": Rung(4, False, fitted(logistic)),
+        "tree": Rung(5, False, fitted(tree)),
+        "forest": Rung(6, False, fitted(lambda: forest(trees))),
+        "boosted": Rung(7, False, lambda: boosted_pipeline(numeric, categorical, rounds=rounds)),
+    }
+
+
+def ladder(rows: DataFrame, steps: dict[str, Rung], at_once: int = folding.AT_ONCE) -> DataFrame:
+    """rung, n, positives, pr_auc, roc_auc on the validation block, the rungs fitted side by side. Give a stored table."""
+    val, train = rows.where("split = 'val'"), target(rows.where("split = 'train'").drop("score"))
+
+    def job(step: Rung) -> Callable[[], tuple]:
+        def run() -> tuple:
+            found = metrics.ranking(metrics.distinct_scores(scored(step.build().fit(train), val))).first()
+            return found["n"], found["positives"], found["pr_auc"], found["roc_auc"]
+
+        return run
+
+    done = folding.side_by_side(rows.sparkSession, {name: job(step) for name, step in steps.items()}, at_once)
+    return rows.sparkSession.createDataFrame([(name, *x) for name, x in done.items()], "rung string, n long, positives long, pr_auc double, roc_auc double")
 
 
 # ---- cross-validation and selection -------------------------------------------------------------------------------
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, build: Callable[[], Pipeline], prepare_val: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """fold, pr_auc (null if the training fold has one class) over the fold table: one distributed fit a fold."""
-    met = waves.fold_rows(rows, folds, embargo)
-    out = []
-    for f in sorted(r["fold"] for r in folds.select("fold").collect()):
-        own = met.where(F.col("fold") == f)
-        train = own.where("part = 'train'").withColumn("split", F.lit("train"))
-        if train.select("y").distinct().count() < 2:
-            out.append((f, None))
-            continue
-        scored = predict(fit_on_training(train, build()), prepare_val(own.where("part = 'val'")))
-        out.append((f, metrics.ranking(metrics.distinct_scores(scored)).first()["pr_auc"]))
-    return rows.sparkSession.createDataFrame(out, "fold long, pr_auc double")
-
-
-def compare(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], Pipeline]]) -> DataFrame:
-    """candidate, folds, scored, mean, sd over the folds, and pr_auc and roc_auc of one fit on train, scored on val."""
-    out = None
-    for name, build in candidates.items():
-        over = metrics.fold_summary(cross_validate(rows, folds, embargo, build))
-        once = metrics.ranking(metrics.distinct_scores(predict(fit_on_training(rows, build()), rows.where("split = 'val'")))).select("pr_auc", "roc_auc")
-        one = over.join(once, F.lit(True)).select(F.lit(name).alias("candidate"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], object]], views: dict[str, Callable[[DataFrame], DataFrame]] | None = None, at_once: int = folding.AT_ONCE) -> DataFrame:
+    """candidate, fold, view, sizes, pr_auc and roc_auc of each candidate on each fold: see folds.cross_validate."""
+    return folding.cross_validate(rows, folds, embargo, candidates, scored, views, at_once)
+
+
+def compare(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], object]], at_once: int = folding.AT_ONCE) -> DataFrame:
+    """candidate, folds, scored, mean, sd over the folds, and pr_auc and roc_auc of one fit on train, scored on val. rows carry split."""
+    over = metrics.fold_summary(cross_validate(rows, folds, embargo, candidates, at_once=at_once), "candidate")
+    once = ladder(rows, {name: Rung(0, False, build) for name, build in candidates.items()}, at_once)
+    return over.join(once.select(F.col("rung").alias("candidate"), "pr_auc", "roc_auc"), "candidate")
 
 
 @dataclass(frozen=True)
@@ -290,54 +373,105 @@ def select(candidates: list[Candidate], least_folds: int = 3) -> dict[str, objec
     return {"selected": simplest.name, "reason": "simplest of those tied with the leader", "leader": leader.name}
 
 
-def ablate(rows: DataFrame, numeric: list[str], categorical: list[str], build: Callable[[], Estimator] = logistic) -> DataFrame:
-    """dropped, pr_auc, delta against all features."""
-    def score(n: list[str], c: list[str]) -> float | None:
-        return metrics.ranking(metrics.distinct_scores(predict(fit_on_training(rows, pipeline(n, c, build())), rows.where("split = 'val'")))).first()["pr_auc"]
+def chosen(per_fold: DataFrame, steps: dict[str, Rung], least_folds: int = 3) -> dict[str, object]:
+    """What select says of a table (candidate, fold, pr_auc), which has a row for each candidate and fold."""
+    found: dict[str, dict[int, float | None]] = {name: {} for name in steps}
+    for r in per_fold.where(F.col("candidate").isin(*steps)).select("candidate", "fold", "pr_auc").collect():
+        found[r["candidate"]][r["fold"]] = r["pr_auc"]
+    return select([Candidate(name, s.complexity, s.heuristic, found[name]) for name, s in steps.items()], least_folds)
+
+
+def ablate(rows: DataFrame, numeric: list[str], categorical: list[str], groups: dict[str, list[str]] | None = None, build: Callable[[], Estimator] = logistic, at_once: int = folding.AT_ONCE) -> DataFrame:
+    """dropped, pr_auc, delta against all features, and reading, of a fit without each group (by default each feature alone), side by side.
 
-    full = score(numeric, categorical)
-    out = [(None, full, 0.0)]
-    for x in numeric + categorical:
-        n, c = [f for f in numeric if f != x], [f for f in categorical if f != x]
-        if n or c:
-            got = score(n, c)
-            out.append((x, got, None if got is None or full is None else got - full))
-    return rows.sparkSession.createDataFrame(out, "dropped string, pr_auc double, delta double")
+    A group whose loss is hardly felt (a delta under 0.001 either way) is redundant: the others say the same.
+    """
+    parts = groups or {x: [x] for x in numeric + categorical}
+    without = lambda gone: ([f for f in numeric if f not in gone], [f for f in categorical if f not in gone])
+    steps = {name: Rung(0, False, lambda n=n, c=c: pipeline(n, c, build())) for name, (n, c) in {"": (numeric, categorical), **{name: without(gone) for name, gone in parts.items()}}.items() if n or c}
+    found = ladder(rows, steps, at_once)
+    full = found.where("rung = ''").select(F.col("pr_auc").alias("_full"))
+    delta = F.col("pr_auc") - F.col("_full")
+    reading = F.when(F.col("rung") == "", "all features").when(delta.isNull(), "undefined").when(F.abs(delta) < 0.001, "redundant").when(delta < 0, "carries signal").otherwise("costs precision")
+    return found.join(F.broadcast(full), F.lit(True)).select(F.when(F.col("rung") != "", F.col("rung")).alias("dropped"), "pr_auc", delta.alias("delta"), reading.alias("reading"))
+
+
+def sweep(rows: DataFrame, settings: dict[str, Callable[[], object]], at_once: int = folding.AT_ONCE) -> DataFrame:
+    """setting, train_pr_auc, val_pr_auc, gap of one fit for each setting, side by side."""
+    train = target(rows.where("split = 'train'").drop("score"))
+
+    def job(build: Callable[[], object]) -> Callable[[], dict[str, float | None]]:
+        def run() -> dict[str, float | None]:
+            found = scored(build().fit(train), rows.where("split in ('train', 'val')"))
+            return {r["split"]: r["pr_auc"] for r in metrics.ranking(metrics.distinct_scores(found, "split"), "split").collect()}
 
+        return run
 
-def sweep(rows: DataFrame, settings: dict[str, Callable[[], Pipeline]]) -> DataFrame:
-    """setting, train_pr_auc, val_pr_auc, gap."""
-    out = []
-    for name, build in settings.items():
-        model = fit_on_training(rows, build())
-        a, b = (metrics.ranking(metrics.distinct_scores(predict(model, rows.where(f"split = '{s}'")))).first()["pr_auc"] for s in ("train", "val"))
-        out.append((name, a, b, None if a is None or b is None else a - b))
-    return rows.sparkSession.createDataFrame(out, "setting string, train_pr_auc double, val_pr_auc double, gap double")
+    done = folding.side_by_side(rows.sparkSession, {name: job(build) for name, build in settings.items()}, at_once)
+    out = rows.sparkSession.createDataFrame([(name, x.get("train"), x.get("val")) for name, x in done.items()], "setting string, train_pr_auc double, val_pr_auc double")
+    return out.withColumn("gap", F.col("train_pr_auc") - F.col("val_pr_auc"))
 
 
-def leave_one_group_out(rows: DataFrame, key: str, numeric: list[str], categorical: list[str], build: Callable[[], Estimator] = logistic, least_positives: int = 10, least_share: float = 0.6, serve_time: bool = False) -> DataFrame:
-    """Per board with enough positives: PR-AUC of a model that never saw it (transfer) and of one that did (ceiling).
+def transfer_sizes(rows: DataFrame, key: str, least_positives: int, least_share: float) -> DataFrame:
+    """board, eval_rows, eval_positives, train_share and fit: whether a board has enough positives, leaves enough behind and is in both blocks."""
+    val, train, hit = F.col("split") == "val", F.col("split") == "train", F.col("y") == 1
+    sizes = rows.groupBy(F.col(key).alias("board")).agg(F.count_if(val).alias("eval_rows"), F.count_if(val & hit).alias("eval_positives"), F.count_if(train).alias("_rows"), F.count_if(train & hit).alias("_own"))
+    all_ = sizes.agg(F.sum("_own").alias("_all"))
+    out = sizes.join(F.broadcast(all_), F.lit(True)).withColumn("train_share", F.coalesce(F.try_divide((F.col("_all") - F.col("_own")).cast("double"), "_all"), F.lit(0.0)))
+    fit = (F.col("eval_positives") >= least_positives) & (F.col("train_share") >= least_share) & (F.col("eval_rows") > 0) & (F.col("_rows") > 0)
+    return out.select("board", "eval_rows", "eval_positives", "train_share", fit.alias("fit"))
 
-    Only boards that are in both blocks can be scored by both; serve_time has the transfer model score without board
-    context, as a new board would be served.
+
+def leave_one_group_out(rows: DataFrame, key: str, build: Callable[[], object], least_positives: int = 10, least_share: float = 0.6, serve_time: bool = False, at_once: int = folding.AT_ONCE) -> DataFrame:
+    """Per board with enough positives: PR-AUC of a model that never saw it (transfer) and of one that did (ceiling), for any model.
+
+    A fit for each board, side by side; where the model is a table of rates, group_rates_transfer needs one pass for
+    all. serve_time has the transfer model score without board context, as a new board would be served.
     """
-    sizes = rows.groupBy(key).agg(F.count_if((F.col("split") == "val") & (F.col("y") == 1)).alias("val_pos"), F.count_if((F.col("split") == "train") & (F.col("y") == 1)).alias("train_pos"), F.count_if(F.col("split") == "val").alias("val_rows")).collect()
-    total = sum(r["train_pos"] for r in sizes)
-    boards = lambda split: rows.where(F.col("split") == split).select(key)
-    both = {r[0] for r in boards("val").intersect(boards("train")).collect()}
-    full = fit_on_training(rows, pipeline(numeric, categorical, build()))
-    out = []
-    for r in sorted(sizes, key=lambda r: r[key]):
-        share = (total - r["train_pos"]) / total if total else 0.0
-        if r["val_pos"] < least_positives or share < least_share or r[key] not in both:
-            out.append((r[key], r["val_rows"], r["val_pos"], share, None, None))
-            continue
-        own = rows.where((F.col(key) == r[key]) & (F.col("split") == "val"))
-        served = without_board_context(own) if serve_time else own
-        ap = lambda m, on: metrics.ranking(metrics.distinct_scores(predict(m, on))).first()["pr_auc"]
-        out.append((r[key], r["val_rows"], r["val_pos"], share, ap(fit_on_training(rows.where(F.col(key) != r[key]), pipeline(numeric, categorical, build())), served), ap(full, own)))
-    schema = "board string, eval_rows long, eval_positives long, train_share double, transfer_pr_auc double, ceiling_pr_auc double"
-    return rows.sparkSession.createDataFrame(out, schema)
+    sizes = transfer_sizes(rows, key, least_positives, least_share)
+    boards = [r["board"] for r in sizes.where("fit").orderBy("board").collect()]
+    train = lambda df: target(df.where("split = 'train'").drop("score"))
+    full = build().fit(train(rows)) if boards else None
+
+    def job(board: object) -> Callable[[], tuple]:
+        def run() -> tuple:
+            own = rows.where((F.col(key) == board) & (F.col("split") == "val"))
+            ap = lambda m, on: metrics.ranking(metrics.distinct_scores(scored(m, on))).first()["pr_auc"]
+            return ap(build().fit(train(rows.where(F.col(key) != board))), without_board_context(own) if serve_time else own), ap(full, own)
+
+        return run
+
+    done = folding.side_by_side(rows.sparkSession, {b: job(b) for b in boards}, at_once)
+    table = rows.sparkSession.createDataFrame([(b, *x) for b, x in done.items()], f"board {rows.schema[key].dataType.simpleString()}, transfer_pr_auc double, ceiling_pr_auc double")
+    return sizes.drop("fit").join(table, "board", "left")
+
+
+def group_rates_transfer(rows: DataFrame, key: str, by: Column, least_positives: int = 10, least_share: float = 0.6) -> DataFrame:
+    """The same table for rates by any expression: what a board leaves behind is the total minus its own, so one pass fits all boards.
+
+    The sums of (group, board) are the whole fit; validation rows, too, count only by group, as rows of a group share
+    a score. No board is fitted by itself, and no row is read twice.
+    """
+    sums = rows.where("split in ('train', 'val')").groupBy("split", F.col(key).alias("board"), by.alias("g")).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("p"))
+    train, val = (sums.where(F.col("split") == s).drop("split") for s in ("train", "val"))
+    groups = train.groupBy("g").agg(F.sum("n").alias("gn"), F.sum("p").alias("gp"))
+    whole = train.agg(F.sum("n").alias("an"), F.sum("p").alias("ap"))
+    boards = train.groupBy("board").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
+    same = lambda other, *keys: [F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in keys]
+    named = lambda df, other, *keys: df.withColumnsRenamed({k: f"{other}_{k}" for k in keys})
+    own = named(train.withColumnsRenamed({"n": "on", "p": "op"}), "own", "board", "g")
+    met = val.join(named(groups, "all", "g"), same("all", "g"), "left").join(own, same("own", "board", "g"), "left").join(named(boards, "b", "board"), same("b", "board"), "left").join(F.broadcast(whole), F.lit(True))
+    none = F.lit(0).cast("long")
+    less = lambda total, part: F.coalesce(F.col(total), none) - F.coalesce(F.col(part), none)
+    rate = lambda p, n: F.try_divide(p.cast("double"), n)
+    transfer = F.coalesce(rate(less("gp", "op"), less("gn", "on")), rate(less("ap", "bp"), less("an", "bn")))
+    ceiling = F.coalesce(rate(F.col("gp"), F.col("gn")), rate(F.col("ap"), F.col("an")))
+    both = F.explode(F.array(F.struct(F.lit("transfer").alias("kind"), transfer.alias("score")), F.struct(F.lit("ceiling").alias("kind"), ceiling.alias("score"))))
+    table = met.select("board", "n", "p", both.alias("x")).groupBy("board", "x.kind", "x.score").agg(F.sum("n").alias("n"), F.sum("p").alias("pos"))
+    ap = metrics.ranking(table, "board", "kind").groupBy("board").agg(*[F.max(F.when(F.col("kind") == k, F.col("pr_auc"))).alias(f"{k}_pr_auc") for k in ("transfer", "ceiling")])
+    sizes = transfer_sizes(rows, key, least_positives, least_share)
+    only = lambda c: F.when(F.col("fit"), F.col(c)).alias(c)
+    return sizes.join(ap, "board", "left").select("board", "eval_rows", "eval_positives", "train_share", only("transfer_pr_auc"), only("ceiling_pr_auc"))
 
 
 def assess_transfer(folds: DataFrame) -> DataFrame:
@@ -357,9 +491,14 @@ def needs_recalibration(positives: int, error: float | None, base_rate: float |
 
 def recalibrate(validation: DataFrame, rows: DataFrame) -> DataFrame:
     """rows plus calibrated: isotonic regression of y on score, fitted on the validation block."""
-    assemble = VectorAssembler(inputCols=["score"], outputCol="_x")
-    model = IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="calibrated").fit(assemble.transform(validation.withColumn("_y", F.col("y").cast("double"))))
-    return model.transform(assemble.transform(rows)).drop("_x")
+    return isotonic.calibrated(isotonic.fit(validation), rows)
+
+
+def recalibrated_if_needed(validation: DataFrame, rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows with calibrated, which is the score itself where the validation block does not ask for more, and whether it did."""
+    figures = metrics.ranking(metrics.distinct_scores(validation)).first()
+    needed = needs_recalibration(figures["positives"] or 0, metrics.calibration_error(validation).first()["ece"], figures["base_rate"])
+    return (recalibrate(validation, rows) if needed else rows.withColumn("calibrated", F.col("score"))), needed
 
 
 def fingerprint(rows: DataFrame, numeric: list[str], categorical: list[str], target: str = "source") -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
+#: A moment after all others, in seconds.
+LATEST = 1e11
 TARGETS = (0.6, 0.2, 0.2)
 
 
@@ -114,17 +116,35 @@ def instants(rows: DataFrame) -> DataFrame:
     return rows.where("label_observable").groupBy("t").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("pos"))
 
 
+def sums_up_to(at: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (with until, in seconds) plus n and pos of all rows of at (at, n, pos) up to there.
+
+    Both are dealt into parts of a day; a bound takes the sum of the parts before its own and, by an equality join on
+    parts, what its own part holds up to it. Neither side is compared with all of the other.
+    """
+    day = lambda c: F.floor(F.col(c) / 86_400)
+    both = at.select(day("at").alias("part"), F.col("at").alias("moment"), "n", "pos", F.lit(None).cast(asked.select(F.struct("*")).schema[0].dataType).alias("own"))
+    both = both.unionByName(asked.select(day("until").alias("part"), F.col("until").alias("moment"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.struct("*").alias("own")))
+    inside = Window.partitionBy("part").orderBy("moment")  # by range: rows of the same instant count
+    parts = both.groupBy("part").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    parts = parts.select("part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "pos")])
+    met = both.withColumns({c: F.sum(c).over(inside) for c in ("n", "pos")}).where("own is not null").join(parts, "part")
+    return met.select("own.*", *[(F.col(c) + F.col(f"_{c}")).cast("long").alias(c) for c in ("n", "pos")])
+
+
 def feasible_cuts(rows: DataFrame, embargo: float) -> DataFrame:
     """Every pair of waves as cuts: rows and positives of each block, embargoed rows, valid, reason.
 
-    Sums up to each wave, up to the end of its embargo and over all are taken once; a cut is then arithmetic on two waves.
+    Sums up to each wave, up to the end of its embargo and over all are taken once; a cut is then arithmetic on two
+    waves. The table of sums has a row for each wave and meets itself, as there is a result for every pair.
     """
-    at = instants(rows)
+    at = instants(rows).select(seconds("t").alias("at"), "n", "pos")
     waves = crawl_waves(rows.where("label_observable")).select("wave_t").distinct()
-    met = waves.join(at, F.lit(True))  # waves times instants: both count crawls
-    up_to = lambda what, width: F.sum(F.when(seconds("t") <= seconds("wave_t") + width, F.col(what)).otherwise(0))
-    sums = [up_to(c, w).alias(f"{x}_{c}") for c in ("n", "pos") for x, w in (("at", 0.0), ("past", embargo))] + [F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos")]
-    sums = met.groupBy("wave_t").agg(*sums)
+    ends = [F.struct(F.lit(x).alias("end"), until.cast("double").alias("until")) for x, until in (("at", seconds("wave_t")), ("past", seconds("wave_t") + embargo), ("all", F.lit(LATEST)))]
+    found = sums_up_to(at, waves.select("wave_t", F.explode(F.array(*ends)).alias("x")).select("wave_t", "x.*"))
+    pick = lambda x, c: F.max(F.when(F.col("end") == x, F.col(c))).alias(f"{x}_{c}")
+    sums = found.groupBy("wave_t").agg(*[pick(x, c) for x in ("at", "past", "all") for c in ("n", "pos")])
     a, b = (sums.select(*[F.col(c).alias(f"{s}_{c}") for c in sums.columns]) for s in "ab")
     cuts = a.join(b, F.col("a_wave_t") < F.col("b_wave_t"))
     figures = {}

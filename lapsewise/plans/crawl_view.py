@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.operators import panel as P
 from lapsewise.functions.derive import days_between
+from lapsewise.operators import panel as P
+from lapsewise.sources.working import Working
 
 TITLES = ("Senior Engineer", "Staff Engineer", "Engineering Manager", "Junior Analyst", "Director of Sales", "Remote Support Intern", "Analyst")
 HORIZON = 7
@@ -45,9 +46,12 @@ def with_attributes(rows: DataFrame) -> DataFrame:
 
 
 def labelled_panel(spark: SparkSession, sf_dir: str, horizon: int = HORIZON, basis: str = "calendar") -> DataFrame:
-    rows = seen(spark, sf_dir)
-    runs = P.complete_runs(run_log(rows))
-    return with_attributes(P.with_labels(P.observations(runs, rows), runs, horizon, basis))
+    """The labelled panel, written once for the query that asks for it: what is built on it plans one scan, not the making of the panel over and over."""
+    work = Working(spark, "panel")
+    rows = work.table(seen(spark, sf_dir))
+    runs = work.table(P.complete_runs(run_log(rows)))
+    panel = work.table(P.observations(runs, rows))
+    return work.table(with_attributes(P.with_labels(panel, runs, horizon, basis)))
 
 
 #: The same view in SQL.

@@ -88,7 +88,21 @@ def _(s, d):
     return audit.validation_report(crawl_tables(s, d))
 
 
-@query("s15_manifest")
+def canonical_sql(rows: str, columns: dict[str, str]) -> str:
+    """n_rows and content_hash of rows, whose columns are given as text."""
+    each = " || ".join(f"coalesce(length(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for _, c in sorted(columns.items()))
+    return f"SELECT count(*) AS n_rows, coalesce(sum(('0x' || substr(md5({each}), 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR AS content_hash FROM {rows}"
+
+
+TITLE_SQL = "['Senior Engineer', 'Staff Engineer', 'Engineering Manager', 'Junior Analyst', 'Director of Sales', 'Remote Support Intern', 'Analyst'][(id % 7 + 1)::INT]"
+MANIFEST = {
+    "runs": ("log", {c: c for c in ("id", "source", "status", "rules_version", "page_cap", "pages_fetched")} | {"started_at": "epoch_us(day::TIMESTAMP)"}),
+    "jobs": ("jobs", {c: c for c in ("id", "source", "source_id")} | {"title": TITLE_SQL, "company": "'company ' || (id % 3)", "first_seen": "epoch_us(first_seen::TIMESTAMP)", "last_seen": "epoch_us(last_seen::TIMESTAMP)", "content_hash": f"{TITLE_SQL} || 'company ' || (id % 3)", "salary_min": "id % 9 * 10", "salary_max": "id % 7 * 12"}),
+    "job_observations": ("obsj", {"job_id": "job_id", "run_id": "run_id"}),
+}
+
+
+@query("s15_manifest", V.sql(JOBS + " UNION ALL ".join(f"SELECT '{name}' AS table_name, * FROM ({canonical_sql(*of)})" for name, of in MANIFEST.items())))
 def _(s, d):
     return crawls.manifest(crawl_tables(s, d))
 
@@ -592,22 +606,6 @@ def _(s, d):
     return models.QuantileRates("age_days").fit(rows.where("split = 'train'")).predict(rows.where("split = 'val'")).select("source", "source_id", "run_index", r("score"))
 
 
-@query("x8_logistic_ladder")
-def _(s, d):
-    return models.ladder(split_rows(s, d), ["age_days"], ["title", "company"])
-
-
-@query("x21_transfer")
-def _(s, d):
-    return models.leave_one_group_out(split_rows(s, d), "source", ["age_days"], ["title"])
-
-
-@query("x24_recalibrated")
-def _(s, d):
-    rows = split_rows(s, d)
-    return models.recalibrate(rows.where("split = 'val'"), rows.where("split = 'test'")).select("source", "source_id", "run_index", "calibrated")
-
-
 @query("p8_contract", V.sql("SELECT source_id, run_index, CASE WHEN title IS NULL OR title = '' THEN 'missing_title' ELSE 'ok' END AS error_code FROM feat"))
 def _(s, d):
     return scoring.validate(V.labelled_panel(s, d).select("source_id", "run_index", "title", "location"), extra=("source_id", "run_index")).select("source_id", "run_index", "error_code")

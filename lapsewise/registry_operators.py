@@ -1,7 +1,6 @@
 """Further registered queries: readers and writers on real files, the whole panel, splits, folds, models and their records.
 
-Models stand here as fixed scores of a row, so that what is built around a model (folds, comparisons, sweeps, transfer,
-the frozen evaluation) can be stated in SQL; fitted ones are in the tests and in the queries without SQL.
+Queries on fitted models are in registry_models.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from lapsewise.plans import crawl_view as V
 from lapsewise.registry import BOOT, CUTS, EMBARGO, FOLDS, SPLIT, crawl_tables, known, query, r, rank_sql, second, split_rows
 from lapsewise.registry import day as as_day
 from lapsewise.sources import crawls
+from lapsewise.sources.working import Working
 from lapsewise.streaming import streams
 
 
@@ -32,19 +32,13 @@ def scored_by(score: str) -> Pipeline:
     return Pipeline(stages=[models.Derive(add)])
 
 
-AGE, FIXED = "age_days / 1000", "cast(run_index * 13 % 17 as double) / 17"
-AGE_SQL, FIXED_SQL = "age_days / 1000", "(run_index * 13 % 17) / 17.0"
-
-
 def folder(s: SparkSession, name: str) -> str:
     return f"{streams.checkpoint(s)}-{name}"
 
 
 def stored(s: SparkSession, df: DataFrame) -> DataFrame:
-    """df written and read again, for what runs several jobs on it."""
-    at = folder(s, "stored")
-    df.write.parquet(at)
-    return s.read.schema(df.schema).parquet(at)
+    """df written and read again, for what runs several jobs on it. The caller's result may read it later, so it stays."""
+    return Working(s, "stored").table(df)
 
 
 # ---- sources on files ---------------------------------------------------------------------------------------------
@@ -265,26 +259,6 @@ def _(s, d):
 
 # ---- models around fixed scores -----------------------------------------------------------------------------------
 
-VAL = "vl AS (SELECT * FROM ss WHERE split = 'val')"
-
-
-def whole(rows: str, score: str, name: str) -> str:
-    """CTE name (ap): average precision of rows by score."""
-    return f"{name} AS (SELECT sum(p::DOUBLE / a * cp / cn) AS ap FROM (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS a FROM (SELECT {score} AS s, count(*) AS n, sum(y)::BIGINT AS p FROM {rows} GROUP BY ALL) WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)))"
-
-
-@query("x13_both_blocks", V.sql(SPLIT + ", sc AS (SELECT split, y, age_days / 1000 AS score FROM ss WHERE split IN ('train', 'val'))" + rank_sql("sc", "split") + "SELECT split, n, positives, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, round((SELECT ap FROM rk WHERE split = 'train') - (SELECT ap FROM rk WHERE split = 'val'), 6) AS gap FROM rk"))
-def _(s, d):
-    return models.fit_and_score(stored(s, split_rows(s, d)), scored_by(AGE)).select("split", "n", "positives", r("pr_auc"), r("roc_auc"), r("gap"))
-
-
-@query("x15_sweep", V.sql(SPLIT + f", tr AS (SELECT * FROM ss WHERE split = 'train'), {VAL}, {whole('tr', AGE_SQL, 'ta')}, {whole('vl', AGE_SQL, 'va')}, {whole('tr', FIXED_SQL, 'tb')}, {whole('vl', FIXED_SQL, 'vb')} "
-    + " UNION ALL ".join(f"SELECT '{n}' AS setting, round(t.ap, 6) AS train_pr_auc, round(v.ap, 6) AS val_pr_auc, round(t.ap - v.ap, 6) AS gap FROM {t} t CROSS JOIN {v} v" for n, t, v in (("age", "ta", "va"), ("fixed", "tb", "vb")))))
-def _(s, d):
-    out = models.sweep(stored(s, split_rows(s, d)), {"age": lambda: scored_by(AGE), "fixed": lambda: scored_by(FIXED)})
-    return out.select("setting", r("train_pr_auc"), r("val_pr_auc"), r("gap"))
-
-
 @query("x2_prepared", V.sql(SPLIT + """, tr AS (SELECT * FROM ss WHERE split = 'train'), st AS (SELECT median(age_days) AS m, avg(age_days) AS a, stddev_pop(age_days) AS sd FROM tr),
 lv AS (SELECT title FROM tr GROUP BY title HAVING count(*) >= 5), li AS (SELECT title, row_number() OVER (ORDER BY title) AS k FROM lv)
 SELECT v.source_id, v.run_index, round((coalesce(age_days, m) - a) / sd, 6) AS age, coalesce(li.k, 0)::BIGINT AS level FROM ss v CROSS JOIN st LEFT JOIN li ON li.title = v.title WHERE split = 'val'"""))
@@ -297,18 +271,6 @@ def _(s, d):
     return out.select("source_id", "run_index", F.round(F.get("f", F.lit(0)), 6).alias("age"), level.cast("long").alias("level"))
 
 
-TRANSFER = rank_sql("known", "source") + ", aged AS (SELECT source, y, age_days AS score FROM known)"
-
-
-@query("x22_transfer_assessed", V.sql(TRANSFER + second(rank_sql("aged", "source")) + ", j AS (SELECT b.ap - a.ap AS gap, a.ap - a.positives::DOUBLE / a.n AS lift FROM rk a JOIN rk2 b ON a.source = b.source), z AS (SELECT count(*) AS boards, avg(gap) AS g, stddev_samp(gap) AS sd, avg(lift) AS l FROM j) SELECT boards, round(g, 6) AS mean_gap, round(sd, 6) AS sd_gap, round(l, 6) AS mean_lift, CASE WHEN boards < 2 THEN 'unmeasured' WHEN l <= 0 THEN 'collapsed' WHEN abs(g) <= sd THEN 'intact' WHEN g > 0 THEN 'board-specific' ELSE 'reversed' END AS status FROM z"))
-def _(s, d):
-    rows = known(s, d)
-    rank = lambda df: metrics.ranking(metrics.distinct_scores(df, "source"), "source")
-    a = rank(rows).select("source", F.col("n").alias("eval_rows"), F.col("positives").alias("eval_positives"), F.col("pr_auc").alias("transfer_pr_auc"))
-    b = rank(rows.withColumn("score", F.col("age_days"))).select("source", F.col("pr_auc").alias("ceiling_pr_auc"))
-    return models.assess_transfer(a.join(b, "source")).select("boards", r("mean_gap"), r("sd_gap"), r("mean_lift"), "status")
-
-
 @query("x28_complexity_reading", V.sql(rank_sql("known", "source") + ", t AS (SELECT source AS rung, round(ap, 9) AS a FROM rk), f AS (SELECT max(a) AS b FROM t WHERE rung NOT IN ('board:0', 'board:1')), h AS (SELECT max(a) AS b FROM t WHERE rung IN ('board:0', 'board:1')), s AS (SELECT min(rung) AS r FROM t, f WHERE rung NOT IN ('board:0', 'board:1') AND a >= f.b - 0.01) SELECT (SELECT rung FROM t, f WHERE a = f.b AND rung NOT IN ('board:0', 'board:1')) AS best_fitted, round(f.b - h.b, 6) AS margin, s.r AS simplest, CASE WHEN f.b - h.b <= 0.01 THEN 'heuristics suffice' WHEN s.r = (SELECT rung FROM t, f WHERE a = f.b AND rung NOT IN ('board:0', 'board:1')) THEN 'complexity pays' ELSE 'simpler model suffices' END AS status FROM f, h, s"))
 def _(s, d):
     table = metrics.ranking(metrics.distinct_scores(known(s, d), "source"), "source").select(F.col("source").alias("rung"), F.round("pr_auc", 9).alias("pr_auc"))
@@ -316,30 +278,6 @@ def _(s, d):
     return out.select("best_fitted", r("margin"), "simplest", "status")
 
 
-@query("x20_leak_delta", V.sql(SPLIT + f", {VAL}, {whole('vl', AGE_SQL, 'wa')}, {whole('vl', FIXED_SQL, 'wb')}, {whole('vl', 'score', 'wc')} SELECT round(wa.ap, 6) AS honest, round(wb.ap, 6) AS leaked, round(wc.ap, 6) AS after_removal, round(wb.ap - wa.ap, 6) AS inflation, round(wb.ap - wc.ap, 6) AS restored FROM wa, wb, wc"))
-def _(s, d):
-    val, out = stored(s, split_rows(s, d)).where("split = 'val'"), None
-    for score, leaky, removed in ((AGE, False, False), (FIXED, True, False), ("score", False, True)):
-        one = metrics.ranking(metrics.distinct_scores(val.withColumn("score", F.expr(score)))).select(F.lit(leaky).alias("leaky"), F.lit(removed).alias("removed"), "pr_auc")
-        out = one if out is None else out.unionByName(one)
-    return experiments.leak_delta(out).select(*[r(c) for c in ("honest", "leaked", "after_removal", "inflation", "restored")])
-
-
-FROZEN = SPLIT + """, va AS (SELECT *, age_days / 1000 AS s FROM ss WHERE split = 'val'), te AS (SELECT *, age_days / 1000 AS s FROM ss WHERE split = 'test'),
-vc AS (SELECT s, sum(count(*)) OVER (ORDER BY s DESC) AS cn FROM va GROUP BY s), th AS (SELECT max(s) AS t FROM vc WHERE cn >= least((SELECT count(*) FROM va), 20)) """
-
-
-@query("x26_frozen", V.sql(FROZEN + "SELECT round(th.t, 6) AS threshold, count(*) FILTER (s >= th.t AND y = 1) AS tp, count(*) FILTER (s >= th.t AND y = 0) AS fp, count(*) FILTER (s < th.t AND y = 1) AS fn, count(*) FILTER (s < th.t AND y = 0) AS tn FROM te CROSS JOIN th GROUP BY th.t"))
-def _(s, d):
-    kept = models.needs_recalibration
-    try:
-        models.needs_recalibration = lambda *a: False  # a fixed score stays as it is
-        frozen = experiments.freeze(stored(s, split_rows(s, d)), lambda: scored_by(AGE), resamples=20, blocks=("train", "val"))
-    finally:
-        models.needs_recalibration = kept
-    return frozen.overall.withColumn("threshold", F.lit(frozen.threshold)).select(r("threshold"), "tp", "fp", "fn", "tn")
-
-
 @query("t10_ranked_upload", "SELECT p_brand AS source, p_partkey::VARCHAR AS client_id, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey::VARCHAR) AS place, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey::VARCHAR) <= 5 AS watch FROM part WHERE trim(coalesce(p_name, '')) <> ''")
 def _(s, d):
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("client_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("source"))
