@@ -41,7 +41,8 @@ def test_models_learn_from_train_only(spark):
     train = df.where("split = 'train'")
     stats = models.numeric_statistics(train, ["age_days"]).first()
     assert stats["fill"] == pytest.approx(14.5)
-    out = models.ladder(df, ["age_days"], ["title"], {"logistic": models.logistic}).collect()
+    steps = models.rungs(["age_days"], ["title"])
+    out = models.ladder(df, {n: steps[n] for n in ("prior", "board_hazard", "logistic")}).collect()
     assert {r["rung"] for r in out} == {"prior", "board_hazard", "logistic"}
     prior = next(r for r in out if r["rung"] == "prior")
     assert prior["pr_auc"] == pytest.approx(prior["positives"] / prior["n"])
