@@ -2,9 +2,10 @@
 
 Which lines go where, and which form a document takes, follows from a hash of seed and doc_id. The parts leave their
 row as pieces of at most CHUNK characters, cut at line ends where there is one, keyed by document and place in the
-output. repartitionAndSortWithinPartitions brings the pieces of a document together in output order; they stream
-through a digest of the output one by one. For the way back the marks are found again in that stream, the pieces
-between them are sorted by their place in the text, and stream through a second digest.
+output. A secondary sort (repartition by document, sortWithinPartitions by document and place: the DataFrame form of
+repartitionAndSortWithinPartitions, whose memory and spills are Spark's own) brings the pieces of a document together
+in output order; they stream through a digest of the output one by one. For the way back the marks are found again in
+that stream, the pieces between them are sorted by their place in the text, and stream through a second digest.
 
 A document's key is its input partition and its number there, so rows with equal doc_id, repeated rows and rows
 without doc_id (hashed as an empty number) stay apart; ties do not arise. Null texts are empty; an empty text, and one
@@ -18,9 +19,11 @@ import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsewise.llm.shared import read_table
+from lapsewise.llm.shared import blocks, read_table
 
 SEED, RATE, SPM_RATE = 7, 100, 50
 #: Marks before prefix, suffix and middle.
@@ -31,7 +34,10 @@ PLACE = {PREFIX.encode(): 0, MIDDLE.encode(): 1, SUFFIX.encode(): 2}
 CHUNK = 65_536
 COLUMNS = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string, restored_sha256 string"
 
-Piece = tuple[tuple[int, int, int], object]
+#: The rows between the two steps: pieces, and before them at place -1 what is known of the document.
+PIECES = "split int, k long, place int, piece binary, doc_id long, n long, form string, prefix_chars long, middle_chars long"
+#: Characters and documents after which a task hands results on.
+HAND_ON = (2_000_000, 1000)
 
 
 def cut(part: str, chunk: int) -> Iterator[str]:
@@ -60,57 +66,79 @@ def parted(doc_id: int | None, text: str, seed: int, rate: int, spm_rate: int) -
 
 
 def pieces_of(seed: int, rate: int, spm_rate: int, chunk: int):
-    def run(split: int, rows) -> Iterator[Piece]:
-        for k, (doc_id, text) in enumerate(rows):
-            n, form, parts = parted(doc_id, text or "", seed, rate, spm_rate)
-            yield (split, k, -1), (doc_id, n, form, *((len(parts[0]), len(parts[1])) if form != "plain" else (None, None)))
-            if form == "plain":
-                order = [("", parts[0])]
-            else:
-                order = [(PREFIX, parts[0]), (SUFFIX, parts[2]), (MIDDLE, parts[1])]
-                order = [order[1], order[0], order[2]] if form == "spm" else order
-            place = 0
-            for mark, part in order:
-                for piece in ([mark] if mark else []) + list(cut(part, chunk)):
-                    yield (split, k, place), piece.encode("utf-8", "surrogatepass")
-                    place += 1
+    def pieces(split: int, k: int, doc_id: int | None, text: str) -> Iterator[tuple]:
+        n, form, parts = parted(doc_id, text, seed, rate, spm_rate)
+        yield (split, k, -1, b"", doc_id, n, form, *((len(parts[0]), len(parts[1])) if form != "plain" else (None, None)))
+        if form == "plain":
+            order = [("", parts[0])]
+        else:
+            order = [(PREFIX, parts[0]), (SUFFIX, parts[2]), (MIDDLE, parts[1])]
+            order = [order[1], order[0], order[2]] if form == "spm" else order
+        place = 0
+        for mark, part in order:
+            for piece in ([mark] if mark else []) + list(cut(part, chunk)):
+                yield (split, k, place, piece.encode("utf-8", "surrogatepass"), None, None, None, None, None)
+                place += 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, k = TaskContext.get().partitionId(), 0
+        for frame in blocks(frames):
+            rows = []
+            for doc_id, text in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), frame["text"], strict=True):
+                rows += pieces(split, k, None if doc_id is None else int(doc_id), text or "")
+                k += 1
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
 
     return run
 
 
-def assembled(with_output: bool):
-    def run(pieces: Iterator[Piece]) -> Iterator[tuple]:
-        for _, own in groupby(pieces, key=lambda p: p[0][:2]):
-            _, (doc_id, n, form, prefix_chars, middle_chars) = next(own)
-            forth, back = hashlib.sha256(), hashlib.sha256()
-            output: list[bytes] = []
-            found: list[tuple[int, int, bytes]] = []
-            part = 0
-            for (_, _, place), piece in own:
-                forth.update(piece)
-                if with_output:
-                    output.append(piece)
-                if form == "plain":
-                    back.update(piece)
-                elif piece in PLACE:  # a text with a mark in it is plain
-                    part = PLACE[piece]
-                else:
-                    found.append((part, place, piece))
-            for _, _, piece in sorted(found, key=lambda x: x[:2]):
+def documents(frames: Iterator[pd.DataFrame], with_output: bool) -> Iterator[tuple]:
+    """One result for each document of a stream of sorted pieces, whatever batches they come in."""
+    rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+    for _, own in groupby(rows, key=lambda p: p[:2]):
+        _, _, _, _, doc_id, n, form, prefix_chars, middle_chars = next(own)
+        forth, back = hashlib.sha256(), hashlib.sha256()
+        output: list[bytes] = []
+        found: list[tuple[int, int, bytes]] = []
+        part = 0
+        for _, _, place, piece, *_ in own:
+            forth.update(piece)
+            if with_output:
+                output.append(piece)
+            if form == "plain":
                 back.update(piece)
-            yield doc_id, n, form, prefix_chars, middle_chars, b"".join(output).decode("utf-8", "surrogatepass") if with_output else None, forth.hexdigest(), back.hexdigest()
+            elif piece in PLACE:  # a text with a mark in it is plain
+                part = PLACE[piece]
+            else:
+                found.append((part, place, piece))
+        for _, _, piece in sorted(found, key=lambda x: x[:2]):
+            back.update(piece)
+        whole = b"".join(output).decode("utf-8", "surrogatepass") if with_output else None
+        yield (*(None if pd.isna(x) else int(x) for x in (doc_id, n)), form, *(None if pd.isna(x) else int(x) for x in (prefix_chars, middle_chars)), whole, forth.hexdigest(), back.hexdigest())
+
+
+def assembled(with_output: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        names = [c.split()[0] for c in COLUMNS.split(", ")]
+        for row in documents(frames, with_output):
+            out.append(row)
+            size += len(row[5] or "")
+            if size > HAND_ON[0] or len(out) == HAND_ON[1]:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out, size = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return run
 
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE, with_output: bool = True, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n (lines), form, prefix_chars, middle_chars, output (null unless asked for), and the digests of the output and of the text restored from it."""
-    spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).rdd
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the input
-    pieces = rows.mapPartitionsWithIndex(pieces_of(seed, rate, spm_rate, chunk), preservesPartitioning=True)
-    dealt = pieces.repartitionAndSortWithinPartitions(parts, lambda key: key[0] * 1_000_003 + key[1])
-    return spark.createDataFrame(dealt.mapPartitions(assembled(with_output)), COLUMNS, verifySchema=False)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    pieces = rows.mapInPandas(pieces_of(seed, rate, spm_rate, chunk), PIECES)
+    dealt = pieces.repartition("split", "k").sortWithinPartitions("split", "k", "place")
+    return dealt.mapInPandas(assembled(with_output), COLUMNS)
 
 
 def restore(output: str, form: str) -> str:
