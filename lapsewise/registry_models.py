@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.functions import derive
-from lapsewise.operators import audit, experiments, folds, isotonic, metrics, models, panel, waves
+from lapsewise.operators import experiments, fingerprint, folds, isotonic, models, panel, waves
 from lapsewise.operators.boosting import BoostedTrees
 from lapsewise.plans import crawl_view as V
-from lapsewise.registry import BIN, EMBARGO, FOLDS, SPLIT, annotated, known, query, r, rank_sql, split_rows
+from lapsewise.registry import BIN, EMBARGO, FOLDS, SPLIT, annotated, known, query, r, split_rows
 from lapsewise.registry_operators import stored
 
 # ---- pieces of SQL ------------------------------------------------------------------------------------------------
@@ -328,3 +328,51 @@ def _(s, d):
 @query("x26_slices", V.sql(FROZEN + ", sl AS (SELECT 'carry_over' AS slice, sit::VARCHAR AS value, y, s FROM ts UNION ALL SELECT 'cohort', cohort, y, s FROM ts UNION ALL SELECT 'first_observation', first_observation::VARCHAR, y, s FROM ts), kl AS (SELECT slice || '/' || value AS k, y, s FROM sl), hits AS (SELECT k, count(*) FILTER (y = 1 AND s >= t) AS tp, count(*) FILTER (y = 0 AND s >= t) AS fp FROM kl CROSS JOIN th GROUP BY k)" + f" SELECT split_part(a.k, '/', 1) AS slice, split_part(a.k, '/', 2) AS value, n, positives, round(ap, 6) AS pr_auc, round(roc, 6) AS roc_auc, tp, fp FROM {ap_sql('kl', 's', 'k')} a JOIN hits ON hits.k = a.k"))
 def _(s, d):
     return frozen(s, d).slices.select("slice", "value", "n", "positives", r("pr_auc"), r("roc_auc"), "tp", "fp")
+
+
+# ---- fingerprint of boards ----------------------------------------------------------------------------------------
+
+PRINT_ON = (["age_days"], ["title", "company", "location", "requisition_id"])
+PRINT_SQL = BLOCKS + """, aq AS (SELECT age_days AS v, sum(count(*)) OVER (ORDER BY age_days) AS cum, sum(count(*)) OVER () AS n FROM tr GROUP BY age_days), ae AS (SELECT list(DISTINCT v ORDER BY v) AS e FROM (SELECT k.range, min(v) AS v FROM aq JOIN range(1, 8) k ON cum >= ceil(k.range * n / 8.0) GROUP BY k.range)),
+br AS (SELECT row_number() OVER () AS r, ss.* FROM ss),
+ln_ AS (SELECT r, split, source AS board, f.f AS feature, CASE f.f WHEN 'age_days' THEN coalesce('b' || len(list_filter(e, lambda q: age_days > q)), 'null') WHEN 'title' THEN coalesce('v' || title, 'null') WHEN 'company' THEN coalesce('v' || company, 'null') WHEN 'location' THEN coalesce('v' || location, 'null') ELSE coalesce('v' || requisition_id, 'null') END AS bin FROM br CROSS JOIN ae CROSS JOIN (SELECT unnest(['age_days', 'title', 'company', 'location', 'requisition_id']) AS f) f),
+ct AS (SELECT feature, bin, board, count(*) AS n FROM ln_ WHERE split = 'train' GROUP BY ALL), nb AS (SELECT source AS board, count(*)::DOUBLE AS n FROM tr GROUP BY source), kf AS (SELECT feature, count(DISTINCT bin) AS k FROM ct GROUP BY feature),
+mk AS (SELECT feature, bin = 'null' AS isn, board, sum(n) AS n FROM ct GROUP BY ALL),
+wt AS (SELECT l.r, l.board AS actual, l.feature, nb.board, ln((coalesce(ct.n, 0) + 1.0) / (nb.n + k)) AS w, ln((coalesce(mk.n, 0) + 1.0) / (nb.n + 2)) AS m FROM ln_ l JOIN kf ON kf.feature = l.feature CROSS JOIN nb LEFT JOIN ct ON ct.feature = l.feature AND ct.bin = l.bin AND ct.board = nb.board LEFT JOIN mk ON mk.feature = l.feature AND mk.isn = (l.bin = 'null') AND mk.board = nb.board WHERE l.split = 'val'),
+sm AS (SELECT r, actual, wt.board, sum(w) + ln(max(nb.n) / (SELECT sum(n) FROM nb)) AS s, sum(m) + ln(max(nb.n) / (SELECT sum(n) FROM nb)) AS ms FROM wt JOIN nb ON nb.board = wt.board GROUP BY r, actual, wt.board),
+vr AS (SELECT 'all' AS variant, r, actual, board, s FROM sm UNION ALL SELECT 'without board context', r, actual, board, s FROM sm UNION ALL SELECT 'nulls alone', r, actual, board, ms FROM sm UNION ALL SELECT 'without ' || feature, wt.r, wt.actual, wt.board, s - w FROM wt JOIN sm ON sm.r = wt.r AND sm.board = wt.board),
+pd AS (SELECT variant, r, actual, board AS predicted FROM vr QUALIFY row_number() OVER (PARTITION BY variant, r ORDER BY round(s, 9) DESC, board) = 1) """
+
+
+def class_sql(rows: str, key: str) -> str:
+    return f"(SELECT {key}, (SELECT avg((actual = predicted)::INT) FROM {rows} x WHERE x.{key} = l.{key}) AS accuracy, avg(coalesce(2.0 * (SELECT count(*) FROM {rows} x WHERE x.{key} = l.{key} AND actual = l.c AND predicted = l.c) / nullif((SELECT count(*) FROM {rows} x WHERE x.{key} = l.{key} AND actual = l.c) + (SELECT count(*) FROM {rows} x WHERE x.{key} = l.{key} AND predicted = l.c), 0), 0)) AS macro_f1, (SELECT count(*) FROM {rows} x WHERE x.{key} = l.{key}) AS rows FROM (SELECT {key}, actual AS c FROM {rows} UNION SELECT {key}, predicted FROM {rows}) l GROUP BY {key})"
+
+
+def boards_print(s: SparkSession, d: str) -> fingerprint.Fingerprint:
+    rows = stored(s, split_rows(s, d))
+    return fingerprint.fingerprint(rows.where("split = 'train'"), rows.where("split = 'val'"), *PRINT_ON, bins=8)
+
+
+@query("x25_scores", V.sql(PRINT_SQL + f"SELECT variant, rows, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM {class_sql('pd', 'variant')} WHERE variant IN ('all', 'without board context', 'nulls alone')"))
+def _(s, d):
+    return boards_print(s, d).scores.select("variant", "rows", r("accuracy"), r("macro_f1"))
+
+
+@query("x25_stumps", V.sql(PRINT_SQL + f", al AS (SELECT feature, bin, board AS predicted FROM ct QUALIFY row_number() OVER (PARTITION BY feature, bin ORDER BY n DESC, board) = 1), st AS (SELECT l.feature, l.board AS actual, coalesce(al.predicted, (SELECT board FROM nb ORDER BY n DESC, board LIMIT 1)) AS predicted FROM ln_ l LEFT JOIN al ON al.feature = l.feature AND al.bin = l.bin WHERE split = 'val') SELECT feature, rows, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM {class_sql('st', 'feature')}"))
+def _(s, d):
+    return boards_print(s, d).stumps.select("feature", "rows", r("accuracy"), r("macro_f1"))
+
+
+@query("x25_drop_one", V.sql(PRINT_SQL + ", a AS (SELECT variant, avg((actual = predicted)::INT) AS acc FROM pd GROUP BY variant) SELECT variant[9:] AS removed, round(acc, 6) AS accuracy_without, round((SELECT acc FROM a WHERE variant = 'all') - acc, 6) AS drop FROM a WHERE variant LIKE 'without %' AND variant <> 'without board context'"))
+def _(s, d):
+    return boards_print(s, d).drop_one.select("removed", r("accuracy_without"), r("drop"))
+
+
+@query("x25_confusion", V.sql(PRINT_SQL + "SELECT actual, predicted, count(*) AS n FROM pd WHERE variant = 'all' GROUP BY ALL"))
+def _(s, d):
+    return boards_print(s, d).confusion
+
+
+@query("x25_recall", V.sql(PRINT_SQL + "SELECT actual AS board, count(*) AS rows, round(avg((actual = predicted)::INT), 6) AS recall FROM pd WHERE variant = 'all' GROUP BY actual"))
+def _(s, d):
+    return boards_print(s, d).recall.select("board", "rows", r("recall"))
