@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.llm.langid import remainder
-from lapsewise.llm.shared import _SPACE, Scratch, SpanHash, _LOWER, blocks, encoded, read_table
+from lapsewise.llm.shared import _SPACE, Scratch, _LOWER, block_hashes, blocks, encoded, read_table
 
 TOP, CLASSES, ROUNDS, KNOWN, LENGTHS = 1000, 40, 4, 1 << 18, 6
 #: Occurrences that put a word into a class, and rounds over all such words; evidence rows that a task gathers at once.
@@ -50,7 +50,7 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = start[: len(end)]
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     per = np.diff(np.searchsorted(start, bounds))
-    return SpanHash(_LOWER[raw])(start, end).view(np.int64), np.minimum((end - start - 1) // 3, LENGTHS - 1), per
+    return block_hashes(_LOWER[raw], start, end).view(np.int64), np.minimum((end - start - 1) // 3, LENGTHS - 1), per
 
 
 def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ CHUNK = 65_536
 COLUMNS = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string, restored_sha256 string"
 
 #: The rows between the two steps: pieces, and before them at place -1 what is known of the document.
-PIECES = "split int, k long, place int, piece binary, doc_id long, n long, form string, prefix_chars long, middle_chars long"
+PIECES = "split int, k long, place int, piece binary, doc_id string, n long, form string, prefix_chars long, middle_chars long"
 #: Characters and documents after which a task hands results on.
 HAND_ON = (2_000_000, 1000)
 
@@ -68,7 +68,7 @@ def parted(doc_id: int | None, text: str, seed: int, rate: int, spm_rate: int) -
 def pieces_of(seed: int, rate: int, spm_rate: int, chunk: int):
     def pieces(split: int, k: int, doc_id: int | None, text: str) -> Iterator[tuple]:
         n, form, parts = parted(doc_id, text, seed, rate, spm_rate)
-        yield (split, k, -1, b"", doc_id, n, form, *((len(parts[0]), len(parts[1])) if form != "plain" else (None, None)))
+        yield (split, k, -1, b"", None if doc_id is None else str(doc_id), n, form, *((len(parts[0]), len(parts[1])) if form != "plain" else (None, None)))
         if form == "plain":
             order = [("", parts[0])]
         else:
@@ -84,8 +84,8 @@ def pieces_of(seed: int, rate: int, spm_rate: int, chunk: int):
         split, k = TaskContext.get().partitionId(), 0
         for frame in blocks(frames):
             rows = []
-            for doc_id, text in zip(frame["doc_id"].astype(object).where(frame["doc_id"].notna(), None), frame["text"], strict=True):
-                rows += pieces(split, k, None if doc_id is None else int(doc_id), text or "")
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                rows += pieces(split, k, int(doc_id) if isinstance(doc_id, str) else None, text or "")
                 k += 1
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
 
@@ -135,7 +135,8 @@ def assembled(with_output: bool):
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE, with_output: bool = True, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n (lines), form, prefix_chars, middle_chars, output (null unless asked for), and the digests of the output and of the text restored from it."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    # ids travel as text: a null among numbers would turn them into floating ones
+    rows = docs.select(docs["doc_id"].cast("long").cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
     pieces = rows.mapInPandas(pieces_of(seed, rate, spm_rate, chunk), PIECES)
     dealt = pieces.repartition("split", "k").sortWithinPartitions("split", "k", "place")
     return dealt.mapInPandas(assembled(with_output), COLUMNS)

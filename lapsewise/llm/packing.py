@@ -7,8 +7,10 @@ sums still available is asked for the combination that fills the gap exactly, wh
 allow; where none exists, the best fitting length left goes in. The plan is a list of patterns with multiplicities. Pieces
 are numbered within their length by two prefix sums and take the slots of their length in order.
 
-Nulls: a null text is an empty one (the end id alone), a null doc_id is left out. Equal rows are separate documents; doc_id
-is taken as unique. Extra columns are ignored, empty tables give empty results.
+Nulls: a null text is an empty one (the end id alone), a null doc_id is a document without a number. Rows with equal doc_id
+and repeated rows are separate documents, each packed. Ties: pieces of one length take its slots by doc_id, place and ids;
+which of two equal pieces comes first changes nothing but their numbers. Extra columns are ignored, empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -87,20 +89,23 @@ def cutter(tokenizer: str, ranks: str, capacity: int, with_ids: bool):
         for frame in blocks(frames):
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                doc = int(doc) if isinstance(doc, str) else None
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 bounds = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     part = ids[4 * a : 4 * b]
                     rows.append((doc, k, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            yield out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
 
     return run
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of at most capacity ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    # ids travel as text: a null among numbers would turn them into floating ones
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(cutter(tokenizer, ranks, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
@@ -168,7 +173,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
     # numbers within a length: a deal of hashed parts, numbered inside, after the parts before it
     items = scratch.table(items, "pieces")
     parts = max(16, 1 + items.count() // PART)
-    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     per = items.groupBy("length", "part").agg(F.count("*").alias("n"))
     per = scratch.table(per, "per-part")
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
@@ -185,7 +190,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = N
             offset += k * length
         sequence += n
     slots = spark.createDataFrame(slots, "slot_length long, first long, past long, k long, sequence long, base long")
-    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     numbered = items.withColumn("inside", inside).join(before, ["length", "part"])
     numbered = numbered.withColumn("number", F.col("inside") + F.col("before")).drop("inside", "before", "part")
     # the slot table has a few rows for each length: no more than the plan has patterns

@@ -65,6 +65,23 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def shortened(span: Column) -> Column:
+    """An account number's proposal without the words behind it: of its beginnings that end with a group, the longest that is confirmed.
+
+    A number may be followed by a word in capitals, which the pattern cannot tell from a group of the number.
+    """
+    groups = F.split(span["value"], " ", -1)
+    beginnings = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    longest = F.get(F.filter(beginnings, lambda v: confirmed("iban", v)), F.lit(0))
+
+    def cut(value: Column) -> Column:
+        value = F.coalesce(value, span["value"])
+        rest = F.substring(span["value"], F.length(value) + 1, F.length(span["value"]))
+        return F.struct(span["start"].alias("start"), (span["start"] + F.length(value)).alias("stop"), value.alias("value"), span["before"].alias("before"), F.left(F.concat(rest, span["after"]), F.lit(AFTER)).alias("after"))
+
+    return let(longest, cut)
+
+
 def proposals(text: Column, hits: Column, pattern: str) -> Column:
     """start, stop, value and surroundings of every match, from what lies between the matches."""
 
@@ -84,7 +101,10 @@ def proposals(text: Column, hits: Column, pattern: str) -> Column:
 
 def spans_of(text: Column, kind: str, rank: int, hits: Column) -> Column:
     pattern, _, score, words = KINDS[kind]
-    found = F.filter(proposals(text, hits, pattern), lambda s: confirmed(kind, s["value"]))
+    found = proposals(text, hits, pattern)
+    if kind == "iban":
+        found = F.transform(found, shortened)
+    found = F.filter(found, lambda s: confirmed(kind, s["value"]))
 
     def scored(s: Column) -> Column:
         near = F.lower(F.concat(s["before"], F.lit(" "), s["after"])).rlike(words)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,8 @@ class Scratch:
     folder stands in where the setting is missing.
     """
 
-    #: Those whose tables are still there.
-    kept: list[Scratch] = []
+    #: Those made inside the collecting() of this thread of work, if it is in one.
+    opened: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -38,19 +40,25 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="lapsewise-")
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made = 0
-        Scratch.kept.append(self)
+        if (own := Scratch.opened.get()) is not None:
+            own.append(self)
 
     def delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    @classmethod
-    def clear(cls, but: Scratch) -> None:
-        """Delete the tables of all others: for a caller that has written what was derived from them."""
-        for scratch in cls.kept:
-            if scratch is not but:
+    @staticmethod
+    @contextmanager
+    def collecting() -> Iterator[None]:
+        """Delete, at the end, the tables of every Scratch that was made inside, and of no other: for a caller that has written what was derived from them."""
+        made: list[Scratch] = []
+        token = Scratch.opened.set(made)
+        try:
+            yield
+        finally:
+            Scratch.opened.reset(token)
+            for scratch in made:
                 scratch.delete(scratch.base)
-        cls.kept = [but]
 
     def table(self, df: DataFrame, name: str, slim: bool = False) -> DataFrame:
         """df written and read again; slim: its rows are few against the corpus, so an eighth of the tasks will do."""
@@ -186,6 +194,29 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def block_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of a byte buffer, eight bytes at a time through the finaliser.
+
+    A span of up to eight bytes is told apart from any other of its length for certain. Every block goes through the
+    finaliser before the next is added, so that no pattern of a text cancels out, as it can in a sum of powers.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+    open_ = np.arange(len(start))
+    done = 0
+    while len(open_):
+        left = size[open_] - done
+        block = at_byte[start[open_] + done].astype(np.uint64)
+        short = left < 8
+        block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[open_] = mix(out[open_] * np.uint64(3) + mix(block + np.uint64(done + 1)))
+        done += 8
+        open_ = open_[left > 8]
+    return out
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of all texts in order, and the number of words of each text."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -197,7 +228,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = start[: len(end)]
     bounds = np.cumsum([len(t) + 1 for t in texts])
     per = np.diff(np.searchsorted(start, np.concatenate([[0], bounds])))
-    return SpanHash(_LOWER[raw])(start, end), per
+    return block_hashes(_LOWER[raw], start, end), per
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

@@ -13,8 +13,8 @@ round, until no new pair turns up. A pair of nodes thus meets in exactly one tas
 side finds counts for both. Hits are confirmed by the cosine in double precision. Pairs never leave the task: it
 returns a count for each node and a spanning forest of its links.
 
-The recall is audited by brute force for at most AUDIT vectors whose id is divisible by QUERY_EVERY; below RECALL the
-work is repeated with a wider search.
+The recall is audited by brute force, in blocks, for every vector whose id is divisible by QUERY_EVERY; below RECALL the
+work is repeated with a wider search, and, where the widest one still misses too much, by comparing all blocks of a label.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing.
 A row without vec_id stays a row and takes part; its component_id is null, and it is kept, only if it reaches no vec_id.
@@ -40,7 +40,9 @@ SHARD, LARGE, SAMPLE = 400, 1000, 4096
 #: Parts of one division, at least (more than the shards of a node) and at most; nodes that one task assigns.
 FEWEST, MOST, ASSIGN = 16, 64, 5000
 NEAR, FAR, DEGREE, ALPHA = 40, 8, 16, 1.2
-QUERY_EVERY, AUDIT, RECALL = 50, 2000, 0.9
+QUERY_EVERY, RECALL = 50, 0.9
+#: Audited vectors that one pass compares with all others; vectors of a block of the exact comparison.
+AUDIT, EXACT = 2000, 1000
 #: Numbers that one step of the search multiplies, and queries that search at once.
 STEP, BLOCK = 4_000_000, 256
 KEY = ["label", "bytes", "shard"]
@@ -342,26 +344,63 @@ def links_of(nodes: DataFrame, breadth: Breadth, scratch: Scratch) -> tuple[Data
 
 
 def recall(keyed: DataFrame, links: DataFrame, classes: DataFrame) -> float:
-    """Links found of links there, by brute force against all nodes, of the audited vectors; 1 where there are none."""
-    asked = keyed.where(F.col("unit").isNotNull() & (F.pmod("vec_id", F.lit(QUERY_EVERY)) == 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT)
+    """Links found of links there, by brute force against all nodes, of every vector whose id is divisible by QUERY_EVERY; 1 where there are none."""
+    asked = keyed.where(F.col("unit").isNotNull() & (F.pmod("vec_id", F.lit(QUERY_EVERY)) == 0))
     asked = asked.join(classes.select("label", "h1", "h2", "node"), ["label", "h1", "h2"]).join(links, "node", "left")
-    asked = asked.select("node", "label", "bytes", "unit", F.coalesce("links", F.lit(0)).alias("links")).toPandas()
-    if not len(asked):
-        return 1.0
-    groups = {key: (matrix(own["unit"]), own["node"].to_numpy()) for key, own in asked.groupby(["label", "bytes"])}
+    asked = asked.select("node", "label", "bytes", "unit", F.coalesce("links", F.lit(0)).alias("links"))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n = 0
-            for key, own in frame.groupby(["label", "bytes"]):
-                if key in groups:
-                    q, ids = groups[key]
-                    hit = (q @ matrix(own["unit"]).T >= LEAST) & (ids[:, None] != own["node"].to_numpy())
-                    n += int((hit @ own["copies"].to_numpy()).sum())
-            yield pd.DataFrame({"n": [n]})
+    def there(own: pd.DataFrame) -> int:
+        groups = {key: (matrix(part["unit"]), part["node"].to_numpy()) for key, part in own.groupby(["label", "bytes"])}
 
-    there = classes.select("node", "label", "bytes", "unit", "copies").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
-    return float(asked["links"].sum()) / there if there else 1.0
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                n = 0
+                for key, part in frame.groupby(["label", "bytes"]):
+                    if key in groups:
+                        q, ids = groups[key]
+                        hit = (q @ matrix(part["unit"]).T >= LEAST) & (ids[:, None] != part["node"].to_numpy())
+                        n += int((hit @ part["copies"].to_numpy()).sum())
+                yield pd.DataFrame({"n": [n]})
+
+        return classes.select("node", "label", "bytes", "unit", "copies").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+    found, all_, rows = 0, 0, []
+    for r in asked.toLocalIterator():  # a block at a time on the driver
+        found += r["links"]
+        rows.append(r.asDict())
+        if len(rows) == AUDIT:
+            all_, rows = all_ + there(pd.DataFrame(rows)), []
+    if rows:
+        all_ += there(pd.DataFrame(rows))
+    return found / all_ if all_ else 1.0
+
+
+def linked_in_blocks(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of the nodes of two blocks with each other (or of one with itself), and the least node of each linked group."""
+    x, ids, copies, block = matrix(frame["unit"]), frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["block"].to_numpy()
+    hit = x @ x.T >= LEAST
+    np.fill_diagonal(hit, False)
+    if frame["lo"].iloc[0] != frame["hi"].iloc[0]:
+        hit &= block[:, None] != block
+    group = np.argsort(np.argsort(ids))
+    while True:
+        new = np.minimum(group, np.where(hit, group, len(ids)).min(axis=1))
+        if (new == group).all():
+            break
+        group = new
+    some = np.flatnonzero(hit.any(axis=1))
+    return pd.DataFrame({"node": ids[some], "links": (hit[some] @ copies).astype(np.int64), "parent": np.sort(ids)[group[some]]})
+
+
+def exact_links(nodes: DataFrame, scratch: Scratch, size: int = EXACT) -> tuple[DataFrame, DataFrame]:
+    """What links_of gives, by comparing every two blocks of a label: for data on which the graph finds too little."""
+    per = nodes.groupBy("label", "bytes").agg(F.ceil(F.count("*") / F.lit(size)).alias("blocks"))
+    dealt = nodes.join(per, ["label", "bytes"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    found = scratch.table(pairs.groupBy("label", "bytes", "lo", "hi").applyInPandas(linked_in_blocks, "node long, links long, parent long"), "exact")
+    tree = components(found.where("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b")), scratch)
+    return scratch.table(found.groupBy("node").agg(F.sum("links").alias("links")), "links"), scratch.table(tree, "components")
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch | None = None, breadths: tuple[Breadth, ...] = BREADTHS) -> DataFrame:
@@ -374,8 +413,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch | None = None, breadths: t
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     for breadth in breadths:
         links, tree = links_of(classes.select("node", "label", "bytes", "unit", "copies"), breadth, scratch)
-        if breadth is breadths[-1] or recall(keyed, links, classes) >= RECALL:
+        if recall(keyed, links, classes) >= RECALL:
             break
+    else:
+        links, tree = exact_links(classes.select("node", "label", "bytes", "unit", "copies"), scratch)
     of = classes.select("label", "h1", "h2", "least", "copies", "node").join(links, "node", "left").join(tree, "node", "left")
     of = scratch.table(of.select("label", "h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "per-class")
     least = scratch.table(of.groupBy("component").agg(F.min("least").alias("component_id")), "least")
