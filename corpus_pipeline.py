@@ -79,6 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-        Scratch.clear(but=scratch)
+        with Scratch.collecting():  # what a stage has written for itself goes when its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs
