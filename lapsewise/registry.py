@@ -128,11 +128,12 @@ def _(s, d):
     return panel.complete_runs(V.run_log(V.seen(s, d))).select("run_id", "source", day("t"), "run_index")
 
 
-@query("j2_unrecorded_runs", V.sql("SELECT r.source, r.run_index FROM runs r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE 'board:' || (e.user_id % 5) = r.source AND e.ts::DATE = r.t AND e.event_type = 'error' AND e.value >= 20)"))
+@query("j2_unrecorded_runs", V.sql("SELECT source, run_index FROM runs WHERE dayofmonth(t) % 5 = length(source) % 5"))
 def _(s, d):
+    """The snapshot rows of some runs are missing: whole days, one in five."""
     rows = V.seen(s, d)
-    sightings = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error' and value >= 20").select(F.concat(F.lit("board:"), (F.col("user_id") % 5).cast("string")).alias("source"), F.to_date("ts").cast("timestamp").alias("observed_at"))
-    return panel.unrecorded_runs(panel.complete_runs(V.run_log(rows)), sightings).select("source", "run_index")
+    left = rows.where(F.dayofmonth("observed_at") % 5 != F.length("source") % 5)
+    return panel.unrecorded_runs(panel.complete_runs(V.run_log(rows)), left).select("source", "run_index")
 
 
 for _h in (1, 3, 7):
@@ -318,10 +319,11 @@ def _(s, d):
 EMBARGO = 7 * 86_400.0
 
 
-@query("w7_crawl_waves", "WITH t AS (SELECT DISTINCT ts AS t FROM events WHERE event_type = 'error'), f AS (SELECT t, CASE WHEN epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t)) > 3600000000 THEN 1 ELSE 0 END AS n FROM t), w AS (SELECT t, sum(n) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT wave, count(*) AS instants, epoch_us(max(t)) AS wave_end FROM w GROUP BY wave")
+@query("w7_crawl_waves", "WITH t AS (SELECT DISTINCT epoch_us(ts) * 10 AS t FROM events), f AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) > 3600000000 THEN 1 ELSE 0 END AS n FROM t), w AS (SELECT t, sum(n) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT wave, count(*) AS instants, max(t) AS wave_end FROM w GROUP BY wave")
 def _(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("t"))
+    # ten times as far apart, so that there are pauses of an hour
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("t"))
     return waves.crawl_waves(rows).groupBy("wave").agg(F.count("*").alias("instants"), F.unix_micros(F.max("t")).alias("wave_end"))
 
 

@@ -12,10 +12,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.functions import clean
+from lapsewise.functions import clean, derive
 from lapsewise.operators import audit, experiments, features, metrics, models, panel, scoring, waves
 from lapsewise.plans import crawl_view as V
-from lapsewise.registry import BOOT, CUTS, EMBARGO, FOLDS, SPLIT, crawl_tables, known, query, r, rank_sql, second, split_rows
+from lapsewise.registry import BOOT, CUTS, EMBARGO, FOLDS, SPLIT, crawl_tables, known, query, r, rank_sql, split_rows
 from lapsewise.registry import day as as_day
 from lapsewise.sources import crawls
 from lapsewise.sources.working import Working
@@ -315,11 +315,72 @@ def _(s, d):
     return models.with_company_volume(rows.where("split = 'val'"), models.company_volume(rows.where("split = 'train'"))).select("source_id", "run_index", "company_posting_volume")
 
 
-@query("r2_board_sizes", V.sql("SELECT source, day::VARCHAR AS day, count(*) AS sightings FROM obs0 GROUP BY ALL"))
+EVENTS = "WITH e AS (SELECT 'board:' || (user_id % 5) AS source, user_id, ts FROM events) "
+
+
+@query("r2_board_sizes", EVENTS + "SELECT source, ts::DATE::VARCHAR AS day, count(*) AS sightings, count(DISTINCT user_id) AS postings, true AS close FROM e GROUP BY ALL")
 def _(s, d):
-    return streams.board_size_counts(s, d)
+    """The stream's sizes beside exact counts of the table, and whether the sketch is within two per cent."""
+    sizes = streams.board_size_counts(s, d).select("source", F.to_date("w.start").cast("string").alias("day"), "sightings", F.col("postings").alias("estimate"))
+    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy("source", F.to_date("observed_at").cast("string").alias("day")).agg(F.count_distinct("source_id").alias("postings"))
+    return sizes.join(exact, ["source", "day"]).select("source", "day", "sightings", "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
 
 
-@query("r3_crawl_sessions", "WITH t AS (SELECT DISTINCT ts AS t FROM events WHERE event_type = 'error'), f AS (SELECT t, CASE WHEN epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t)) >= 3600000000 THEN 1 ELSE 0 END AS n FROM t), w AS (SELECT t, sum(n) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT epoch_us(max(t)) AS wave_end, count(*) AS crawls FROM w GROUP BY wave")
+@query("r2_merged_sizes", EVENTS + "SELECT source, count(*) AS sightings, count(DISTINCT user_id) AS postings, true AS close FROM e GROUP BY source")
+def _(s, d):
+    """The days' sketches merged: distinct postings of a board over the whole time."""
+    merged = streams.merged_sizes(streams.board_size_counts(s, d), "source").withColumnRenamed("postings", "estimate")
+    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy("source").agg(F.count_distinct("source_id").alias("postings"))
+    return merged.join(exact, "source").select("source", F.col("sightings").cast("long").alias("sightings"), "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
+
+
+@query("r3_crawl_sessions", "WITH n AS (SELECT epoch_us(ts) * 10 AS t, count(*) AS n FROM events GROUP BY ts), f AS (SELECT t, n, CASE WHEN t - lag(t) OVER (ORDER BY t) >= 3600000000 THEN 1 ELSE 0 END AS b FROM n), w AS (SELECT t, n, sum(b) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT max(t) AS wave_end, sum(n)::BIGINT AS crawls FROM w GROUP BY wave")
 def _(s, d):
     return streams.session_counts(s, d)
+
+
+@query("r3_stalled", EVENTS.rstrip() + ", g AS (SELECT source, epoch_us(ts) AS last_us, lead(epoch_us(ts)) OVER (PARTITION BY source ORDER BY ts) AS resumed_us FROM (SELECT DISTINCT source, ts FROM e)) SELECT * FROM g WHERE resumed_us - last_us > 7200000000 OR resumed_us IS NULL")
+def _(s, d):
+    return streams.stalls(s, d, 3600)
+
+
+# ---- what no other query returns ----------------------------------------------------------------------------------
+
+
+@query("s13_panel_paths", V.sql("SELECT h::BIGINT AS horizon_days, 'calendar' AS horizon_basis, count(*) AS n, count(*) FILTER (y = 1) AS positives FROM (SELECT 7 AS h, y FROM lab UNION ALL SELECT 9, CASE WHEN y = 1 THEN 1 END FROM lab) GROUP BY h"))
+def _(s, d):
+    """Panels of two horizons written beside each other and read back, each in a folder of its own."""
+    rows, at = V.labelled_panel(s, d).select("source", "source_id", "run_index", "y"), folder(s, "panels")
+    for h, y in ((7, F.col("y")), (9, F.when(F.col("y") == 1, F.col("y")))):
+        crawls.write_panel(rows.withColumn("y", y).withColumn("horizon_days", F.lit(h)).withColumn("horizon_basis", F.lit("calendar")), f"{at}/{h}")
+    both = s.read.parquet(f"{at}/7").unionByName(s.read.parquet(f"{at}/9"))
+    return both.groupBy(F.col("horizon_days").cast("long").alias("horizon_days"), "horizon_basis").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("positives"))
+
+
+@query("p13_contract_described", V.sql("SELECT 'source' AS name, count(*) AS n, 'category' AS kind, 'supplied' AS origin, false AS required FROM feat UNION ALL SELECT 'title', count(*), 'text', 'supplied', true FROM feat UNION ALL SELECT 'company', count(*), 'category', 'supplied', false FROM feat UNION ALL SELECT 'location', count(location), 'text', 'supplied', false FROM feat UNION ALL SELECT 'first_published', count(*), 'timestamp', 'supplied', false FROM feat"))
+def _(s, d):
+    """Which fields of the contract the panel fills, and in how many rows."""
+    rows = V.labelled_panel(s, d)
+    have = scoring.describe(s).where(F.col("name").isin(rows.columns))
+    names = [r["name"] for r in have.select("name").collect()]  # the fields of the contract
+    counts = rows.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "name", "n")
+    return have.join(counts, "name")
+
+
+@query("f16_instants", V.sql("SELECT source_id, run_index, CASE user_id % 3 WHEN 0 THEN epoch_us(t::TIMESTAMP) WHEN 1 THEN epoch_us(t::TIMESTAMP) - 7200000000 END AS instant FROM feat"))
+def _(s, d):
+    """Instants as text of three kinds: in UTC, with an offset, and none at all."""
+    rows, u = V.labelled_panel(s, d), F.col("user_id") % 3
+    text = F.when(u == 0, F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(u == 1, F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).otherwise(F.concat(F.lit("week "), F.weekofyear("t").cast("string")))
+    return rows.select("source_id", "run_index", F.unix_micros(crawls.instant(text)).alias("instant"))
+
+
+@query("f18_posting_keys", V.sql("SELECT source || '|' || source_id AS posting, count(*) AS n, sum(y)::BIGINT AS positives FROM feat GROUP BY ALL"))
+def _(s, d):
+    return V.labelled_panel(s, d).groupBy(derive.posting_key().alias("posting")).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("positives"))
+
+
+@query("x29_lifespan_caveat", V.sql(", a AS (SELECT sum(y) FILTER (runs_seen < 6)::DOUBLE / count(*) FILTER (runs_seen < 6) AS b, sum(y) FILTER (runs_seen >= 6)::DOUBLE / count(*) FILTER (runs_seen >= 6) AS s FROM kc) SELECT round(b, 6) AS brief_rate, round(s, 6) AS settled_rate, coalesce(b >= 10 * s, false) AS caveat FROM a"))
+def _(s, d):
+    rows = audit.annotate(V.labelled_panel(s, d)).where("label_observable")
+    return experiments.lifespan_caveat(audit.lifespan_verdict(rows)).select(r("brief_rate"), r("settled_rate"), "caveat")

@@ -47,6 +47,11 @@ def _metadata(items: Column) -> Column:
     return F.when(F.size(named) > 0, F.to_json(F.map_from_entries(pairs)))
 
 
+def instant(text: Column) -> Column:
+    """An ISO instant, with an offset or in UTC; what is none becomes null."""
+    return F.try_to_timestamp(text)
+
+
 def flatten_payloads(payloads: DataFrame) -> DataFrame:
     """One row per job of payloads (path, jobs)."""
     token = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
@@ -63,9 +68,9 @@ def flatten_payloads(payloads: DataFrame) -> DataFrame:
         "j.company_name",
         "j.requisition_id",
         "j.internal_job_id",
-        F.try_to_timestamp("j.first_published").alias("first_published"),
-        F.try_to_timestamp("j.updated_at").alias("updated_at"),
-        F.try_to_timestamp("j.application_deadline").alias("application_deadline"),
+        instant(F.col("j.first_published")).alias("first_published"),
+        instant(F.col("j.updated_at")).alias("updated_at"),
+        instant(F.col("j.application_deadline")).alias("application_deadline"),
         F.col("j.location.name").alias("location_name"),
         _names(F.col("j.departments")).alias("departments"),
         F.greatest(F.coalesce(F.size("j.departments"), F.lit(0)), F.lit(0)).alias("n_departments"),

@@ -5,13 +5,19 @@ What comes later than the watermark is dropped here; the batch panel stays the a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lapsewise.sources.working import shared_folder
 
 LATENESS = "2 days"
+#: Binary logarithm of the buckets of a distinct sketch: an error of about half a per cent.
+SKETCH = 14
 
 
 def ingest(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -20,8 +26,18 @@ def ingest(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def board_sizes(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Approximate number of postings by source and day; late rows within the watermark still count."""
-    return rows.withWatermark("observed_at", lateness).groupBy(F.window("observed_at", "1 day").alias("w"), "source").agg(F.approx_count_distinct("source_id").alias("postings"), F.count("*").alias("sightings"))
+    """w (a day), source, sightings, and the postings seen as a sketch and its estimate; late rows within the watermark still count.
+
+    Sketches can be merged: see merged_sizes.
+    """
+    sized = rows.withWatermark("observed_at", lateness).groupBy(F.window("observed_at", "1 day").alias("w"), "source").agg(F.hll_sketch_agg("source_id", F.lit(SKETCH)).alias("sketch"), F.count("*").alias("sightings"))
+    return sized.withColumn("postings", F.hll_sketch_estimate("sketch"))
+
+
+def merged_sizes(sizes: DataFrame, *keys: str) -> DataFrame:
+    """keys, postings, sightings over any number of days: distinct postings by merging their sketches, without the rows."""
+    out = sizes.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("sightings").alias("sightings"))
+    return out.select(*keys, F.hll_sketch_estimate("sketch").alias("postings"), "sightings")
 
 
 def crawl_sessions(runs: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -37,21 +53,46 @@ def stalled(waves: DataFrame, now: str, spacing_seconds: float) -> DataFrame:
     return newest.withColumn("stalled", age > 2 * spacing_seconds)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything there is, as a table in memory: for tests and for catching up on small appends."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint(spark)).start()
-    q.awaitTermination()
-    return spark.table(name)
+def stall_monitor(runs: DataFrame, spacing_seconds: float, lateness: str = LATENESS) -> DataFrame:
+    """source, last_us, resumed_us (microseconds): a row when a source has had no crawl for two spacings, and one when it is crawled again.
+
+    runs: a stream of (source, t). A source's crawls wait in its state until the watermark has passed them, and are then
+    looked at in order, however they arrived; a timer on event time reports a source from which nothing more comes, with
+    resumed_us null. Both rows of one stall have the same last_us. The state of a source is its last crawl and those
+    within the lateness.
+    """
+    width = round(2 * spacing_seconds * 1_000_000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told, pending = state.get if state.exists else (None, False, [])
+        new = [] if state.hasTimedOut else [int(x) for frame in frames for x in frame["us"].dropna()]
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted({*pending, *new})
+        out: list[tuple] = []
+        if key[0] is None:
+            return
+        for x in (x for x in waiting if x <= mark):
+            if last is not None and x - last > width:
+                out.append((key[0], last, x))
+            if last is None or x > last:
+                last, told = x, False
+        waiting = [x for x in waiting if x > mark]
+        if last is not None and not waiting and not told and mark >= last + width:
+            out.append((key[0], last, None))
+            told = True
+        state.update((last, told, waiting))
+        ahead = waiting[0] if waiting else None if told or last is None else last + width
+        if ahead is not None:
+            state.setTimeoutTimestamp(max(ahead, mark) // 1000 + 1)
+        yield pd.DataFrame({"source": pd.Series([x[0] for x in out], dtype=object), "last_us": pd.array([x[1] for x in out], "Int64"), "resumed_us": pd.array([x[2] for x in out], "Int64")})
+
+    # rows without a source stay in: they move the watermark, and a filter would be pushed below it
+    keyed = runs.withWatermark("t", lateness).select("source", "t", F.unix_micros("t").alias("us"))
+    return keyed.groupBy("source").applyInPandasWithState(step, "source string, last_us long, resumed_us long", "last long, told boolean, pending array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lapsewise-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +129,26 @@ def marked(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
     return raw
 
 
-def board_size_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings by source and day, each posting once a day, from windows that the watermark has closed."""
-    raw = marked(spark, sf_dir, "100 days").withColumn("observed_at", F.date_trunc("day", "ts"))
+def as_crawls(raw: DataFrame) -> DataFrame:
+    """Events as sightings of postings on boards."""
     source = F.concat(F.lit("board:"), (F.col("user_id") % 5).cast("string"))
-    rows = raw.select(source.alias("source"), F.col("user_id").cast("string").alias("source_id"), "observed_at").withWatermark("observed_at", "40 days").dropDuplicates(["source", "observed_at", "source_id"])
-    sized = rows.groupBy(F.window("observed_at", "1 day").alias("w"), "source").agg(F.approx_count_distinct("source_id").alias("postings"), F.count("*").alias("sightings"))
-    return written(sized, "sizes").where("source is not null").select("source", F.to_date("w.start").cast("string").alias("day"), "sightings")
+    return raw.select(source.alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("ts").alias("observed_at"))
+
+
+def board_size_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """board_sizes of the events, from windows that the watermark has closed."""
+    return written(board_sizes(as_crawls(marked(spark, sf_dir, "100 days")), "40 days"), "sizes").where("source is not null")
+
+
+def stalls(spark: SparkSession, sf_dir: str, spacing_seconds: float) -> DataFrame:
+    """stall_monitor of the events as crawls of boards."""
+    runs = as_crawls(marked(spark, sf_dir, "100 days")).select("source", F.col("observed_at").alias("t"))
+    return written(stall_monitor(runs, spacing_seconds, "40 days"), "stalls")
 
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waves of the error events as closed sessions: their last instant and number of instants."""
-    raw = marked(spark, sf_dir, "100 days").where("event_type = 'error' or event_type is null").select(F.col("ts").alias("t"), "event_type")
-    out = written(crawl_sessions(raw, "40 days"), "sessions")
+    """Waves of the events as closed sessions: their last instant and number of instants."""
+    # ten times as far apart, so that there are pauses of an hour
+    raw = marked(spark, sf_dir, "100 days").select(F.timestamp_micros(F.unix_micros("ts") * 10).alias("t"))
+    out = written(crawl_sessions(raw, "400 days"), "sessions")
     return out.select(F.unix_micros("wave_t").alias("wave_end"), "crawls")
