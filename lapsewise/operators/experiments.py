@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lapsewise.operators import features, isotonic, metrics, models, waves
 from lapsewise.operators.folds import AT_ONCE, side_by_side
 from lapsewise.sources.crawls import content_hash
+from lapsewise.sources.working import Working
 
 LEAK_FEATURES = ("n_observations_total", "days_on_board_total")
 
@@ -36,10 +37,12 @@ def age_rank(rows: DataFrame, *keys: str) -> DataFrame:
 
 def rolling_age_rank(rows: DataFrame, embargo: float) -> DataFrame:
     """Age rank of the validation block of the latest legal cut of each val_end."""
-    cuts = waves.latest_cut_per_val_end(waves.feasible_cuts(rows, embargo))
+    cuts = Working(rows.sparkSession, "cuts").table(waves.latest_cut_per_val_end(waves.feasible_cuts(rows, embargo)))  # few rows, asked for twice
     at = waves.seconds("t")
-    met = rows.where("label_observable").join(F.broadcast(cuts), (at > waves.seconds("train_end") + embargo) & (at <= waves.seconds("val_end")))
-    return age_rank(met, "val_end")
+    labelled = rows.where("label_observable")
+    # instants are matched with cuts, both few; the rows, summed by instant and age, then join by their instant
+    inside = labelled.select("t").distinct().join(cuts, (at > waves.seconds("train_end") + embargo) & (at <= waves.seconds("val_end"))).select("t", "val_end")
+    return age_rank(labelled.select("t", "age_days", "y").join(inside, "t"), "val_end")
 
 
 def rank_verdict(ranks: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsewise.operators.quantiles import value_part
+from lapsewise.sources.working import Working
+
 BUDGETS = (5, 10, 20, 50, 100)
 FRAGILE = 30
 #: Inner edges of ten equal bins.
@@ -23,19 +26,13 @@ def distinct_scores(rows: DataFrame, *keys: str, weight: str | None = None) -> D
     return rows.groupBy(*keys, "score").agg(F.sum(w).cast("long").alias("n"), F.sum(F.col("y") * w).cast("long").alias("pos"))
 
 
-def score_part(score: Column) -> Column:
-    """A number that never falls as the score grows, with 256 values for each doubling: a bounded number of parts."""
-    size = F.floor(F.log2(F.abs(score)) * 256).cast("long")
-    return F.coalesce(F.when(score > 0, size + 1_000_000).when(score < 0, -size - 1_000_000).when(score == 0, 0).when(F.isnan(score), 1 << 62), F.lit(-(1 << 62)))
-
-
 def cumulated(table: DataFrame, *keys: str) -> DataFrame:
     """table plus running n and pos from the highest score down, and totals.
 
     Running sums are taken within parts of the score range and over the sums of the parts, which are few, so that no
     task sorts all scores of a group, or of an ungrouped table.
     """
-    table = table.withColumn("_part", score_part(F.col("score")))
+    table = table.withColumn("_part", value_part(F.col("score")))
     per = table.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     above = w.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -183,6 +180,7 @@ def bootstrap(rows: DataFrame, resamples: int, *keys: str, threshold: float | No
     tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
     met = replicates(rows, resamples, *keys, seed=seed).join(tagged, [*keys, "cluster"])
     table = met.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"), F.sum(F.col("w") * F.col("p")).cast("long").alias("pos"))
+    table = Working(rows.sparkSession, "bootstrap").table(table)  # every figure below reads this one table
     out = ranking(table, *keys, "b").where("positives > 0").select(*keys, "b", "n", "positives", "base_rate", "pr_auc", "roc_auc")
     miss = F.sum((F.col("n") - F.col("pos")) * F.pow("score", F.lit(2.0)) + F.col("pos") * F.pow(1 - F.col("score"), F.lit(2.0))) / F.sum("n")
     extra = [miss.alias("brier")]

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsewise.sources.working import Working
+
 HOUR = 3600
 #: A moment after all others, in seconds.
 LATEST = 1e11
@@ -159,13 +161,20 @@ def feasible_cuts(rows: DataFrame, embargo: float) -> DataFrame:
     return out.withColumn("valid", F.col("reason") == "ok")
 
 
+def first_beyond(waves: DataFrame, width: float) -> DataFrame:
+    """a, b: each wave with the first wave later than width after it, where there is one. One pass in order over the waves, one row a crawl."""
+    at = waves.select(seconds("wave_t").alias("moment"), F.col("wave_t").alias("wave"), F.lit(None).cast("timestamp").alias("a"), F.lit(1).alias("kind"))
+    ask = waves.select((seconds("wave_t") + width).alias("moment"), F.lit(None).cast("timestamp").alias("wave"), F.col("wave_t").cast("timestamp").alias("a"), F.lit(0).alias("kind"))
+    later = Window.orderBy(F.desc("moment"), "kind").rowsBetween(Window.unboundedPreceding, -1)  # a wave just at the bound is not beyond it
+    return at.unionByName(ask).withColumn("b", F.min("wave").over(later)).where("a is not null and b is not null").select("a", "b")
+
+
 def fold_table(rows: DataFrame, embargo: float, until: Column | None = None) -> DataFrame:
     """fold, train_end, val_start: each wave but the last trains on all up to it and validates on the first wave beyond the embargo."""
     waves = crawl_waves(rows).select("wave_t").distinct()
     if until is not None:
         waves = waves.where(F.col("wave_t") <= until)
-    pairs = waves.select(F.col("wave_t").alias("train_end")).join(F.broadcast(waves.select(F.col("wave_t").alias("val_start"))), seconds("val_start") > seconds("train_end") + embargo)
-    first = pairs.groupBy("train_end").agg(F.min("val_start").alias("val_start"))
+    first = first_beyond(waves, embargo).select(F.col("a").alias("train_end"), F.col("b").alias("val_start"))
     return first.withColumn("fold", F.row_number().over(Window.orderBy("train_end")).cast("long") - 1)
 
 
@@ -185,10 +194,13 @@ def fold_instants(rows: DataFrame, folds: DataFrame, embargo: float) -> DataFram
 
 
 def fold_sizes(rows: DataFrame, embargo: float) -> DataFrame:
+    """fold, train_rows, val_rows, val_positives, from sums up to the bounds of each fold."""
     folds = fold_table(rows.where("label_observable"), embargo)
-    met = fold_rows(instants(rows), folds, embargo)
-    count = lambda part, what: F.coalesce(F.sum(F.when(F.col("part") == part, F.col(what))), F.lit(0)).cast("long")
-    return met.groupBy("fold").agg(count("train", "n").alias("train_rows"), count("val", "n").alias("val_rows"), count("val", "pos").alias("val_positives"))
+    at = instants(rows).select(seconds("t").alias("at"), "n", "pos")
+    ends = F.array(*[F.struct(F.lit(x).alias("end"), until.cast("double").alias("until")) for x, until in (("train", seconds("train_end")), ("after", seconds("train_end") + embargo), ("until", seconds("val_start")))])
+    found = sums_up_to(at, folds.select("fold", F.explode(ends).alias("x")).select("fold", "x.*"))
+    pick = lambda x, c: F.max(F.when(F.col("end") == x, F.col(c)))
+    return found.groupBy("fold").agg(pick("train", "n").alias("train_rows"), (pick("until", "n") - pick("after", "n")).alias("val_rows"), (pick("until", "pos") - pick("after", "pos")).alias("val_positives"))
 
 
 def rolling_origin_folds(train_waves: int, burnt: int) -> int:
@@ -196,12 +208,12 @@ def rolling_origin_folds(train_waves: int, burnt: int) -> int:
 
 
 def fold_census(rows: DataFrame, embargo: float) -> DataFrame:
-    """Each legal cut with the number of folds its training block gives."""
+    """Each legal cut with the number of folds its training block gives: those that validate up to its end, a running count over waves."""
     waves = crawl_waves(rows.where("label_observable")).select("wave_t").distinct()
-    gaps = waves.select(F.col("wave_t").alias("a")).join(F.broadcast(waves.select(F.col("wave_t").alias("b"))), seconds("b") > seconds("a") + embargo).groupBy("a").agg(F.min("b").alias("b"))
-    cuts = feasible_cuts(rows, embargo).where("valid")
-    folds = cuts.select("train_end", "val_end").join(F.broadcast(gaps), F.col("b") <= F.col("train_end"), "left").groupBy("train_end", "val_end").agg(F.count("b").alias("folds"))
-    return cuts.join(folds, ["train_end", "val_end"])
+    found = first_beyond(waves, embargo).select(seconds("b").alias("at"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"))
+    counts = sums_up_to(found, waves.select(F.col("wave_t").alias("train_end"), seconds("wave_t").alias("until"))).select("train_end", F.col("n").alias("folds"))
+    cuts = Working(rows.sparkSession, "cuts").table(feasible_cuts(rows, embargo).where("valid"))
+    return cuts.join(counts, "train_end")
 
 
 def best_cut(rows: DataFrame, embargo: float, least_folds: int = 3) -> DataFrame:
