@@ -77,7 +77,7 @@ def stall_monitor(runs: DataFrame, spacing_seconds: float, lateness: str = LATEN
             if last is None or x > last:
                 last, told = x, False
         waiting = [x for x in waiting if x > mark]
-        if last is not None and not waiting and not told and mark >= last + width:
+        if last is not None and not told and mark >= last + width:  # whatever waits came later still
             out.append((key[0], last, None))
             told = True
         state.update((last, told, waiting))
