@@ -109,59 +109,64 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, to
     return docs.mapInPandas(cutter(tokenizer, ranks, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+class SumIndex:
+    """Which lengths add up to a gap, singly, in pairs and in threes, among those that may still be available.
+
+    Pairs are listed by their sum once, each with its longer member first and the longest first. Threes of a sum are a
+    length and a pair of the rest that is no longer. Counts only fall, so a combination that is used up never comes back:
+    whoever walks the combinations of a gap once has seen all that it will ever have.
+    """
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.lengths = sorted(lengths, reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for x in self.lengths:
+            for y in self.lengths:
+                if y <= x and x + y <= capacity:
+                    self.pairs.setdefault(x + y, []).append((x, y))
+        self.singles = set(lengths)
+
+    def combinations(self, gap: int) -> Iterator[tuple[int, ...]]:
+        if gap in self.singles:
+            yield (gap,)
+        yield from self.pairs.get(gap, ())
+        for x in self.lengths:
+            if x < gap:
+                for y, z in self.pairs.get(gap - x, ()):
+                    if y <= x:
+                        yield (x, y, z)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with multiplicities that use up counts: exact complements first, best fit for the rest."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
+    left = {length: n for length, n in counts.items() if n > 0}
+    index = SumIndex(list(left), capacity)
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(pattern: tuple[int, ...]) -> None:
-        used = np.bincount(pattern, minlength=capacity + 1)
-        n = int((left[used > 0] // used[used > 0]).min())
-        left[:] -= n * used
-        out.append((pattern, n))
-
-    def usable(*lengths: int) -> bool:
-        return all(left[x] >= lengths.count(x) for x in lengths)
+    def take(pattern: tuple[int, ...]) -> bool:
+        """The pattern as often as the counts allow."""
+        n = min(left[x] // pattern.count(x) for x in pattern)
+        if n:
+            for x in pattern:
+                left[x] -= n
+            out.append((pattern, n))
+        return n > 0
 
-    def exact(first: int) -> tuple[int, ...] | None:
-        """Lengths that fill what first leaves: one, a pair, or a pair and one more; longest members first."""
+    for first in index.lengths:
         gap = capacity - first
-        if usable(first, gap):
-            return (first, gap)
-        have = np.flatnonzero(left > 0)
-        low = have[have <= gap]
-        mate = gap - low
-        pairs = low[(mate >= low) & (left[mate] > 0)]
-        for x in pairs[::-1].tolist():
-            if usable(first, x, gap - x):
-                return (first, x, gap - x)
-        for x in low[::-1].tolist():
-            rest = gap - x
-            y = low[low <= min(x, rest)]
-            y = y[(rest - y <= y) & (rest - y > 0)]
-            y = y[left[rest - y] > 0]
-            for z in y[::-1].tolist():
-                if usable(first, x, z, rest - z):
-                    return (first, x, z, rest - z)
-        return None
-
-    if left[capacity]:
-        take((capacity,))
-    while (have := np.flatnonzero(left > 0)).size:
-        first = int(have[-1])
-        if pattern := exact(first):
-            take(pattern)
-        else:
+        if not gap:
+            take((first,))
+            continue
+        for others in index.combinations(gap):
+            if not left[first]:
+                break
+            take((first, *others))
+        while left[first]:
             # no exact complement: best fit, longest first, as often as the counts allow
-            pattern, room = (first,), capacity - first
-            while room > 0:
-                fit = [x for x in np.flatnonzero(left[: room + 1] > 0)[::-1].tolist() if usable(*pattern, x)]
-                if not fit:
-                    break
-                pattern += (fit[0],)
-                room -= fit[0]
+            pattern, room = (first,), gap
+            while fit := next((x for x in index.lengths if x <= room and left[x] > pattern.count(x)), 0):
+                pattern += (fit,)
+                room -= fit
             take(pattern)
     return out
 

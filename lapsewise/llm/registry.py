@@ -22,6 +22,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_chat_format": chat.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_vector_graph": vector_graph.SQL,
     "op10_minhash": minhash.SQL,
     "op11_line_dedup": line_dedup.SQL,

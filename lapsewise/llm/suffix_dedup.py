@@ -298,6 +298,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: All windows of all texts, as hex digits: for the small tables of the SQL check.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, (2 * i + 1)::BIGINT, {2 * MINIMUM})) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {MINIMUM - 1})) AS i FROM d)),
+hit AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+mark AS (SELECT r, i, CASE WHEN i > lag(i) OVER o + {MINIMUM} THEN 1 ELSE 0 END AS fresh FROM hit WINDOW o AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT r, min(i) AS lo, max(i) + {MINIMUM} AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM mark) GROUP BY r, run),
+cuts AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS b FROM runs UNION ALL SELECT d.r, coalesce(max(hi), 0), len(any_value(h)) // 2 FROM d LEFT JOIN runs ON runs.r = d.r GROUP BY d.r),
+kept AS (SELECT d.r, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS left_ FROM cuts JOIN d ON d.r = cuts.r GROUP BY d.r),
+sums AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+"""
+
+
 def brute_force(texts: dict[int, bytes], minimum: int = MINIMUM) -> dict[int, tuple[int, int, int, str]]:
     """The same digest by comparing all windows, for small tables."""
     seen: dict[bytes, int] = {}

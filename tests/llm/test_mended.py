@@ -101,3 +101,23 @@ def test_recall_counts_every_audited_vector(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "recall", lambda *a: found.append(whole(*a)) or found[-1])
     out = vector_graph.near_vectors(df)
     assert found == [1.0] and out.agg(F.min("n_links")).first()[0] == 1199
+
+
+def test_sum_index_has_every_combination_once():
+    lengths, gap = [1, 2, 3, 5, 8, 9, 13], 16
+    got = list(packing.SumIndex(lengths, 16).combinations(gap))
+    singles = {(x,) for x in lengths if x == gap}
+    pairs = {(x, y) for x in lengths for y in lengths if y <= x and x + y == gap}
+    threes = {(x, y, z) for x in lengths for y in lengths for z in lengths if z <= y <= x and x + y + z == gap}
+    assert len(got) == len(set(got)) and set(got) == singles | pairs | threes and (13, 3) in pairs and (9, 5, 2) in threes
+
+
+def test_plan_uses_up_all_and_fills_what_can_be_filled():
+    patterns = packing.plan({10: 3, 6: 4, 4: 4, 3: 2, 2: 1, 1: 2}, 10)
+    used = {}
+    for pattern, n in patterns:
+        assert sum(pattern) <= 10 and n > 0
+        for x in pattern:
+            used[x] = used.get(x, 0) + n
+    assert used == {10: 3, 6: 4, 4: 4, 3: 2, 2: 1, 1: 2}
+    assert sum(n for _, n in patterns) == 8 and ((6, 4), 4) in patterns and ((10,), 3) in patterns
