@@ -30,7 +30,7 @@ def annotate(panel: DataFrame) -> DataFrame:
     """panel plus first_seen_idx, cohort, runs_seen, first_observation."""
     posting = Window.partitionBy("source", "source_id")
     first = panel.groupBy("source").agg(F.min("run_index").alias("_first"))
-    out = panel.withColumn("first_seen_idx", F.min("run_index").over(posting)).withColumn("runs_seen", F.count(F.lit(1)).over(posting)).join(F.broadcast(first), "source")
+    out = panel.withColumn("first_seen_idx", F.min("run_index").over(posting)).withColumn("runs_seen", F.count(F.lit(1)).over(posting)).join(first, "source")
     cohort = F.when(F.col("first_seen_idx") == F.col("_first"), "incumbent").otherwise("entrant")
     return out.withColumn("cohort", cohort).withColumn("first_observation", F.col("run_index") == F.col("first_seen_idx")).drop("_first")
 
@@ -189,7 +189,7 @@ def stratified_sample(rows: DataFrame, cap: int, seed: str = "s") -> DataFrame:
     sizes = one.groupBy("source").agg(F.count("*").alias("_size"))
     total = one.agg(F.count("*").alias("_all"))
     quota = sizes.join(F.broadcast(total), F.lit(True)).select("source", F.greatest(F.lit(1), F.bround(F.lit(float(cap)) * F.col("_size") / F.col("_all")).cast("int")).alias("_quota"))
-    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy("_draw"))).join(F.broadcast(quota), "source")
+    ranked = one.withColumn("_rank", F.row_number().over(Window.partitionBy("source").orderBy("_draw"))).join(quota, "source")
     return ranked.where("_rank <= _quota").orderBy("_draw").limit(cap).drop("_rank", "_quota", "_draw")
 
 
@@ -223,5 +223,5 @@ def validation_report(tables: dict[str, DataFrame]) -> DataFrame:
 def alive_at_end(observations: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs that the last run of their source saw."""
     last = runs.groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("run_id"))
-    seen = observations.join(F.broadcast(last.select("run_id")), "run_id", "left_semi")
+    seen = observations.join(last.select("run_id"), "run_id", "left_semi")
     return jobs.join(seen.select(F.col("job_id").alias("id")), "id", "left_semi")

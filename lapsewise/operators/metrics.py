@@ -121,12 +121,13 @@ def at_budget(rows: DataFrame, *keys: str, budget: int = 20, days: int = 1, tie:
     at = budget_thresholds(table, *keys, budgets=(budget,), days=days)
     whole = table.groupBy(*keys).agg(F.try_divide(F.sum("pos").cast("double"), F.sum("n")).alias("base_rate"))
     on = list(keys) if keys else F.lit(True)
-    flagged = rows.join(F.broadcast(at.select(*keys, "threshold")), on).where("score >= threshold")
+    one = (lambda df: df) if keys else F.broadcast  # without keys there is one row
+    flagged = rows.join(one(at.select(*keys, "threshold")), on).where("score >= threshold")
     place = F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("score"), *tie))
     gain = flagged.withColumn("_d", 1 / F.log2(place + 1.0)).groupBy(*keys).agg(F.sum(F.col("_d") * F.col("y")).alias("_dcg"), F.sum("y").alias("_hits"))
     ideal = F.aggregate(F.when(F.col("_hits") > 0, F.sequence(F.lit(1), F.col("_hits").cast("int"))), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))
     gain = gain.select(*keys, F.when(F.col("_hits") > 0, F.col("_dcg") / ideal).alias("ndcg"))
-    out = at.join(F.broadcast(whole), on).join(F.broadcast(gain), on)
+    out = at.join(one(whole), on).join(one(gain), on)
     return out.withColumns({"captured_per_day": F.col("tp") / F.lit(float(max(1, days))), "false_alarms_per_day": F.col("fp") / F.lit(float(max(1, days))), "lift": F.try_divide("precision", "base_rate")})
 
 

@@ -42,7 +42,7 @@ def gone_index(panel: DataFrame, runs: DataFrame) -> DataFrame:
     last = runs.groupBy("source").agg(F.max("run_index").alias("last_index"))
     rows = panel.select("source", "source_id", "run_index").distinct()
     after = F.lead("run_index").over(Window.partitionBy("source", "source_id").orderBy("run_index"))
-    rows = rows.withColumn("after", after).join(F.broadcast(last), "source")
+    rows = rows.withColumn("after", after).join(last, "source")
     gap = (F.col("after") >= F.col("run_index") + 3) | (F.col("after").isNull() & (F.col("run_index") + 2 <= F.col("last_index")))
     return rows.where(gap).groupBy("source", "source_id").agg((F.min("run_index") + 1).alias("gone_index"))
 
@@ -55,13 +55,13 @@ def with_labels(panel: DataFrame, runs: DataFrame, horizon_days: int, basis: str
     0 if the posting itself was seen at or after the deadline, unknown otherwise.
     """
     moments = runs.select("source", F.col("run_index").alias("gone_index"), F.col("t").alias("t_gone"))
-    gone = gone_index(panel, runs).join(F.broadcast(moments), ["source", "gone_index"])
+    gone = gone_index(panel, runs).join(moments, ["source", "gone_index"])
     last_seen = panel.groupBy("source", "source_id").agg(F.max("t").alias("last_seen"))
     by_posting = last_seen.join(gone.select("source", "source_id", "t_gone"), ["source", "source_id"], "left")
     last_run = runs.groupBy("source").agg(F.max("t").alias("last_run"))
     day = (lambda c: F.to_date(c)) if basis == "calendar" else (lambda c: c.cast("timestamp"))
     deadline = F.date_add(F.to_date("t"), horizon_days) if basis == "calendar" else F.timestamp_micros(F.unix_micros(F.col("t").cast("timestamp")) + horizon_days * 86_400_000_000)
-    rows = panel.join(F.broadcast(last_run), "source").join(by_posting, ["source", "source_id"])
+    rows = panel.join(last_run, "source").join(by_posting, ["source", "source_id"])
     future = (F.col("t_gone") > F.col("t")) if strict_future else F.lit(True)
     y = F.when(day(F.col("t_gone")).isNotNull() & (day(F.col("t_gone")) <= deadline) & future, 1).when(day(F.col("last_seen")) >= deadline, 0)
     y = F.when(day(F.col("last_run")) >= deadline, y).cast("byte")
@@ -71,20 +71,20 @@ def with_labels(panel: DataFrame, runs: DataFrame, horizon_days: int, basis: str
 def attach_nearest(panel: DataFrame, archive: DataFrame, tolerance_seconds: int = TOLERANCE_SECONDS, key: str = "source_id") -> DataFrame:
     """Each panel row with the archive record of its key fetched nearest to t within the tolerance, the earlier on ties.
 
-    Time is cut into buckets as wide as the tolerance; an archive record is offered to its own and the two buckets
-    beside it, so the join is a plain equality on (key, bucket). Rows without a record keep nulls.
+    What is nearest follows from key and t alone, so each (key, t) is looked up once, and rows find their answer by
+    the two. Time is cut into buckets as wide as the tolerance; an archive record is offered to its own and the two
+    buckets beside it, so the join is a plain equality on (key, bucket). Rows without a record, a key or a t keep nulls.
     """
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     width = max(1, tolerance_seconds)
     names = [c for c in archive.columns if c not in (key, "fetched_at") and c not in panel.columns]
     right = archive.select(F.col(key).alias("_key"), "fetched_at", *names, F.explode(F.array(*[(F.floor(seconds(F.col("fetched_at")) / width) + d) for d in (-1, 0, 1)])).alias("_bucket"))
-    left = panel.select(F.struct(*panel.columns).alias("_row"), F.col(key).alias("_key"), F.floor(seconds(F.col("t")) / width).alias("_bucket"), F.xxhash64(F.struct(*panel.columns)).alias("_id"))
-    joined = left.join(right, ["_key", "_bucket"])
-    gap = F.abs(F.unix_micros(F.col("fetched_at").cast("timestamp")) - F.unix_micros(F.col("_row.t").cast("timestamp")))
-    near = joined.withColumn("_gap", gap).where(F.col("_gap") <= tolerance_seconds * 1_000_000)
-    best = near.groupBy("_id", "_key").agg(F.min(F.struct("_gap", "fetched_at", *names)).alias("_best"))
-    out = left.join(best, ["_id", "_key"], "left")
-    return out.select("_row.*", "_best.fetched_at", *[f"_best.{c}" for c in names])
+    asked = panel.select(F.col(key).alias("_key"), F.col("t").alias("_t")).distinct().withColumn("_bucket", F.floor(seconds(F.col("_t")) / width))
+    gap = F.abs(F.unix_micros(F.col("fetched_at").cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
+    near = asked.join(right, ["_key", "_bucket"]).withColumn("_gap", gap).where(F.col("_gap") <= tolerance_seconds * 1_000_000)
+    best = near.groupBy("_key", "_t").agg(F.min(F.struct("_gap", "fetched_at", *names)).alias("_best"))
+    out = panel.join(best, (panel[key] == best["_key"]) & (panel["t"] == best["_t"]), "left")
+    return out.select(*[panel[c] for c in panel.columns], "_best.fetched_at", *[f"_best.{c}" for c in names])
 
 
 def with_board_context(panel: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.functions import derive
-from lapsewise.operators import experiments, fingerprint, folds, isotonic, models, panel, waves
+from lapsewise.operators import experiments, fingerprint, folds, isotonic, metrics, models, panel, waves
 from lapsewise.operators.boosting import BoostedTrees
 from lapsewise.plans import crawl_view as V
 from lapsewise.registry import BIN, EMBARGO, FOLDS, SPLIT, annotated, known, query, r, split_rows
@@ -138,6 +138,18 @@ def _(s, d):
     return out.select("fold", r("with_context"), r("context_nulled"), r("difference"))
 
 
+@query("x17_ship_without_context", V.sql(FOLDED + folded_sql({"title_rates": TITLES}) + ", nu AS (SELECT avg(b) AS m, stddev_samp(b) AS sd FROM (SELECT CASE WHEN train_positives > 0 AND train_positives < train_rows AND val_positives > 0 THEN val_positives::DOUBLE / val_rows END AS b FROM fs)), wo AS (SELECT avg(ap) AS m FROM cv) SELECT round(nu.m, 6) AS imputed, round(nu.sd, 6) AS fold_sd, round(wo.m, 6) AS without, nu.m + nu.sd < wo.m AS ships FROM nu CROSS JOIN wo"))
+def _(s, d):
+    """A model of board context, scored without it, against a refit on titles alone: means over the folds decide."""
+    rows = stored(s, panel.with_board_context(V.labelled_panel(s, d)).where("label_observable"))
+    table = fold_table(rows)
+    nulled = experiments.board_context_folds(rows, table, EMBARGO, lambda: models.GroupRates(F.floor(F.col("board_size_at_t") / 3)))
+    imputed = nulled.agg(F.avg("context_nulled").alias("m"), F.stddev_samp("context_nulled").alias("sd")).first()
+    without = metrics.fold_summary(models.cross_validate(rows, table, EMBARGO, {"titles": STEPS["title_rates"].build})).first()["mean"]
+    ships = experiments.ship_without_context(imputed["m"], imputed["sd"], without)
+    return s.createDataFrame([(imputed["m"], imputed["sd"], without, ships)], "m double, sd double, w double, ships boolean").select(r("m", name="imputed"), r("sd", name="fold_sd"), r("w", name="without"), "ships")
+
+
 @query("x18_tuned", V.sql(FOLDED + folded_sql({f"bins {n}": AGES[n] for n in (2, 5, 10)}) + f", su AS ({SUMMARY}) SELECT candidate AS setting, folds, scored, round(mean, 6) AS mean, round(sd, 6) AS sd FROM su"))
 def _(s, d):
     rows = stored(s, known(s, d))

@@ -91,10 +91,14 @@ def _(s, d):
     return archived(s, d).select(F.to_date("fetched_at").cast("string").alias("fetched"), "board_dir", "board_token", "source_id", "company_name", "departments", "n_departments", "offices", "office_locations", "metadata_json", "n_metadata", "content_chars")
 
 
-@query("s11_archive_written", V.sql("SELECT 'fields' AS table_name, count(*) AS n FROM obs0 UNION ALL SELECT 'bodies', count(*) FROM obs0"))
-def _(s, d):
-    counts = crawls.write_archive(archived(s, d), folder(s, "written"))
-    return s.createDataFrame(sorted(counts.items()), "table_name string, n long")
+@query("s11_archive_written", V.sql("SELECT 'b' || substr(source, 7) AS board_dir, count(*) AS fields, count(*) AS bodies, sum(user_id % 50)::BIGINT AS body_chars, count(*) FILTER (user_id % 3 > 0) AS with_departments FROM obs0 GROUP BY source"))
+def _(s, d):
+    """Both tables read again and brought together by their key."""
+    at = folder(s, "written")
+    crawls.write_archive(archived(s, d), at)
+    fields, bodies = (s.read.parquet(f"{at}/{name}") for name in ("fields", "bodies"))
+    met = fields.join(bodies, ["fetched_at", "source_id"], "left")
+    return met.groupBy("board_dir").agg(F.count("*").alias("fields"), F.count("content").alias("bodies"), F.sum(F.length("content")).cast("long").alias("body_chars"), F.count("departments").alias("with_departments"))
 
 
 @query("s17_board_upload", "SELECT coalesce(nullif(trim(CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'c' || p_partkey END), ''), 'row-' || row_number() OVER (ORDER BY p_partkey)) AS client_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS location FROM part")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapsewise.sources import schemas
+from lapsewise.sources.working import Working
 
 #: Payload files carry their fetch time in their name.
 STAMP = r"(\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z)\.html(\.gz)?$"
@@ -170,11 +171,20 @@ def upsert_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df plus name: the place of each row in this order, from 1. Dealt out by range and written, counted by part, numbered inside: no task sorts all rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = Working(df.sparkSession, "numbered").table(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    per = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row for each part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn(name, inside).join(per.select("_part", before.alias("_before")), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def parse_board(df: DataFrame, known: list[str], order: str) -> DataFrame:
     """An upload: unknown columns go, blanks become null, title is required, client_id falls back to row-N in that order."""
     schemas.require(df, ("title",), "board")
-    number = F.row_number().over(Window.orderBy(order))
-    rows = df.withColumn("_row", number)
+    rows = numbered(df, order, "_row")
     keep = [c for c in known if c in df.columns and c != "client_id"]
     blank = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     own = blank("client_id") if "client_id" in df.columns else F.lit(None).cast("string")
