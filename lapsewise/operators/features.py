@@ -19,6 +19,7 @@ DERIVED = (
 BOARD_IDENTITY = (("source", "categorical", "category"), ("company", "categorical", "category"), ("company_posting_volume", "numeric", "zero"))
 LEAKY = (("n_observations_total", "numeric", "median"), ("days_on_board_total", "numeric", "zero"))
 TEXT = ("title",)
+# Columns no model may see, by reason.
 EXCLUDED = {
     "axis": ("t", "run_id", "run_index", "source_id", "url", "requisition_id", "horizon_days", "horizon_basis", "rules_version", "page", "response_sha256"),
     "label": ("y", "label_observable"),
