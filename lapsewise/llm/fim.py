@@ -8,7 +8,8 @@ in output order; they stream through a digest of the output one by one. For the
 that stream, the pieces between them are sorted by their place in the text, and stream through a second digest.
 
 A document's key is its input partition and its number there, so rows with equal doc_id, repeated rows and rows
-without doc_id (hashed as an empty number) stay apart; ties do not arise. Null texts are empty; an empty text, and one
+without doc_id (hashed as an empty number) stay apart; ties do not arise. A task that is run again must find its rows in
+the same order, as the tasks of a stored table do: write what comes from a shuffle first. Null texts are empty; an empty text, and one
 that contains a mark, stays plain. No task holds more than the pieces of one document besides what the sort spills.
 Extra columns are ignored, empty tables give empty results.
 """
