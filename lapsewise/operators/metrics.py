@@ -142,11 +142,11 @@ def score_resolution(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct("score").alias("distinct_scores"))
 
 
-def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
-    """b, cluster, w: how often each posting is drawn in each resample of its group; draws come from md5.
+def numbered_clusters(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, cluster, i (from 0), m: the distinct postings of each group, numbered, and how many there are.
 
-    Clusters are numbered by distinct posting within the group, in the order of the first four hex digits of their md5
-    and then their name: within these parts, and over the counts of the parts. No row is copied.
+    Clusters are numbered in the order of the first four hex digits of their md5 and then their name: within these
+    parts, and over the counts of the parts.
     """
     clusters = rows.select(*keys, F.concat_ws("|", "source", "source_id").alias("cluster")).distinct().withColumn("_part", F.substring(F.md5("cluster"), 1, 4))
     per = clusters.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
@@ -154,11 +154,38 @@ def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") ->
     before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.withColumn("_before", before).withColumn("m", F.sum("_n").over(w)).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("cluster")).cast("long") - 1
-    clusters = clusters.withColumn("_in", inside).join(per, [*keys, "_part"]).withColumn("i", F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
+    clusters = clusters.withColumn("_in", inside).join(per.hint("merge"), [*keys, "_part"])
+    return clusters.select(*keys, "cluster", (F.col("_in") + F.col("_before")).alias("i"), "m")
+
+
+def drawn_clusters(clusters: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
+    """keys, b, i, w: how often each numbered cluster is drawn in each resample of its group; draws come from md5.
+
+    There are as many draws as clusters in every resample, so they are dealt by cluster, once, for the count and for the
+    join that follows.
+    """
     draws = clusters.select(*keys, F.col("i").alias("draw"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col("b").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.withColumn("i", F.pmod(number, F.col("m"))).groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
-    return drawn.join(clusters.select(*keys, "i", "cluster"), [*keys, "i"]).drop("i")
+    return draws.select(*keys, "b", F.pmod(number, F.col("m")).alias("i")).repartition(*keys, "i").groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
+
+
+def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
+    """b, cluster, w: how often each posting is drawn in each resample of its group. No row is copied."""
+    clusters = numbered_clusters(rows, *keys)
+    drawn = drawn_clusters(clusters, resamples, *keys, seed=seed)
+    return drawn.join(clusters.select(*keys, "i", "cluster").hint("merge"), [*keys, "i"]).drop("i")
+
+
+def resampled_scores(rows: DataFrame, clusters: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
+    """keys, b, score, n, pos: the table of distinct scores of every resample; clusters as numbered from rows.
+
+    Merge joins are asked for: draws and clusters grow with the rows, but a stored panel is packed so well, and
+    resamples multiply it so unseen, that the planner takes them for tables small enough to pass through the driver.
+    """
+    tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
+    cells = tagged.join(clusters.select(*keys, "cluster", "i").hint("merge"), [*keys, "cluster"]).drop("cluster")
+    met = drawn_clusters(clusters, resamples, *keys, seed=seed).join(cells.hint("merge"), [*keys, "i"])
+    return met.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"), F.sum(F.col("w") * F.col("p")).cast("long").alias("pos"))
 
 
 #: What bootstrap returns with a fixed threshold.
@@ -178,10 +205,10 @@ def bootstrap(rows: DataFrame, resamples: int, *keys: str, threshold: float | No
     statistic: a function of the table of distinct scores (n and pos are weights) and its grouping columns, whose
     columns are added.
     """
-    tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
-    met = replicates(rows, resamples, *keys, seed=seed).join(tagged, [*keys, "cluster"])
-    table = met.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"), F.sum(F.col("w") * F.col("p")).cast("long").alias("pos"))
-    table = Working(rows.sparkSession, "bootstrap").table(table)  # every figure below reads this one table
+    work = Working(rows.sparkSession, "bootstrap")
+    clusters = work.table(numbered_clusters(rows, *keys))  # drawn from, and joined
+    table = work.table(resampled_scores(rows, clusters, resamples, *keys, seed=seed))  # every figure below reads this one table
+    work.drop_all_but(1)
     out = ranking(table, *keys, "b").where("positives > 0").select(*keys, "b", "n", "positives", "base_rate", "pr_auc", "roc_auc")
     miss = F.sum((F.col("n") - F.col("pos")) * F.pow("score", F.lit(2.0)) + F.col("pos") * F.pow(1 - F.col("score"), F.lit(2.0))) / F.sum("n")
     extra = [miss.alias("brier")]

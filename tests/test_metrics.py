@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapsewise.operators import audit, metrics
 
@@ -62,3 +63,18 @@ def test_wilson_and_verdicts(spark):
     a, b = audit.wilson(df, "h", "n").collect()
     assert a["low"] is None and b["low"] == pytest.approx(0.2366, abs=1e-3) and b["high"] == pytest.approx(0.7634, abs=1e-3)
     assert not math.isnan(b["low"])
+
+
+@pytest.mark.parametrize("keys", [(), ("source",)])
+def test_bootstrap_passes_nothing_through_the_driver(spark, keys):
+    rows = [(f"s{k % 2}", f"p{k}", d, int((k + d) % 5 == 0), ((k * 7 + d) % 11) / 11) for k in range(40) for d in range(3)]
+    df = spark.createDataFrame(rows, "source string, source_id string, t int, y int, score double")
+    clusters = metrics.numbered_clusters(df, *keys)
+    for table in (metrics.resampled_scores(df, clusters, 20, *keys), metrics.replicates(df, 20, *keys)):
+        table.collect()
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    drawn = metrics.replicates(df, 20, *keys).groupBy(*keys, "b").sum("w").collect()
+    assert len(drawn) == 20 * (2 if keys else 1) and {r["sum(w)"] for r in drawn} == {20 if keys else 40}
+    # the same table by rows copied
+    copied = df.withColumn("cluster", F.concat_ws("|", "source", "source_id")).join(metrics.replicates(df, 20, *keys), [*keys, "cluster"]).groupBy(*keys, "b", "score").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
+    assert sorted(map(tuple, metrics.resampled_scores(df, clusters, 20, *keys).collect())) == sorted(map(tuple, copied.collect()))
