@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from lapsewise.sources.working import shared_folder
 LATENESS = "2 days"
 #: Binary logarithm of the buckets of a distinct sketch: an error of about half a per cent.
 SKETCH = 14
+#: Batches in which the events of a query come, before the row that closes them.
+BATCHES = 3
 
 
 def ingest(rows: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -53,42 +56,57 @@ def stalled(waves: DataFrame, now: str, spacing_seconds: float) -> DataFrame:
     return newest.withColumn("stalled", age > 2 * spacing_seconds)
 
 
+def joined_runs(runs: np.ndarray, width: int) -> np.ndarray:
+    """Rows (start, end) in order, with those no more than width apart made one."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    until = np.maximum.accumulate(runs[:, 1])
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(runs)), bool), runs[1:, 0] - until[:-1] > width]))
+    return np.stack([runs[first, 0], until[np.append(first[1:], len(runs)) - 1]], axis=1)
+
+
 def stall_monitor(runs: DataFrame, spacing_seconds: float, lateness: str = LATENESS) -> DataFrame:
     """source, last_us, resumed_us (microseconds): a row when a source has had no crawl for two spacings, and one when it is crawled again.
 
     runs: a stream of (source, t). A source's crawls wait in its state until the watermark has passed them, and are then
     looked at in order, however they arrived; a timer on event time reports a source from which nothing more comes, with
-    resumed_us null. Both rows of one stall have the same last_us. The state of a source is its last crawl and those
-    within the lateness.
+    resumed_us null. Both rows of one stall have the same last_us. Crawls no more than two spacings apart wait as one
+    stretch, of which the start and the end alone can matter: the state of a source is its last crawl and the stretches
+    within the lateness, one more than the stalls there.
     """
     width = round(2 * spacing_seconds * 1_000_000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, told, pending = state.get if state.exists else (None, False, [])
-        new = [] if state.hasTimedOut else [int(x) for frame in frames for x in frame["us"].dropna()]
+        waiting = np.array(pending, np.int64).reshape(-1, 2)
+        if not state.hasTimedOut:
+            for frame in frames:
+                us = frame["us"].dropna().to_numpy(np.int64)
+                waiting = joined_runs(np.concatenate([waiting, np.stack([us, us], axis=1)]), width)
         mark = state.getCurrentWatermarkMs() * 1000
-        waiting = sorted({*pending, *new})
         out: list[tuple] = []
         if key[0] is None:
             return
-        for x in (x for x in waiting if x <= mark):
-            if last is not None and x - last > width:
-                out.append((key[0], last, x))
-            if last is None or x > last:
-                last, told = x, False
-        waiting = [x for x in waiting if x > mark]
-        if last is not None and not told and mark >= last + width:  # whatever waits came later still
+        under_way = False  # a stretch that the watermark has not passed to its end: no stall now
+        for start, end in waiting[waiting[:, 0] <= mark].tolist():
+            if last is not None and start - last > width:
+                out.append((key[0], last, start))
+            under_way = end > mark
+            seen = start if under_way else end
+            if last is None or seen > last:
+                last, told = seen, False
+        waiting = waiting[waiting[:, 1] > mark]
+        if last is not None and not told and not under_way and mark >= last + width:  # whatever waits came later still
             out.append((key[0], last, None))
             told = True
-        state.update((last, told, waiting))
-        ahead = waiting[0] if waiting else None if told or last is None else last + width
+        state.update((last, told, waiting.ravel().tolist()))
+        ahead = int(waiting[0, under_way * 1]) if len(waiting) else None if told or last is None else last + width
         if ahead is not None:
             state.setTimeoutTimestamp(max(ahead, mark) // 1000 + 1)
         yield pd.DataFrame({"source": pd.Series([x[0] for x in out], dtype=object), "last_us": pd.array([x[1] for x in out], "Int64"), "resumed_us": pd.array([x[2] for x in out], "Int64")})
 
     # rows without a source stay in: they move the watermark, and a filter would be pushed below it
     keyed = runs.withWatermark("t", lateness).select("source", "t", F.unix_micros("t").alias("us"))
-    return keyed.groupBy("source").applyInPandasWithState(step, "source string, last_us long, resumed_us long", "last long, told boolean, pending array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("source").applyInPandasWithState(step, "source string, last_us long, resumed_us long", "last long, told boolean, stretches array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def checkpoint(spark: SparkSession) -> str:
@@ -118,14 +136,18 @@ def written(stream: DataFrame, lateness_mark: str, mode: str = "append") -> Data
 
 
 def marked(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
-    """The events as a stream, followed by one row far ahead, source null, whose time closes every window before it."""
+    """The events as a stream, followed by one row far ahead, source null, whose time closes every window before it.
+
+    They come in BATCHES batches, however many files there are: each batch visits the state of every partition.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     at = f"{checkpoint(spark)}-events"
     events.write.parquet(f"{at}/a")
     ahead = events.agg((F.max("ts") + F.expr(f"interval {late}")).alias("ts"))
     ahead.select(F.lit(None).cast("long").alias("user_id"), "ts", F.lit(None).cast("string").alias("event_type")).coalesce(1).write.parquet(f"{at}/b")
-    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+    at_once = max(1, -(-len(spark.read.schema(events.schema).parquet(f"{at}/a").inputFiles()) // BATCHES))
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).option("recursiveFileLookup", True).parquet(at)
     return raw
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapsewise.operators import fingerprint, waves
 from lapsewise.streaming import streams
@@ -81,3 +82,40 @@ def test_first_wave_beyond_a_width(spark):
     assert got == {a: min(b for b in moments if b > a + 7) for a in moments if any(b > a + 7 for b in moments)}
     plan = waves.first_beyond(df, 60.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stall_state_is_one_stretch_whatever_it_holds(spark, tmp_path):
+    rng = random.Random(4)
+    crawls = [T0 + dt.timedelta(seconds=rng.randrange(86_400)) for _ in range(1500)] + [T0 + dt.timedelta(hours=h) for h in (30, 31, 40)]
+    rng.shuffle(crawls)
+    batches = [[("a", t) for t in crawls[:700]], [("a", t) for t in crawls[700:]], [("a", T0 + dt.timedelta(hours=12, minutes=1))], [(None, T0 + dt.timedelta(days=9))]]
+    state = f"file://{tmp_path}/state"
+    monitor = streams.stall_monitor(stream_of(spark, tmp_path, batches[:3], "source string, t timestamp"), 3600, "3 days")
+    monitor.writeStream.format("parquet").option("path", f"{state}-out").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.format("statestore").load(state).select("value.*").collect()
+    assert max(len(x) for r in held for x in r.asDict(True)["groupState"].values() if isinstance(x, list)) == 6  # a day, an evening and an hour of it
+    live = stream_of(spark, tmp_path / "all", batches, "source string, t timestamp")
+    out = streams.written(streams.stall_monitor(live, 3600, "3 days"), "stalls").collect()
+    order = sorted({t for b in batches[:3] for _, t in b})
+    us = lambda t: round(t.timestamp() * 1_000_000)
+    expected = {("a", us(x), us(y)) for x, y in zip(order, order[1:]) if y - x > dt.timedelta(hours=2)} | {("a", us(order[-1]), None)}
+    assert {tuple(r) for r in out} == expected and len(out) == len(expected) == 3
+
+
+def test_watermark_within_a_stretch(spark, tmp_path):
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    # the watermark stops inside 0..10 hours of crawls an hour apart, again and again, before they end
+    batches = [[("a", at(h)) for h in range(11)], [(None, at(14.5))], [(None, at(17))], [("a", at(11))], [(None, at(25))], [("a", at(30))], [(None, at(60))]]
+    out = streams.written(streams.stall_monitor(stream_of(spark, tmp_path, batches, "source string, t timestamp"), 3600, "10 hours"), "stalls")
+    hour = lambda us: None if us is None else round((us / 1e6 - T0.timestamp()) / 3600)
+    assert sorted(((hour(r["last_us"]), hour(r["resumed_us"])) for r in out.collect()), key=str) == sorted([(11, None), (11, 30), (30, None)], key=str)
+
+
+def test_events_come_in_few_batches(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("x").alias("event_type"))
+    rows.repartition(20).write.parquet(f"file://{tmp_path}/events.parquet")
+    raw = streams.marked(spark, f"file://{tmp_path}", "100 days")
+    q = raw.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert sum(sizes) == 41 and len(sizes) <= streams.BATCHES + 1
