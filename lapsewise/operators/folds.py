@@ -6,6 +6,9 @@ the scan of a stored table. Each (candidate, fold) is an independent job with a
 that the tail of one fold's stages leaves no core idle while others wait; a pool of threads in the driver submits them.
 (Pools share cores in turn where the context was started with spark.scheduler.mode=FAIR; otherwise they fill what the
 first leaves free.) What comes back to the driver is one row for each candidate and fold.
+
+Baselines that look at the rows by one column alone say so (counted_by): the rows are counted by instant, that column
+and y, once for all folds and all candidates on it, and the folds read the counts.
 """
 
 from __future__ import annotations
@@ -19,10 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.operators import metrics, waves
+from lapsewise.sources.working import Working
 
 #: Jobs that are under way at once.
 AT_ONCE = 8
 View = Callable[[DataFrame], DataFrame]
+#: How many rows a counted row stands for.
+WEIGHT = "_weight"
 
 
 def side_by_side(spark: SparkSession, jobs: Mapping[Any, Callable[[], Any]], at_once: int = AT_ONCE) -> dict[Any, Any]:
@@ -75,24 +81,42 @@ def within(after: float | None, until: float) -> Column:
     return upto if after is None else (F.col("t") > moment(after)) & upto
 
 
+def counted(rows: DataFrame, name: str, by: Column) -> DataFrame:
+    """t, name, y and how many rows have them."""
+    return rows.groupBy("t", by.alias(name), "y").agg(F.count("*").alias(WEIGHT))
+
+
 def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: Mapping[str, Callable[[], Any]], score: Callable[[Any, DataFrame], DataFrame], views: Mapping[str, View] | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """candidate, fold, view, rows and positives of both parts, pr_auc and roc_auc: each candidate is fitted once on each fold.
 
     candidates build something whose fit(training rows) gives a model, score adds the score of a model to rows. views
     are what is done to the validation rows before they are scored (by default nothing): all views share one fit. A
     fold whose training rows are of one class, or which has no validation rows, is not fitted and has null figures.
-    rows are read once for every fold: give a stored table.
+    rows are read once for every fold: give a stored table. Without views, candidates with counted_by read the counts.
     """
+    plain = not views
     views = views or {"as it is": lambda df: df}
     labelled = rows.where("label_observable")
     plan = [r.asDict() for r in membership(labelled, folds, embargo).orderBy("fold").collect()]
     kept = {r["fold"]: r for r in plan}
 
-    def job(build: Callable[[], Any], f: dict[str, Any]) -> Callable[[], dict[str, tuple[float | None, float | None]]]:
+    work, tables = Working(rows.sparkSession, "counted"), {}
+
+    def source(build: Callable[[], Any]) -> tuple[DataFrame, Callable[[], Any], str | None]:
+        """What the folds of a candidate read, what they fit, and the column of weights."""
+        model = build()
+        if not (plain and hasattr(model, "counted_by")):
+            return labelled, build, None
+        name, by = model.counted_by()
+        if (name, str(by)) not in tables:
+            tables[name, str(by)] = work.table(counted(labelled, name, by))
+        return tables[name, str(by)], lambda: build().on_counts(), WEIGHT
+
+    def job(base: DataFrame, build: Callable[[], Any], weight: str | None, f: dict[str, Any]) -> Callable[[], dict[str, tuple[float | None, float | None]]]:
         def run() -> dict[str, tuple[float | None, float | None]]:
-            model = build().fit(labelled.where(within(None, f["train_end"])).drop("score"))
-            val = labelled.where(within(f["val_after"], f["val_until"]))
-            tagged = [metrics.distinct_scores(score(model, view(val))).withColumn("view", F.lit(name)) for name, view in views.items()]
+            model = build().fit(base.where(within(None, f["train_end"])).drop("score"))
+            val = base.where(within(f["val_after"], f["val_until"]))
+            tagged = [metrics.distinct_scores(score(model, view(val)), weight=weight).withColumn("view", F.lit(name)) for name, view in views.items()]
             table = tagged[0]
             for other in tagged[1:]:
                 table = table.unionByName(other)
@@ -101,7 +125,9 @@ def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates
         return run
 
     fit = [f for f in plan if 0 < f["train_positives"] < f["train_rows"] and f["val_rows"]]
-    done = side_by_side(rows.sparkSession, {(name, f["fold"]): job(build, f) for name, build in candidates.items() for f in fit}, at_once)
+    read = {name: source(build) for name, build in candidates.items()} if fit else {}
+    done = side_by_side(rows.sparkSession, {(name, f["fold"]): job(*read[name], f) for name in read for f in fit}, at_once)
+    work.drop_all_but()
     out = []
     for name in candidates:
         for f in kept.values():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
@@ -29,15 +30,31 @@ LEAST_POSITIVES, ERROR_SHARE = 30, 0.25
 # ---- baselines ----------------------------------------------------------------------------------------------------
 
 
+def mean_y(rows: DataFrame) -> Column:
+    """Mean of y; of counted rows, each as often as it stands for."""
+    if folding.WEIGHT not in rows.columns:
+        return F.avg(F.col("y").cast("double"))
+    w = F.when(F.col("y").isNotNull(), F.col(folding.WEIGHT))
+    return F.try_divide(F.sum(F.col("y") * w).cast("double"), F.sum(w))
+
+
 class GroupRates:
     """Mean of y by a column expression on the training rows, the pooled mean elsewhere."""
 
     def __init__(self, key: Column):
         self.key = key
 
+    def counted_by(self) -> tuple[str, Column]:
+        return "_key", self.key
+
+    def on_counts(self) -> GroupRates:
+        out = copy(self)
+        out.key = F.col("_key")
+        return out
+
     def fit(self, rows: DataFrame) -> GroupRates:
-        self.rates = rows.groupBy(self.key.alias("_k")).agg(F.avg(F.col("y").cast("double")).alias("_rate"))
-        self.pooled = rows.agg(F.avg(F.col("y").cast("double")).alias("_pooled"))
+        self.rates = rows.groupBy(self.key.alias("_k")).agg(mean_y(rows).alias("_rate"))
+        self.pooled = rows.agg(mean_y(rows).alias("_pooled"))
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -51,8 +68,15 @@ class QuantileRates:
     def __init__(self, column: str, bins: int = 10):
         self.column, self.bins = column, bins
 
+    def counted_by(self) -> tuple[str, Column]:
+        return self.column, F.col(f"`{self.column}`")
+
+    def on_counts(self) -> QuantileRates:
+        return self
+
     def fit(self, rows: DataFrame) -> QuantileRates:
-        found = quantiles.exact_quantiles(rows, [self.column], [i / self.bins for i in range(1, self.bins)]).first()
+        weight = folding.WEIGHT if folding.WEIGHT in rows.columns else None
+        found = quantiles.exact_quantiles(rows, [self.column], [i / self.bins for i in range(1, self.bins)], weight=weight).first()
         self.edges = sorted(set(found["q"])) if found else []
         c = F.col(self.column)
         self.inner = GroupRates(F.when(c.isNull(), -1).otherwise(sum((F.when(c > e, 1).otherwise(0) for e in self.edges), F.lit(0)))).fit(rows)

@@ -18,13 +18,14 @@ def value_part(value: Column) -> Column:
     return F.coalesce(F.when(value > 0, size + 1_000_000).when(value < 0, -size - 1_000_000).when(value == 0, 0).when(F.isnan(value), 1 << 62), F.lit(-(1 << 62)))
 
 
-def value_counts(rows: DataFrame, columns: Sequence[str], *keys: str) -> DataFrame:
-    """g (the keys as a struct), feature, value, n of the values that are not null; part of the value range."""
+def value_counts(rows: DataFrame, columns: Sequence[str], *keys: str, weight: str | None = None) -> DataFrame:
+    """g (the keys as a struct), feature, value, n of the values that are not null; part of the value range. weight: how many rows a row stands for."""
     each = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
     g = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
-    long = rows.select(g.alias("g"), F.explode(F.array(*each)).alias("x")).select("g", "x.*").where("value is not null")
+    n = F.col(weight) if weight else F.lit(1)
+    long = rows.select(g.alias("g"), n.alias("w"), F.explode(F.array(*each)).alias("x")).select("g", "w", "x.*").where("value is not null")
     # -0.0 and 0.0 are one value
-    return long.groupBy("g", "feature", (F.col("value") + 0.0).alias("value")).agg(F.count("*").alias("n")).withColumn("part", value_part(F.col("value")))
+    return long.groupBy("g", "feature", (F.col("value") + 0.0).alias("value")).agg(F.sum("w").cast("long").alias("n")).withColumn("part", value_part(F.col("value")))
 
 
 def ranked(counts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def ranked(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return met.where((F.col("rank") - F.col("before") >= F.col("from")) & (F.col("rank") - F.col("before") < F.col("upto"))).drop("part", "before", "from", "upto")
 
 
-def exact_quantiles(rows: DataFrame, columns: Sequence[str], at: Sequence[float], *keys: str) -> DataFrame:
+def exact_quantiles(rows: DataFrame, columns: Sequence[str], at: Sequence[float], *keys: str, weight: str | None = None) -> DataFrame:
     """keys, feature, n (values that are not null) and q, the quantiles at the given places, interpolated between ranks; features without any value are left out."""
-    counts = value_counts(rows, columns, *keys)
+    counts = value_counts(rows, columns, *keys, weight=weight)
     sizes = counts.groupBy("g", "feature").agg(F.sum("n").alias("size"))
     places = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(p)).alias("p")) for i, p in enumerate(at)]))
     asked = sizes.select("g", "feature", "size", places.alias("x")).select("g", "feature", "size", "x.k", (F.col("x.p") * (F.col("size") - 1)).alias("position"))

@@ -101,6 +101,33 @@ def test_tuning_and_selection_from_a_fold_table(spark, rows):
     assert found["selected"] == "ages"
 
 
+def test_folds_of_baselines_read_counts(spark, rows):
+    read = []
+
+    class Ages(models.QuantileRates):
+        def fit(self, df):
+            read.append((set(df.columns), df.count()))
+            return super().fit(df)
+
+    class Titles(models.GroupRates):
+        def fit(self, df):
+            read.append((set(df.columns), df.count()))
+            return super().fit(df)
+
+    many = rows.unionByName(rows).unionByName(rows)  # three of each row: the counts stay as many
+    table = waves.fold_table(many, DAY).where("fold % 3 = 0")
+    builds = {"4": lambda: Ages("age_days", 4), "titles": lambda: Titles(F.col("title"))}
+    got = models.cross_validate(many, table, DAY, builds, at_once=2).orderBy("candidate", "fold").collect()
+    assert read and all("_weight" in columns and "source_id" not in columns for columns, _ in read)
+    assert max(n for _, n in read) <= rows.count()
+    # the same figures from the rows themselves, which a view asks for
+    plain = models.cross_validate(many, table, DAY, builds, {"as it is": lambda df: df}, at_once=2).orderBy("candidate", "fold").collect()
+    assert [tuple(r)[:-2] for r in got] == [tuple(r)[:-2] for r in plain] and len(got) == 2 * len({r["fold"] for r in got})
+    for a, b in zip(got, plain):
+        for c in ("pr_auc", "roc_auc"):
+            assert a[c] is None and b[c] is None or a[c] == pytest.approx(b[c], abs=1e-12)
+
+
 # ---- logistic regression ------------------------------------------------------------------------------------------
 
 
