@@ -7,10 +7,15 @@ bootstrap replicates without copying rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lapsewise.operators.quantiles import value_part
 from lapsewise.sources.working import Working
@@ -158,15 +163,26 @@ def numbered_clusters(rows: DataFrame, *keys: str) -> DataFrame:
     return clusters.select(*keys, "cluster", (F.col("_in") + F.col("_before")).alias("i"), "m")
 
 
+def draws_of(clusters: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
+    """keys, b, i: the cluster of every draw of every resample, from md5.
+
+    A stored table of clusters is so small that one task would read it and make all the draws, resamples times as many
+    rows; the clusters are dealt out before they draw.
+    """
+    spark = clusters.sparkSession
+    dealt = clusters.select(*keys, F.col("i").alias("draw"), "m").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "draw")
+    draws = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col("b").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    return draws.select(*keys, "b", F.pmod(number, F.col("m")).alias("i"))
+
+
 def drawn_clusters(clusters: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
     """keys, b, i, w: how often each numbered cluster is drawn in each resample of its group; draws come from md5.
 
     There are as many draws as clusters in every resample, so they are dealt by cluster, once, for the count and for the
     join that follows.
     """
-    draws = clusters.select(*keys, F.col("i").alias("draw"), "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys, F.col("b").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    return draws.select(*keys, "b", F.pmod(number, F.col("m")).alias("i")).repartition(*keys, "i").groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
+    return draws_of(clusters, resamples, *keys, seed=seed).repartition(*keys, "i").groupBy(*keys, "b", "i").agg(F.count("*").alias("w"))
 
 
 def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
@@ -176,16 +192,79 @@ def replicates(rows: DataFrame, resamples: int, *keys: str, seed: str = "b") ->
     return drawn.join(clusters.select(*keys, "i", "cluster").hint("merge"), [*keys, "i"]).drop("i")
 
 
+#: Sums that a task holds before it hands them on, and products that it works out at once.
+HELD, AT_ONCE = 2_000_000, 2_000_000
+
+
+def weighted_sums(keys: tuple[str, ...], resamples: int, schema: pa.Schema):
+    """Sums of n and pos by group, resample and score of clusters with their draws (b) and their cells (score, c, p).
+
+    A cluster's cells times its draws are added as rows of a matrix with a column for each resample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        sums = np.zeros((2, 0, resamples), np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(place)
+            at, b = np.nonzero(sums[0, : len(names)])
+            for i in range(0, len(at), 100_000):
+                rows, own = at[i : i + 100_000], b[i : i + 100_000]
+                columns = [pa.array([name[j] for name in names], schema.field(c).type).take(pa.array(rows)) for j, c in enumerate((*keys, "score"))]
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(own.astype(np.int64)), columns[-1], pa.array(sums[0, rows, own]), pa.array(sums[1, rows, own])], schema=schema)
+
+        for whole in batches:
+            for i in range(0, len(whole), max(1, AT_ONCE // resamples)):
+                part = whole.slice(i, max(1, AT_ONCE // resamples))
+                drawn, cells = part.column("b"), part.column("cells")
+                sizes = lambda x: np.diff(x.offsets.to_numpy())
+                weight = np.bincount(np.repeat(np.arange(len(part)), sizes(drawn)) * resamples + drawn.flatten().to_numpy(), minlength=len(part) * resamples).reshape(-1, resamples)
+                owner, cell = np.repeat(np.arange(len(part)), sizes(cells)), cells.flatten()
+                score = cell.field("score").dictionary_encode("encode")
+                group, values = score.indices.to_numpy().astype(np.int64), [score.dictionary.to_pylist()]
+                for key in reversed(keys):
+                    of = part.column(key).dictionary_encode("encode")
+                    group += of.indices.to_numpy()[owner] * math.prod(map(len, values))
+                    values.insert(0, of.dictionary.to_pylist())
+                order = np.argsort(group, kind="stable")
+                group, owner, count = group[order], owner[order], np.stack([cell.field(c).to_numpy()[order] for c in "cp"])
+                for j in range(0, len(group), max(1, AT_ONCE // resamples)):
+                    some = slice(j, j + max(1, AT_ONCE // resamples))
+                    first = np.flatnonzero(np.concatenate([[True], group[some][1:] != group[some][:-1]]))
+                    found = [tuple(v[k] for v, k in zip(values, at, strict=True)) for at in zip(*np.unravel_index(group[some][first], [len(v) for v in values]), strict=True)]
+                    if place and (len(place) + len(found)) * resamples > HELD:
+                        yield from flush()
+                        place.clear()
+                        sums[:] = 0
+                    rows = [place.setdefault(name, len(place)) for name in found]
+                    if len(place) > sums.shape[1]:
+                        sums = np.concatenate([sums, np.zeros((2, 2 * len(place) - sums.shape[1], resamples), np.int64)], axis=1)
+                    for k in (0, 1):
+                        np.add.at(sums[k], rows, np.add.reduceat(weight[owner[some]] * count[k, some][:, None], first))
+        if place:
+            yield from flush()
+
+    return run
+
+
 def resampled_scores(rows: DataFrame, clusters: DataFrame, resamples: int, *keys: str, seed: str = "b") -> DataFrame:
     """keys, b, score, n, pos: the table of distinct scores of every resample; clusters as numbered from rows.
 
-    Merge joins are asked for: draws and clusters grow with the rows, but a stored panel is packed so well, and
-    resamples multiply it so unseen, that the planner takes them for tables small enough to pass through the driver.
+    A cluster's draws, about one for each resample, and its cells meet in one row, and tasks add up their products:
+    draws times cells are never rows. Merge joins are asked for: draws and clusters grow with the rows, but a stored
+    panel is packed so well, and resamples multiply it so unseen, that the planner takes them for tables small enough to
+    pass through the driver.
     """
-    tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
-    cells = tagged.join(clusters.select(*keys, "cluster", "i").hint("merge"), [*keys, "cluster"]).drop("cluster")
-    met = drawn_clusters(clusters, resamples, *keys, seed=seed).join(cells.hint("merge"), [*keys, "i"])
-    return met.groupBy(*keys, "b", "score").agg(F.sum(F.col("w") * F.col("c")).alias("n"), F.sum(F.col("w") * F.col("p")).cast("long").alias("pos"))
+    tagged = rows.withColumn("cluster", F.concat_ws("|", "source", "source_id")).groupBy(*keys, "cluster", "score").agg(F.count("*").alias("c"), F.sum("y").cast("long").alias("p"))
+    cells = tagged.join(clusters.select(*keys, "cluster", "i").hint("merge"), [*keys, "cluster"])
+    cells = cells.groupBy(*keys, "i").agg(F.collect_list(F.struct("score", "c", F.coalesce("p", F.lit(0).cast("long")).alias("p"))).alias("cells"))
+    drawn = draws_of(clusters, resamples, *keys, seed=seed).groupBy(*keys, "i").agg(F.collect_list(F.col("b").cast("int")).alias("b"))
+    met = drawn.join(cells.hint("merge"), [*keys, "i"]).select(*keys, "b", "cells")
+    kinds = StructType([*(rows.schema[k] for k in keys), StructField("b", LongType()), rows.schema["score"], StructField("n", LongType()), StructField("pos", LongType())])
+    kinds = StructType([StructField(f.name, f.dataType) for f in kinds])
+    run = weighted_sums(keys, resamples, to_arrow_schema(kinds))
+    return met.mapInArrow(run, kinds).groupBy(*keys, "b", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
 #: What bootstrap returns with a fixed threshold.

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,38 @@ def test_bootstrap_passes_nothing_through_the_driver(spark, keys):
     # the same table by rows copied
     copied = df.withColumn("cluster", F.concat_ws("|", "source", "source_id")).join(metrics.replicates(df, 20, *keys), [*keys, "cluster"]).groupBy(*keys, "b", "score").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
     assert sorted(map(tuple, metrics.resampled_scores(df, clusters, 20, *keys).collect())) == sorted(map(tuple, copied.collect()))
+
+
+def test_draws_are_dealt_and_never_meet_cells_as_rows(spark):
+    """A stored table of clusters is one file, whose task must not make all the draws; nor are draws times cells rows."""
+    rows = [(f"s{k % 2}", f"p{k}", d, int((k + d) % 5 == 0), ((k * 7 + d) % 11) / 11) for k in range(40) for d in range(3)]
+    df = spark.createDataFrame(rows, "source string, source_id string, t int, y int, score double")
+    clusters = metrics.numbered_clusters(df, "source").coalesce(1)
+    draws = metrics.draws_of(clusters, 20, "source")
+    made = {r["task"]: r["count"] for r in draws.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()}
+    assert len(made) > 1 and sum(made.values()) == 800
+    plan = metrics.resampled_scores(df, clusters, 20, "source")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") >= 2 and "MapInArrow" in plan
+
+
+def test_weighted_sums_handed_on_in_parts(spark, monkeypatch):
+    rows = [("s", f"p{k}", d, int((k + d) % 5 == 0), None if k == 3 else ((k * 7 + d) % 11) / 11) for k in range(40) for d in range(3)]
+    df = spark.createDataFrame(rows, "source string, source_id string, t int, y int, score double").coalesce(1)
+    clusters = metrics.numbered_clusters(df, "source")
+    table = lambda: sorted(map(str, metrics.resampled_scores(df, clusters, 20, "source").collect()))
+    whole = table()
+    found = []
+    for held, at_once in ((60, 2_000_000), (60, 100)):
+        monkeypatch.setattr(metrics, "HELD", held)
+        monkeypatch.setattr(metrics, "AT_ONCE", at_once)
+        run = metrics.weighted_sums(("source",), 20, pa.schema([("source", pa.string()), ("b", pa.int64()), ("score", pa.float64()), ("n", pa.int64()), ("pos", pa.int64())]))
+        cells = pa.array([[{"score": s, "c": c, "p": 1} for s, c in own] for own in ([(0.5, 2), (None, 3)], [(0.25, 4)], [(0.5, 1)])], pa.list_(pa.struct([("score", pa.float64()), ("c", pa.int64()), ("p", pa.int64())])))
+        batch = pa.RecordBatch.from_arrays([pa.array(["x", "x", "y"]), pa.array([[0, 0, 3], [3], [19]], pa.list_(pa.int32())), cells], ["source", "b", "cells"])
+        got = {}
+        for out in run(iter([batch, batch])):
+            for r in out.to_pylist():
+                key = (r["source"], r["b"], r["score"])
+                got[key] = tuple(map(sum, zip(got.get(key, (0, 0)), (r["n"], r["pos"]), strict=True)))
+        found.append(got)
+    assert found[0] == found[1] == {("x", 0, 0.5): (8, 4), ("x", 3, 0.5): (4, 2), ("x", 0, None): (12, 4), ("x", 3, None): (6, 2), ("x", 3, 0.25): (8, 2), ("y", 19, 0.5): (2, 2)}
+    assert len(whole) == len(set(whole)) and any("score=None" in r for r in whole)
