@@ -3,15 +3,17 @@
 Every word seen at least LEAST times is put into one of CLASSES classes by exchange clustering: each word moves to the
 class in which the class bigram likelihood is highest. The TOP most frequent words start the classes on the driver, one
 word after the other; then Spark counts, for every word, the classes before and after it, and all words move at once by
-these counts and the small table of class bigrams, in SPREAD rounds, of which the one with the highest likelihood
-stands. Words seen less often stand for the unseen: they share classes by length with them. A token's probability is
-that of its class after the class before it, smoothed towards the class's own probability, times that of the word in
-its class.
-
-Words are counted by 64-bit hash. Counts and classes of words at or above a cut, chosen so that at most KNOWN words
-reach it, travel as a table of bounded size; rarer words are joined with the full counts and classes, bigrams with a
-rarer word by both sides. Class bigrams are a table of bounded size. The words in classes, and what is shuffled, grow
-with the corpus, what a task or the driver holds does not.
+these counts and the small table of class bigrams: those that travel in SPREAD rounds, of which the one with the highest
+likelihood stands, then the rarer ones, once. Words seen less often stand for the unseen: they share classes by length
+with them. A token's probability is that of its class after the class before it, smoothed towards the class's own
+probability, times that of the word in its class.
+
+Words are counted by 64-bit hash. Words at or above a cut, chosen so that at most KNOWN words reach it, travel as a table
+of bounded size. The corpus is written once as the numbers of these words by falling frequency, with the hashes of all
+others; every later pass reads that. A rarer word's neighbours tell its class, and until it has one it counts as a
+neighbour by its length, so no bigram is shuffled but those of two words that do not travel, once; class bigrams are
+then corrected for the words that moved. Class bigrams are a table of bounded size. The words in classes, and what is
+shuffled, grow with the corpus, what a task or the driver holds does not.
 
 Nulls: a null text is empty (its end token alone is scored); a null doc_id stays a row and trains (its remainder is
 undefined, held_out is false). Repeated rows train repeatedly, and every row of the input is one of the result, whether or
@@ -68,22 +70,6 @@ def lookup(table: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(table[at] == words, at, -1)
 
 
-def count_pairs(top: np.ndarray):
-    """Bigrams of symbols: a top word's place, TOP + a length class, then the edge of a text."""
-    edge = TOP + LENGTHS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames):
-            word, kind, per = tokens_of(encoded(frame["text"]))
-            symbol = lookup(top, word)
-            symbol = np.where(symbol < 0, TOP + kind, symbol)
-            all_ = np.insert(symbol, np.concatenate([[0], np.cumsum(per)]), edge)
-            pair, n = np.unique(all_[:-1] * (edge + 1) + all_[1:], return_counts=True)
-            yield pd.DataFrame({"pair": pair, "n": n})
-
-    return run
-
-
 def exchange(pairs: np.ndarray, top: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of every symbol; only the first top symbols move, each of the others is a class of its own.
 
@@ -179,19 +165,24 @@ def likelihood(joint: np.ndarray) -> float:
 
 
 class Known:
-    """Words that travel: sorted hashes, counts, classes; size counts the word classes k, the lengths and the edge."""
+    """Words that travel: sorted hashes, counts, classes; size counts the word classes k, the lengths and the edge.
+
+    code: numbers of symbols. The words by falling count (order: their places), then the lengths of all others, then the
+    edge of a text.
+    """
 
     def __init__(self, word: np.ndarray, n: np.ndarray, label: np.ndarray, k: int, some_rarer: bool):
         self.word, self.n, self.label, self.k, self.some_rarer = word, n, label, k, some_rarer
         self.size = k + LENGTHS + 1
+        self.order = np.lexsort((word, -n))
+        self.rest, self.edge = len(word), len(word) + LENGTHS
 
-    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Of all texts with an edge before, between and after: word, place in the table (-1: none), length, class (-1: to be joined)."""
-        word, kind, per = tokens_of(texts)
-        at = lookup(self.word, word)
-        label = np.where(at >= 0, self.label[np.maximum(at, 0)] if len(self.label) else 0, -1 if self.some_rarer else self.k + kind)
-        edges = np.concatenate([[0], np.cumsum(per)])
-        return np.insert(word, edges, 0), np.insert(at, edges, -1), np.insert(kind, edges, 0), np.insert(label, edges, self.size - 1)
+    def of_codes(self, words: np.ndarray, others: np.ndarray, edge: float) -> np.ndarray:
+        """Table by code of what is given by place, by length and for the edge."""
+        return np.concatenate([words[self.order], others, [edge]])
+
+    def labels(self) -> np.ndarray:
+        return self.of_codes(self.label, self.k + np.arange(LENGTHS), self.size - 1).astype(np.int64)
 
 
 EVIDENCE = "word long, label int, codes array<long>"
@@ -208,20 +199,97 @@ def packed(word: np.ndarray | None, label: np.ndarray, code: np.ndarray, n: np.n
     return pa.RecordBatch.from_arrays([words, pa.array(label[first], pa.int32()), codes], ["word", "label", "codes"])
 
 
-def cells_of(joint: np.ndarray, size: int) -> pa.RecordBatch:
-    """Evidence of class bigrams."""
-    some = np.flatnonzero(joint)
-    return packed(None, some // size, some % size, joint[some])
+ENCODED = "row long, doc_id long, held_out boolean, low binary, high binary, rare binary"
+
 
+def encode(shared):
+    """Every text as its edge and the codes of its words (two bytes low, one byte high), and the hashes of the words that do not travel.
 
-def gather(shared, with_words: bool):
-    """Bigrams whose classes are all known here. word null: of two classes (label, code). Else of a word in class label:
-    code is the class after it, size + the class before it, or 2 size for the word itself."""
+    row: number of the task and of the row in it. What is returned is written before it is read, so the numbers stay.
+    """
+
+    def column(values: np.ndarray, per: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(per)]) * values.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, waiting = shared.value, [], 0
-        size = known.size
+        known, made = shared.value, TaskContext.get().partitionId() << 40
+        rank = np.empty(len(known.word), np.int64)
+        rank[known.order] = np.arange(len(known.word))
+        for frame in blocks(batch.to_pandas() for batch in batches):
+            word, kind, per = tokens_of(encoded(frame["text"]))
+            at = lookup(known.word, word)
+            here = at >= 0
+            code = np.full(len(word) + len(per), known.edge, np.uint32)
+            owner = np.repeat(np.arange(len(per)), per)
+            code[np.arange(len(word)) + owner + 1] = np.where(here, rank[np.maximum(at, 0)] if len(rank) else 0, known.rest + kind)
+            columns = [pa.array(made + np.arange(len(per))), pa.array(frame["doc_id"], pa.int64(), from_pandas=True), pa.array(frame["held_out"], pa.bool_())]
+            columns += [column((code & 0xFFFF).astype(np.uint16), per + 1), column((code >> 16).astype(np.uint8), per + 1), column(word[~here], np.bincount(owner[~here], minlength=len(per)))]
+            made += len(per)
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "low", "high", "rare"])
+
+    return run
+
+
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all rows of a column of bytes, and how many there are before each row and in all."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return raw.view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+#: Codes that one vectorised step works on.
+STEP = 500_000
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of encoded texts, about STEP codes at a time: the rows, their codes with an edge at the end, and the codes of each row."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        low, ends = flat(batch.column("low"), np.uint16)
+        high, _ = flat(batch.column("high"), np.uint8)
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP, "right")) - 1)
+            own = slice(ends[first], ends[last])
+            code = low[own] | high[own].astype(np.int64) << 16
+            yield batch.slice(first, last - first), np.append(code, code[0]), np.diff(ends[first : last + 1])
+            first = last
+
+
+def count_pairs(table, size: int):
+    """Bigrams of symbols, which the broadcast table gives by code: pair is first * size + second."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = table.value
         joint = np.zeros(size * size, np.int64)
+        for _, code, _ in stretches(batches):
+            symbol = of[code]
+            joint += np.bincount(symbol[:-1] * size + symbol[1:], minlength=size * size)
+        pair = np.flatnonzero(joint)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(joint[pair])], ["pair", "n"])
+
+    return run
+
+
+def bigrams(training: DataFrame, table: np.ndarray, size: int) -> np.ndarray:
+    """Counts of bigrams of the size symbols that table gives by code."""
+    shared = training.sparkSession.sparkContext.broadcast(table)
+    found = training.mapInArrow(count_pairs(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    joint = np.zeros(size * size)
+    joint[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return joint.reshape(size, size)
+
+
+def gather(shared):
+    """Of a travelling word (its code) in class label, codes: the class after it, size + the class before it, or 2 size for the word itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, waiting = shared.value, [], 0
+        size, labels = known.size, known.labels()
+        moving = known.of_codes(known.n >= LEAST, np.zeros(LENGTHS, bool), False).astype(bool)
 
         def flush() -> pa.RecordBatch:
             keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -229,45 +297,75 @@ def gather(shared, with_words: bool):
             keys = keys[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             key, n = keys[first], np.add.reduceat(counts[order], first)
-            at = key // (2 * size + 1)
-            return packed(known.word[at], known.label[at], key % (2 * size + 1), n)
-
-        for frame in blocks(batch.to_pandas() for batch in batches):
-            _, at, _, label = known.symbols(encoded(frame["text"]))
-            a, b, x, y = label[:-1], label[1:], at[:-1], at[1:]
-            sure = (a >= 0) & (b >= 0)
-            joint += np.bincount((a * size + b)[sure], minlength=size * size)
-            if with_words and len(known.word):
-                moves = (known.n >= LEAST)[np.maximum(at, 0)] & (at >= 0)
-                first, second = sure & moves[:-1], sure & moves[1:] & (x != y)
-                after = x * (2 * size + 1) + np.where(x == y, 2 * size, b)
-                before = y * (2 * size + 1) + size + a
-                found.append(np.unique(np.concatenate([after[first], before[second]]), return_counts=True))
-                waiting += len(found[-1][0])
-                if waiting > GATHERED:
-                    yield flush()
-                    found, waiting = [], 0
+            word = key // (2 * size + 1)
+            return packed(word, labels[word], key % (2 * size + 1), n)
+
+        for _, code, _ in stretches(batches):
+            label, moves = labels[code], moving[code]
+            x, y = code[:-1], code[1:]
+            after = x * (2 * size + 1) + np.where(x == y, 2 * size, label[1:])
+            before = y * (2 * size + 1) + size + label[:-1]
+            found.append(np.unique(np.concatenate([after[moves[:-1]], before[moves[1:] & (x != y)]]), return_counts=True))
+            waiting += len(found[-1][0])
+            if waiting > GATHERED:
+                yield flush()
+                found, waiting = [], 0
         if waiting:
             yield flush()
-        yield cells_of(joint, size)
+
+    return run
+
+
+def rare_words(shared):
+    """Words that do not travel, one row for each time: code is (length, class before, class after) to the base of size + 1.
+
+    size stands for the word itself: after it, and for nothing before it, as that pair is told by the one before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        size, labels = known.size, known.labels()
+        for rows, code, _ in stretches(batches):
+            at = np.flatnonzero((code >= known.rest) & (code < known.edge))
+            word, _ = flat(rows.column("rare"), np.int64)
+            again = (at[1:] == at[:-1] + 1) & (word[1:] == word[:-1])
+            before, after = labels[code[at - 1]], labels[code[at + 1]]
+            before[1:][again], after[:-1][again] = size, size
+            codes = ((code[at] - known.rest) * (size + 1) + before) * (size + 1) + after
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(codes.astype(np.int32))], ["word", "code"])
 
     return run
 
 
 def rare_pairs(shared):
-    """Bigrams with a word that does not travel; kind is that word's length, -1 for one that travels, -2 for the edge."""
+    """Bigrams of two words that do not travel, by row; kinds: both lengths to the base of LENGTHS."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for frame in blocks(frames):
-            word, at, kind, label = known.symbols(encoded(frame["text"]))
-            kind = np.where(label < 0, kind, np.where(at >= 0, -1, -2))
-            i = np.flatnonzero((label[:-1] < 0) | (label[1:] < 0))
-            yield pd.DataFrame({"w1": word[i], "k1": kind[i], "w2": word[i + 1], "k2": kind[i + 1]})
+        for rows, code, per in stretches(batches):
+            at = np.flatnonzero((code >= known.rest) & (code < known.edge))
+            word, _ = flat(rows.column("rare"), np.int64)
+            i = np.flatnonzero(at[1:] == at[:-1] + 1)
+            owner, kind = np.repeat(np.arange(len(per)), per)[at[i]], code[at] - known.rest
+            keys = np.stack([owner, word[i], word[i + 1], kind[i] * LENGTHS + kind[i + 1]])
+            keys, tf = tallied(keys)
+            row = rows.column("row").to_numpy()
+            held = rows.column("held_out").take(pa.array(keys[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[keys[0]]), held, pa.array(keys[1]), pa.array(keys[2]), pa.array(keys[3].astype(np.int32)), pa.array(tf)], ["row", "held_out", "w1", "w2", "kinds", "tf"])
 
     return run
 
 
+PAIRS = "row long, held_out boolean, w1 long, w2 long, kinds int, tf long"
+
+
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and how often each is there."""
+    keys = keys[:, np.lexsort(keys[::-1])]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, keys.shape[1]), bool), (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return keys[:, first], np.diff(np.append(first, keys.shape[1]))
+
+
 def both(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """pairs with l1 and l2: the label in table (word, label) of either side."""
     columns = pairs.columns
@@ -276,57 +374,52 @@ def both(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return pairs.select(*columns, "l1", "l2")
 
 
-def either(pairs: DataFrame, table: DataFrame, kind: str) -> DataFrame:
-    """pairs (a written table) with l1 and l2: the label in table (word, label) of the sides whose kind meets the condition,
-    null for others. Only what needs a label is joined, and only with that side."""
-    first, second = F.expr(f"k1 {kind}"), F.expr(f"k2 {kind}")
-    table = table.select("word", "label")
-    none = pairs.where(~first & ~second).select("*", F.lit(None).cast("int").alias("l1"), F.lit(None).cast("int").alias("l2"))
-    one = pairs.where(first != second).withColumn("word", F.when(first, F.col("w1")).otherwise(F.col("w2"))).join(table, "word", "left")
-    one = one.select("w1", "k1", "w2", "k2", "n", F.when(first, F.col("label")).alias("l1"), F.when(second, F.col("label")).alias("l2"))
-    return none.unionByName(one).unionByName(both(pairs.where(first & second), table))
+MOVED = "word long, label int, code int, n long"
 
 
-def resolve(shared, with_words: bool):
-    """Evidence as in gather, of pairs (w1, k1, l1, w2, k2, l2, n); kind -3: a word in a class that does not travel, its class joined."""
+def move_rare(joint: np.ndarray, k: int):
+    """Best class of every rarer word from the rows of rare_words and one with code -1 that says it has a class, sorted
+    by word and code; then (word null) what its leaving its length does to the bigrams with travelling words and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, waiting = shared.value, [], 0
-        size = known.size
-        joint = np.zeros(size * size, np.int64)
-
-        def flush() -> pa.RecordBatch:
-            word, label, code, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((code, word))
-            word, label, code = word[order], label[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])]))
-            return packed(word[first], label[first], code[first], np.add.reduceat(n[order], first))
-
+        size = len(joint)
+        width, base = 2 * size + 1, size + 1
+        told = np.r_[0:k, size - 1]  # neighbours whose class is settled
+        change = np.zeros((size, size), np.int64)
+
+        def settle(word: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), word[1:] != word[:-1]]))
+            sizes = np.diff(np.append(first, len(word)))
+            classed = code[first] == -1
+            keep = np.repeat(classed, sizes) & (code >= 0)
+            group, code = np.repeat(np.cumsum(classed) - 1, sizes)[keep], code[keep]
+            words = word[first[classed]]
+            for i in range(0, len(words), 5000):
+                own = slice(*np.searchsorted(group, [i, i + 5000]))
+                g, c, m = group[own] - i, code[own].astype(np.int64), min(5000, len(words) - i)
+                kind, before, after = c // (base * base), c // base % base, c % base
+                cell = np.concatenate([g * width + np.where(after == size, 2 * size, after), (g * width + size + before)[before < size]])
+                dense = np.bincount(cell, minlength=m * width).reshape(m, width)
+                at = np.zeros(m, np.int64)
+                at[g] = k + kind
+                label = gains(joint, k, at, dense[:, :size].astype(float), dense[:, size:-1].astype(float), dense[:, -1].astype(float)).argmax(axis=1)
+                for side, table in ((dense[:, :size], change), (dense[:, size:-1], change.T)):
+                    for where, sign in ((label, 1), (at, -1)):
+                        part = np.zeros((size, len(told)), np.int64)
+                        np.add.at(part, where, side[:, told])
+                        table[:, told] += sign * part
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + m]), pa.array(label.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], ["word", "label", "code", "n"])
+
+        word, code = np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in batches:
-            frame = batch.to_pandas()
-            if not len(frame):
-                continue
-            label, moves = [], []
-            for s in "12":
-                kind, at = frame["k" + s].to_numpy(), lookup(known.word, frame["w" + s].to_numpy())
-                place = known.label[np.maximum(at, 0)] if len(known.label) else np.zeros(len(kind), np.int64)
-                label.append(np.select([kind >= 0, kind == -1, kind == -2], [known.k + kind, place, size - 1], frame["l" + s].fillna(0).to_numpy().astype(np.int64)))
-                moves.append((kind == -3) | ((kind == -1) & ((known.n >= LEAST)[np.maximum(at, 0)] if len(known.n) else False)))
-            (a, b), n = label, frame["n"].to_numpy()
-            np.add.at(joint, a * size + b, n)
-            if with_words:
-                w1, w2 = frame["w1"].to_numpy(), frame["w2"].to_numpy()
-                same = (w1 == w2) & moves[0] & moves[1]
-                first, second = moves[0], moves[1] & ~same
-                found.append((w1[first], a[first], np.where(same, 2 * size, b)[first], n[first]))
-                found.append((w2[second], b[second], (size + a)[second], n[second]))
-                waiting += int(first.sum() + second.sum())
-                if waiting > GATHERED:
-                    yield flush()
-                    found, waiting = [], 0
-        if waiting:
-            yield flush()
-        yield cells_of(joint, size)
+            word, code = np.append(word, batch.column(0).to_numpy()), np.append(code, batch.column(1).to_numpy())
+            # the last word may go on in the next batch; it is seen less often than the cut
+            last = int(np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))[-1]) if len(word) else 0
+            yield from settle(word[:last], code[:last])
+            word, code = word[last:], code[last:]
+        yield from settle(word, code)
+        a, b = np.nonzero(change)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(change[a, b])], ["word", "label", "code", "n"])
 
     return run
 
@@ -394,102 +487,113 @@ class Model:
         return np.where(in_class, np.log10(np.maximum(n, 1)) - self.inside[np.where(in_class, label, 0)], np.log10(n + 1) - self.rest[kind])
 
 
-ROWS = "row long, doc_id long, held_out boolean, word long, kind int, before int, after int, next long, next_kind int, tf long, known long, base double, score double"
+SCORED = "row long, doc_id long, held_out boolean, tokens long, known long, base double, score double"
+PART = "row long, known long, base double, score double"
 
 
-def score_docs(model: Model):
-    """Per row what the bounded tables tell (word null), and its rarer words with their number.
+def score_docs(shared):
+    """Per row what the bounded tables tell."""
 
-    row: number of the task and of the row in it. What is returned is written before it is read, so the numbers stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        known, none = model.known, np.zeros(LENGTHS)
+        size, labels = known.size, known.labels()
+        kind = np.maximum(known.label - known.k, 0).clip(max=LENGTHS - 1)  # of words in no class, whose label is their length's
+        each = known.of_codes(model.emission(known.label, kind, known.n), none, 0)
+        base = known.of_codes(np.log10(known.n + 1) - model.base, none, np.log10(model.ends + 1) - model.base)
+        here = known.of_codes(np.ones(len(known.word), bool), none, model.ends > 0)
+        transition = model.transition.ravel()
+        for rows, code, per in stretches(batches):
+            label, own = labels[code], np.repeat(np.arange(len(per)), per)
+            step = transition[label[:-1] * size + label[1:]]
+            if known.some_rarer:
+                rest = (code >= known.rest) & (code < known.edge)
+                step[rest[:-1] | rest[1:]] = 0
+            code = code[:-1]
+            sums = [np.bincount(own, weights=w, minlength=len(per)) for w in (here[code], base[code], each[code] + step)]
+            yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), rows.column("held_out"), pa.array(per), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], ["row", "doc_id", "held_out", "tokens", "known", "base", "score"])
 
-    before, after: the classes next to a rarer word, -1 where the transition is told elsewhere. next: the rarer word
-    after a rarer word; such rows hold only the transition between the two.
-    """
+    return run
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, made = model.known, TaskContext.get().partitionId() << 40
-        for frame in blocks(frames):
-            texts = encoded(frame["text"])
-            word, at, kind, label = known.symbols(texts)
-            ids = made + np.arange(len(texts))
-            made += len(texts)
-            ends = np.flatnonzero(label == known.size - 1)  # a text runs from one edge to the next
-            owner = np.repeat(np.arange(len(texts)), np.diff(ends))  # of the transition into place i + 1
-            doc = np.concatenate([[0], owner])
-            a, b = label[:-1], label[1:]
-            sure = (a >= 0) & (b >= 0)
-            score = np.bincount(owner[sure], weights=model.transition[a[sure], b[sure]], minlength=len(texts))
-            here = at >= 0
-            n = known.n[at[here]]
-            base = np.bincount(doc[here], weights=np.log10(n + 1) - model.base, minlength=len(texts)) + np.log10(model.ends + 1) - model.base
-            score += np.bincount(doc[here], weights=model.emission(label[here], kind[here], n), minlength=len(texts))
-            count = np.bincount(doc[here], minlength=len(texts)) + (model.ends > 0)
-            none = np.full(len(texts), None)
-            yield pd.DataFrame({"row": ids, "doc_id": frame["doc_id"].to_numpy(), "held_out": frame["held_out"].to_numpy(), "word": none, "kind": 0, "before": -1, "after": -1, "next": none, "next_kind": 0, "tf": np.diff(ends), "known": count, "base": base, "score": score})
-            rare = ~here
-            rare[ends] = False
-            rare = np.flatnonzero(rare)
-            if not len(rare):
-                continue
-            before, after = (label[rare - 1], label[rare + 1]) if known.some_rarer else (np.full(len(rare), -1), np.full(len(rare), -1))
-            order = np.lexsort((after, before, word[rare], doc[rare]))
-            keys = np.stack([doc[rare], word[rare], before, after])[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-            tf = np.diff(np.concatenate([first, [len(order)]]))
-            d, w, before, after = keys[:, first]
-            yield pd.DataFrame({"row": ids[d], "doc_id": None, "held_out": None, "word": w.astype(object), "kind": kind[rare[order[first]]], "before": before, "after": after, "next": np.full(len(d), None), "next_kind": 0, "tf": tf, "known": 0, "base": 0.0, "score": 0.0})
-            two = np.flatnonzero((a < 0) & (b < 0))
-            if len(two):
-                yield pd.DataFrame({"row": ids[owner[two]], "doc_id": None, "held_out": None, "word": word[two].astype(object), "kind": kind[two], "before": -1, "after": -1, "next": word[two + 1].astype(object), "next_kind": kind[two + 1], "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
+
+RARE = "row long, word long, code int, tf long"
+
+
+def rare_of_docs(shared):
+    """Words that do not travel, by row; code: length, then the classes before and after to the base of size + 1, size where the transition is told elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.known
+        size, labels = known.size, known.labels()
+        labels[known.rest : known.edge] = size
+        if not known.some_rarer:
+            labels[:] = size
+        for rows, code, per in stretches(batches):
+            at = np.flatnonzero((code >= known.rest) & (code < known.edge))
+            word, _ = flat(rows.column("rare"), np.int64)
+            codes = ((code[at] - known.rest) * (size + 1) + labels[code[at - 1]]) * (size + 1) + labels[code[at + 1]]
+            keys, tf = tallied(np.stack([np.repeat(np.arange(len(per)), per)[at], word, codes]))
+            row = rows.column("row").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(row[keys[0]]), pa.array(keys[1]), pa.array(keys[2].astype(np.int32)), pa.array(tf)], ["row", "word", "code", "tf"])
 
     return run
 
 
-def score_rare(model: Model):
-    """Scores of rarer words (n: their count, null if unseen; label: their class, null for the length's) and of the transitions around them."""
+def filled(column: pa.Array, value: int) -> np.ndarray:
+    return column.fill_null(value).to_numpy().astype(np.int64)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = model.known.k
-        for frame in frames:
-            tf, kind, n = frame["tf"].to_numpy(), frame["kind"].to_numpy(), frame["n"].fillna(0).to_numpy()
-            label = frame["label"].fillna(k + frame["kind"]).to_numpy().astype(np.int64)
-            before, after = frame["before"].to_numpy(), frame["after"].to_numpy()
-            each = model.emission(label, kind, n) + np.where(before >= 0, model.transition[before, label], 0) + np.where(after >= 0, model.transition[label, after], 0)
-            yield pd.DataFrame({"row": frame["row"], "doc_id": None, "held_out": None, "tokens": 0, "known": np.where(n > 0, tf, 0), "base": (np.log10(n + 1) - model.base) * tf, "score": each * tf})
+
+def score_rare(shared):
+    """Scores of words that do not travel (n: their count, null if unseen; label: their class, null for the length's) and of the transitions around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        k, size = model.known.k, model.known.size
+        transition = np.zeros((size + 1, size + 1))
+        transition[:size, :size] = model.transition
+        for batch in batches:
+            code, tf, n = (filled(batch.column(c), 0) for c in ("code", "tf", "n"))
+            kind, before, after = code // (size + 1) ** 2, code // (size + 1) % (size + 1), code % (size + 1)
+            label = filled(batch.column("label"), -1)
+            label = np.where(label < 0, k + kind, label)
+            each = model.emission(label, kind, n) + transition[before, label] + transition[label, after]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.where(n > 0, tf, 0)), pa.array((np.log10(n + 1) - model.base) * tf), pa.array(each * tf)], ["row", "known", "base", "score"])
 
     return run
 
 
-def score_two(model: Model):
-    """Transitions between two rarer words."""
+def score_two(shared):
+    """Transitions between two words that do not travel."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = model.known.k
-        for frame in frames:
-            a, b = (frame[f"l{s}"].fillna(k + frame[f"k{s}"]).to_numpy().astype(np.int64) for s in "12")
-            yield pd.DataFrame({"row": frame["row"], "doc_id": None, "held_out": None, "tokens": 0, "known": 0, "base": 0.0, "score": model.transition[a, b]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            kinds, tf = filled(batch.column("kinds"), 0), filled(batch.column("tf"), 0)
+            a, b = (np.where(own < 0, model.known.k + kind, own) for own, kind in ((filled(batch.column("l1"), -1), kinds // LENGTHS), (filled(batch.column("l2"), -1), kinds % LENGTHS)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.zeros(len(tf), np.int64)), pa.array(np.zeros(len(tf))), pa.array(model.transition[a, b] * tf)], ["row", "known", "base", "score"])
 
     return run
 
 
-def seeds(known: pd.DataFrame, top: np.ndarray, pairs: pd.DataFrame) -> tuple[np.ndarray, int]:
-    """Classes of the top words by exchange, and the number of classes."""
+def seeds(known: pd.DataFrame, top: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, int]:
+    """Classes of the top words by exchange, and the number of classes; pairs: of top words, lengths and the edge."""
     ranked = known.sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy()[:TOP]
     edge, t = TOP + LENGTHS, len(top)
-    dense = np.zeros((edge + 1, edge + 1))
-    p = pairs["pair"].to_numpy()
-    dense[p // (edge + 1), p % (edge + 1)] = pairs["n"].to_numpy()
     order = np.concatenate([lookup(top, ranked), np.arange(TOP, edge + 1)]).astype(int)  # symbols in order of falling frequency
     label = np.zeros(edge + 1, np.int64)
-    label[order] = exchange(dense[np.ix_(order, order)], t, CLASSES)
+    label[order] = exchange(pairs[np.ix_(order, order)], t, CLASSES)
     return label[:t], min(CLASSES, max(1, t))
 
 
 def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """Model, and word counts of the training documents (doc_id, text, held_out): word, kind, n, label (null below LEAST) of the words below the model's cut."""
+    return fit_encoded(docs, scratch)[:2]
+
+
+def fit_encoded(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, DataFrame, DataFrame | None]:
+    """As fit, and all documents encoded, and their pairs of words that do not travel with the classes of both (none where no such word has a class)."""
     spark = docs.sparkSession
-    training = docs.where("not held_out").select("text")
-    counts = training.mapInPandas(count_words, "word long, kind int, n long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
+    counts = docs.where("not held_out").select("text").mapInPandas(count_words, "word long, kind int, n long").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n"))
     counts = scratch.table(counts, "counts")
     # the smallest cut that at most KNOWN words reach
     # (counts to ten bits, rounded down: a few thousand rows whatever the corpus)
@@ -506,80 +610,79 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     known = counts.where(F.col("n") >= cut).toPandas().sort_values("word")
     by_kind = lambda rows: rows.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     kinds, classed = by_kind(counts), by_kind(counts.where(F.col("n") >= LEAST))
+    words, n, kind = known["word"].to_numpy(), known["n"].to_numpy(), known["kind"].to_numpy().astype(np.int64)
+    state = Known(words, n, kind, 0, some_rarer)
+    shared = spark.sparkContext.broadcast(state)
+    whole = scratch.table(docs.select("doc_id", "text", "held_out").mapInArrow(encode(shared), ENCODED), "encoded")
+    training = whole.where("not held_out")
+    texts = training.select("low", "high")
     top = np.sort(known.sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy()[:TOP])
-    pairs = training.mapInPandas(count_pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    first, k = seeds(known, top, pairs)
-    words, n, kind = known["word"].to_numpy(), known["n"].to_numpy(), known["kind"].to_numpy()
+    at = lookup(top, words)
+    symbols = state.of_codes(np.where(at >= 0, at, TOP + kind), TOP + np.arange(LENGTHS), TOP + LENGTHS).astype(np.int64)
+    first, k = seeds(known, top, bigrams(texts, symbols, TOP + LENGTHS + 1))
     place = lookup(words, top)
     first_n = n[place] >= LEAST
-    label = k + kind.astype(np.int64)
+    label = k + kind
     label[place[first_n]] = first[first_n]
     state = Known(words, n, label, k, some_rarer)
     size = state.size
-    rarer = counts.where((F.col("n") < cut) & (F.col("n") >= LEAST))
-    labels = rarer.select("word", (F.col("kind") + k).alias("label"))
-    if some_rarer:
-        shared = spark.sparkContext.broadcast(state)
-        two = training.mapInPandas(lambda f: rare_pairs(shared)(f), "w1 long, k1 int, w2 long, k2 int").groupBy("w1", "k1", "w2", "k2").agg(F.count("*").alias("n"))
-        raw = scratch.table(two, "rare-words")
-        two = either(raw, scratch.table(labels, "rarer"), ">= 0")
-        for s in "12":  # a word of no class counts by its length alone
-            two = two.withColumn(f"w{s}", F.when((F.col(f"k{s}") >= 0) & F.col(f"l{s}").isNull(), 0).otherwise(F.col(f"w{s}")))
-            two = two.withColumn(f"k{s}", F.when(F.col(f"l{s}").isNotNull(), -3).otherwise(F.col(f"k{s}")))
-        two = scratch.table(two.groupBy("w1", "k1", "w2", "k2").agg(F.sum("n").alias("n")), "rare-pairs")
-        scratch.drop(raw)
 
     best = None
     for turn in range(SPREAD + 1):
-        shared, last = spark.sparkContext.broadcast(state), turn == SPREAD
-        rows = training.mapInArrow(lambda f, s=shared, w=not last: gather(s, w)(f), EVIDENCE)
-        if some_rarer:
-            rows = rows.unionByName(either(two, labels, "= -3").mapInArrow(lambda f, s=shared, w=not last: resolve(s, w)(f), EVIDENCE))
-        if not last:
-            rows = scratch.table(rows, "evidence")
-        cells = rows.where("word is null").select("label", F.explode("codes").alias("c"))
-        cells = cells.groupBy("label", F.expr(f"shiftright(c, {COUNT})").alias("code")).agg(F.sum(F.expr(f"c & {(1 << COUNT) - 1}L")).alias("n")).toPandas()
-        joint = np.zeros((size, size))
-        joint[cells["label"].to_numpy().astype(int), cells["code"].to_numpy().astype(int)] = cells["n"].to_numpy()
+        joint = bigrams(texts, state.labels(), size)
         if turn and (best is None or likelihood(joint) > best[0]):
-            best = likelihood(joint), state, labels, joint
-        if last:
+            best = likelihood(joint), state, joint
+        if turn == SPREAD:
             break
+        shared = spark.sparkContext.broadcast(state)
         # a word's rows, one or more from every task, meet in order: none is held with all of its rows
-        sorted_ = rows.where("word is not null").repartition("word").sortWithinPartitions("word")
-        moved = sorted_.mapInArrow(lambda f, j=joint, k=k: move(j, k)(f), "word long, label int")
-        moved = scratch.table(moved, "labels")
-        scratch.drop(rows)
-        new = moved.join(counts.where(F.col("n") >= cut).select("word"), "word", "left_semi").toPandas()
+        sorted_ = texts.mapInArrow(gather(shared), EVIDENCE).repartition("word").sortWithinPartitions("word")
+        moved = sorted_.mapInArrow(move(joint, k), "word long, label int").toPandas()  # at most KNOWN rows
         label = state.label.copy()
-        label[lookup(words, new["word"].to_numpy())] = new["label"].to_numpy()
-        state, labels = Known(words, n, label, k, some_rarer), moved
-    _, state, labels, joint = best
+        label[state.order[moved["word"].to_numpy()]] = moved["label"].to_numpy()
+        state = Known(words, n, label, k, some_rarer)
+    _, state, joint = best
     inside = np.bincount(state.label, weights=n, minlength=size)[:k]
     rare = counts.where(F.col("n") < cut)
-    if some_rarer:
-        rare = scratch.table(rare.join(labels, "word", "left"), "rare-counts")
-        for r in rare.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect():
-            inside[r["label"]] += r["n"]
-    else:
-        rare = rare.withColumn("label", F.lit(None).cast("int"))
-    return Model(state, cut, joint, inside, kinds, classed, training.count()), rare
+    if not some_rarer:
+        return Model(state, cut, joint, inside, kinds, classed, training.count()), rare.withColumn("label", F.lit(None).cast("int")), whole, None
+
+    shared = spark.sparkContext.broadcast(state)
+    rows = training.select("low", "high", "rare").mapInArrow(rare_words(shared), "word long, code int")
+    rows = rows.unionByName(rare.where(F.col("n") >= LEAST).select("word", F.lit(-1).alias("code")))
+    moved = scratch.table(rows.repartition("word").sortWithinPartitions("word", "code").mapInArrow(move_rare(joint, k), MOVED), "moved")
+    for r in moved.where("word is null").groupBy("label", "code").agg(F.sum("n").alias("n")).collect():
+        joint[r["label"], r["code"]] += r["n"]
+    labels = moved.where("word is not null").select("word", "label")
+    pairs = both(whole.select("row", "held_out", "low", "high", "rare").mapInArrow(rare_pairs(shared), PAIRS), labels)
+    met = scratch.table(pairs.select("row", "held_out", "kinds", "l1", "l2", "tf"), "pairs")  # counted here, scored later
+    pairs = met.where("not held_out").groupBy("kinds", "l1", "l2").agg(F.sum("tf").alias("n")).toPandas()
+    lengths = k + pairs["kinds"].to_numpy() // LENGTHS, k + pairs["kinds"].to_numpy() % LENGTHS
+    np.subtract.at(joint, lengths, pairs["n"].to_numpy())
+    np.add.at(joint, tuple(pairs[f"l{s}"].fillna(pd.Series(at)).to_numpy().astype(int) for s, at in zip("12", lengths, strict=True)), pairs["n"].to_numpy())
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rarer = rare.where(F.col("n") >= LEAST).select("*", none("int", "label")).unionByName(labels.select("word", none("int", "kind"), none("long", "n"), "label"))
+    rarer = scratch.table(rarer.groupBy("word").agg(F.max("kind").alias("kind"), F.max("n").alias("n"), F.max("label").alias("label")), "rarer-counts")
+    rare = rare.where(F.col("n") < LEAST).select("*", none("int", "label")).unionByName(rarer)
+    for r in rarer.where("label is not null").groupBy("label").agg(F.sum("n").alias("n")).collect():
+        inside[r["label"]] += r["n"]
+    return Model(state, cut, joint, inside, kinds, classed, training.count()), rare, whole, met
 
 
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     scratch = scratch or Scratch(docs.sparkSession, "brown")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(remainder(MODULUS) == HOLDOUT, F.lit(False)))
-    model, counts = fit(docs, scratch)
+    model, counts, whole, pairs = fit_encoded(docs, scratch)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = scratch.table(docs.mapInPandas(lambda frames: score_docs(shared.value)(frames), ROWS), "scored")
-    result = "row long, doc_id long, held_out boolean, tokens long, known long, base double, score double"
-    rare = rows.where("word is not null and next is null").join(counts.select("word", "n", "label"), "word", "left")
-    out = rows.where("word is null").select("row", "doc_id", "held_out", F.col("tf").alias("tokens"), "known", "base", "score").unionByName(rare.mapInPandas(lambda frames: score_rare(shared.value)(frames), result))
-    if model.known.some_rarer:
-        two = rows.where("next is not null").select("row", F.col("word").alias("w1"), F.col("kind").alias("k1"), F.col("next").alias("w2"), F.col("next_kind").alias("k2"))
-        two = both(two, counts.where("label is not null").select("word", "label"))
-        out = out.unionByName(two.mapInPandas(lambda frames: score_two(shared.value)(frames), result))
+    told = whole.select("row", "doc_id", "held_out", "low", "high").mapInArrow(score_docs(shared), SCORED)
+    texts = whole.select("row", "low", "high", "rare")
+    rare = texts.mapInArrow(rare_of_docs(shared), RARE).join(counts.select("word", "n", "label"), "word", "left")
+    parts = rare.select("row", "code", "tf", "n", "label").mapInArrow(score_rare(shared), PART)
+    if pairs is not None:
+        parts = parts.unionByName(pairs.drop("held_out").mapInArrow(score_two(shared), PART))
+    none = lambda kind: F.lit(None).cast(kind)
+    out = told.unionByName(parts.select("row", none("long").alias("doc_id"), none("boolean").alias("held_out"), F.lit(0).cast("long").alias("tokens"), "known", "base", "score"))
     out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 

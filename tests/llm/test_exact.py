@@ -353,6 +353,36 @@ def test_all_frequent_words_are_clustered(spark, monkeypatch, known):
     assert {r["doc_id"]: r["score"] for r in brown.score(docs.select("doc_id", "text")).collect()} == pytest.approx(lp)
 
 
+def test_encoded_texts_and_their_class_bigrams(spark, monkeypatch):
+    """The corpus is written once as codes; class bigrams count all words, also those that do not travel, of all training texts."""
+    monkeypatch.setattr(brown, "TOP", 40)
+    monkeypatch.setattr(brown, "CLASSES", 8)
+    monkeypatch.setattr(brown, "KNOWN", 60)
+    rng = random.Random(3)
+    words = [f"w{'x' * (i % 15)}{i}" for i in range(150)]
+    texts = [None, "", *(" ".join(w for _ in range(30) for w in [rng.choice(words)] * rng.choice((1, 1, 1, 2))) + f" once{i} once{i}" for i in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", brown.remainder(7) == 2)
+    model, rare, whole, pairs = brown.fit_encoded(docs, brown.Scratch(spark, "test"))
+    state = model.known
+    assert state.some_rarer and len(state.word) <= 60 and pairs.count() > 0
+    of = dict(zip(state.word.tolist(), state.label.tolist(), strict=True)) | {r["word"]: r["label"] for r in rare.where("label is not null").collect()}
+    joint, seen = np.zeros((state.size, state.size)), 0
+    for r in whole.collect():
+        w, kind, _ = brown.tokens_of([(texts[r["doc_id"]] or "").encode()])
+        code = np.frombuffer(r["low"], np.uint16) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 16
+        others = iter(np.frombuffer(r["rare"], np.int64).tolist())
+        assert code[0] == state.edge and [state.word[state.order[c]] if c < state.rest else next(others) for c in code[1:]] == w.tolist()
+        assert list(others) == [] and [c - state.rest for c in code[1:] if c >= state.rest] == [k for c, k in zip(code[1:], kind, strict=True) if c >= state.rest]
+        if not r["held_out"]:
+            path = [state.size - 1, *(of.get(x, state.k + y) for x, y in zip(w.tolist(), kind.tolist(), strict=True)), state.size - 1]
+            np.add.at(joint, (path[:-1], path[1:]), 1)
+            seen += 1
+    each = joint.sum(axis=0)
+    prior = (each + 1) / (each.sum() + len(joint))
+    # texts follow one another with a single edge between them
+    assert seen == model.ends and model.transition == pytest.approx(np.log10((joint + brown.KAPPA * prior) / (joint.sum(axis=1, keepdims=True) + brown.KAPPA)))
+
+
 def test_quality_figures_and_ratios(spark, small):
     rows = {r["doc_id"]: r for r in quality.query(spark, small).collect()}
     for r in table(spark, small).collect():
