@@ -8,7 +8,7 @@ that the tail of one fold's stages leaves no core idle while others wait; a pool
 first leaves free.) What comes back to the driver is one row for each candidate and fold.
 
 Baselines that look at the rows by one column alone say so (counted_by): the rows are counted by instant, that column
-and y, once for all folds and all candidates on it, and the folds read the counts.
+and y, once for all folds and all candidates on it, and the folds read the counts (Counts). So can fits beside the folds.
 """
 
 from __future__ import annotations
@@ -81,18 +81,40 @@ def within(after: float | None, until: float) -> Column:
     return upto if after is None else (F.col("t") > moment(after)) & upto
 
 
-def counted(rows: DataFrame, name: str, by: Column) -> DataFrame:
-    """t, name, y and how many rows have them."""
-    return rows.groupBy("t", by.alias(name), "y").agg(F.count("*").alias(WEIGHT))
+def counted(rows: DataFrame, name: str, by: Column, *keep: str) -> DataFrame:
+    """keep (t at least), name, y and how many rows have them."""
+    return rows.groupBy("t", *keep, by.alias(name), "y").agg(F.count("*").alias(WEIGHT))
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: Mapping[str, Callable[[], Any]], score: Callable[[Any, DataFrame], DataFrame], views: Mapping[str, View] | None = None, at_once: int = AT_ONCE) -> DataFrame:
+class Counts:
+    """The rows of a job counted for each column that its candidates go by, once and when first asked for; keep are columns wanted besides t and y."""
+
+    def __init__(self, rows: DataFrame, *keep: str):
+        self.rows, self.keep, self.work = rows, keep, Working(rows.sparkSession, "counted")
+        self.tables: dict[tuple[str, str], DataFrame] = {}
+
+    def source(self, build: Callable[[], Any]) -> tuple[DataFrame, Callable[[], Any], str | None]:
+        """What a candidate reads, what it fits, and the column of weights: the rows themselves, unless it goes by one column."""
+        model = build()
+        if not hasattr(model, "counted_by"):
+            return self.rows, build, None
+        name, by = model.counted_by()
+        if (name, str(by)) not in self.tables:
+            self.tables[name, str(by)] = self.work.table(counted(self.rows, name, by, *self.keep))
+        return self.tables[name, str(by)], lambda: build().on_counts(), WEIGHT
+
+    def drop(self) -> None:
+        self.work.drop_all_but()
+
+
+def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: Mapping[str, Callable[[], Any]], score: Callable[[Any, DataFrame], DataFrame], views: Mapping[str, View] | None = None, at_once: int = AT_ONCE, counts: Counts | None = None) -> DataFrame:
     """candidate, fold, view, rows and positives of both parts, pr_auc and roc_auc: each candidate is fitted once on each fold.
 
     candidates build something whose fit(training rows) gives a model, score adds the score of a model to rows. views
     are what is done to the validation rows before they are scored (by default nothing): all views share one fit. A
     fold whose training rows are of one class, or which has no validation rows, is not fitted and has null figures.
-    rows are read once for every fold: give a stored table. Without views, candidates with counted_by read the counts.
+    rows are read once for every fold: give a stored table. Without views, candidates with counted_by read the counts:
+    those given, which keep label_observable and which the caller drops, or the job's own.
     """
     plain = not views
     views = views or {"as it is": lambda df: df}
@@ -100,17 +122,13 @@ def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates
     plan = [r.asDict() for r in membership(labelled, folds, embargo).orderBy("fold").collect()]
     kept = {r["fold"]: r for r in plan}
 
-    work, tables = Working(rows.sparkSession, "counted"), {}
+    own = Counts(labelled) if plain and counts is None else None
 
     def source(build: Callable[[], Any]) -> tuple[DataFrame, Callable[[], Any], str | None]:
-        """What the folds of a candidate read, what they fit, and the column of weights."""
-        model = build()
-        if not (plain and hasattr(model, "counted_by")):
+        if not plain:
             return labelled, build, None
-        name, by = model.counted_by()
-        if (name, str(by)) not in tables:
-            tables[name, str(by)] = work.table(counted(labelled, name, by))
-        return tables[name, str(by)], lambda: build().on_counts(), WEIGHT
+        base, fitted, weight = (own or counts).source(build)
+        return base if own else base.where("label_observable"), fitted, weight
 
     def job(base: DataFrame, build: Callable[[], Any], weight: str | None, f: dict[str, Any]) -> Callable[[], dict[str, tuple[float | None, float | None]]]:
         def run() -> dict[str, tuple[float | None, float | None]]:
@@ -127,7 +145,8 @@ def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates
     fit = [f for f in plan if 0 < f["train_positives"] < f["train_rows"] and f["val_rows"]]
     read = {name: source(build) for name, build in candidates.items()} if fit else {}
     done = side_by_side(rows.sparkSession, {(name, f["fold"]): job(*read[name], f) for name in read for f in fit}, at_once)
-    work.drop_all_but()
+    if own:
+        own.drop()
     out = []
     for name in candidates:
         for f in kept.values():

@@ -333,33 +333,48 @@ def rungs(numeric: list[str], categorical: list[str], age: str = "age_days", boa
     }
 
 
-def ladder(rows: DataFrame, steps: dict[str, Rung], at_once: int = folding.AT_ONCE) -> DataFrame:
-    """rung, n, positives, pr_auc, roc_auc on the validation block, the rungs fitted side by side. Give a stored table."""
-    val, train = rows.where("split = 'val'"), target(rows.where("split = 'train'").drop("score"))
+def ladder(rows: DataFrame, steps: dict[str, Rung], at_once: int = folding.AT_ONCE, counts: folding.Counts | None = None) -> DataFrame:
+    """rung, n, positives, pr_auc, roc_auc on the validation block, the rungs fitted side by side. Give a stored table.
 
-    def job(step: Rung) -> Callable[[], tuple]:
+    Rungs that go by one column read the counts of the rows, if there are any (with split kept).
+    """
+
+    def blocks(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return base.where("split = 'val'"), target(base.where("split = 'train'").drop("score"))
+
+    def job(val: DataFrame, train: DataFrame, build: Callable[[], object], weight: str | None) -> Callable[[], tuple]:
         def run() -> tuple:
-            found = metrics.ranking(metrics.distinct_scores(scored(step.build().fit(train), val))).first()
+            found = metrics.ranking(metrics.distinct_scores(scored(build().fit(train), val), weight=weight)).first()
             return found["n"], found["positives"], found["pr_auc"], found["roc_auc"]
 
         return run
 
-    done = folding.side_by_side(rows.sparkSession, {name: job(step) for name, step in steps.items()}, at_once)
+    read = {name: counts.source(step.build) if counts else (rows, step.build, None) for name, step in steps.items()}
+    cut: dict[int, tuple[DataFrame, DataFrame]] = {}
+    for base, _, _ in read.values():
+        if id(base) not in cut:
+            cut[id(base)] = blocks(base)
+    done = folding.side_by_side(rows.sparkSession, {name: job(*cut[id(base)], build, weight) for name, (base, build, weight) in read.items()}, at_once)
     return rows.sparkSession.createDataFrame([(name, *x) for name, x in done.items()], "rung string, n long, positives long, pr_auc double, roc_auc double")
 
 
 # ---- cross-validation and selection -------------------------------------------------------------------------------
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], object]], views: dict[str, Callable[[DataFrame], DataFrame]] | None = None, at_once: int = folding.AT_ONCE) -> DataFrame:
+def cross_validate(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], object]], views: dict[str, Callable[[DataFrame], DataFrame]] | None = None, at_once: int = folding.AT_ONCE, counts: folding.Counts | None = None) -> DataFrame:
     """candidate, fold, view, sizes, pr_auc and roc_auc of each candidate on each fold: see folds.cross_validate."""
-    return folding.cross_validate(rows, folds, embargo, candidates, scored, views, at_once)
+    return folding.cross_validate(rows, folds, embargo, candidates, scored, views, at_once, counts)
 
 
 def compare(rows: DataFrame, folds: DataFrame, embargo: float, candidates: dict[str, Callable[[], object]], at_once: int = folding.AT_ONCE) -> DataFrame:
-    """candidate, folds, scored, mean, sd over the folds, and pr_auc and roc_auc of one fit on train, scored on val. rows carry split."""
-    over = metrics.fold_summary(cross_validate(rows, folds, embargo, candidates, at_once=at_once), "candidate")
-    once = ladder(rows, {name: Rung(0, False, build) for name, build in candidates.items()}, at_once)
+    """candidate, folds, scored, mean, sd over the folds, and pr_auc and roc_auc of one fit on train, scored on val. rows carry split.
+
+    Folds and the one fit read the same counts.
+    """
+    counts = folding.Counts(rows, "split", "label_observable")
+    over = metrics.fold_summary(cross_validate(rows, folds, embargo, candidates, at_once=at_once, counts=counts), "candidate")
+    once = ladder(rows, {name: Rung(0, False, build) for name, build in candidates.items()}, at_once, counts)
+    counts.drop()
     return over.join(once.select(F.col("rung").alias("candidate"), "pr_auc", "roc_auc"), "candidate")
 
 

@@ -113,7 +113,7 @@ ONCE = rates_sql("once0", "tr", "va", "title") + bins_sql("once1", "tr", "va", "
 @query("x11_compared", V.sql(FOLDED + folded_sql({n: STEPS_SQL[n] for n in ("title_rates", "age_bins")}) + BLOCKS + ONCE + f", su AS ({SUMMARY}) SELECT su.candidate, folds, scored, round(mean, 6) AS mean, round(sd, 6) AS sd, round(o.ap, 6) AS pr_auc, round(o.roc, 6) AS roc_auc FROM su JOIN (SELECT 'title_rates' AS candidate, * FROM {ap_sql('once0', 's', '')} UNION ALL SELECT 'age_bins', * FROM {ap_sql('once1', 's', '')}) o ON o.candidate = su.candidate"))
 def _(s, d):
     cut = lambda x: F.lit(x).cast("timestamp")
-    rows = stored(s, known(s, d).withColumn("split", waves.split_column(cut("2024-01-05"), cut("2024-01-13"), EMBARGO)))
+    rows = known(s, d).withColumn("split", waves.split_column(cut("2024-01-05"), cut("2024-01-13"), EMBARGO))  # the panel is stored as it is
     out = models.compare(rows, fold_table(rows), EMBARGO, {n: STEPS[n].build for n in ("title_rates", "age_bins")})
     return out.select("candidate", "folds", "scored", r("mean"), r("sd"), r("pr_auc"), r("roc_auc"))
 

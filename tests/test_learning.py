@@ -128,6 +128,36 @@ def test_folds_of_baselines_read_counts(spark, rows):
             assert a[c] is None and b[c] is None or a[c] == pytest.approx(b[c], abs=1e-12)
 
 
+def test_compare_fits_once_on_the_counts_of_the_folds(spark, rows):
+    read = []
+
+    class Ages(models.QuantileRates):
+        def fit(self, df):
+            read.append(("_weight" in df.columns, df.count()))
+            return super().fit(df)
+
+    class Titles(models.GroupRates):
+        def fit(self, df):
+            read.append(("_weight" in df.columns, df.count()))
+            return super().fit(df)
+
+    unknown = rows.where("split = 'val' and age_days > 40").withColumn("label_observable", F.lit(False)).withColumn("y", F.lit(None).cast("int"))
+    many = rows.unionByName(rows).unionByName(rows).unionByName(unknown)
+    table = waves.fold_table(rows, DAY).where("fold % 4 = 0")
+    builds = {"4": lambda: Ages("age_days", 4), "titles": lambda: Titles(F.col("title"))}
+    got = {r["candidate"]: r for r in models.compare(many, table, DAY, builds, at_once=2).collect()}
+    assert len(read) > 2 and all(weighed for weighed, _ in read) and max(n for _, n in read) <= rows.count()
+    # the same figures from the rows themselves
+    plain = {r["rung"]: r for r in models.ladder(many, {n: models.Rung(0, False, b) for n, b in builds.items()}).collect()}
+    folded = models.cross_validate(many, table, DAY, builds, {"as it is": lambda df: df}, at_once=2).groupBy("candidate").agg(F.avg("pr_auc").alias("mean"), F.count("pr_auc").alias("scored")).collect()
+    assert set(got) == set(plain) == {r["candidate"] for r in folded}
+    for r in folded:
+        a = got[r["candidate"]]
+        assert a["scored"] == r["scored"] and a["mean"] == pytest.approx(r["mean"], abs=1e-12)
+        for c in ("pr_auc", "roc_auc"):
+            assert a[c] == pytest.approx(plain[r["candidate"]][c], abs=1e-12)
+
+
 # ---- logistic regression ------------------------------------------------------------------------------------------
 
 
