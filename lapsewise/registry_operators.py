@@ -322,20 +322,25 @@ def _(s, d):
 EVENTS = "WITH e AS (SELECT 'board:' || (user_id % 5) AS source, user_id, ts FROM events) "
 
 
-@query("r2_board_sizes", EVENTS + "SELECT source, ts::DATE::VARCHAR AS day, count(*) AS sightings, count(DISTINCT user_id) AS postings, true AS close FROM e GROUP BY ALL")
+#: sightings: each posting once a day, as the reference sizes a board (src/data/label_audit.py:165); events: all of them.
+SIZES = "once AS (SELECT source, day::VARCHAR AS day, count(*) AS sightings FROM obs0 GROUP BY ALL), every AS (SELECT source, ts::DATE::VARCHAR AS day, count(*) AS events, count(DISTINCT user_id) AS postings, true AS close FROM e GROUP BY ALL)"
+
+
+@query("r2_board_sizes", V.sql(", " + EVENTS.removeprefix("WITH ").rstrip() + ", " + SIZES + " SELECT o.source, o.day, sightings, events, postings, close FROM once o JOIN every v ON v.source IS NOT DISTINCT FROM o.source AND v.day IS NOT DISTINCT FROM o.day"))
 def _(s, d):
     """The stream's sizes beside exact counts of the table, and whether the sketch is within two per cent."""
-    sizes = streams.board_size_counts(s, d).select("source", F.to_date("w.start").cast("string").alias("day"), "sightings", F.col("postings").alias("estimate"))
-    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy("source", F.to_date("observed_at").cast("string").alias("day")).agg(F.count_distinct("source_id").alias("postings"))
-    return sizes.join(exact, ["source", "day"]).select("source", "day", "sightings", "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
+    sizes = streams.board_size_counts(s, d, streams.exact_board_sizes).select("source", F.to_date("w.start").cast("string").alias("day"), F.col("exact").alias("sightings"), F.col("sightings").alias("events"), F.col("postings").alias("estimate"))
+    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy(F.col("source").alias("of"), F.to_date("observed_at").cast("string").alias("on")).agg(F.count_distinct("source_id").alias("postings"))
+    both = sizes.join(exact, F.col("of").eqNullSafe(F.col("source")) & (F.col("on") == F.col("day")))
+    return both.select("source", "day", "sightings", "events", "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
 
 
 @query("r2_merged_sizes", EVENTS + "SELECT source, count(*) AS sightings, count(DISTINCT user_id) AS postings, true AS close FROM e GROUP BY source")
 def _(s, d):
     """The days' sketches merged: distinct postings of a board over the whole time."""
     merged = streams.merged_sizes(streams.board_size_counts(s, d), "source").withColumnRenamed("postings", "estimate")
-    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy("source").agg(F.count_distinct("source_id").alias("postings"))
-    return merged.join(exact, "source").select("source", F.col("sightings").cast("long").alias("sightings"), "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
+    exact = streams.as_crawls(s.read.parquet(f"{d}/events.parquet")).groupBy(F.col("source").alias("of")).agg(F.count_distinct("source_id").alias("postings"))
+    return merged.join(exact, F.col("of").eqNullSafe(F.col("source"))).select("source", F.col("sightings").cast("long").alias("sightings"), "postings", (F.abs(F.col("estimate") - F.col("postings")) <= 0.02 * F.col("postings")).alias("close"))
 
 
 @query("r3_crawl_sessions", "WITH n AS (SELECT epoch_us(ts) * 10 AS t, count(*) AS n FROM events GROUP BY ts), f AS (SELECT t, n, CASE WHEN t - lag(t) OVER (ORDER BY t) >= 3600000000 THEN 1 ELSE 0 END AS b FROM n), w AS (SELECT t, n, sum(b) OVER (ORDER BY t)::BIGINT AS wave FROM f) SELECT max(t) AS wave_end, sum(n)::BIGINT AS crawls FROM w GROUP BY wave")

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lapsewise.operators import fingerprint, waves
 from lapsewise.streaming import streams
 
@@ -119,3 +122,37 @@ def test_events_come_in_few_batches(spark, tmp_path):
     q.awaitTermination()
     sizes = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
     assert sum(sizes) == 41 and len(sizes) <= streams.BATCHES + 1
+
+
+def test_postings_count_once_a_day_across_batches(spark, tmp_path):
+    at = lambda d, h: T0 + dt.timedelta(days=d, hours=h)
+    # p comes twice in a batch, again in the next and on another day; r comes late, but within the lateness; one has no name
+    batches = [[("b", "p", at(0, 1)), ("b", "p", at(0, 2)), ("b", "q", at(0, 3)), ("b", None, at(0, 3))], [("b", "p", at(0, 4)), ("b", "p", at(1, 0)), ("b", None, at(0, 5))], [("b", "r", at(0, 6)), ("c", "p", at(1, 1))], [("z", "x", at(60, 0))]]
+    live = stream_of(spark, tmp_path, batches, "source string, source_id string, observed_at timestamp")
+    sizes = streams.written(streams.exact_board_sizes(live, "2 days"), "sizes")
+    got = [(r["w"]["start"].day, r["source"], r["exact"], r["sightings"], r["postings"]) for r in sizes.orderBy("w", "source").collect()]
+    assert got == [(1, "b", 4, 7, 3), (2, "b", 1, 1, 1), (2, "c", 1, 1, 1)]
+
+
+def test_merged_sketch_keeps_two_per_cent(spark):
+    n, k = 97560, 106  # with 2 ** 14 buckets the estimate of these ids is 2.4 per cent off
+    ids = spark.range(n * k, n * (k + 1)).select((F.col("id") % 4).alias("part"), F.lit("b").alias("source"), F.col("id").cast("string").alias("source_id"))
+    sketches = ids.groupBy("source", "part").agg(F.hll_sketch_agg("source_id", F.lit(streams.SKETCH)).alias("sketch"), F.count("*").alias("sightings"))
+    assert streams.merged_sizes(sketches, "source").first()["postings"] == pytest.approx(n, rel=0.02)
+
+
+@pytest.mark.parametrize("query", ["r2_board_sizes", "r2_merged_sizes", "r3_crawl_sessions", "r3_stalled"])
+def test_streams_lose_no_event_of_a_long_table(spark, tmp_path, query):
+    rng = random.Random(3)
+    rows = [(None if query.startswith("r2") and rng.random() < 0.05 else rng.randrange(40), T0 + dt.timedelta(seconds=rng.randrange(200 * 86400)), "x") for _ in range(4000)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string").repartition(6).write.parquet(f"file://{tmp_path}/events.parquet")
+    at = duckdb.connect()
+    at.sql(f"CREATE VIEW events AS SELECT user_id, epoch_us(ts)::BIGINT AS us, make_timestamp(us) AS ts, event_type FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = at.sql(entry.oracle_sql()[query])
+    # a task for each file, so that there are batches enough: rows are too late only from the third batch on
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4mb")
+    try:
+        got = entry.queries()[query](spark, f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(want.fetchall())
